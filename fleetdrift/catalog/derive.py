@@ -157,3 +157,108 @@ SELECT CAST(l_suppkey AS STRING) AS repo, p.pkg,
 FROM lineitem JOIN api_parts p ON l_partkey = p.k JOIN symbols_from f ON p.k = f.k
 """,
 )
+
+# --- versions from part -----------------------------------------------------------------------------------
+
+view(
+    "version_rows",
+    """
+SELECT p_partkey AS k, p_brand AS pkg, CASE WHEN p_partkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem,
+       p_size % 4 AS maj, p_partkey % 12 AS mnr, p_size % 5 AS pat, p_partkey % 9 AS flavour
+FROM part
+""",
+)
+
+view(
+    "versions",
+    """
+SELECT k, pkg, ecosystem, maj, mnr, pat, flavour,
+       CASE WHEN ecosystem = 'npm' THEN
+              CASE WHEN flavour = 0 THEN 'v' ELSE '' END || CAST(maj AS STRING) || '.' || CAST(mnr AS STRING) || '.' || CAST(pat AS STRING)
+              || CASE flavour WHEN 1 THEN '-rc.1' WHEN 2 THEN '-beta.2' WHEN 3 THEN '-rc.10' WHEN 4 THEN '-a-b' ELSE '' END
+            WHEN flavour = 7 THEN 'not-a-version'
+            ELSE CASE WHEN flavour = 1 THEN '1!' ELSE '' END || CAST(maj AS STRING) || '.' || CAST(mnr AS STRING)
+              || CASE WHEN flavour = 8 THEN '' ELSE '.' || CAST(pat AS STRING) END
+              || CASE flavour WHEN 2 THEN 'a1' WHEN 3 THEN 'rc2' WHEN 4 THEN '.post1' WHEN 5 THEN '.dev3' WHEN 6 THEN '+local.1' ELSE '' END
+       END AS version
+FROM version_rows
+""",
+)
+
+# Sort position by integer arithmetic: what the check orders by instead of reading the text.
+view(
+    "version_ranks",
+    """
+SELECT k, pkg, ecosystem, version, flavour,
+       CASE WHEN ecosystem = 'npm' THEN ((maj * 100 + mnr) * 100 + pat) * 100
+              + CASE flavour WHEN 1 THEN 20 WHEN 2 THEN 10 WHEN 3 THEN 30 WHEN 4 THEN 5 ELSE 90 END
+            WHEN flavour = 7 THEN -1
+            ELSE CASE WHEN flavour = 1 THEN 100000000 ELSE 0 END
+              + ((maj * 100 + mnr) * 100 + CASE WHEN flavour = 8 THEN 0 ELSE pat END) * 100
+              + CASE flavour WHEN 5 THEN 10 WHEN 2 THEN 20 WHEN 3 THEN 30 WHEN 6 THEN 50 WHEN 4 THEN 60 ELSE 40 END
+       END AS pos,
+       CASE WHEN ecosystem = 'npm' THEN flavour IN (1, 2, 3, 4) ELSE flavour IN (2, 3, 5, 7) END AS pre
+FROM versions
+""",
+)
+
+# --- installed packages from orders, advisories from supplier ----------------------------------------------
+
+view(
+    "installed",
+    """
+SELECT CAST(o_custkey % 50 AS STRING) AS repo, CASE WHEN o_orderkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem,
+       'pkg' || CAST(o_orderkey % 100 AS STRING) AS name,
+       CAST(o_orderkey % 5 AS STRING) || '.' || CAST(o_orderkey % 7 AS STRING) || '.' || CAST(o_orderkey % 11 AS STRING)
+         || CASE WHEN o_orderkey % 23 <> 0 THEN '' WHEN o_orderkey % 2 = 0 THEN '-rc.1' ELSE 'rc1' END AS version,
+       (o_orderkey % 5) * 100000 + (o_orderkey % 7) * 1000 + (o_orderkey % 11) * 10
+         + CASE WHEN o_orderkey % 23 = 0 THEN 0 ELSE 5 END AS pos,
+       o_orderkey AS line
+FROM orders
+""",
+)
+
+view(
+    "advisory_rows",
+    """
+SELECT s_suppkey AS s, 'ADV-' || CAST(s_suppkey AS STRING) AS advisory, 'pkg' || CAST(s_suppkey % 100 AS STRING) AS name,
+       CASE WHEN s_suppkey % 10 = 7 THEN 'crates.io' WHEN s_suppkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem,
+       s_suppkey % 3 AS m, s_suppkey % 4 AS f, s_suppkey % 10 AS d, s_suppkey % 6 = 0 AS has_git, s_name, s_acctbal
+FROM supplier
+""",
+)
+
+view(
+    "expected_windows",
+    """
+SELECT s, advisory, ecosystem, name, CASE WHEN f = 0 THEN '0' ELSE CAST(m AS STRING) || '.0.0' END AS introduced,
+       CASE WHEN d IN (0, 5) THEN NULL ELSE CAST(m + 1 AS STRING) || '.' || CAST(f AS STRING) || '.0' END AS fixed,
+       CASE WHEN d = 0 THEN CAST(m + 1 AS STRING) || '.0.0' END AS last_affected,
+       CASE WHEN f = 0 THEN -1 ELSE m * 100000 + 5 END AS lo, CASE WHEN d IN (0, 5) THEN NULL ELSE (m + 1) * 100000 + f * 1000 + 5 END AS hi,
+       CASE WHEN d = 0 THEN (m + 1) * 100000 + 5 END AS last_pos, 1 AS w
+FROM advisory_rows WHERE NOT (d = 5 AND m = 1)
+UNION ALL
+SELECT s, advisory, ecosystem, name, '4.1.0', '4.3.0', NULL, 401005, 403005, NULL, 2 FROM advisory_rows WHERE m = 1
+""",
+)
+
+view(
+    "expected_vulnerable",
+    """
+SELECT i.ecosystem, i.name, i.version, w.advisory,
+       (array_agg(w.fixed ORDER BY w.w) FILTER (WHERE w.fixed IS NOT NULL OR w.last_affected IS NOT NULL))[1] AS fixed_in
+FROM (SELECT DISTINCT ecosystem, name, version, pos FROM installed) i
+JOIN expected_windows w ON i.ecosystem = w.ecosystem AND i.name = w.name AND w.lo <= i.pos
+  AND CASE WHEN w.hi IS NOT NULL THEN i.pos < w.hi WHEN w.last_pos IS NOT NULL THEN i.pos <= w.last_pos ELSE true END
+GROUP BY ALL
+""",
+)
+
+view(
+    "imports",
+    """
+SELECT CAST(l_orderkey % 50 AS STRING) AS repo, 'pkg' || CAST((l_orderkey * 7 + l_linenumber * 13) % 300 AS STRING) AS pkg,
+       'src/f' || CAST(l_orderkey AS STRING) || '.ts' AS file, l_linenumber AS line
+FROM lineitem
+""",
+)
