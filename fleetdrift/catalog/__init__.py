@@ -61,6 +61,6 @@ def load_all() -> None:
         import_module(f"{__name__}.{module}")
 
 
-MODULES: tuple[str, ...] = ("snapshots", "versions", "vulnerabilities")
+MODULES: tuple[str, ...] = ("snapshots", "versions", "vulnerabilities", "scans")
 
 __all__ = ["MODULES", "ORACLES", "QUERIES", "TABLES", "Tables", "VIEWS", "load_all", "query"]

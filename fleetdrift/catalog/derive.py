@@ -262,3 +262,41 @@ SELECT CAST(l_orderkey % 50 AS STRING) AS repo, 'pkg' || CAST((l_orderkey * 7 +
 FROM lineitem
 """,
 )
+
+# --- locating -----------------------------------------------------------------------------------------------
+
+view(
+    "expected_findings",
+    """
+SELECT c.pkg, c.path AS symbol, c.kind, c.severity, c.confidence, s.repo, s.n_sites
+FROM impacting_changes c
+JOIN (SELECT repo, pkg, symbol, count(*) AS n_sites
+      FROM (SELECT DISTINCT repo, pkg, symbol, file, line, col FROM call_sites) d GROUP BY repo, pkg, symbol) s
+  ON c.pkg = s.pkg AND c.path = s.symbol
+""",
+)
+
+view("scan_dependencies", "SELECT DISTINCT repo, pkg FROM call_sites")
+
+# --- repositories, workspaces and declarations from orders and customer ---------------------------------------
+
+view(
+    "declared_rows",
+    """
+SELECT CAST(o_custkey % 40 AS STRING) AS repo, 'ws' || CAST(o_orderkey % 6 AS STRING) AS workspace, o_orderkey AS seq,
+       'dep' || CAST(o_orderkey % 90 AS STRING) AS name, o_orderkey % 3 <> 0 AS dev,
+       CASE o_orderkey % 8 WHEN 0 THEN '^' || CAST(o_orderkey % 4 AS STRING) || '.1.0' WHEN 1 THEN CAST(o_orderkey % 5 AS STRING) || '.0.2'
+            WHEN 2 THEN 'workspace:*' WHEN 3 THEN '*' WHEN 4 THEN '~1.' || CAST(o_orderkey % 9 AS STRING) || '.3'
+            WHEN 5 THEN 'file:../x' WHEN 6 THEN '=2.2.2' ELSE 'latest' END AS declared
+FROM orders
+""",
+)
+
+view(
+    "resolved_rows",
+    """
+SELECT repo, name, CASE WHEN max(seq) % 5 = 0 THEN '9.0.' || CAST(max(seq) % 7 AS STRING) END AS node_modules,
+       CASE WHEN max(seq) % 3 = 0 THEN '8.0.' || CAST(max(seq) % 7 AS STRING) END AS locked
+FROM declared_rows GROUP BY repo, name
+""",
+)
