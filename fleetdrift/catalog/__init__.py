@@ -15,6 +15,7 @@ TABLES = (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+HOMES: dict[str, str] = {}
 
 
 class Tables:
@@ -46,6 +47,7 @@ def query(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        HOMES[name] = fn.__module__.rsplit(".", 1)[-1]
         if oracle is not None:
             ORACLES[name] = with_views(oracle, views)
         return fn
@@ -61,6 +63,6 @@ def load_all() -> None:
         import_module(f"{__name__}.{module}")
 
 
-MODULES: tuple[str, ...] = ("snapshots", "versions", "vulnerabilities", "scans")
+MODULES: tuple[str, ...] = ("snapshots", "versions", "vulnerabilities", "scans", "contracts")
 
-__all__ = ["MODULES", "ORACLES", "QUERIES", "TABLES", "Tables", "VIEWS", "load_all", "query"]
+__all__ = ["HOMES", "MODULES", "ORACLES", "QUERIES", "TABLES", "Tables", "VIEWS", "load_all", "query"]

@@ -300,3 +300,102 @@ SELECT repo, name, CASE WHEN max(seq) % 5 = 0 THEN '9.0.' || CAST(max(seq) % 7 A
 FROM declared_rows GROUP BY repo, name
 """,
 )
+
+# --- outbound calls and descriptions from pages ----------------------------------------------------------------
+
+view(
+    "page_urls",
+    """
+SELECT page_id AS k, CAST(page_id % 20 AS STRING) AS repo, url,
+       lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
+       regexp_extract(url, '[?]([^#]*)', 1) AS query
+FROM pages
+""",
+)
+
+view(
+    "page_calls",
+    """
+SELECT k, repo, host, CASE WHEN k % 4 = 0 THEN 'POST' ELSE 'GET' END AS method,
+       CASE WHEN k % 5 = 0 THEN regexp_replace(path, '[0-9]+', '{}') WHEN k % 7 = 0 THEN path || '/deep/er'
+            WHEN k % 11 = 0 THEN regexp_replace(path, '[0-9]+', '{}/tail') WHEN k % 13 = 0 THEN '/zz' || path ELSE path END AS route
+FROM page_urls
+""",
+)
+
+view(
+    "page_operations",
+    """
+SELECT DISTINCT host, method, CASE WHEN k % 3 = 0 THEN regexp_replace(path, '[0-9]+', '{id}/{part}')
+       WHEN k % 17 = 0 THEN regexp_replace(path, '/[0-9]+', '') ELSE regexp_replace(path, '[0-9]+', '{id}') END AS route
+FROM (SELECT k, host, path, CASE WHEN k % 4 = 0 THEN 'POST' ELSE 'GET' END AS method FROM page_urls) p
+""",
+)
+
+# --- two descriptions of one API from customer and nation --------------------------------------------------------
+
+view(
+    "spec_params",
+    """
+SELECT DISTINCT CAST(n_regionkey AS STRING) AS vendor, n_nationkey AS nk, '/' || lower(n_name) AS r, CAST(c_custkey % 12 AS INT) AS pk
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+""",
+)
+
+view(
+    "op_params_from",
+    """
+SELECT vendor, 'GET' AS method, r || CASE WHEN nk % 6 = 0 THEN '/old' ELSE '' END AS route, nk % 4 = 0 AS deprecated,
+       'p' || CAST(pk AS STRING) || CASE WHEN (nk + pk) % 5 = 0 THEN 'old' ELSE '' END AS name, CASE WHEN pk % 4 = 0 THEN 'header' ELSE 'query' END AS location,
+       pk % 3 = 0 AS required, CASE WHEN pk = 7 THEN 'unknown' WHEN pk % 2 = 0 THEN 'string' ELSE 'integer' END AS type
+FROM spec_params
+""",
+)
+
+view(
+    "op_params_to",
+    """
+SELECT vendor, 'GET' AS method, r || CASE WHEN nk % 6 = 0 THEN '/new' ELSE '' END AS route, nk % 4 = 0 OR nk % 5 = 1 AS deprecated,
+       'p' || CAST(pk AS STRING) || CASE WHEN (nk + pk) % 5 = 0 THEN 'new' ELSE '' END AS name, CASE WHEN pk % 4 = 0 THEN 'header' ELSE 'query' END AS location,
+       pk % 3 = 0 OR (nk + pk) % 4 = 0 AS required,
+       CASE WHEN (nk * pk) % 11 = 3 THEN 'number' WHEN pk = 7 THEN 'boolean' WHEN pk % 2 = 0 THEN 'string' ELSE 'integer' END AS type
+FROM spec_params
+""",
+)
+
+view(
+    "expected_spec_changes",
+    """
+SELECT DISTINCT vendor, 'GET ' || r || '/old' AS path, 'removed' AS kind, 'breaking' AS severity, 'high' AS confidence, 'present' AS before, CAST(NULL AS STRING) AS after
+FROM spec_params WHERE nk % 6 = 0
+UNION ALL SELECT DISTINCT vendor, 'GET ' || r || '/new', 'added', 'feature', 'high', NULL, 'present' FROM spec_params WHERE nk % 6 = 0
+UNION ALL SELECT DISTINCT vendor, 'GET ' || r, 'deprecated', 'deprecation', 'high', 'current', 'deprecated' FROM spec_params WHERE nk % 6 <> 0 AND nk % 5 = 1 AND nk % 4 <> 0
+UNION ALL SELECT vendor, route || ' ' || loc || ':' || p || 'old', 'removed', 'breaking', 'medium', CASE WHEN old_req THEN 'required' ELSE 'optional' END, NULL FROM spec_pairs WHERE renamed
+UNION ALL SELECT vendor, route || ' ' || loc || ':' || p || 'new', CASE WHEN new_req THEN 'signature-changed' ELSE 'added' END, CASE WHEN new_req THEN 'breaking' ELSE 'feature' END,
+       'high', NULL, CASE WHEN new_req THEN 'required' ELSE 'optional' END FROM spec_pairs WHERE renamed
+UNION ALL SELECT vendor, route || ' ' || loc || ':' || p, 'signature-changed', 'breaking', 'high', 'optional', 'required' FROM spec_pairs WHERE NOT renamed AND new_req AND NOT old_req
+UNION ALL SELECT vendor, route || ' ' || loc || ':' || p, 'signature-changed', 'breaking', 'high', old_type, new_type FROM spec_pairs
+WHERE NOT renamed AND old_type <> new_type AND old_type <> 'unknown'
+""",
+)
+
+view(
+    "spec_pairs",
+    """
+SELECT vendor, 'GET ' || r AS route, 'p' || CAST(pk AS STRING) AS p, CASE WHEN pk % 4 = 0 THEN 'header' ELSE 'query' END AS loc, (nk + pk) % 5 = 0 AS renamed,
+       pk % 3 = 0 AS old_req, pk % 3 = 0 OR (nk + pk) % 4 = 0 AS new_req, CASE WHEN pk = 7 THEN 'unknown' WHEN pk % 2 = 0 THEN 'string' ELSE 'integer' END AS old_type,
+       CASE WHEN (nk * pk) % 11 = 3 THEN 'number' WHEN pk = 7 THEN 'boolean' WHEN pk % 2 = 0 THEN 'string' ELSE 'integer' END AS new_type
+FROM spec_params WHERE nk % 6 <> 0
+""",
+)
+
+# --- pins from part ------------------------------------------------------------------------------------------------
+
+view(
+    "pin_rows",
+    """
+SELECT p_partkey AS k, CAST(p_partkey % 120 AS STRING) AS repo, lower(p_type) AS image, p_size % 4 AS v,
+       CASE p_partkey % 5 WHEN 0 THEN 'Dockerfile' WHEN 1 THEN '.nvmrc' WHEN 2 THEN 'package.json' WHEN 3 THEN '.github/workflows/ci.yml' ELSE 'src/client.ts' END AS base
+FROM part
+""",
+)

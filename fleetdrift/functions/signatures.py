@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 IDENTIFIER = r"[A-Za-z_$][\w$]*"
 MAX_SIGNATURE = 4000
 CUT_MARK = "…<truncated>"
@@ -19,7 +21,7 @@ def normalise_signature(text: Column) -> Column:
     quoted_path = r"""(["'])[^"']*?/cache/([^/"']+)/[^/"']+/package/([^"']*)\1"""
     out = F.regexp_replace(text, quoted_path, "$1$2/$3$1")
     out = F.regexp_replace(out, r"""import\((?:"[^"]*"|'[^']*')\)\.""", "")
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = strip(F.regexp_replace(out, r"\s+", " "))
     cut = F.concat(F.substring(out, 1, MAX_SIGNATURE), F.lit(CUT_MARK))
     return F.when(F.length(out) > MAX_SIGNATURE, cut).otherwise(out)
 
@@ -48,7 +50,7 @@ def _argument_text(signature: Column) -> Column:
         )
 
     end = F.aggregate(_characters(rest), state, step)["end"]
-    return F.when((opened > 0) & (end >= 0), F.trim(F.substring(rest, F.lit(2), end - 1)))
+    return F.when((opened > 0) & (end >= 0), strip(F.substring(rest, F.lit(2), end - 1)))
 
 
 def required_arity(signature: Column) -> Column:
@@ -67,8 +69,8 @@ def required_arity(signature: Column) -> Column:
     )
 
     def must_pass(acc):
-        text = F.trim(acc["text"])
-        named = F.when(acc["colon"], F.trim(acc["label"])).otherwise(text)
+        text = strip(acc["text"])
+        named = F.when(acc["colon"], strip(acc["label"])).otherwise(text)
         return ~(text.startswith("...") | named.endswith("?"))
 
     def step(acc, ch):
@@ -87,7 +89,7 @@ def required_arity(signature: Column) -> Column:
         _characters(inner),
         state,
         step,
-        lambda acc: acc["need"] + F.when((F.trim(acc["text"]) != "") & must_pass(acc), 1).otherwise(0),
+        lambda acc: acc["need"] + F.when((strip(acc["text"]) != "") & must_pass(acc), 1).otherwise(0),
     )
 
 
@@ -247,9 +249,9 @@ def signature_change_class(before_params, after_params, before: Column, after: C
 
 def names_own_declaration(signature: Column, path: Column) -> Column:
     """``typeof X`` where X is the symbol's own last segment."""
-    named = F.regexp_extract(F.trim(signature), rf"^typeof ({IDENTIFIER})$", 1)
+    named = F.regexp_extract(strip(signature), rf"^typeof ({IDENTIFIER})$", 1)
     return (named != "") & (named == F.element_at(F.split(path, r"\."), -1))
 
 
 def is_typeof(signature: Column) -> Column:
-    return F.trim(signature).rlike(rf"^typeof {IDENTIFIER}$")
+    return strip(signature).rlike(rf"^typeof {IDENTIFIER}$")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 PEP440 = (
     r"^(?:(\d+)!)?(\d+(?:\.\d+)*)(?:(a|b|rc)(\d+))?(?:\.post(\d+))?(?:\.dev(\d+))?(?:\+([a-zA-Z0-9._-]+))?$"
 )
@@ -163,7 +165,7 @@ RANGE = r"^([\^~]|>=|>|<=|<|=|v)?\s*(\d+)\.(\d+)\.(\d+)"
 
 def exact_pin(declared: Column) -> Column:
     """The version where a declaration names exactly one, else NULL."""
-    return F.nullif(F.regexp_extract(F.trim(declared), rf"^(?:=|v)?{FULL_VERSION}$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(strip(declared), rf"^(?:=|v)?{FULL_VERSION}$", 1), F.lit(""))
 
 
 def first_version_in(declared: Column) -> Column:
@@ -172,13 +174,13 @@ def first_version_in(declared: Column) -> Column:
 
 def pinned_by_specifier(specifier: Column) -> Column:
     """The version of an ``==`` or ``===`` specifier without wildcard or list, else NULL."""
-    text = F.trim(F.regexp_extract(F.trim(specifier), r"^(?:===|==)\s*(.+)$", 1))
+    text = strip(F.regexp_extract(strip(specifier), r"^(?:===|==)\s*(.+)$", 1))
     return F.when((text != "") & ~text.contains("*") & ~text.contains(","), text)
 
 
 def range_parts(declared: Column) -> Column:
     """Operator and floor of the first alternative of an npm range; NULL floor where it has no full version."""
-    first = F.get(F.split(F.trim(F.get(F.split(F.trim(declared), r"\|\|"), 0)), r"\s+"), 0)
+    first = F.get(F.split(strip(F.get(F.split(strip(declared), r"\|\|"), 0)), r"\s+"), 0)
     parts = [F.regexp_extract(first, RANGE, i) for i in (1, 2, 3, 4)]
     major, minor, patch = (p.try_cast("bigint") for p in parts[1:])
     floor = F.when(
@@ -192,7 +194,7 @@ def range_parts(declared: Column) -> Column:
 
 def takes_latest(declared: Column) -> Column:
     """Ranges that follow the latest tag: empty, wildcard, comparison operators, or unreadable."""
-    spec = F.trim(F.coalesce(declared, F.lit("")))
+    spec = strip(F.coalesce(declared, F.lit("")))
     parts = range_parts(spec)
     return (
         spec.isin("", "*", "x", "latest")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .. import schemas
 
 # Fixed value: declarations that do not name a registry version.
@@ -32,7 +33,7 @@ def manifest_dependencies(files: DataFrame) -> DataFrame:
 
 def manifest_status(files: DataFrame) -> DataFrame:
     """repo, workspace, status: an unreadable manifest is named, not taken for an empty one."""
-    readable = F.from_json("content", "map<string,string>").isNotNull() & F.trim("content").startswith("{")
+    readable = F.from_json("content", "map<string,string>").isNotNull() & strip(F.col("content")).startswith("{")
     return files.select("repo", "workspace", F.when(readable, "read").otherwise("unreadable").alias("status"))
 
 
@@ -65,7 +66,7 @@ def read_benchmark_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_benchmark_cases(files: DataFrame) -> DataFrame:
     parsed = F.from_json("content", f"array<struct<{_fields(schemas.BENCHMARK_CASE)}>>")
-    is_array = F.trim("content").startswith("[")
+    is_array = strip(F.col("content")).startswith("[")
     return files.select(F.inline(F.when(is_array, parsed))).filter("id IS NOT NULL").select(
         F.col("id").alias("case_id"), "pkg", F.col("toVersion").alias("to_version"), F.col("minimalEdits").alias("minimal_edits")
     )
