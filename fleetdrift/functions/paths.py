@@ -9,16 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def _prefixes(text: Column, separator: str, pattern: str) -> Column:
-    parts = F.split(text, pattern)
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))
+    return let(
+        F.split(text, pattern),
+        lambda parts: F.transform(
+            F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator)
+        ),
+    )
 
 
 def _suffixes(text: Column, separator: str, pattern: str) -> Column:
-    parts = F.split(text, pattern)
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), separator)
+    return let(
+        F.split(text, pattern),
+        lambda parts: F.transform(
+            F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), separator)
+        ),
     )
 
 

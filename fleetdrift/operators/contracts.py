@@ -84,15 +84,15 @@ def match_routes(calls: DataFrame, templates: DataFrame, keys: list[str]) -> Dat
     n = F.length("mask")
     at_end = F.get(F.col("segments"), n - 1)
     fits = (F.size("segments") == n) | (F.col("open") & (F.size("segments") > n) & (at_end != "{}"))
-    kinds = F.split("mask", "")
     head = F.slice("segments", F.lit(1), n)
-    allowed = F.forall(
-        F.sequence(F.lit(0), n - 1), lambda i: (F.get(head, i) != "{}") | (F.get(kinds, i) == "T")
-    )
-    tried = tried.filter(fits).filter(allowed)
-    key = F.array_join(F.transform(head, lambda s, i: F.when(F.get(kinds, i) == "T", "{}").otherwise(s)), "/")
+    kinds = F.slice(F.split("mask", ""), F.lit(1), n)
+    # a parameter position takes anything; a literal position takes the call's own literal, never a runtime segment
+    keyed = F.zip_with(head, kinds, lambda s, kind: F.when(kind == "T", "{}").when(s != "{}", s))
+    tried = tried.filter(fits).withColumn("keyed", keyed).filter(F.forall("keyed", lambda s: s.isNotNull()))
+    key = F.array_join("keyed", "/")
     return (
         tried.withColumn("key", key)
+        .drop("keyed", "segments")
         .join(shaped, [*keys, "method", "mask", "open", "key"])
         .select(*keys, "method", "call_route", "route")
         .distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, strip_left
+from ..functions.text import let, strip, strip_left
 from .. import schemas
 
 # The methods a path item may describe, and the largest description that is read.
@@ -50,17 +50,24 @@ def reference_targets(body: Column) -> Column:
     """
     pointers = F.array_distinct(F.regexp_extract_all(body, F.lit(r'"\$ref"\s*:\s*"(#/[^"]*)"'), F.lit(1)))
     direct = F.filter(
-        F.transform(pointers, lambda p: F.named_struct(F.lit("key"), p, F.lit("value"), F.call_function("get_json_object", body, _json_path(p)))),
+        F.transform(
+            pointers,
+            lambda p: F.named_struct(F.lit("key"), p, F.lit("value"), F.call_function("get_json_object", body, _json_path(p))),
+        ),
         lambda e: e["value"].isNotNull(),
     )
-    one_step = F.map_from_entries(direct)
 
-    def settle(_, value):
-        step = lambda text, __: F.coalesce(F.try_element_at(one_step, F.get_json_object(text, "$['$ref']")), text)
-        chained = F.get_json_object(value, "$['$ref']").isNotNull()
-        return F.when(chained, F.aggregate(F.sequence(F.lit(1), F.size(pointers)), value, step)).otherwise(value)
+    def settle_all(one_step):
+        def step(text, _):
+            return F.coalesce(F.try_element_at(one_step, F.get_json_object(text, "$['$ref']")), text)
 
-    return F.when(F.size(direct) > 0, F.transform_values(one_step, settle))
+        def settle(_, value):
+            chained = F.get_json_object(value, "$['$ref']").isNotNull()
+            return F.when(chained, F.aggregate(F.sequence(F.lit(1), F.size(one_step)), value, step)).otherwise(value)
+
+        return F.transform_values(one_step, settle)
+
+    return F.when(F.size(direct) > 0, let(F.map_from_entries(direct), settle_all))
 
 
 def _resolved(text: Column, targets: Column) -> Column:
