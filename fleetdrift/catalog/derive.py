@@ -399,3 +399,52 @@ SELECT p_partkey AS k, CAST(p_partkey % 120 AS STRING) AS repo, lower(p_type) AS
 FROM part
 """,
 )
+
+# --- hunks and anchors from orders and lineitem --------------------------------------------------------------------
+
+view(
+    "hunk_rows",
+    """
+SELECT CAST(o_custkey % 30 AS STRING) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'app/src/f' ELSE 'src/f' END || CAST(o_orderkey % 400 AS STRING) || '.ts' AS file,
+       o_orderkey % 200 + 1 AS start_line, o_orderkey % 200 + 1 + o_custkey % 90 AS end_line
+FROM orders
+""",
+)
+view(
+    "anchor_rows",
+    """
+SELECT CAST(o_custkey % 30 AS STRING) AS id, CASE WHEN l_partkey % 2 = 0 THEN 'src/f' ELSE 'app/src/f' END || CAST(l_orderkey % 400 AS STRING) || '.ts' AS file,
+       l_partkey % 300 AS line
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND o_custkey % 30 <> 7
+""",
+)
+
+# --- scans and findings from events -------------------------------------------------------------------------------
+
+view(
+    "event_scans",
+    "SELECT DISTINCT CAST(user_id % 5 AS STRING) AS repo, CAST(CAST(ts AS DATE) AS STRING) AS scan FROM events",
+)
+view(
+    "scan_found",
+    """
+SELECT DISTINCT CAST(user_id % 5 AS STRING) AS repo, CAST(CAST(ts AS DATE) AS STRING) AS scan, CAST(user_id AS STRING) || ':' || event_type AS finding
+FROM events
+""",
+)
+
+# --- repair outcomes from documents and labels --------------------------------------------------------------------
+
+view(
+    "repair_outcomes",
+    """
+SELECT d.doc_id, d.source AS model, CASE WHEN d.doc_id % 2 = 0 THEN 'agent' ELSE 'plain' END AS harness, CAST(d.doc_id % 23 AS STRING) AS case_id,
+       CASE WHEN l.quality = 1 THEN CASE WHEN d.n_chars % 5 = 0 THEN 'typecheck-only' ELSE 'verified' END WHEN d.n_chars % 2 = 0 THEN 'regression' ELSE 'unverified' END AS verdict,
+       CASE WHEN d.doc_id % 19 = 0 THEN 'timeout' END AS inconclusive, CAST(d.n_chars % 7 AS INT) AS edits_applied, CAST(d.n_chars % 3 AS INT) AS edits_withheld,
+       CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE CAST(d.n_chars % 10 AS INT) END AS errors_before, CAST(d.n_chars % 4 AS INT) AS errors_after,
+       l.toxic AS type_escapes, CASE WHEN d.n_chars % 11 = 0 THEN 2 ELSE 0 END AS deprecation_gaps, CASE WHEN d.n_chars % 13 = 0 THEN 1 ELSE 0 END AS n_unresolved,
+       CASE WHEN d.n_chars % 17 = 0 THEN 2 ELSE 0 END AS n_uncheckable, d.n_chars AS duration_ms
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""",
+)
+view("repair_cases", "SELECT DISTINCT CAST(doc_id % 21 AS STRING) AS case_id, CAST(doc_id % 21 % 4 AS INT) AS minimal_edits FROM documents")

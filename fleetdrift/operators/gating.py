@@ -35,10 +35,8 @@ def review_anchors(touched: DataFrame, unfinished: DataFrame) -> DataFrame:
 
 def _bits(low: Column, high: Column) -> Column:
     """A word with the bits low..high set."""
-    ones = F.lit(-1).cast("bigint")
-    width = (high - low + 1).cast("int")
-    run = F.call_function("shiftleft", F.lit(1).cast("bigint"), width) - 1
-    return F.when(width >= BIN, ones).otherwise(F.call_function("shiftleft", run, low.cast("int")))
+    run = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (F.lit(BIN - 1) - high + low).cast("int"))
+    return F.call_function("shiftleft", run, low.cast("int"))
 
 
 def hunks_with_anchor(hunks: DataFrame, anchors: DataFrame, window: int = 0) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..sources.imports import imports_symbol_from
 
@@ -22,16 +23,33 @@ NAMED_FILE = (
 PARAMETER_ANY = r"([(,]\s*\.{0,3}\w+\??)\s*:\s*any\b(?!\[)"
 
 
-@F.pandas_udf("boolean")
-def readable_pattern(patterns: pd.Series) -> pd.Series:
-    def compiles(pattern):
+def _usable_pattern():
+    """A pattern as Spark's regular expressions read it, NULL where it does not compile.
+
+    Runs over the distinct patterns only. The one spelling that differs is an open bracket inside a class.
+    """
+
+    def rewrite(pattern):
         try:
             re.compile(pattern)
-            return True
         except (re.error, TypeError):
-            return False
+            return None
+        out, in_class, i = [], False, 0
+        while i < len(pattern):
+            ch = pattern[i]
+            if ch == "\\":
+                out.append(pattern[i : i + 2])
+                i += 2
+                continue
+            out.append("\\[" if in_class and ch == "[" else ch)
+            in_class = ch != "]" if in_class else ch == "["
+            i += 1
+        return None if "(?P" in pattern else "".join(out)
 
-    return patterns.map(compiles)
+    def rewrite_all(patterns: pd.Series) -> pd.Series:
+        return patterns.map(rewrite)
+
+    return F.pandas_udf(rewrite_all, StringType())
 
 
 def resolve_checks(checks: DataFrame, files: DataFrame) -> DataFrame:
@@ -41,15 +59,15 @@ def resolve_checks(checks: DataFrame, files: DataFrame) -> DataFrame:
     short list beside each of its files, so a file's text is read once for all of them. Patterns are compiled
     first; a bad one makes its check unknown, not the job fail.
     """
-    valid = checks.select("pattern").distinct().withColumn("ok", F.coalesce(readable_pattern("pattern"), F.lit(False)))
-    known = checks.join(valid, "pattern", "left").withColumn("usable", (F.col("kind") == "import") | F.coalesce("ok", F.lit(False)))
+    patterns = checks.filter("kind = 'absent'").select("pattern").distinct().withColumn("ready", _usable_pattern()("pattern"))
+    known = checks.join(patterns, "pattern", "left").withColumn("usable", (F.col("kind") == "import") | F.col("ready").isNotNull())
     lists = known.filter("usable").groupBy("repo").agg(
-        F.collect_list(F.struct("check_id", "kind", "pattern", "symbol", "pkg")).alias("checks")
+        F.collect_list(F.struct("check_id", "kind", "ready", "symbol", "pkg")).alias("checks")
     )
 
     def fires(c):
         by_import = imports_symbol_from(F.col("content"), c["symbol"], c["pkg"])
-        return F.when(c["kind"] == "import", by_import).otherwise(F.rlike(F.col("content"), c["pattern"]))
+        return F.when(c["kind"] == "import", by_import).otherwise(F.rlike(F.col("content"), c["ready"]))
 
     hits = files.join(lists, "repo").select(
         "repo", F.explode(F.filter("checks", fires)["check_id"]).alias("check_id")
@@ -164,8 +182,6 @@ def proposals(results: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
 
     ``results``: repo, pkg, seq, outcome, n_changed.
     """
-    from pyspark.sql import Window
-
     fit = results.filter(verification_passed(F.col("outcome")) & (F.col("n_changed") > 0))
     first = Window.partitionBy("repo").orderBy("seq")
     proposed = fit.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= cap).drop("n")
