@@ -448,3 +448,15 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """,
 )
 view("repair_cases", "SELECT DISTINCT CAST(doc_id % 21 AS STRING) AS case_id, CAST(doc_id % 21 % 4 AS INT) AS minimal_edits FROM documents")
+
+# --- lockfile entries from lineitem ---------------------------------------------------------------------------------
+
+view(
+    "lock_entries",
+    """
+SELECT l_orderkey AS o, CAST(l_orderkey AS STRING) AS repo, 'pkg' || CAST(l_partkey % 700 AS STRING) AS name,
+       CAST(l_linenumber AS STRING) || '.' || CAST(l_suppkey % 9 AS STRING) || '.' || CAST(l_partkey % 10 AS STRING) AS version, l_partkey AS k, l_linestatus = 'F' AS dev,
+       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n
+FROM lineitem
+""",
+)
