@@ -63,6 +63,6 @@ def load_all() -> None:
         import_module(f"{__name__}.{module}")
 
 
-MODULES: tuple[str, ...] = ("snapshots", "versions", "vulnerabilities", "scans", "contracts", "repairs", "readers", "lifecycles")
+MODULES: tuple[str, ...] = ("snapshots", "versions", "vulnerabilities", "scans", "contracts", "repairs", "readers", "lifecycles", "streams", "composites")
 
 __all__ = ["HOMES", "MODULES", "ORACLES", "QUERIES", "TABLES", "Tables", "VIEWS", "load_all", "query"]

@@ -102,6 +102,38 @@ def upsert_findings(stored: DataFrame, scanned: DataFrame, found: DataFrame) ->
     )
 
 
+def apply_scans(stored: DataFrame, scans: DataFrame, found: DataFrame) -> DataFrame:
+    """The stored findings after any number of new scans per repository, in one step.
+
+    The scans must be newer than those already applied. ``stored``: repo, finding, first_seen, last_seen, status.
+    """
+    numbered = number_scans(scans)
+    edge = numbered.groupBy("repo").agg(F.max("n").alias("n_last"), F.min("scan").alias("opening"))
+    seen = _presence(found, scans).groupBy("repo", "finding").agg(
+        F.min("scan").alias("first_now"), F.max(F.struct("n", "scan")).alias("latest")
+    )
+    closing = numbered.select("repo", (F.col("n") - 1).alias("n"), F.col("scan").alias("closed_at"))
+    seen = seen.select("repo", "finding", "first_now", F.col("latest.n").alias("n"), F.col("latest.scan").alias("seen_at")).join(
+        closing, ["repo", "n"], "left"
+    )
+    out = stored.join(seen, ["repo", "finding"], "full_outer").join(edge, "repo", "left")
+    present, dismissed = F.col("n").isNotNull(), F.coalesce(F.col("status") == "dismissed", F.lit(False))
+    at_end = F.col("n") == F.col("n_last")
+    closes = ~present & F.col("n_last").isNotNull() & (F.col("status") == "open")
+    status = (
+        F.when(dismissed, "dismissed").when(present & at_end, "open").when(present, "fixed").when(closes, "fixed").otherwise(F.col("status"))
+    )
+    last_seen = (
+        F.when(present & (at_end | dismissed), F.col("seen_at"))
+        .when(present, F.col("closed_at"))
+        .when(closes, F.col("opening"))
+        .otherwise(F.col("last_seen"))
+    )
+    return out.select(
+        "repo", "finding", F.coalesce("first_seen", "first_now").alias("first_seen"), last_seen.alias("last_seen"), status.alias("status")
+    )
+
+
 def round_delta(stored: DataFrame, scanned: DataFrame, found: DataFrame, history: DataFrame) -> DataFrame:
     """repo, finding, event of one round: added, returned, resolved; no news from a repository's first scan.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import locate, reporting, snapshot
+from ..session import cut_lineage
 
 
 @dataclass
@@ -28,7 +29,7 @@ class ScanInputs:
 
 @dataclass
 class ScanReport:
-    """Lazy result tables; nothing runs before one of them is written."""
+    """The result tables. Changes and findings are already written; the rest is planned on top of them."""
 
     headers: DataFrame
     changes: DataFrame
@@ -39,12 +40,16 @@ class ScanReport:
 
 
 def scan(inputs: ScanInputs, pin_conflicts: DataFrame | None = None) -> ScanReport:
+    """Every table of the report reads the changes, and most read the findings, so both are written once.
+
+    The diff reads each snapshot once; after it only the changes travel, which are few beside the symbols.
+    """
     flags = snapshot.suppression_flags(inputs.from_surfaces, inputs.to_surfaces, inputs.from_symbols, inputs.to_symbols)
     changes = snapshot.diff_symbols(inputs.from_symbols, inputs.to_symbols, flags, inputs.aliases)
-    impacting = snapshot.consumer_impacting(changes)
+    impacting = cut_lineage(snapshot.consumer_impacting(changes), "changes")
     sites = locate.distinct_sites(inputs.sites)
     located = locate.locate_changes(impacting.select("pkg", "path", "kind", "severity", "confidence"), sites)
-    findings = locate.with_surface_ids(located, flags)
+    findings = cut_lineage(locate.with_surface_ids(located, flags), "findings")
     packages = package_report(impacting, inputs.dependencies, findings, flags)
     counts = reporting.scan_counts(
         findings, packages, findings.select("repo", "n_sites"), findings.limit(0) if pin_conflicts is None else pin_conflicts

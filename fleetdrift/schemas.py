@@ -41,12 +41,15 @@ SHELLCHECK = "array<struct<file:string,line:int,column:int,code:int,level:string
 BENCHMARK_CASE = "id string, pkg string, toVersion string, minimalEdits int"
 
 WEBHOOK = """
-event string, delivery string, received_at timestamp, action string,
-installation struct<id:bigint,account:struct<login:string>>,
+event string, delivery bigint, received_at timestamp, action string,
+installation struct<id:bigint,account:string>,
 repositories array<struct<full_name:string,default_branch:string>>,
 repositories_added array<struct<full_name:string,default_branch:string>>,
 repositories_removed array<struct<full_name:string,default_branch:string>>,
 repository struct<full_name:string,default_branch:string>,
 ref string,
-check_suite struct<status:string,conclusion:string,head_branch:string,head_sha:string>
+check_suite struct<status:string,conclusion:string,head_branch:string,head_sha:string>,
+pull_request struct<number:bigint,branch:string,url:string>
 """
+
+SCAN_FEED = "repo string, scan string, finding string"
