@@ -152,7 +152,7 @@ def _(t):
     ("symbols_to",),
 )
 def _(t):
-    return t.view("symbols_to").select("k", "path", S.required_arity(F.col("signature")).alias("arity"))
+    return t.view("symbols_to").select("k", "path", S.required_arity("signature").alias("arity"))
 
 
 @query(
@@ -166,7 +166,7 @@ def _(t):
     ("symbols_to",),
 )
 def _(t):
-    return t.view("symbols_to").select("k", "path", S.positional_params(F.col("signature")).alias("positional"))
+    return t.view("symbols_to").select("k", "path", S.positional_params("signature").alias("positional"))
 
 
 @query(
@@ -180,7 +180,7 @@ def _(t):
     a = t.view("symbols_from").select("k", F.col("signature").alias("a"), type_params().alias("ta"))
     b = t.view("symbols_to").select("k", F.col("signature").alias("b"), type_params().alias("tb"))
     both = a.filter(~S.is_typeof(F.col("a"))).join(b, "k")
-    ladder = S.signature_change_class(F.col("ta"), F.col("tb"), F.col("a"), F.col("b"))
+    ladder = S.signature_change_class("ta", "tb", "a", "b")
     return both.select("k", ladder.alias("c")).select("k", "c.severity", "c.confidence")
 
 

@@ -30,149 +30,97 @@ def is_cut(text: Column) -> Column:
     return text.endswith(CUT_MARK)
 
 
-def _characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda ch: ch != "")
+# The folds below are SQL text: one parsed expression instead of hundreds of calls to build it. ``{s}`` is the text.
 
+_CHARACTERS = "filter(split({s}, ''), c -> c <> '')"
 
-def _argument_text(signature: Column) -> Column:
-    """The text between the first opening parenthesis and its partner; NULL without such a pair."""
-    opened = F.instr(signature, F.lit("("))
-    rest = F.substring(signature, opened, F.length(signature))
-    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(-1).alias("end"))
+# Where the parenthesis that opens first is closed again, counted from its own position; 0 where it never is.
+_CLOSING = (
+    "aggregate(" + _CHARACTERS + ", named_struct('depth', 0, 'seen', 0, 'end', 0), (a, c) -> named_struct("
+    "'depth', a.depth + CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END, 'seen', a.seen + 1, "
+    "'end', CASE WHEN a.end = 0 AND c = ')' AND a.depth = 1 THEN a.seen + 1 ELSE a.end END)).end"
+)
 
-    def step(acc, ch):
-        depth = acc["depth"] + F.when(ch == "(", 1).when(ch == ")", -1).otherwise(0)
-        closes = (acc["end"] < 0) & (ch == ")") & (depth == 0)
-        return F.struct(
-            depth.alias("depth"),
-            (acc["seen"] + 1).alias("seen"),
-            F.when(closes, acc["seen"]).otherwise(acc["end"]).alias("end"),
-        )
+_NEST = "(a.nest + CASE WHEN c IN ('(', '<', '{{', '[') THEN 1 WHEN c IN (')', '>', '}}', ']') THEN -1 ELSE 0 END)"
+_MUST_PASS = "NOT (ltrim(a.text) LIKE '...%' OR rtrim(CASE WHEN a.colon THEN a.label ELSE a.text END) LIKE '%?')"
+_ARITY = (
+    "aggregate(" + _CHARACTERS + ", named_struct('nest', 0, 'text', '', 'label', '', 'colon', false, 'need', 0), "
+    f"(a, c) -> named_struct('nest', {_NEST}, "
+    f"'text', CASE WHEN c = ',' AND {_NEST} = 0 THEN '' ELSE concat(a.text, c) END, "
+    f"'label', CASE WHEN c = ',' AND {_NEST} = 0 THEN '' WHEN a.colon OR (c = ':' AND {_NEST} = 0) THEN a.label ELSE concat(a.label, c) END, "
+    f"'colon', NOT (c = ',' AND {_NEST} = 0) AND (a.colon OR (c = ':' AND {_NEST} = 0)), "
+    f"'need', a.need + CASE WHEN c = ',' AND {_NEST} = 0 AND {_MUST_PASS} THEN 1 ELSE 0 END), "
+    f"a -> a.need + CASE WHEN trim(a.text) <> '' AND {_MUST_PASS} THEN 1 ELSE 0 END)"
+)
 
-    end = F.aggregate(_characters(rest), state, step)["end"]
-    return F.when((opened > 0) & (end >= 0), strip(F.substring(rest, F.lit(2), end - 1)))
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def required_arity(signature: Column) -> Column:
-    """How many top-level parameters must be passed; NULL where the text has no parameter list.
 
-    Bracket depth counts ``>`` of an arrow too, as the compared results do, so a parameter of function
-    type hides the commas after it.
-    """
-    inner = _argument_text(signature)
-    state = F.struct(
-        F.lit(0).alias("nest"),
-        F.lit("").alias("text"),
-        F.lit("").alias("label"),
-        F.lit(False).alias("colon"),
-        F.lit(0).alias("need"),
-    )
-
-    def must_pass(acc):
-        text = strip(acc["text"])
-        named = F.when(acc["colon"], strip(acc["label"])).otherwise(text)
-        return ~(text.startswith("...") | named.endswith("?"))
-
-    def step(acc, ch):
-        nest = acc["nest"] + F.when(ch.isin("(", "<", "{", "["), 1).when(ch.isin(")", ">", "}", "]"), -1).otherwise(0)
-        ends = (ch == ",") & (nest == 0)
-        colon = (ch == ":") & (nest == 0)
-        return F.struct(
-            nest.alias("nest"),
-            F.when(ends, "").otherwise(F.concat(acc["text"], ch)).alias("text"),
-            F.when(ends, "").when(acc["colon"] | colon, acc["label"]).otherwise(F.concat(acc["label"], ch)).alias("label"),
-            F.when(ends, False).otherwise(acc["colon"] | colon).alias("colon"),
-            (acc["need"] + F.when(ends & must_pass(acc), 1).otherwise(0)).alias("need"),
-        )
-
-    return F.aggregate(
-        _characters(inner),
-        state,
-        step,
-        lambda acc: acc["need"] + F.when((strip(acc["text"]) != "") & must_pass(acc), 1).otherwise(0),
-    )
-
-
-TOKEN = rf"=>| *(?:\.\.\.)?{IDENTIFIER}\??:|{IDENTIFIER}|[\s\S]"
+def arity_sql(signature: str) -> str:
+    """SQL text: how many top-level parameters must be passed; NULL where the text has no parameter list.
 
-
-def positional_params(signature: Column) -> Column:
-    """Parameter names replaced by their position, inside parenthesised groups only.
+    Bracket depth counts ``>`` of an arrow too, as the compared results do, so a parameter of function type
+    hides the commas after it.
+    """
+    tail = f"CASE WHEN instr({signature}, '(') > 0 THEN substring({signature}, instr({signature}, '(')) END"
+    inner = "CASE WHEN " + _CLOSING.format(s="tail") + " > 0 THEN trim(substring(tail, 2, " + _CLOSING.format(s="tail") + " - 2)) END"
+    return _let("tail", tail, _let("inner", inner, _ARITY.format(s="inner")))
+
+
+def required_arity(signature: str) -> Column:
+    return F.expr(arity_sql(signature))
+
+
+# Tokens: an arrow, a name with its colon, a bare name, or any single character.
+_TOKEN = r"=>| *(?:\\.\\.\\.)?[A-Za-z_$][\\w$]*\\??:|[A-Za-z_$][\\w$]*|[\\s\\S]"
+_BINDING = r"^(?:\\.\\.\\.)?[A-Za-z_$][\\w$]*\\??:$"
+_FRAME = "struct<open:string,count:int,start:int,rest:string>"
+_TOP = "get(a.stack, size(a.stack) - 1)"
+_POP = "slice(a.stack, 1, greatest(size(a.stack) - 1, 0))"
+_IN_CALL = f"(a.fresh AND {_TOP}.open = '(')"
+_BINDS = f"({_IN_CALL} AND ltrim(c) RLIKE '{_BINDING}')"
+_SLOT = f"concat('p', cast({_TOP}.count AS string))"
+# the colon, or the question mark before it, right after a closed destructuring pattern
+_ENDS = "(a.shut >= 0 AND c = ':')"
+_MAY_END = "(a.shut >= 0 AND c = '?' AND a.mark = '')"
+_OPENS, _CLOSES = "c IN ('(', '{', '[', '<')", "c IN (')', '}', ']', '>')"
+_PATTERN = f"({_IN_CALL} AND c IN ('{{', '['))"
+_LEAD = r"regexp_extract(a.out, '( *(?:\\.\\.\\.)?)$', 1)"
+_BUMPED = (
+    f"concat({_POP}, array(named_struct('open', {_TOP}.open, 'count', {_TOP}.count + 1, 'start', {_TOP}.start, 'rest', {_TOP}.rest)))"
+)
+_PUSHED = (
+    f"concat(a.stack, array(named_struct('open', c, 'count', 0, 'start', CASE WHEN {_PATTERN} THEN length(a.out) - length({_LEAD}) ELSE -1 END, "
+    f"'rest', CASE WHEN {_PATTERN} AND {_LEAD} LIKE '%...' THEN '...' ELSE '' END)))"
+)
+_CLOSED = f"({_CLOSES} AND {_TOP}.start >= 0)"
+
+
+def positional_sql(signature: str) -> str:
+    """SQL text: parameter names replaced by their position, inside parenthesised groups only.
 
     A fold over tokens with a stack of open brackets. A ``{`` or ``[`` where a parameter starts may be a
     destructuring pattern: where it closes right before the colon, the whole pattern becomes a position.
     """
-    frame = "struct<open:string,count:int,start:int,rest:string>"
-    state = F.struct(
-        F.lit("").alias("out"),
-        F.array().cast(f"array<{frame}>").alias("stack"),
-        F.lit(False).alias("fresh"),
-        F.lit(-1).alias("shut"),
-        F.lit("").alias("shut_rest"),
-        F.lit("").alias("mark"),
+    return (
+        f"aggregate(regexp_extract_all({signature}, '{_TOKEN}', 0), "
+        f"named_struct('out', '', 'stack', cast(array() AS array<{_FRAME}>), 'fresh', false, 'shut', -1, 'shut_rest', '', 'mark', ''), "
+        f"(a, c) -> named_struct("
+        f"'out', CASE WHEN {_BINDS} THEN concat(a.out, CASE WHEN ltrim(c) LIKE '...%' THEN '...' ELSE '' END, {_SLOT}, CASE WHEN c LIKE '%?:' THEN '?' ELSE '' END, ':') "
+        f"WHEN {_ENDS} THEN concat(substring(a.out, 1, a.shut), a.shut_rest, {_SLOT}, a.mark, ':') ELSE concat(a.out, c) END, "
+        f"'stack', CASE WHEN {_BINDS} OR {_ENDS} THEN {_BUMPED} WHEN {_OPENS} THEN {_PUSHED} WHEN {_CLOSES} THEN {_POP} ELSE a.stack END, "
+        f"'fresh', CASE WHEN {_BINDS} OR {_ENDS} THEN false WHEN c IN ('(', ',') THEN true WHEN {_OPENS} OR {_CLOSES} THEN false "
+        f"ELSE a.fresh AND (c IN (' ', '.') OR {_MAY_END}) END, "
+        f"'shut', CASE WHEN {_CLOSED} THEN {_TOP}.start WHEN {_MAY_END} THEN a.shut ELSE -1 END, "
+        f"'shut_rest', CASE WHEN {_CLOSED} THEN {_TOP}.rest WHEN {_MAY_END} THEN a.shut_rest ELSE '' END, "
+        f"'mark', CASE WHEN {_MAY_END} THEN '?' ELSE '' END), a -> a.out)"
     )
 
-    def make_frame(opener, count, start, rest):
-        return F.struct(
-            opener.alias("open"), count.cast("int").alias("count"), start.cast("int").alias("start"), rest.alias("rest")
-        )
-
-    def step(acc, token):
-        top = F.get(acc["stack"], F.size(acc["stack"]) - 1)
-        in_call = acc["fresh"] & (top["open"] == "(")
-        bare = F.ltrim(token)
-        bumped = F.concat(
-            F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0))),
-            F.array(make_frame(top["open"], top["count"] + 1, top["start"], top["rest"])),
-        )
-        slot = F.concat(F.lit("p"), top["count"].cast("string"))
-        # a plain name that is followed by its colon
-        binds = in_call & bare.rlike(rf"^(?:\.\.\.)?{IDENTIFIER}\??:$")
-        named = F.concat(
-            F.when(bare.startswith("..."), "...").otherwise(""),
-            slot,
-            F.when(bare.endswith("?:"), "?").otherwise(""),
-            F.lit(":"),
-        )
-        # the colon, or the question mark before it, right after a closed pattern
-        ends_pattern = (acc["shut"] >= 0) & (token == ":")
-        may_end_pattern = (acc["shut"] >= 0) & (token == "?") & (acc["mark"] == "")
-        pattern = F.concat(
-            F.substring(acc["out"], F.lit(1), acc["shut"]), acc["shut_rest"], slot, acc["mark"], F.lit(":")
-        )
-        opens = token.isin("(", "{", "[", "<")
-        closes = token.isin(")", "}", "]", ">")
-        starts_pattern = in_call & token.isin("{", "[")
-        # leading spaces and dots of a parameter belong to the pattern that may follow
-        lead = F.regexp_extract(acc["out"], r"( *(?:\.\.\.)?)$", 1)
-        pattern_at = F.when(starts_pattern, F.length(acc["out"]) - F.length(lead)).otherwise(F.lit(-1))
-        pattern_rest = F.when(starts_pattern & lead.endswith("..."), "...").otherwise("")
-        closes_pattern = closes & (top["start"] >= 0)
-        stack = (
-            F.when(binds | ends_pattern, bumped)
-            .when(opens, F.concat(acc["stack"], F.array(make_frame(token, F.lit(0), pattern_at, pattern_rest))))
-            .when(closes, F.slice(acc["stack"], F.lit(1), F.greatest(F.size(acc["stack"]) - 1, F.lit(0))))
-            .otherwise(acc["stack"])
-        )
-        stays_fresh = acc["fresh"] & (token.isin(" ", ".") | may_end_pattern)
-        return F.struct(
-            F.when(binds, F.concat(acc["out"], named))
-            .when(ends_pattern, pattern)
-            .otherwise(F.concat(acc["out"], token))
-            .alias("out"),
-            stack.alias("stack"),
-            F.when(binds | ends_pattern, False)
-            .when(token == "(", True)
-            .when(token == ",", True)
-            .when(opens | closes, False)
-            .otherwise(stays_fresh)
-            .alias("fresh"),
-            F.when(closes_pattern, top["start"]).when(may_end_pattern, acc["shut"]).otherwise(-1).alias("shut"),
-            F.when(closes_pattern, top["rest"]).when(may_end_pattern, acc["shut_rest"]).otherwise("").alias("shut_rest"),
-            F.when(may_end_pattern, "?").otherwise("").alias("mark"),
-        )
-
-    return F.aggregate(F.regexp_extract_all(signature, F.lit(TOKEN), F.lit(0)), state, step)["out"]
+
+def positional_params(signature: str) -> Column:
+    return F.expr(positional_sql(signature))
 
 
 def without_printer_suffixes(signature: Column) -> Column:
@@ -180,71 +128,47 @@ def without_printer_suffixes(signature: Column) -> Column:
     return F.regexp_replace(signature, rf"\b([A-Za-z_$][\w$]*?)_\d+\b", "$1")
 
 
-def _quoted(name: Column) -> Column:
-    """A name as a literal inside a pattern; names hold word characters and dollars only."""
-    return F.regexp_replace(name, r"\$", r"\\\\\\$")
+_QUOTED = r"replace(p.name, '$', '\\\\$')"
 
 
-def positional_type_params(signature: Column, type_params: Column) -> Column:
-    """Type parameter names replaced by their position."""
-    indexed = F.transform(
-        F.coalesce(type_params, F.array().cast("array<struct<name:string,defaulted:boolean>>")),
-        lambda p, i: F.struct(p["name"].alias("name"), i.alias("i")),
-    )
-    return F.aggregate(
-        indexed,
-        signature,
-        lambda text, p: F.regexp_replace(
-            text, F.concat(F.lit(r"\b"), _quoted(p["name"]), F.lit(r"\b")), F.concat(F.lit("T"), p["i"].cast("string"))
-        ),
+def type_positions_sql(signature: str, type_params: str) -> str:
+    """SQL text: type parameter names replaced by their position."""
+    return (
+        f"aggregate(transform(coalesce({type_params}, array()), (p, i) -> named_struct('name', p.name, 'i', i)), {signature}, "
+        r"(t, p) -> regexp_replace(t, concat('\\b', " + _QUOTED + r", '\\b'), concat('T', cast(p.i AS string))))"
     )
 
 
-def comparable_signature(signature: Column, type_params: Column) -> Column:
-    """The text two versions of a symbol are compared by."""
-    return without_printer_suffixes(positional_params(positional_type_params(signature, type_params)))
-
+def comparable_sql(signature: str, type_params: str) -> str:
+    """SQL text: the form in which two versions of a symbol are compared, before printer suffixes go."""
+    return positional_sql(type_positions_sql(signature, type_params))
 
-def widened_by_defaulted(before_params, after_params, before: Column, after: Column) -> Column:
-    """The new text only adds type parameters that have defaults."""
-    empty = F.array().cast("array<struct<name:string,defaulted:boolean>>")
-    had, has = F.coalesce(before_params, empty), F.coalesce(after_params, empty)
-    same_start = F.forall(
-        F.arrays_zip(F.transform(had, lambda p: p["name"]).alias("a"), F.transform(F.slice(has, F.lit(1), F.size(had)), lambda p: p["name"]).alias("b")),
-        lambda pair: pair["a"] == pair["b"],
-    )
-    added = F.slice(has, F.size(had) + 1, F.greatest(F.size(has) - F.size(had), F.lit(0)))
-    reduced = F.aggregate(
-        added,
-        after,
-        lambda text, p: F.regexp_replace(
-            text,
-            F.concat(F.lit(r",\s*"), _quoted(p["name"]), F.lit(r"(\s*=\s*[^,>]+)?(?=\s*[,>])")),
-            F.lit(""),
-        ),
-    )
-    return (
-        (F.size(has) > F.size(had)) & same_start & F.forall(added, lambda p: p["defaulted"]) & (reduced == before)
-    )
 
+def comparable_signature(signature: str, type_params: str) -> Column:
+    return without_printer_suffixes(F.expr(comparable_sql(signature, type_params)))
 
-def gained_required_type_param(before_params, after_params) -> Column:
-    empty = F.array().cast("array<struct<name:string,defaulted:boolean>>")
-    had, has = F.coalesce(before_params, empty), F.coalesce(after_params, empty)
-    added = F.slice(has, F.size(had) + 1, F.greatest(F.size(has) - F.size(had), F.lit(0)))
-    return (F.size(has) > F.size(had)) & F.exists(added, lambda p: ~p["defaulted"])
 
+def change_class_sql(before_params: str, after_params: str, before: str, after: str) -> str:
+    """SQL text: (severity, confidence) of a changed signature.
 
-def signature_change_class(before_params, after_params, before: Column, after: Column) -> Column:
-    """(severity, confidence) of a changed signature."""
-    widened = widened_by_defaulted(before_params, after_params, before, after)
-    gained = F.coalesce(required_arity(after) > required_arity(before), F.lit(False)) | gained_required_type_param(
-        before_params, after_params
-    )
-    return F.struct(
-        F.when(widened, "feature").when(gained, "breaking").otherwise("drift").alias("severity"),
-        F.when(widened | gained, "high").otherwise("medium").alias("confidence"),
+    Widened only by type parameters that have defaults: a feature. More parameters, or more type parameters
+    without default, that must be passed: breaking. Anything else: drift.
+    """
+    had, has = f"coalesce({before_params}, array())", f"coalesce({after_params}, array())"
+    added = f"slice({has}, size({had}) + 1, greatest(size({has}) - size({had}), 0))"
+    grows = f"size({has}) > size({had})"
+    same_start = f"transform(slice({has}, 1, size({had})), p -> p.name) = transform({had}, p -> p.name)"
+    reduced = (
+        f"aggregate({added}, {after}, (t, p) -> regexp_replace(t, concat(',\\\\s*', {_QUOTED}, '(\\\\s*=\\\\s*[^,>]+)?(?=\\\\s*[,>])'), ''))"
     )
+    widened = f"({grows} AND {same_start} AND forall({added}, p -> p.defaulted) AND {reduced} = {before})"
+    gained = f"(coalesce({arity_sql(after)} > {arity_sql(before)}, false) OR ({grows} AND exists({added}, p -> NOT p.defaulted)))"
+    kind = f"CASE WHEN {widened} THEN 'feature' WHEN {gained} THEN 'breaking' ELSE 'drift' END"
+    return _let("severity", kind, "named_struct('severity', severity, 'confidence', CASE severity WHEN 'drift' THEN 'medium' ELSE 'high' END)")
+
+
+def signature_change_class(before_params: str, after_params: str, before: str, after: str) -> Column:
+    return F.expr(change_class_sql(before_params, after_params, before, after))
 
 
 def names_own_declaration(signature: Column, path: Column) -> Column:

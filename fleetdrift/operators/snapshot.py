@@ -17,6 +17,7 @@ SEVERITY_RANK = {"breaking": 0, "deprecation": 1, "feature": 2, "safe": 3}
 IMPACTING = ("removed", "deprecated", "signature-changed")
 CAPABILITY_KINDS = ("function", "class", "variable", "enum", "unknown")
 HEADLINE = ("breaking", "deprecation")
+SIDE = ("kind", "signature", "deprecated", "doc", "type_params")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -78,8 +79,7 @@ def suppression_flags(from_surfaces: DataFrame, to_surfaces: DataFrame, from_sym
 
 
 def _sided(symbols: DataFrame, tag: str) -> DataFrame:
-    cols = ("kind", "signature", "deprecated", "doc", "type_params")
-    return symbols.select("pkg", "path", *[F.col(c).alias(f"{tag}_{c}") for c in cols], F.lit(True).alias(f"in_{tag}"))
+    return symbols.select("pkg", "path", *[F.col(c).alias(f"{tag}_{c}") for c in SIDE], F.lit(True).alias(f"in_{tag}"))
 
 
 def paired(from_symbols: DataFrame, to_symbols: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -89,20 +89,23 @@ def paired(from_symbols: DataFrame, to_symbols: DataFrame, aliases: DataFrame |
     spellings (pkg, spelling, canonical); that side join reads only the aliases, not the whole snapshot.
     """
     both = _sided(from_symbols, "from").join(_sided(to_symbols, "to"), ["pkg", "path"], "full_outer")
-    both = both.withColumn("in_from", F.coalesce("in_from", F.lit(False))).withColumn(
-        "in_to", F.coalesce("in_to", F.lit(False))
-    )
+    both = both.withColumns({f"in_{side}": F.coalesce(f"in_{side}", F.lit(False)) for side in ("from", "to")})
     if aliases is None:
         return both.withColumn("via_alias", F.lit(False))
     target = _sided(to_symbols, "alias").withColumnRenamed("path", "canonical")
     spelled = (
         aliases.select("pkg", F.col("spelling").alias("path"), "canonical").join(target, ["pkg", "canonical"]).drop("canonical")
     )
-    both = both.join(spelled, ["pkg", "path"], "left")
     use = F.col("in_from") & ~F.col("in_to") & F.coalesce(F.col("in_alias"), F.lit(False))
-    for c in ("kind", "signature", "deprecated", "doc", "type_params"):
-        both = both.withColumn(f"to_{c}", F.when(use, F.col(f"alias_{c}")).otherwise(F.col(f"to_{c}"))).drop(f"alias_{c}")
-    return both.withColumn("via_alias", use).drop("in_alias")
+    return both.join(spelled, ["pkg", "path"], "left").select(
+        "pkg",
+        "path",
+        "in_from",
+        "in_to",
+        *[f"from_{c}" for c in SIDE],
+        *[F.when(use, F.col(f"alias_{c}")).otherwise(F.col(f"to_{c}")).alias(f"to_{c}") for c in SIDE],
+        use.alias("via_alias"),
+    )
 
 
 def unique_moves(from_symbols: DataFrame, to_symbols: DataFrame) -> DataFrame:
@@ -146,19 +149,19 @@ def diff_symbols(
 
     before, after = F.col("from_signature"), F.col("to_signature")
     differs = before != after
-    left, right = before, after
     if agreed_aliases is not None:
         both = substitute_aliases(both, agreed_aliases)
-        left, right = F.col("from_reduced"), F.col("to_reduced")
-        comparable = S.without_printer_suffixes
-        changed = F.when(differs, comparable(left) != comparable(right)).otherwise(False)
+        plain = S.without_printer_suffixes
+        changed = F.when(differs, plain(F.col("from_reduced")) != plain(F.col("to_reduced"))).otherwise(False)
     else:
         changed = F.when(
             differs,
-            S.comparable_signature(left, F.col("from_type_params")) != S.comparable_signature(right, F.col("to_type_params")),
+            S.comparable_signature("from_signature", "from_type_params") != S.comparable_signature("to_signature", "to_type_params"),
         ).otherwise(False)
-    ladder = S.signature_change_class(F.col("from_type_params"), F.col("to_type_params"), before, after)
+    ladder = S.change_class_sql("from_type_params", "to_type_params", "from_signature", "to_signature")
     present = F.col("in_to") | F.col("via_alias")
+    # judged here once, then carried as a column: the scans over the text run only where it changed
+    both = both.withColumn("ladder", F.when(F.col("in_from") & present & changed, F.expr(ladder)))
     gone = F.col("in_from") & ~present & ~F.coalesce("hide_removals", F.lit(False))
 
     def change(when, kind, severity, confidence, old, new, guidance=F.lit(None).cast("string"), moved=F.lit(None).cast("string")):
@@ -190,11 +193,11 @@ def diff_symbols(
                 F.nullif(F.col("to_doc"), F.lit("")),
             ),
             F.when(
-                F.col("in_from") & present & changed,
+                F.col("ladder").isNotNull(),
                 F.struct(
                     F.lit("signature-changed").alias("kind"),
-                    ladder["severity"].alias("severity"),
-                    ladder["confidence"].alias("confidence"),
+                    F.col("ladder.severity").alias("severity"),
+                    F.col("ladder.confidence").alias("confidence"),
                     before.alias("before"),
                     after.alias("after"),
                     none.cast("string").alias("guidance"),
@@ -268,8 +271,8 @@ def substitute_aliases(both: DataFrame, agreed: DataFrame) -> DataFrame:
         "path",
         F.inline(
             F.array(
-                F.struct(F.lit("from").alias("side"), S.positional_params(S.positional_type_params(F.col("from_signature"), F.col("from_type_params"))).alias("text")),
-                F.struct(F.lit("to").alias("side"), S.positional_params(S.positional_type_params(F.col("to_signature"), F.col("to_type_params"))).alias("text")),
+                F.struct(F.lit("from").alias("side"), F.expr(S.comparable_sql("from_signature", "from_type_params")).alias("text")),
+                F.struct(F.lit("to").alias("side"), F.expr(S.comparable_sql("to_signature", "to_type_params")).alias("text")),
             )
         ),
     )
