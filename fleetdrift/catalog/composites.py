@@ -60,14 +60,14 @@ def _(t):
     ("page_urls",),
 )
 def _(t):
-    """From source text: the calls, and a description per host that knows the literal ones."""
+    """From source text: the calls, and a description per host that holds the templates of the literal ones."""
     calls = httpcalls.http_calls(call_files(t))
     p = t.view("page_urls").filter("k % 7 IN (0, 3)")
     verb = F.when(F.col("k") % 7 == 0, "put").otherwise("patch")
-    item = F.concat(F.lit('"'), "path", F.lit('":{"'), verb, F.lit('":{}}'))
-    docs = p.select("host", "path", verb.alias("verb")).groupBy("host", "path").agg(F.array_sort(F.collect_set("verb")).alias("verbs"))
+    template = F.regexp_replace("path", r"[0-9]+(\.html)?", "{id}")
+    docs = p.select("host", template.alias("route"), verb.alias("verb")).groupBy("host", "route").agg(F.array_sort(F.collect_set("verb")).alias("verbs"))
     ops = F.array_join(F.transform("verbs", lambda v: F.concat(F.lit('"'), v, F.lit('":{}'))), ",")
-    bodies = docs.select("host", F.concat(F.lit('"'), "path", F.lit('":{'), ops, F.lit("}")).alias("item")).groupBy("host").agg(
+    bodies = docs.select("host", F.concat(F.lit('"'), "route", F.lit('":{'), ops, F.lit("}")).alias("item")).groupBy("host").agg(
         F.concat(F.lit('{"openapi":"3.0.0","paths":{'), F.array_join(F.array_sort(F.collect_list("item")), ","), F.lit("}}")).alias("body")
     )
     candidates = bodies.select(
@@ -127,16 +127,14 @@ def _(t):
 
 @query(
     "remediation_report",
-    """SELECT repo, kind, count(*) AS n FROM (SELECT DISTINCT repo, name, CASE WHEN tgt IS NULL THEN 'none' WHEN direct THEN 'direct' WHEN reached THEN 'parent' ELSE 'none' END AS kind FROM (
-         SELECT r.repo, 'p' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN '9.9.9' END AS tgt, p_type = 'PROMO' AS direct,
-                EXISTS (SELECT 1 FROM part q WHERE q.p_type = 'PROMO' AND q.p_partkey > part.p_partkey AND (CAST(floor(q.p_partkey / 2) AS BIGINT) = part.p_partkey OR CAST(floor(q.p_partkey / 4) AS BIGINT) = part.p_partkey
-                  OR CAST(floor(q.p_partkey / 8) AS BIGINT) = part.p_partkey OR CAST(floor(q.p_partkey / 16) AS BIGINT) = part.p_partkey)) AS reached
-         FROM part, (SELECT '2' AS repo) r WHERE p_size = 50 AND p_partkey > 200) x) y GROUP BY ALL""",
+    """WITH above AS (SELECT DISTINCT p_partkey >> i AS a FROM part, range(1, 62) r(i) WHERE p_type = 'PROMO')
+       SELECT '2' AS repo, CASE WHEN p_partkey % 2 = 1 THEN 'none' WHEN p_type = 'PROMO' THEN 'direct' WHEN a IS NOT NULL THEN 'parent' ELSE 'none' END AS kind, count(*) AS n
+       FROM part LEFT JOIN above ON p_partkey = a GROUP BY ALL""",
 )
 def _(t):
-    """Only halving edges, packages of the largest size as the vulnerable ones, promoted parts as direct dependencies."""
+    """Halving edges only, every package vulnerable, every second one with a fix, promoted parts as direct dependencies."""
     edges = t.sql("SELECT '2' AS repo, 'p' || CAST(p_partkey AS STRING) AS src, 'p' || CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) AS dst FROM part")
-    vulnerable = t.sql("SELECT '2' AS repo, 'p' || CAST(p_partkey AS STRING) AS name, CASE WHEN p_partkey % 2 = 0 THEN '9.9.9' END AS target FROM part WHERE p_size = 50 AND p_partkey > 200")
+    vulnerable = t.sql("SELECT '2' AS repo, 'p' || CAST(p_partkey AS STRING) AS name, CASE WHEN p_partkey % 2 = 0 THEN '9.9.9' END AS target FROM part")
     directs = t.sql("SELECT '2' AS repo, 'p' || CAST(p_partkey AS STRING) AS name FROM part WHERE p_type = 'PROMO'")
     plan, _routes = vuln_plan.remediation(vulnerable, directs, edges)
     return plan.groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -71,7 +71,7 @@ def _(t):
     f"""SELECT x.repo, x.host, count(*) FILTER (WHERE outcome = 'matched') AS n_matched, count(*) FILTER (WHERE outcome = 'gone') AS n_gone,
                count(*) FILTER (WHERE outcome = 'uncovered') AS n_uncovered, count(*) FILTER (WHERE outcome = 'not-aligned') AS n_not_aligned,
                count(*) FILTER (WHERE outcome = 'no-description') AS n_no_description,
-               coalesce(string_agg(DISTINCT CASE WHEN outcome = 'uncovered' THEN top END, ', ' ORDER BY CASE WHEN outcome = 'uncovered' THEN top END), '') AS uncovered,
+               count(DISTINCT CASE WHEN outcome = 'uncovered' THEN top END) AS n_uncovered_segments,
                any_value(u.n) AS n_unresolved
         FROM ({CHECK_SQL}) x JOIN (SELECT repo, count(*) FILTER (WHERE route LIKE '%{{}}%') AS n FROM page_calls GROUP BY repo) u ON x.repo = u.repo GROUP BY x.repo, x.host""",
     CALL_VIEWS,
@@ -82,6 +82,11 @@ def _(t):
     return contracts.contract_summary(contracts.check_calls(c, described(t)), every)
 
 
+@query("contract_uncovered_segments", f"SELECT DISTINCT repo, host, top FROM ({CHECK_SQL}) x WHERE outcome = 'uncovered'", CALL_VIEWS)
+def _(t):
+    return contracts.uncovered_segments(contracts.check_calls(calls(t), described(t)))
+
+
 @query(
     "contract_gone_findings",
     f"""SELECT repo, host, method, route, substr(sha256('http-contract|' || host || '|' || method || '|' || route), 1, 12) AS finding_id
@@ -549,9 +554,9 @@ def _(t):
 
 @query(
     "pin_descriptions",
-    f"""SELECT repo, subject, CASE WHEN expected IS NOT NULL THEN '- `' || subject || '` should be ' || expected || ' per ' || authority || ', but ' || sites
-               ELSE '- `' || subject || '` is pinned inconsistently and nothing declares the intended version: ' || sites END AS description
-        FROM (SELECT repo, subject, expected, authority, string_agg(s, ', ' ORDER BY s) AS sites FROM (SELECT *, file || ':' || line || ' (' || version || ')' AS s FROM ({NODE_SQL}) c) y GROUP BY ALL) x""",
+    f"""SELECT repo, subject, CASE WHEN expected IS NOT NULL THEN '- `' || subject || '` should be ' || expected || ' per ' || authority || ', but '
+               ELSE '- `' || subject || '` is pinned inconsistently and nothing declares the intended version: ' END AS head, file || ':' || line || ' (' || version || ')' AS site
+        FROM ({NODE_SQL}) c""",
     P,
 )
 def _(t):

@@ -283,8 +283,8 @@ view("scan_dependencies", "SELECT DISTINCT repo, pkg FROM call_sites")
 view(
     "declared_rows",
     """
-SELECT CAST(o_custkey % 40 AS STRING) AS repo, 'ws' || CAST(o_orderkey % 6 AS STRING) AS workspace, o_orderkey AS seq,
-       'dep' || CAST(o_orderkey % 90 AS STRING) AS name, o_orderkey % 3 <> 0 AS dev,
+SELECT CAST(o_custkey AS STRING) AS repo, 'ws' || CAST(o_orderkey % 4 AS STRING) AS workspace, o_orderkey AS seq,
+       'dep' || CAST(o_orderkey % 23 AS STRING) AS name, o_orderkey % 3 <> 0 AS dev,
        CASE o_orderkey % 8 WHEN 0 THEN '^' || CAST(o_orderkey % 4 AS STRING) || '.1.0' WHEN 1 THEN CAST(o_orderkey % 5 AS STRING) || '.0.2'
             WHEN 2 THEN 'workspace:*' WHEN 3 THEN '*' WHEN 4 THEN '~1.' || CAST(o_orderkey % 9 AS STRING) || '.3'
             WHEN 5 THEN 'file:../x' WHEN 6 THEN '=2.2.2' ELSE 'latest' END AS declared
@@ -413,9 +413,9 @@ FROM orders
 view(
     "anchor_rows",
     """
-SELECT CAST(o_custkey % 30 AS STRING) AS id, CASE WHEN l_partkey % 2 = 0 THEN 'src/f' ELSE 'app/src/f' END || CAST(l_orderkey % 400 AS STRING) || '.ts' AS file,
-       l_partkey % 300 AS line
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND o_custkey % 30 <> 7
+SELECT CASE WHEN o_custkey % 30 = 7 THEN '6' ELSE CAST(o_custkey % 30 AS STRING) END AS id, CASE WHEN l_partkey % 2 = 0 THEN 'src/f' ELSE 'app/src/f' END || CAST(l_orderkey % 400 AS STRING) || '.ts' AS file,
+       l_partkey % 900 AS line
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """,
 )
 

@@ -281,8 +281,12 @@ def _(t):
     return manifests.manifest_status(manifest_files(t).withColumn("content", broken))
 
 
+# a hundred parts of a brand share one package document
+DOCUMENTED = "SELECT ecosystem, version, k, pkg || '-' || CAST(CAST(floor(k / 2500) AS BIGINT) AS STRING) AS pkg FROM versions"
+
+
 def catalogue(t: Tables, eco: str):
-    v = t.view("versions").filter(F.col("ecosystem") == eco).withColumn("doc_version", F.concat("version", F.lit("-"), F.col("k").cast("string")))
+    v = t.sql(f"SELECT * FROM ({DOCUMENTED}) d", "versions").filter(F.col("ecosystem") == eco).withColumn("doc_version", F.concat("version", F.lit("-"), F.col("k").cast("string")))
     entry = F.array_join(F.array_sort(F.collect_list(c('"', F.col("doc_version"), '":{"x":1}'))), ",")
     latest = F.max("doc_version")
     if eco == "npm":
@@ -292,7 +296,7 @@ def catalogue(t: Tables, eco: str):
     return v.groupBy("pkg").agg(body.alias("content")).select("content")
 
 
-CATALOGUE_SQL = "SELECT ecosystem, pkg AS name, version || '-' || k AS version, max(version || '-' || k) OVER (PARTITION BY ecosystem, pkg) AS latest FROM versions"
+CATALOGUE_SQL = f"SELECT ecosystem, pkg AS name, version || '-' || k AS version, max(version || '-' || k) OVER (PARTITION BY ecosystem, pkg) AS latest FROM ({DOCUMENTED}) d"
 
 
 @query("registry_catalogue", CATALOGUE_SQL, ("versions",))
@@ -577,10 +581,11 @@ def _(t):
 
 @query(
     "artifact_prune",
-    f"""SELECT pkg, last_used FROM (SELECT pkg, max(used_at) AS last_used FROM ({ARTIFACTS}) a GROUP BY pkg) x WHERE last_used < 364""",
+    f"""SELECT pkg, last_used FROM (SELECT pkg, max(used_at) AS last_used FROM ({ARTIFACTS}) a GROUP BY pkg) x WHERE last_used < 365 AND pkg <= 'Brand#2'""",
 )
 def _(t):
-    return reporting.prune_artifacts(reporting.artifact_listing(t.sql(ARTIFACTS)), unused_since=364).select("pkg", "last_used")
+    listing = reporting.artifact_listing(t.sql(ARTIFACTS))
+    return reporting.prune_artifacts(listing, ["Brand#1", *(f"Brand#{n}" for n in range(10, 20)), "Brand#2", "Brand#3"], unused_since=365).select("pkg", "last_used")
 
 
 @query(

@@ -460,8 +460,7 @@ def _(t):
 
 @query(
     "deprecation_gap_texts",
-    """SELECT repo, pkg, leaf, '- `' || leaf || '` is deprecated in ' || pkg || ' and is still imported by: ' || string_agg(file, ', ' ORDER BY file) AS description
-       FROM (SELECT DISTINCT repo, pkg, string_split(symbol, '.')[-1] AS leaf, file FROM call_sites) s GROUP BY repo, pkg, leaf""",
+    """SELECT DISTINCT repo, '- `' || string_split(symbol, '.')[-1] || '` is deprecated in ' || pkg || ' and is still imported by: ' AS head, file FROM call_sites""",
     ("call_sites",),
 )
 def _(t):

@@ -314,26 +314,27 @@ def _(t):
 @query(
     "removal_audit",
     """WITH r AS (SELECT pkg, path, row_number() OVER (PARTITION BY pkg ORDER BY path) AS n FROM expected_changes WHERE kind = 'removed'),
-            x AS (SELECT pkg, path FROM symbols_from WHERE k % 2 = 0)
+            x AS (SELECT pkg, CASE WHEN k % 2 = 0 THEN path ELSE path || '_' END AS path FROM symbols_from)
        SELECT r.pkg, count(*) AS n_audited, count(x.path) AS n_suspect, round(count(x.path) / count(*), 6) AS suspect_rate
        FROM r LEFT JOIN x ON r.pkg = x.pkg AND r.path = x.path WHERE r.n <= 40 GROUP BY r.pkg""",
     ("expected_changes", "symbols_from"),
 )
 def _(t):
     removals = changes(t).filter("kind = 'removed'").select("pkg", "path")
-    return locate.suspected_false_removals(removals, t.view("symbols_from").filter("k % 2 = 0").select("pkg", "path"), 40)
+    spelled = F.when(F.col("k") % 2 == 0, F.col("path")).otherwise(F.concat("path", F.lit("_")))
+    return locate.suspected_false_removals(removals, t.view("symbols_from").select("pkg", spelled.alias("path")), 40)
 
 
 # --- inventory -------------------------------------------------------------------------------------------------
 
 NOT_REGISTRY = "declared NOT LIKE 'workspace:%' AND declared NOT LIKE 'file:%'"
 MERGED_SQL = f"""
-SELECT d.repo, d.name, string_agg(DISTINCT workspace, ',' ORDER BY workspace) AS declared_in, bool_and(dev) AS dev, arg_min(declared, seq) AS declared,
+SELECT d.repo, d.name, count(DISTINCT workspace) AS n_workspaces, bool_and(dev) AS dev, arg_min(declared, seq) AS declared,
        any_value(node_modules) AS node_modules, any_value(locked) AS locked
 FROM declared_rows d JOIN resolved_rows r ON d.repo = r.repo AND d.name = r.name WHERE {NOT_REGISTRY} GROUP BY d.repo, d.name
 """
 INSTALLED_SQL = f"""
-SELECT repo, name, declared_in, dev, declared, coalesce(node_modules, locked, CASE WHEN declared IN ('*', 'latest') THEN NULL ELSE regexp_replace(declared, '^[^0-9]', '') END) AS installed,
+SELECT repo, name, n_workspaces, dev, declared, coalesce(node_modules, locked, CASE WHEN declared IN ('*', 'latest') THEN NULL ELSE regexp_replace(declared, '^[^0-9]', '') END) AS installed,
        CASE WHEN node_modules IS NOT NULL THEN 'node_modules' WHEN locked IS NOT NULL THEN 'lockfile' WHEN declared IN ('*', 'latest') THEN 'none'
             WHEN declared LIKE '^%' OR declared LIKE '~%' THEN 'range' ELSE 'pinned' END AS source FROM ({MERGED_SQL}) m
 """
@@ -348,7 +349,14 @@ def merged(t: Tables):
 
 @query("merged_dependencies", INSTALLED_SQL, DECLARED_VIEWS)
 def _(t):
-    return merged(t).withColumn("declared_in", F.array_join("declared_in", ","))
+    return merged(t)
+
+
+@query("declaring_workspaces", f"SELECT DISTINCT repo, name, workspace FROM declared_rows WHERE {NOT_REGISTRY}", DECLARED_VIEWS)
+def _(t):
+    from ..sources.manifests import registry_declarations
+
+    return inventory.declaring_workspaces(registry_declarations(t.view("declared_rows")))
 
 
 @query("trusted_versions", f"SELECT repo, name, installed FROM ({INSTALLED_SQL}) i WHERE source IN ('node_modules', 'lockfile')", DECLARED_VIEWS)
@@ -397,20 +405,20 @@ def _(t):
 
 @query(
     "package_budget",
-    f"""SELECT repo, name FROM (SELECT repo, name, row_number() OVER (PARTITION BY repo ORDER BY name) AS n FROM ({INSTALLED_SQL}) i) x WHERE n <= 20""",
+    f"""SELECT repo, name FROM (SELECT repo, name, row_number() OVER (PARTITION BY repo ORDER BY name) AS n FROM ({INSTALLED_SQL}) i) x WHERE n <= 4""",
     DECLARED_VIEWS,
 )
 def _(t):
-    return inventory.within_budget(merged(t).select("repo", "name"), ["repo"], ["name"], 20)
+    return inventory.within_budget(merged(t).select("repo", "name"), ["repo"], ["name"], 4)
 
 
 @query(
     "package_over_budget",
-    f"SELECT repo, count(*) AS n_present, greatest(count(*) - 20, 0) AS n_unchecked FROM ({INSTALLED_SQL}) i GROUP BY repo",
+    f"SELECT repo, count(*) AS n_present, greatest(count(*) - 4, 0) AS n_unchecked FROM ({INSTALLED_SQL}) i GROUP BY repo",
     DECLARED_VIEWS,
 )
 def _(t):
-    return inventory.over_budget(merged(t), ["repo"], 20)
+    return inventory.over_budget(merged(t), ["repo"], 4)
 
 
 @query("distinct_packages", "SELECT DISTINCT repo, name, version FROM installed", ("installed",))

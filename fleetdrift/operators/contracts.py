@@ -128,17 +128,18 @@ def check_calls(calls: DataFrame, described: DataFrame) -> DataFrame:
 
 
 def contract_summary(checked: DataFrame, all_calls: DataFrame) -> DataFrame:
-    """Per (repo, host): outcomes counted, uncovered segments named, and the repository's unreadable calls beside them."""
+    """Per (repo, host): outcomes and uncovered segments counted, and the repository's unreadable calls beside them."""
     unread = all_calls.groupBy("repo").agg(F.count_if(~F.col("resolved")).alias("n_unresolved"))
     counts = checked.groupBy("repo", "host").agg(
         *[F.count_if(F.col("outcome") == o).alias(f"n_{o.replace('-', '_')}") for o in ("matched", "gone", "uncovered", "not-aligned", "no-description")]
     )
-    named = (
-        checked.filter("outcome = 'uncovered'").select("repo", "host", "top").distinct().groupBy("repo", "host").agg(
-            F.array_join(F.array_sort(F.collect_list("top")), ", ").alias("uncovered")
-        )
-    )
-    return counts.join(named, ["repo", "host"], "left").join(unread, "repo", "left").withColumn("uncovered", F.coalesce("uncovered", F.lit("")))
+    segments = uncovered_segments(checked).groupBy("repo", "host").agg(F.count(F.lit(1)).alias("n_uncovered_segments"))
+    return counts.join(segments, ["repo", "host"], "left").join(unread, "repo", "left").na.fill(0, ["n_uncovered_segments"])
+
+
+def uncovered_segments(checked: DataFrame) -> DataFrame:
+    """repo, host, top: first segments a description says nothing about."""
+    return checked.filter("outcome = 'uncovered'").select("repo", "host", "top").distinct()
 
 
 def gone_findings(checked: DataFrame) -> DataFrame:
@@ -174,7 +175,7 @@ def match_changes(calls: DataFrame, changes: DataFrame, endpoints: DataFrame) ->
     # calls are counted per distinct parameter list first, so a popular route joins as a few rows
     counted = calls.groupBy("repo", "host", "method", "route", "params").agg(F.count(F.lit(1)).alias("n"))
     return (
-        counted.join(touched, ["host", "method", "route"])
+        split_hot_join(counted, touched, ["host", "method", "route"])
         .filter(F.col("offered").isNull() | ~F.array_contains("params", F.col("offered")))
         .groupBy("repo", "host", "change_path", "kind", "severity")
         .agg(F.sum("n").cast("bigint").alias("n_sites"))

@@ -142,7 +142,7 @@ def merge_declarations(declared: DataFrame, resolved: DataFrame) -> DataFrame:
     declaration counts; the installed version comes from the most trusted source that has one.
     """
     merged = declared.groupBy("repo", "name").agg(
-        F.array_sort(F.collect_set("workspace")).alias("declared_in"),
+        F.countDistinct("workspace").alias("n_workspaces"),
         F.bool_and("dev").alias("dev"),
         F.min_by("declared", "seq").alias("declared"),
     )
@@ -154,10 +154,15 @@ def merge_declarations(declared: DataFrame, resolved: DataFrame) -> DataFrame:
     for choice, label in zip(choices, SOURCES):
         source = source.when(choice.isNotNull(), label)
     return joined.select(
-        "repo", "name", "declared", "dev", "declared_in", F.coalesce(*choices).alias("installed"), source.otherwise(SOURCES[-1]).alias("source")
+        "repo", "name", "declared", "dev", "n_workspaces", F.coalesce(*choices).alias("installed"), source.otherwise(SOURCES[-1]).alias("source")
     )
 
 
+def declaring_workspaces(declared: DataFrame) -> DataFrame:
+    """repo, name, workspace: where each dependency is declared, one row each."""
+    return declared.select("repo", "name", "workspace").distinct()
+
+
 def trusted_versions(dependencies: DataFrame) -> DataFrame:
     """Versions confirmed by resolution; a declared pin or range arbitrates nothing."""
     return dependencies.filter(F.col("installed").isNotNull() & F.col("source").isin(*TRUSTED_SOURCES))

@@ -123,7 +123,7 @@ def rooted(modules: DataFrame, roots: DataFrame) -> DataFrame:
     Each dotted prefix of a module is looked up as a key, so this is a hash join, not a prefix comparison.
     """
     prefixes = modules.withColumn("root", F.explode(dotted_prefixes(F.col("module"))))
-    return prefixes.join(roots.select("pkg", "root").distinct(), "root").drop("root").distinct()
+    return split_hot_join(prefixes, roots.select("pkg", "root").distinct(), ["root"]).drop("root").distinct()
 
 
 def python_sites(

@@ -78,18 +78,13 @@ def repairs(conflicts: DataFrame) -> DataFrame:
 
 
 def describe(conflicts: DataFrame) -> DataFrame:
-    """One line of text per (repo, subject). A repository's pins of one subject are a handful of files."""
-    where = F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit(" ("), "version", F.lit(")"))
-    grouped = conflicts.groupBy("repo", "subject", "expected", "authority").agg(
-        F.array_join(F.array_sort(F.collect_list(where)), ", ").alias("sites")
-    )
-    text = F.when(
+    """repo, subject, head, site: the sentence of each conflict and, one row each, the places it lists."""
+    site = F.concat("file", F.lit(":"), F.col("line").cast("string"), F.lit(" ("), "version", F.lit(")"))
+    head = F.when(
         F.col("expected").isNotNull(),
-        F.concat(F.lit("- `"), "subject", F.lit("` should be "), "expected", F.lit(" per "), "authority", F.lit(", but "), "sites"),
-    ).otherwise(
-        F.concat(F.lit("- `"), "subject", F.lit("` is pinned inconsistently and nothing declares the intended version: "), "sites")
-    )
-    return grouped.select("repo", "subject", text.alias("description"))
+        F.concat(F.lit("- `"), "subject", F.lit("` should be "), "expected", F.lit(" per "), "authority", F.lit(", but ")),
+    ).otherwise(F.concat(F.lit("- `"), "subject", F.lit("` is pinned inconsistently and nothing declares the intended version: ")))
+    return conflicts.select("repo", "subject", head.alias("head"), site.alias("site"))
 
 
 def with_pin_ids(conflicts: DataFrame) -> DataFrame:

@@ -110,11 +110,10 @@ def strip_parameter_any(source: Column) -> Column:
 
 
 def describe_gaps(gaps: DataFrame) -> DataFrame:
-    """One line per deprecated symbol and package of a repository. ``gaps``: repo, pkg, symbol, file."""
+    """repo, head, file: the sentence of each deprecated symbol and, one row each, the files it lists. ``gaps``: repo, pkg, symbol, file."""
     leaf = F.element_at(F.split("symbol", r"\."), -1)
-    files = gaps.groupBy("repo", "pkg", leaf.alias("leaf")).agg(F.array_join(F.array_sort(F.collect_set("file")), ", ").alias("files"))
-    text = F.concat(F.lit("- `"), "leaf", F.lit("` is deprecated in "), "pkg", F.lit(" and is still imported by: "), "files")
-    return files.select("repo", "pkg", "leaf", text.alias("description"))
+    head = F.concat(F.lit("- `"), leaf, F.lit("` is deprecated in "), "pkg", F.lit(" and is still imported by: "))
+    return gaps.select("repo", head.alias("head"), "file").distinct()
 
 
 def evidence_files(sites: DataFrame, changed: DataFrame) -> DataFrame:
