@@ -23,11 +23,20 @@ def c(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-N, V, K = F.col("name"), F.col("version"), F.col("k")
+def name():
+    return F.col("name")
+
+
+def version():
+    return F.col("version")
+
+
+def key():
+    return F.col("k")
 
 
 def yarn_files(t: Tables):
-    block = c('"@s/', N, '@^1.0.0", ', N, "@npm:~1, w", N, "@workspace:.:\n  version ", F.when(K % 2 == 0, c('"', V, '"')).otherwise(V), "\n  dependencies:\n    version \"9.9.9\"\n\n")
+    block = c('"@s/', name(), '@^1.0.0", ', name(), "@npm:~1, w", name(), "@workspace:.:\n  version ", F.when(key() % 2 == 0, c('"', version(), '"')).otherwise(version()), "\n  dependencies:\n    version \"9.9.9\"\n\n")
     return joined(t, block, "# yarn lockfile v1\n\n__metadata:\n  version: 6\n\n").withColumn("file", F.lit("yarn.lock"))
 
 
@@ -47,8 +56,8 @@ def _(t):
     L,
 )
 def _(t):
-    key = F.when(K % 3 == 0, c("  /", N, "/", V, "(peer@1.0.0):")).when(K % 3 == 1, c("  '", N, "@", V, "':")).otherwise(c("  ", N, "@", V, "(react@18.0.0):"))
-    text = joined(t, c(key, "\n    resolution: {x: y}\n"), "lockfileVersion: 6\nimporters:\n  ghost@9.9.9:\npackages:\n", "settings:\n  late@1.0.0:\n")
+    entry = F.when(key() % 3 == 0, c("  /", name(), "/", version(), "(peer@1.0.0):")).when(key() % 3 == 1, c("  '", name(), "@", version(), "':")).otherwise(c("  ", name(), "@", version(), "(react@18.0.0):"))
+    text = joined(t, c(entry, "\n    resolution: {x: y}\n"), "lockfileVersion: 6\nimporters:\n  ghost@9.9.9:\npackages:\n", "settings:\n  late@1.0.0:\n")
     return lockfiles.pnpm_lock(text.withColumn("file", F.lit("pnpm-lock.yaml")).withColumn("content", F.regexp_replace("content", "^lockfileVersion: 6\nimporters:\n  ghost@9.9.9:\n", "importers:\n  ghost@9.9.9:\n")))
 
 
@@ -58,7 +67,7 @@ def _(t):
     L,
 )
 def _(t):
-    block = c('[[package]]\nname = "', N, '"\nversion = "', V, '"\n[package.optional]\nversion = "0.0.0"\n')
+    block = c('[[package]]\nname = "', name(), '"\nversion = "', version(), '"\n[package.optional]\nversion = "0.0.0"\n')
     return lockfiles.toml_lock(joined(t, block, 'version = 1\nname = "root"\n\n').withColumn("file", F.lit("uv.lock")))
 
 
@@ -69,7 +78,7 @@ def _(t):
     L,
 )
 def _(t):
-    entry = c('    "', N, "/", F.col("n"), '": ', F.when(K % 2 == 0, c('["', N, "@", V, '", "", {}, "sha"]')).otherwise(c('"', N, "@", V, '"')), ",\n")
+    entry = c('    "', name(), "/", F.col("n"), '": ', F.when(key() % 2 == 0, c('["', name(), "@", version(), '", "", {}, "sha"]')).otherwise(c('"', name(), "@", version(), '"')), ",\n")
     return lockfiles.bun_lock(joined(t, entry, '{\n  "packages": {\n', "  },\n}\n").withColumn("file", F.lit("bun.lock")))
 
 
@@ -85,7 +94,7 @@ def _(t):
     e = t.view("lock_entries")
 
     def group(dev):
-        entry = c('"', N, "-", F.col("n"), '": {"version": "', F.when(K % 5 == 1, ">=").otherwise("=="), V, '"}')
+        entry = c('"', name(), "-", F.col("n"), '": {"version": "', F.when(key() % 5 == 1, ">=").otherwise("=="), version(), '"}')
         both = c('"both": {"version": "==', "2.0" if dev else "1.0", '"}')
         mine = F.when(F.col("dev") == dev, entry)
         return F.array_join(F.concat(F.array_sort(F.collect_list(mine)), F.collect_set(F.when(F.col("dev") == dev, both))), ",")
@@ -95,15 +104,15 @@ def _(t):
 
 
 def npm_files(t: Tables):
-    place = F.when(K % 4 == 0, c("node_modules/host/node_modules/", N)).when(K % 4 == 1, c("node_modules/@s/", N)).otherwise(c("node_modules/", N))
+    place = F.when(key() % 4 == 0, c("node_modules/host/node_modules/", name())).when(key() % 4 == 1, c("node_modules/@s/", name())).otherwise(c("node_modules/", name()))
     more = (
-        F.when(K % 10 == 3, ',"link":true')
-        .when(K % 10 == 5, ',"resolved":"git+ssh://x"')
-        .when(K % 10 == 7, c(',"resolved":"https://r/x.tgz","name":"alias-', N, '"'))
+        F.when(key() % 10 == 3, ',"link":true')
+        .when(key() % 10 == 5, ',"resolved":"git+ssh://x"')
+        .when(key() % 10 == 7, c(',"resolved":"https://r/x.tgz","name":"alias-', name(), '"'))
         .otherwise(',"resolved":"https://r/y.tgz"')
     )
-    deps = c(',"dependencies":{"dep', K % 7, '":"^1","other":"*"}')
-    entry = c('"', place, "-", F.col("n"), '":{"version":"', V, '"', F.when(F.col("dev"), ',"dev":true').otherwise(""), more, deps, "}")
+    deps = c(',"dependencies":{"dep', key() % 7, '":"^1","other":"*"}')
+    entry = c('"', place, "-", F.col("n"), '":{"version":"', version(), '"', F.when(F.col("dev"), ',"dev":true').otherwise(""), more, deps, "}")
     return joined(t, entry, '{"lockfileVersion":3,"packages":{"":{"name":"root","version":"1.0.0"},', "}}", ",")
 
 
@@ -136,7 +145,7 @@ def _(t):
     L,
 )
 def _(t):
-    return lockfiles.npm_lock(joined(t, c('"', N, "-", F.col("n"), '":{"version":"', V, '"}'), '{"lockfileVersion":1,"dependencies":{', "}}", ","))
+    return lockfiles.npm_lock(joined(t, c('"', name(), "-", F.col("n"), '":{"version":"', version(), '"}'), '{"lockfileVersion":1,"dependencies":{', "}}", ","))
 
 
 @query(
@@ -154,14 +163,14 @@ def _(t):
 
 
 def requirement_text():
-    form = K % 6
+    form = key() % 6
     return (
-        F.when(form == 0, c(N, "==", V, " # pinned\n"))
-        .when(form == 1, c(N, "[extra]>=", V, ",<9 ; python_version < '3.9'\n"))
-        .when(form == 2, c(N, "==", V, " \\\n    --hash=sha256:abc\n"))
-        .when(form == 3, c("  ", N, "==1.*\n"))
-        .when(form == 4, c("# ", N, "==0\n", N, " === ", V, "\n"))
-        .otherwise(c("--no-binary ", N, "\n", N, "\n"))
+        F.when(form == 0, c(name(), "==", version(), " # pinned\n"))
+        .when(form == 1, c(name(), "[extra]>=", version(), ",<9 ; python_version < '3.9'\n"))
+        .when(form == 2, c(name(), "==", version(), " \\\n    --hash=sha256:abc\n"))
+        .when(form == 3, c("  ", name(), "==1.*\n"))
+        .when(form == 4, c("# ", name(), "==0\n", name(), " === ", version(), "\n"))
+        .otherwise(c("--no-binary ", name(), "\n", name(), "\n"))
     )
 
 
@@ -186,9 +195,9 @@ def _(t):
     L,
 )
 def _(t):
-    form = K % 4
+    form = key() % 4
     text = F.when(form == 0, "-r ").when(form == 1, "-c ").when(form == 2, "--requirement=").otherwise("--constraint ")
-    texts = joined(t, c(text, "r/", N, ".txt # see\n"), "pkg==1\n").withColumn("file", F.lit("requirements.txt"))
+    texts = joined(t, c(text, "r/", name(), ".txt # see\n"), "pkg==1\n").withColumn("file", F.lit("requirements.txt"))
     return requirements.includes(texts).select("repo", "kind", "target")
 
 
@@ -311,7 +320,7 @@ def _(t):
     ("api_parts",),
 )
 def _(t):
-    one = c('{"id":"case', K, '","pkg":"', F.col("pkg"), '","toVersion":"2.', K, '","minimalEdits":', K % 9, "}")
+    one = c('{"id":"case', key(), '","pkg":"', F.col("pkg"), '","toVersion":"2.', key(), '","minimalEdits":', key() % 9, "}")
     body = F.when(F.coalesce("kind", F.lit("")) == "class", one).otherwise(c("[", one, "]"))
     return manifests.parse_benchmark_cases(t.view("api_parts").select(body.alias("content")))
 
@@ -327,15 +336,15 @@ def _(t):
     L,
 )
 def _(t):
-    hado = c('{"file":"', F.when(K % 7 == 0, "").otherwise("Dockerfile"), '","code":"DL', K % 50, '"', F.when(K % 2 == 0, c(',"line":', F.col("n"))).otherwise(""), F.when(K % 3 == 0, ',"level":"error"').otherwise(""), ',"message":"', N, '"}')
-    shell = c('{"file":"', N, '.sh","line":', F.col("n"), ',"column":', K % 80, ',"code":', K, ',"level":"info"}')
+    hado = c('{"file":"', F.when(key() % 7 == 0, "").otherwise("Dockerfile"), '","code":"DL', key() % 50, '"', F.when(key() % 2 == 0, c(',"line":', F.col("n"))).otherwise(""), F.when(key() % 3 == 0, ',"level":"error"').otherwise(""), ',"message":"', name(), '"}')
+    shell = c('{"file":"', name(), '.sh","line":', F.col("n"), ',"column":', key() % 80, ',"code":', key(), ',"level":"info"}')
     a = logs.hadolint(joined(t, hado, "[", "]", ","))
     return a.unionByName(logs.shellcheck(joined(t, shell, '{"comments":[', "]}", ",")))
 
 
 @query("repairable_files", "SELECT DISTINCT repo, name || '.sh' AS file FROM lock_entries", L)
 def _(t):
-    shell = c('{"file":"', N, '.sh","line":1,"code":', K, "}")
+    shell = c('{"file":"', name(), '.sh","line":1,"code":', key(), "}")
     return logs.repairable_files(logs.shellcheck(joined(t, shell, '{"comments":[', "]}", ",")))
 
 
@@ -362,7 +371,7 @@ def _(t):
 )
 def _(t):
     o = F.col("repo").cast("bigint")
-    line = c("  ", N, "(", K % 9, ",", K % 4, "): error TS1: x\n", N, ":", K % 9, ":", K % 4, ": error TS2: y\n", N, ":1:1: warning z\n")
+    line = c("  ", name(), "(", key() % 9, ",", key() % 4, "): error TS1: x\n", name(), ":", key() % 9, ":", key() % 4, ": error TS2: y\n", name(), ":1:1: warning z\n")
     runs = joined(t, line).withColumns(
         {
             "runner": F.when(o % 3 == 0, "npm").when(o % 3 == 1, "python").otherwise("cargo"),
@@ -388,7 +397,7 @@ def _(t):
         return c('{"severity":"', severity, '","file":"', file, '","what":"w","why":""}')
 
     one = c('{"findings": [', review(leaf), ", ", review(leaf, "nit"), "]}")
-    k = K % 5
+    k = key() % 5
     log = (
         F.when(k == 0, c("thinking\n", one, "\ndone"))
         .when(k == 1, c(one, ' then {"findings": [', review(c(leaf, "2")), "]} end"))
@@ -396,7 +405,7 @@ def _(t):
         .when(k == 3, c('{"findings": [', review(leaf, "nit"), "]}"))
         .otherwise("nothing here")
     )
-    contract = F.when(K % 2 == 0, c('{"findings": [{"kind":"scope","path":"', leaf, '","detail":"d"}]}')).otherwise(c('{"findings": [{"kind":"mood","path":"', leaf, '","detail":"d"}]}'))
+    contract = F.when(key() % 2 == 0, c('{"findings": [{"kind":"scope","path":"', leaf, '","detail":"d"}]}')).otherwise(c('{"findings": [{"kind":"mood","path":"', leaf, '","detail":"d"}]}'))
     found = logs.review_findings(log)
     return p.select(
         "k", F.array_join(F.transform(found, lambda f: f["file"]), ",").alias("files"), F.when(found.isNotNull(), F.size(found)).alias("n"),
@@ -455,8 +464,8 @@ def _(t):
     L,
 )
 def _(t):
-    form = K % 4
-    line = F.when(form == 0, c("import ", N, " as q, ", N, ".sub  # two")).when(form == 1, c("  from ", N, ".a import (b)")).when(form == 2, c("from .", N, " import z")).otherwise(c("import ", N))
+    form = key() % 4
+    line = F.when(form == 0, c("import ", name(), " as q, ", name(), ".sub  # two")).when(form == 1, c("  from ", name(), ".a import (b)")).when(form == 2, c("from .", name(), " import z")).otherwise(c("import ", name()))
     return imports.python_imports(joined(t, line, separator="\n").withColumn("file", F.lit("m.py")))
 
 
@@ -466,7 +475,7 @@ def _(t):
     L,
 )
 def _(t):
-    text = c("import { type A", K, " as Q,\n  B } from '", N, "/deep';\n")
+    text = c("import { type A", key(), " as Q,\n  B } from '", name(), "/deep';\n")
     return imports.named_imports(joined(t, text).withColumn("file", F.lit("a.ts")))
 
 
@@ -497,14 +506,14 @@ def _(t):
 )
 def _(t):
     p = t.view("api_parts")
-    lib = c("lib", K % 7)
+    lib = c("lib", key() % 7)
     files = p.select(
         "pkg",
         F.explode(
-            F.when(K % 4 == 0, F.array(c(lib, "/__init__.py"), c(lib, "/sub/__init__.py"), c(lib, "/sub/x", K, ".py")))
-            .when(K % 4 == 1, F.array(c("src/mod", K % 50, ".py")))
-            .when(K % 4 == 2, F.array(c(lib, "/deep/y", K, ".pyi"), c(lib, "/__init__.pyi")))
-            .otherwise(F.array(c("solo", K % 9, ".py")))
+            F.when(key() % 4 == 0, F.array(c(lib, "/__init__.py"), c(lib, "/sub/__init__.py"), c(lib, "/sub/x", key(), ".py")))
+            .when(key() % 4 == 1, F.array(c("src/mod", key() % 50, ".py")))
+            .when(key() % 4 == 2, F.array(c(lib, "/deep/y", key(), ".pyi"), c(lib, "/__init__.pyi")))
+            .otherwise(F.array(c("solo", key() % 9, ".py")))
         ).alias("path"),
     )
     return symbols.import_roots(files)
@@ -516,11 +525,11 @@ def _(t):
     L,
 )
 def _(t):
-    k = K % 5
-    name = (
-        F.when(k == 0, c("x/", N, ".ts")).when(k == 1, c("x/", N, ".py")).when(k == 2, c("node_modules/", N, ".ts")).when(k == 3, c("a/dist/", N, ".js")).otherwise(c("x/", N, ".md"))
+    k = key() % 5
+    path = (
+        F.when(k == 0, c("x/", name(), ".ts")).when(k == 1, c("x/", name(), ".py")).when(k == 2, c("node_modules/", name(), ".ts")).when(k == 3, c("a/dist/", name(), ".js")).otherwise(c("x/", name(), ".md"))
     )
-    return file_source.source_files(t.view("lock_entries").select("repo", name.alias("file")))
+    return file_source.source_files(t.view("lock_entries").select("repo", path.alias("file")))
 
 
 @query(
@@ -529,9 +538,9 @@ def _(t):
     L,
 )
 def _(t):
-    k = K % 4
-    target = F.when(k == 0, c("../", N)).when(k == 1, c("../../../", N)).when(k == 2, c("/etc/", N))
-    return file_source.escaping_links(t.view("lock_entries").select("repo", c("a/b/", N).alias("file"), target.alias("link_target"))).select("repo", "file")
+    k = key() % 4
+    target = F.when(k == 0, c("../", name())).when(k == 1, c("../../../", name())).when(k == 2, c("/etc/", name()))
+    return file_source.escaping_links(t.view("lock_entries").select("repo", c("a/b/", name()).alias("file"), target.alias("link_target"))).select("repo", "file")
 
 
 @query(
@@ -541,9 +550,9 @@ def _(t):
     L,
 )
 def _(t):
-    place = F.when(K % 4 == 0, c("node_modules/host/node_modules/", N)).when(K % 4 == 1, c("node_modules/@s/", N)).otherwise(c("node_modules/", N))
+    place = F.when(key() % 4 == 0, c("node_modules/host/node_modules/", name())).when(key() % 4 == 1, c("node_modules/@s/", name())).otherwise(c("node_modules/", name()))
     path = c(place, "-", F.col("n"))
-    spec = lockfiles.split_name_version(F.when(K % 3 == 0, c("@x/", N, "@latest")).otherwise(c("@x/", N, "@", V, "(peer@2)")))
+    spec = lockfiles.split_name_version(F.when(key() % 3 == 0, c("@x/", name(), "@latest")).otherwise(c("@x/", name(), "@", version(), "(peer@2)")))
     return t.view("lock_entries").select(
         "repo", "n", lockfiles.name_of_install_path(path).alias("name"), lockfiles.top_level_name(path).alias("top"), spec["name"].alias("spec_name"), spec["version"].alias("spec_version")
     )
@@ -557,7 +566,7 @@ def _(t):
 def _(t):
     from ..functions.paths import package_of_specifier
 
-    k = K % 5
+    k = key() % 5
     leaf = F.col("leaf")
     spec = F.when(k == 0, c(leaf, "/deep/x")).when(k == 1, c("@s/", leaf, "/y")).when(k == 2, c("./", leaf)).when(k == 3, c("node:", leaf)).otherwise(c("@", leaf))
     return t.view("api_parts").select("k", package_of_specifier(spec).alias("pkg"))
