@@ -203,6 +203,12 @@ def takes_latest(declared: Column) -> Column:
     )
 
 
+def major_minor(version: Column) -> list[Column]:
+    """The first two numeric parts as ranges read them."""
+    pieces = F.split(version, r"\.")
+    return [_number(F.get(pieces, 0)).alias("major"), _number(F.coalesce(F.get(pieces, 1), F.lit(""))).alias("minor")]
+
+
 def in_range(version: Column, declared: Column) -> Column:
     """Caret and tilde membership with the 0.x rules."""
     parts = range_parts(declared)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, urls
 from ..functions.paths import base_name, host_suffixes
+from ..session import cut_lineage
 from ..skew import split_hot_join
 from .pinning import behind_current
 
@@ -107,6 +108,7 @@ def check_calls(calls: DataFrame, described: DataFrame) -> DataFrame:
     gone where the description covers its first segment and uncovered where it does not.
     """
     hits = match_routes(calls, described, ["host"]).select("host", "method", F.col("call_route").alias("route")).distinct()
+    hits = cut_lineage(hits, "matched-routes")  # read twice: for the calls and for the hosts they align
     known = described.select("host").distinct().withColumn("has_description", F.lit(True))
     tops = described.select("host", urls.top_segment(F.col("route")).alias("top")).distinct().withColumn("covered", F.lit(True))
     marked = split_hot_join(calls, hits.withColumn("matched", F.lit(True)), ["host", "method", "route"], "left")

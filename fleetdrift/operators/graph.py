@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import Rounds, cut_lineage
 
 
 def ancestor_paths(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -23,24 +23,25 @@ def ancestor_paths(edges: DataFrame, targets: DataFrame) -> DataFrame:
     frontier = targets.select("repo", "child").distinct().select(
         "repo", "child", F.col("child").alias("node"), F.array("child").alias("path")
     )
-    levels = [cut_lineage(frontier, "paths")]
-    visited = levels[0].select("repo", "child", "node")
-    while not levels[-1].isEmpty():
-        step = (
-            levels[-1]
-            .withColumnRenamed("node", "dst")
+    levels = Rounds(edges.sparkSession, "paths")
+    latest = levels.add(frontier)
+    while not latest.isEmpty():
+        reached = (
+            latest.withColumnRenamed("node", "dst")
             .join(edges, ["repo", "dst"])
-            .join(visited.withColumnRenamed("node", "src"), ["repo", "child", "src"], "left_anti")
             .groupBy("repo", "child", F.col("src").alias("node"))
             .agg(F.min("path").alias("tail"))
-            .select("repo", "child", "node", F.concat(F.array("node"), "tail").alias("path"))
         )
-        levels.append(cut_lineage(step, "paths"))
-        visited = visited.unionByName(levels[-1].select("repo", "child", "node"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        fresh = not_yet(reached, levels.all().select("repo", "child", "node"))
+        latest = levels.add(fresh.select("repo", "child", "node", F.concat(F.array("node"), "tail").alias("path")))
+    return levels.all()
+
+
+def not_yet(reached: DataFrame, visited: DataFrame) -> DataFrame:
+    """What is reached for the first time. Only the visited nodes that are reached again matter, and finding those
+    is a semi-join Spark broadcasts while a level is small, so the visited set itself is not shuffled."""
+    key = ["repo", "child", "node"]
+    return reached.join(visited.join(reached.select(*key), key, "left_semi"), key, "left_anti")
 
 
 def paths_to(edges: DataFrame, targets: DataFrame, directs: DataFrame) -> DataFrame:

@@ -43,21 +43,29 @@ def target_versions(tags: DataFrame, published: DataFrame) -> DataFrame:
 def resolve_ranges(ranges: DataFrame, published: DataFrame, tags: DataFrame) -> DataFrame:
     """The best published version inside each npm range, else its floor where published, else the latest.
 
-    Works per distinct (name, declared): the same range in a million manifests is resolved once.
+    Works per distinct (name, declared): the same range in a million manifests is resolved once. A caret or tilde
+    range is a bucket (a major version, or a major and minor one) with a floor, so the highest version of the
+    bucket answers it or nothing does; ranges never meet single versions.
     """
     known = published.select("name", "version").distinct()
     npm = known.withColumn("ecosystem", F.lit("npm"))
     latest = target_versions(tags.withColumn("ecosystem", F.lit("npm")), npm).select("name", F.col("target").alias("latest_target"))
     wanted = ranges.select("name", "declared").distinct().withColumn("parts", V.range_parts(F.col("declared")))
-    stable = known.filter(~V.semver_is_prerelease(F.col("version")))
-    key = F.struct(V.semver_key(F.col("version")), F.col("version"))
-    ranged = wanted.filter(F.col("parts.op").isin("^", "~") & ~V.takes_latest(F.col("declared")))
-    best = (
-        ranged.join(stable, "name")
-        .filter(V.in_range(F.col("version"), F.col("declared")))
-        .groupBy("name", "declared")
-        .agg(F.max_by("version", key).alias("best"))
+    stable = known.filter(~V.semver_is_prerelease(F.col("version"))).select(
+        "name", "version", V.semver_key(F.col("version")).alias("key"), *V.major_minor(F.col("version"))
     )
+    top = F.max(F.struct("key", "version")).alias("top")
+    by_minor = stable.groupBy("name", "major", "minor").agg(top)
+    by_major = stable.groupBy("name", "major").agg(top)
+    ranged = wanted.filter(F.col("parts.op").isin("^", "~") & ~V.takes_latest(F.col("declared"))).select(
+        "name", "declared", "parts.op", "parts.major", "parts.minor", V.semver_key(F.col("parts.floor")).alias("floor_key")
+    )
+    wide = (F.col("op") == "^") & (F.col("major") > 0)
+    exact = (F.col("op") == "^") & (F.col("major") == 0) & (F.col("minor") == 0)
+    answers = ranged.filter(wide).join(by_major, ["name", "major"]).select("name", "declared", "floor_key", "top").unionByName(
+        ranged.filter(~wide & ~exact).join(by_minor, ["name", "major", "minor"]).select("name", "declared", "floor_key", "top")
+    )
+    best = answers.filter(F.col("top.key") >= F.col("floor_key")).select("name", "declared", F.col("top.version").alias("best"))
     floors = (
         wanted.filter(~V.takes_latest(F.col("declared")))
         .select("name", "declared", F.col("parts.floor").alias("version"))

@@ -142,22 +142,24 @@ def related_symbols(changed: DataFrame, to_symbols: DataFrame) -> DataFrame:
         "pkg", "path", parent_path(F.col("path")).alias("parent"), F.lower(last_segment(F.col("path"))).alias("leaf")
     )
     out = ["pkg", "path", "candidate"]
+    # names are taken apart only in containers that lost or changed something
+    near = pool.join(asked.select("pkg", "parent").distinct(), ["pkg", "parent"], "left_semi")
     same = asked.join(pool.select("pkg", "candidate", F.col("name").alias("leaf")), ["pkg", "leaf"]).select(*out)
     key = ["pkg", "parent", "part"]
     inside = (
         asked.withColumn("part", F.col("leaf"))
-        .join(pool.select("pkg", "parent", "candidate", F.explode(_parts_of(F.col("name"))).alias("part")), key)
+        .join(near.select("pkg", "parent", "candidate", F.explode(_parts_of(F.col("name"))).alias("part")), key)
         .select(*out)
     )
     around = (
         asked.select("pkg", "path", "parent", F.explode(_parts_of(F.col("leaf"))).alias("part"))
-        .join(pool.withColumn("part", F.col("name")), key)
+        .join(near.withColumn("part", F.col("name")), key)
         .select(*out)
     )
     ends = let(words(last_segment(F.col("path"))), lambda w: F.when(F.size(w) >= 2, F.concat(F.get(w, 0), F.lit(">"), F.element_at(w, -1))))
     added = (
         asked.withColumn("part", ends)
-        .join(pool.select("pkg", "parent", "candidate", F.explode(_word_pairs(last_segment(F.col("candidate")))).alias("part")), key)
+        .join(near.select("pkg", "parent", "candidate", F.explode(_word_pairs(last_segment(F.col("candidate")))).alias("part")), key)
         .select(*out)
     )
     pairs = same.unionByName(inside).unionByName(around).unionByName(added).distinct()

@@ -29,7 +29,7 @@ def holding_windows(versions: DataFrame, windows: DataFrame) -> DataFrame:
         .when(F.col("last_key").isNotNull(), v <= F.col("last_key"))
         .otherwise(True)
     )
-    return versions.join(windows, ["ecosystem", "name"]).filter(inside)
+    return split_hot_join(versions, windows, ["ecosystem", "name"]).filter(inside)
 
 
 def version_vulnerabilities(versions: DataFrame, windows: DataFrame) -> DataFrame:

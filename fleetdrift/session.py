@@ -68,3 +68,24 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = work_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The results of an iterative search, one folder per round below one table in the shared work folder.
+
+    A search of many rounds reads what it has found as one table, whose plan does not grow with the rounds.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.count, self.schema = spark, work_path(spark, label), 0, None
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Write one round and return it as read back."""
+        folder = f"{self.path}/round={self.count}"
+        rows.write.parquet(folder)
+        self.count += 1
+        self.schema = self.schema or rows.schema
+        return self.spark.read.schema(self.schema).parquet(folder)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import canonical_name
 from ..functions.text import strip
 from ..functions.versions import pinned_by_specifier
-from ..session import cut_lineage
+from ..session import Rounds, cut_lineage
 
 REQUIREMENT = r"(?s)^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(.*)$"
 INCLUDE = r"^(?:(--requirement|-r)|(--constraint|-c))(?:\s*=\s*|\s+)?(\S+)"
@@ -81,35 +81,25 @@ def include_tree(files: DataFrame, root: str = "requirements.txt") -> DataFrame:
         .select("repo", "file", F.col("pos").cast("int").alias("pos"), "child", (F.col("kind") == "constraints").alias("constrains"))
     )
     edges = cut_lineage(edges, "include-edges")
-    best = files.filter(F.col("file") == root).select(
-        "repo", "file", F.array().cast("array<int>").alias("walk"), F.lit(False).alias("as_constraints")
+    key = ["repo", "file"]
+    start = files.filter(F.col("file") == root).select(
+        *key, F.array().cast("array<int>").alias("walk"), F.lit(False).alias("as_constraints")
     )
-    best = cut_lineage(best, "include-walks")
-    improved = best
+    walks = Rounds(files.sparkSession, "include-walks")
+    improved = walks.add(start)
     while not improved.isEmpty():
-        reached = improved.join(edges, ["repo", "file"]).select(
+        reached = improved.join(edges, key).select(
             "repo",
             F.col("child").alias("file"),
             F.concat("walk", F.array("pos")).alias("walk"),
             (F.col("as_constraints") | F.col("constrains")).alias("as_constraints"),
         )
-        reached = reached.groupBy("repo", "file").agg(F.min(F.struct("walk", "as_constraints")).alias("n")).select(
-            "repo", "file", "n.walk", "n.as_constraints"
-        )
-        merged = best.withColumn("old", F.lit(1)).join(
-            reached.select("repo", "file", F.struct("walk", "as_constraints").alias("n")), ["repo", "file"], "full_outer"
-        )
-        better = F.col("n").isNotNull() & (F.col("old").isNull() | (F.col("n.walk") < F.col("walk")))
-        merged = merged.select(
-            "repo",
-            "file",
-            F.when(better, F.col("n.walk")).otherwise(F.col("walk")).alias("walk"),
-            F.when(better, F.col("n.as_constraints")).otherwise(F.col("as_constraints")).alias("as_constraints"),
-            better.alias("moved"),
-        )
-        merged = cut_lineage(merged, "include-walks")
-        best, improved = merged.drop("moved"), merged.filter("moved").drop("moved")
-    return best
+        reached = reached.groupBy(*key).agg(F.min(F.struct("walk", "as_constraints")).alias("n"))
+        # only the known walks to files that are reached again are compared, and only better ones are written
+        so_far = walks.all().join(reached.select(*key), key, "left_semi").groupBy(*key).agg(F.min("walk").alias("walk"))
+        better = reached.join(so_far, key, "left").filter(F.col("walk").isNull() | (F.col("n.walk") < F.col("walk")))
+        improved = walks.add(better.select(*key, "n.walk", "n.as_constraints"))
+    return walks.all().groupBy(*key).agg(F.min(F.struct("walk", "as_constraints")).alias("n")).select(*key, "n.walk", "n.as_constraints")
 
 
 def requirements_tree(files: DataFrame, root: str = "requirements.txt") -> DataFrame:
