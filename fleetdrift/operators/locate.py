@@ -21,6 +21,13 @@ def distinct_sites(sites: DataFrame) -> DataFrame:
     return sites.groupBy("repo", "pkg", "symbol", "file", "line", "col").agg(F.min("via").alias("via"))
 
 
+def wanted_sites(sites: DataFrame, changes: DataFrame) -> DataFrame:
+    """Sites of symbols that changed. Applied before sites are made distinct: most call sites use symbols that did
+    not change, and need no shuffle then. ``changes``: pkg, path."""
+    wanted = changes.select("pkg", F.col("path").alias("symbol")).distinct()
+    return split_hot_join(sites, wanted, ["pkg", "symbol"], "left_semi")
+
+
 def site_counts(sites: DataFrame) -> DataFrame:
     return sites.groupBy("repo", "pkg", "symbol").agg(F.count(F.lit(1)).alias("n_sites"))
 

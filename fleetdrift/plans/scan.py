@@ -40,14 +40,14 @@ class ScanReport:
 
 
 def scan(inputs: ScanInputs, pin_conflicts: DataFrame | None = None) -> ScanReport:
-    """Every table of the report reads the changes, and most read the findings, so both are written once.
+    """Changes, the sites that use them, and findings are written once, since several tables read each of them.
 
-    The diff reads each snapshot once; after it only the changes travel, which are few beside the symbols.
+    The call sites, the largest input, are read once and cut down to changed symbols before any shuffle.
     """
     flags = snapshot.suppression_flags(inputs.from_surfaces, inputs.to_surfaces, inputs.from_symbols, inputs.to_symbols)
     changes = snapshot.diff_symbols(inputs.from_symbols, inputs.to_symbols, flags, inputs.aliases)
     impacting = cut_lineage(snapshot.consumer_impacting(changes), "changes")
-    sites = locate.distinct_sites(inputs.sites)
+    sites = cut_lineage(locate.distinct_sites(locate.wanted_sites(inputs.sites, impacting)), "sites")
     located = locate.locate_changes(impacting.select("pkg", "path", "kind", "severity", "confidence"), sites)
     findings = cut_lineage(locate.with_surface_ids(located, flags), "findings")
     packages = package_report(impacting, inputs.dependencies, findings, flags)
