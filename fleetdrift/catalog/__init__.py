@@ -24,9 +24,12 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._known: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._known:
+            self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._known[name]
 
     def sql(self, text: str, *views: str) -> DataFrame:
         """Run portable SQL; ``views`` are put in front as common table expressions."""
@@ -37,7 +40,9 @@ class Tables:
         return self.spark.sql(query)
 
     def view(self, name: str) -> DataFrame:
-        return self.sql(f"SELECT * FROM {name}", name)
+        if name not in self._known:
+            self._known[name] = self.sql(f"SELECT * FROM {name}", name)
+        return self._known[name]
 
 
 def query(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):

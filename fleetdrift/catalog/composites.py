@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import contracts
 from ..plans import contracts as contract_plan
-from ..plans import detectors, reports
+from ..plans import detectors, ecosystems, reports
 from ..plans import vulnerabilities as vuln_plan
 from ..sources import advisories, httpcalls
-from . import Tables, query
+from . import Tables, query, readers
 from .contracts import CALL_VIEWS, HITS_SQL, NODE_SQL, PIN_SQL, call_files, change_hits, image_versions, pin_files
 from .lifecycles import STATE_SQL
 from .repairs import SUMMARY_SQL, graph_inputs, scores
@@ -234,3 +236,68 @@ def _(t):
         "pkg", ids.tagged_id("feature", pkg, a, b).alias("feature_id"), ids.tagged_id("freshness", pkg, a, b).alias("freshness_id"),
         ids.tagged_id("http-drift", pkg, F.lit("GET /x"), F.lit("removed")).alias("drift_id"),
     )
+
+
+def repository_files(t: Tables):
+    """Repositories with one or two JavaScript lockfiles, and a Python lockfile or requirements."""
+    n = F.col("repo").cast("bigint")
+
+    def named(rows, file, when):
+        return rows.filter(when).select("repo", F.lit(file).alias("file"), "content")
+
+    pnpm = readers.joined(t, readers.c("  ", readers.name(), "@", readers.version(), ":\n"), "packages:\n")
+    uv = readers.joined(t, readers.c('[[package]]\nname = "', readers.name(), '"\nversion = "', readers.version(), '"\n'))
+    loose = readers.joined(t, readers.c(readers.name(), "==", readers.version(), "\n"), "-r more.txt\n")
+    more = t.view("lock_entries").select("repo").distinct().select("repo", F.lit("extra==1.0\n").alias("content"))
+    parts = [
+        named(readers.npm_files(t), "package-lock.json", n % 3 == 0),
+        named(readers.yarn_files(t), "yarn.lock", n % 3 != 1),
+        named(pnpm, "pnpm-lock.yaml", n % 3 == 1),
+        named(uv, "uv.lock", n % 2 == 0),
+        named(loose, "requirements.txt", n % 4 != 0),
+        named(more, "more.txt", n % 4 != 0),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(
+    "ecosystem_inventories",
+    f"""SELECT DISTINCT repo, ecosystem, name, version, file FROM (
+          SELECT repo, o, 'npm' AS ecosystem, CASE WHEN k % 10 = 7 THEN 'alias-' || name ELSE CASE WHEN k % 4 = 1 THEN '@s/' ELSE '' END || name || '-' || n END AS name, version, 'package-lock.json' AS file
+            FROM lock_entries WHERE o % 3 = 0 AND k % 10 NOT IN (3, 5)
+          UNION ALL SELECT repo, o, 'npm', x.name, arg_min(version, n), 'yarn.lock' FROM (SELECT repo, o, unnest(['@s/' || name, name]) AS name, version, n FROM lock_entries WHERE o % 3 = 2) x GROUP BY repo, o, x.name
+          UNION ALL SELECT repo, o, 'npm', name, arg_min(version, n), 'pnpm-lock.yaml' FROM lock_entries WHERE o % 3 = 1 GROUP BY repo, o, name
+          UNION ALL SELECT repo, o, 'PyPI', name, arg_min(version, n), CASE WHEN o % 2 = 0 THEN 'uv.lock' ELSE 'requirements.txt' END FROM lock_entries GROUP BY repo, o, name
+          UNION ALL SELECT DISTINCT repo, o, 'PyPI', 'extra', '1.0', 'requirements.txt' FROM lock_entries WHERE o % 2 = 1) z""",
+    ("lock_entries",),
+)
+def _(t):
+    return ecosystems.installed(repository_files(t))
+
+
+@query(
+    "lintable_files",
+    "SELECT repo, file, tool FROM (SELECT repo, CASE k % 4 WHEN 0 THEN 'a/Dockerfile.' || name WHEN 1 THEN name || '.sh' WHEN 2 THEN name || '.ts' ELSE 'Dockerfile/' || name END AS file, CASE k % 4 WHEN 0 THEN 'hadolint' WHEN 1 THEN 'shellcheck' END AS tool FROM lock_entries) x WHERE tool IS NOT NULL",
+    ("lock_entries",),
+)
+def _(t):
+    k = readers.key() % 4
+    file = F.when(k == 0, F.concat(F.lit("a/Dockerfile."), "name")).when(k == 1, F.concat("name", F.lit(".sh"))).when(k == 2, F.concat("name", F.lit(".ts"))).otherwise(F.concat(F.lit("Dockerfile/"), "name"))
+    return detectors.lintable(t.view("lock_entries").select("repo", file.alias("file")))
+
+
+@query(
+    "detector_findings",
+    f"""SELECT detector, severity, count(*) AS n, count(DISTINCT repo) AS n_repos FROM (
+          SELECT 'version-pin' AS detector, 'drift' AS severity, repo FROM ({NODE_SQL}) n
+          UNION ALL SELECT 'version-pin', 'drift', repo FROM ({PIN_SQL}) p WHERE kind = 'docker-image' AND version <> '2.1' AND subject <> 'standard'
+          UNION ALL SELECT 'external-lint', 'lint', repo FROM lock_entries) x GROUP BY ALL""",
+    ("pin_rows", "lock_entries"),
+)
+def _(t):
+    """The pin and lint detectors over one set of tables."""
+    shell = readers.c('{"file":"', readers.name(), '.sh","line":', F.col("n"), ',"code":', readers.key(), "}")
+    lint = readers.joined(t, shell, '{"comments":[', "]}", ",").withColumn("tool", F.lit("shellcheck"))
+    tables = {"files": pin_files(t), "dependencies": image_versions(t).withColumn("source", F.lit("lockfile")), "lint_reports": lint}
+    run = detectors.run_detectors([detectors.PinDetector(), detectors.LintDetector()], tables)
+    return run.findings.groupBy("detector", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("repo").alias("n_repos"))

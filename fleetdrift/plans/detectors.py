@@ -12,7 +12,10 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..operators import reporting
+from ..sources import logs
+from . import reports
 
 
 class EcosystemInventory(Protocol):
@@ -96,3 +99,57 @@ def unclaimed_warnings(rows: DataFrame, routes: tuple[Route, ...], what: str) ->
     lost = rows.filter(claimed.isNull()).groupBy("repo", "ecosystem").agg(F.count(F.lit(1)).alias("n"))
     text = F.concat(F.lit(f"no {what} handles "), "ecosystem", F.lit(", so "), F.col("n").cast("string"), F.lit(" package(s) were not examined"))
     return lost.withColumn("warning", text)
+
+
+class PinDetector:
+    """Disagreeing version pins. Tables: files, dependencies."""
+
+    detector_id = "version-pin"
+
+    def detect(self, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+        report = reports.pins(tables["files"], tables["dependencies"])
+        found = report.conflicts.select("repo", "finding_id", F.lit("drift").alias("severity"), "file", "line", F.col("subject").alias("pkg"))
+        return found, None
+
+
+class _Hadolint:
+    tool = "hadolint"
+
+    def applies(self, file: Column) -> Column:
+        # fixed value: file names the linter reads
+        return file.rlike(r"(^|/)(Dockerfile|Containerfile)(\.[\w.-]+)?$|\.(Dockerfile|dockerfile)$")
+
+    def read(self, reports_: DataFrame) -> DataFrame:
+        return logs.hadolint(reports_)
+
+
+class _Shellcheck:
+    tool = "shellcheck"
+
+    def applies(self, file: Column) -> Column:
+        return file.rlike(r"\.(sh|bash|ksh)$")
+
+    def read(self, reports_: DataFrame) -> DataFrame:
+        return logs.shellcheck(reports_)
+
+
+LINT_ADAPTERS: tuple[LintAdapter, ...] = (_Hadolint(), _Shellcheck())
+
+
+class LintDetector:
+    """Linter reports as findings. Tables: lint_reports (repo, tool, content)."""
+
+    detector_id = "external-lint"
+
+    def detect(self, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+        rows = reporting.union_findings([a.read(tables["lint_reports"].filter(F.col("tool") == a.tool)) for a in LINT_ADAPTERS])
+        found = rows.withColumn(
+            "finding_id", ids.tagged_id("external-lint", F.col("tool"), F.col("code"), F.col("file"), F.col("line"))
+        ).select("repo", "finding_id", F.lit("lint").alias("severity"), "file", "line", F.col("code").alias("pkg"))
+        return found, None
+
+
+def lintable(files: DataFrame, adapters=LINT_ADAPTERS) -> DataFrame:
+    """repo, file, tool: which linter looks at which file; files no linter claims have no row."""
+    tools = F.array_compact(F.array(*[F.when(a.applies(F.col("file")), a.tool) for a in adapters]))
+    return files.select("repo", "file", F.explode(tools).alias("tool"))

@@ -28,6 +28,7 @@ def build_session(app: str = "fleetdrift", cpus: int | None = None, **conf: str)
         **DEFAULTS,
         "spark.sql.shuffle.partitions": str(cores),
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.driver.memory": "16g",
         "spark.driver.bindAddress": "127.0.0.1",
         "spark.driver.host": "127.0.0.1",
