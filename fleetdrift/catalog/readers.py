@@ -554,7 +554,7 @@ def _(t):
     path = c(place, "-", F.col("n"))
     spec = lockfiles.split_name_version(F.when(key() % 3 == 0, c("@x/", name(), "@latest")).otherwise(c("@x/", name(), "@", version(), "(peer@2)")))
     return t.view("lock_entries").select(
-        "repo", "n", lockfiles.name_of_install_path(path).alias("name"), lockfiles.top_level_name(path).alias("top"), spec["name"].alias("spec_name"), spec["version"].alias("spec_version")
+        "repo", F.col("n").cast("bigint").alias("n"), lockfiles.name_of_install_path(path).alias("name"), lockfiles.top_level_name(path).alias("top"), spec["name"].alias("spec_name"), spec["version"].alias("spec_version")
     )
 
 

@@ -183,7 +183,7 @@ CONV = "SELECT conv_id || '-' || turn AS repo, turn, replace(text, chr(13), '')
 
 @query(
     "line_edit_outcomes",
-    f"""SELECT repo, 1 AS edit, true AS ok, NULL AS reason FROM ({CONV}) c
+    f"""SELECT repo, CAST(1 AS BIGINT) AS edit, true AS ok, NULL AS reason FROM ({CONV}) c
         UNION ALL SELECT repo, 2, false, CASE WHEN turn % 2 = 1 THEN 'f has no line ' || (len(ls) + 5) ELSE 'expected "@@@@" at f:1:2 but found "'
           || substr(ls[1], 2, 4) || '" — file changed since the scan' END FROM ({CONV}) c""",
 )
@@ -364,7 +364,7 @@ def _(t):
     f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pkg, path ORDER BY score, candidate) AS rank FROM ({SUGGEST_SQL}) s) x WHERE rank <= 8",
 )
 def _(t):
-    return renames.top_suggestions(t.sql(ASKED), t.sql(SUGGEST), 8)
+    return renames.top_suggestions(t.sql(ASKED), t.sql(SUGGEST), 8).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # --- completeness and compiler output ----------------------------------------------------------------------------
