@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, strip_left
+from ..session import cut_lineage
 from ..functions import urls
 
 # Client names and verbs.
@@ -74,7 +75,11 @@ def _option_params(options: Column) -> Column:
 
 def raw_calls(files: DataFrame) -> DataFrame:
     """repo, file, line, col, text, method, url (NULL where not literal), is_template, params, runtime_method."""
-    calls = files.select("repo", "file", F.inline(call_pieces(F.col("content"))))
+    # a plain substring test spares most files the pattern search
+    likely = F.lit(False)
+    for word in (*CLIENTS, "url", "uri"):
+        likely = likely | F.lower("content").contains(word)
+    calls = files.filter(likely).select("repo", "file", F.inline(call_pieces(F.col("content"))))
     arguments = F.regexp_replace(F.col("text"), r"^[\w$.]+\s*\(", "")
     client_verb = F.upper(F.regexp_extract("text", rf"^(?:{_CLIENT})\.((?i:{_VERB}))\s*\(", 1))
     known = F.col("text").rlike(rf"^(?:{_CLIENT})(?:\.(?i:{_VERB}))?\s*\(")
@@ -140,11 +145,14 @@ def imported_names(files: DataFrame) -> DataFrame:
     ).filter("local <> ''")
 
 
-def visible_constants(files: DataFrame) -> DataFrame:
-    """What each file can name: its own constants, then imported ones that no own constant shadows."""
-    own_all = constants(files)
-    own = unambiguous(own_all, ["repo", "file", "name"])
-    shared = unambiguous(constants(files, exported=True).select("repo", "name", "value"), ["repo", "name"])
+def visible_constants(files: DataFrame, asking: DataFrame) -> DataFrame:
+    """What each asking file can name: its own constants, then imported ones that no own constant shadows.
+
+    Exported constants come from all files; own constants and imports are read only where a call needs them.
+    """
+    everywhere, files = files, files.join(asking.select("repo", "file").distinct(), ["repo", "file"], "left_semi")
+    own = unambiguous(constants(files), ["repo", "file", "name"])
+    shared = unambiguous(constants(everywhere, exported=True).select("repo", "name", "value"), ["repo", "name"])
     imported = (
         imported_names(files)
         .join(shared.withColumnRenamed("name", "exported"), ["repo", "exported"])
@@ -155,8 +163,11 @@ def visible_constants(files: DataFrame) -> DataFrame:
 
 
 def http_calls(files: DataFrame) -> DataFrame:
-    """All calls: resolved ones with host, route and parameter names, the others with a reason."""
-    calls = raw_calls(files)
+    """All calls: resolved ones with host, route and parameter names, the others with a reason.
+
+    The pattern search over the text runs once; its calls are written and read from there.
+    """
+    calls = cut_lineage(raw_calls(files), "raw-calls")
     site = ["repo", "file", "line", "col"]
     token = r"\$\{[^}]*\}|[^$]+|\$"
     spans = (
@@ -164,7 +175,7 @@ def http_calls(files: DataFrame) -> DataFrame:
         .select(*site, F.posexplode(F.regexp_extract_all("url", F.lit(token), F.lit(0))).alias("pos", "token"))
         .withColumn("name", F.regexp_extract("token", r"^\$\{\s*([A-Za-z_$][\w$]*)\s*\}$", 1))
     )
-    known = visible_constants(files)
+    known = visible_constants(files, spans.filter("name <> ''"))
     filled = spans.join(known, ["repo", "file", "name"], "left").select(
         *site, "pos", F.when(F.col("token").rlike(r"^\$\{"), F.coalesce("value", F.lit("{}"))).otherwise(F.col("token")).alias("part")
     )
