@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact, jaccard, packing, sharding, tokens, toxicity
+from . import embeddings, exact, jaccard, packing, sharding, suffixes, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,27 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
+PASSAGES_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i - 1 AS start, array_to_string(w[i:i + 49], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)
+), repeated AS (
+  SELECT doc_id, start, first_value(doc_id) OVER e AS from_id, first_value(start) OVER e AS from_start FROM windows WINDOW e AS (PARTITION BY words ORDER BY doc_id, start)
+), later AS (
+  SELECT *, start > lag(start) OVER (PARTITION BY doc_id ORDER BY start) + 50 AS gap FROM repeated WHERE from_id <> doc_id OR from_start <> start
+), passages AS (
+  SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start) AS passage FROM later
+)
+SELECT doc_id, min(start) AS start_word, max(start) + 50 AS end_word, arg_min(from_id, start) AS from_doc_id, arg_min(from_start, start) AS from_word
+FROM passages GROUP BY doc_id, passage
+"""
+
+
+@query("op2_suffix_dedup", PASSAGES_SQL)
+def op2(spark, sf_dir):
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    names = {"id": "doc_id", "start": "start_word", "end": "end_word", "from_id": "from_doc_id", "from_start": "from_word"}
+    return found.select(*[F.col(a).cast("long").alias(b) for a, b in names.items()])
