@@ -69,6 +69,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay. Of rows that repeat id and text, one stays."""
-    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_semi")
+    """The rows of ``docs`` whose id stays; rows that repeat a kept id stay with it, and so do rows without an id if one is kept."""
+    found = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("id").alias("__kept")).distinct()
+    return docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")

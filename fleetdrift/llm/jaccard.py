@@ -348,3 +348,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = rows.join(node_of, ["sig1", "sig2"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
     return found.select("id", "n_shingles", component.cast("long").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` but for documents that are linked to a smaller id; rows with a null id stay."""
+    found = jaccard_components(docs, id_col, text_col, size, percent).filter("component_id < id").select(F.col("id").alias("__copy")).distinct()
+    return docs.join(found, F.col(f"`{id_col}`") == F.col("__copy"), "left_anti")

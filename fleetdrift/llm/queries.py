@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact, jaccard, packing, sharding, suffixes, tokens, toxicity
+from . import embeddings, exact, jaccard, licenses, packing, pieces, sharding, suffixes, tokens, toxicity
+
+def oracles() -> dict[str, str]:
+    return {**ORACLES, "op5_license_scan": licenses.scan_sql()}
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +140,16 @@ def op2(spark, sf_dir):
     found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
     names = {"id": "doc_id", "start": "start_word", "end": "end_word", "from_id": "from_doc_id", "from_start": "from_word"}
     return found.select(*[F.col(a).cast("long").alias(b) for a, b in names.items()])
+
+
+@query("op4_piece_encoding")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pieces.decode(pieces.encode(docs))
+    text_crc = F.crc32(F.col("text").cast("binary"))
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.octet_length("text").cast("long").alias("decoded_bytes"), text_crc.alias("decoded_crc32"))
+
+
+@query("op5_license_scan")
+def op5(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -263,27 +263,52 @@ def _joined(spans: DataFrame, window: int) -> DataFrame:
     return found.select("id", "start", "end", F.col("source.from_id").alias("from_id"), F.col("source.from_start").alias("from_start"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their passages: the words in them go, with the white space after each."""
-    for batch in batches:
-        rest = []
-        column = batch.column("passages").to_pylist()
-        for row, data, offsets in words.slices(batch.column("text")):
-            found = words.words(data, offsets)
-            for i in range(len(offsets) - 1):
-                text = data[offsets[i] : offsets[i + 1]]
-                first, count = found.first[i], found.first[i + 1] - found.first[i]
-                keep = np.ones(len(text), bool)
-                for p in column[row + i] or ():
-                    begin = found.start[first + p["start"]] - offsets[i]
-                    finish = found.start[first + p["end"]] - offsets[i] if p["end"] < count else len(text)
-                    keep[begin:finish] = False
-                rest.append(text[keep].tobytes().decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("text", "passages")), pa.array(rest, pa.string())], [*(c for c in batch.schema.names if c not in ("text", "passages")), "text"])
-
-
-def cut_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and the remaining ``text`` of the documents that have passages."""
-    texts = common.documents(docs, id_col, text_col)
-    lists = passages.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("passages"))
-    return texts.join(lists, "id").mapInArrow(_cut, "id long, text string")
+def _cut(id_col: str, text_col: str, length_col: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest, left = [], []
+            column = batch.column("__passages").to_pylist()
+            for row, data, offsets in words.slices(batch.column(text_col)):
+                found = words.words(data, offsets)
+                for i in range(len(offsets) - 1):
+                    text, passages = data[offsets[i] : offsets[i + 1]], column[row + i]
+                    if not passages:
+                        rest.append(batch.column(text_col)[row + i].as_py())
+                        left.append(True)
+                        continue
+                    first, count = found.first[i], found.first[i + 1] - found.first[i]
+                    keep = np.ones(len(text), bool)
+                    for p in passages:
+                        begin = found.start[first + p["start"]] - offsets[i]
+                        finish = found.start[first + p["end"]] - offsets[i] if p["end"] < count else len(text)
+                        keep[begin:finish] = False
+                    rest.append(text[keep].tobytes().decode("utf-8", "replace"))
+                    left.append(bool((~words.WHITE[text[keep]]).any()))
+            out = batch.drop_columns(["__passages"])
+            out = out.set_column(out.schema.get_field_index(text_col), text_col, pa.array(rest, pa.string()))
+            if length_col:
+                sizes = [None if t is None else len(t) for t in rest]
+                at = out.schema.get_field_index(length_col)
+                changed = pa.array([s if p else old for s, p, old in zip(sizes, column, out.column(at).to_pylist(), strict=True)], out.schema.field(at).type)
+                out = out.set_column(at, length_col, changed)
+            yield out.filter(pa.array(left, pa.bool_()))
+
+    return run
+
+
+def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the passages that stand earlier; a document of which nothing is left goes.
+
+    The words of a passage go with the white space after them. ``length_col`` is set to the new number of code points
+    where a text was cut. Of rows that repeat an id, those with the greatest text are cut, as that is what was compared.
+    """
+    common.prepare(docs.sparkSession)
+    passages = repeated_passages(docs, id_col, text_col, window)
+    lists = passages.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("start", "end")).alias("__passages"))
+    on = F.col(f"`{id_col}`") == F.col("__id")
+    texts = common.documents(docs, id_col, text_col).filter("id is not null")
+    if _repeats(texts):
+        lists = lists.join(texts.groupBy(F.col("id").alias("__id")).agg(F.max("text").alias("__text")), "__id")
+        on = on & (F.col(f"`{text_col}`") == F.col("__text"))
+    rows = docs.join(lists, on, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__passages")
+    return rows.mapInArrow(_cut(id_col, text_col, length_col), docs.schema)

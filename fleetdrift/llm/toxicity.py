@@ -308,6 +308,18 @@ def _score(model):
     return run
 
 
+def _clean(model, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        second = _second_person()
+        for batch in batches:
+            texts = batch.column(text_col)
+            scores = [model.value.score(features(data, offsets, model.value.lexicon, second)) for _, data, offsets in words.slices(texts)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < 0.5))
+
+    return run
+
+
 def remainder(column: str):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5)).cast("int")
 
@@ -353,3 +365,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = common.documents(docs, id_col, text_col).mapInArrow(_score(shared), "id long, score double")
     return rows.select("id", F.coalesce(remainder("id") == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not predicted to be toxic; nothing is shuffled."""
+    common.prepare(docs.sparkSession)
+    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), text_col), docs.schema)

@@ -45,6 +45,11 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+def byte_values() -> np.ndarray:
+    """The random value of each byte that hashes are made of."""
+    return _BYTE_VALUE
+
+
 @dataclass
 class Words:
     """Words of a slice: word ``i`` is ``data[start[i]:end[i]]``; text ``d`` has words ``first[d]`` to ``first[d + 1]``."""
