@@ -2,8 +2,8 @@
 
 Differencing keeps partial partitions (tuples of subset sums), takes the two of the largest spread, and joins them
 oppositely ordered, until one is left. It runs in levels, so that no task and no driver sees all groups: chunks of
-``CHUNK`` items are differenced inside tasks into ``shards`` composite items each, composites are items of the next
-level, and the last few thousand are differenced into the shards. Groups above a share of the mean shard skip the
+``CHUNK`` items are differenced inside tasks into even composite items, composites are items of the next
+level (``FOLD`` times fewer), and the last few thousand are differenced into the shards. Groups above a share of the mean shard skip the
 lower levels (there are at most ``shards * LARGE`` of them), so a group that holds a third of all bytes gets a shard
 of its own with nothing added as long as that helps the balance; it is not split, since groups are indivisible.
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 CHUNK = 4096
+FOLD = 16
 LAST = 16_384
 LARGE = 8
 ROW_BYTES = 16
@@ -63,29 +64,26 @@ def difference(sizes: np.ndarray, ways: int) -> np.ndarray:
     return subset[parent]
 
 
-def _compose(ways: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, chunk, held, rows = TaskContext.get().partitionId(), 0, [], 0
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    partition, chunk, held, rows = TaskContext.get().partitionId(), 0, [], 0
 
-        def emit():
-            table = pa.Table.from_batches(held).combine_chunks()
-            subset = difference(table.column("bytes").to_numpy(), ways)
-            above = (np.int64(partition) << np.int64(40)) + np.int64(chunk) * ways + subset
-            return pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), table.column(1).combine_chunks(), pa.array(above, pa.int64())], ["item", "bytes", "above"])
+    def emit():
+        table = pa.Table.from_batches(held).combine_chunks()
+        subset = difference(table.column("bytes").to_numpy(), -(-rows // FOLD))
+        above = (np.int64(partition) << np.int64(40)) + np.int64(chunk) * CHUNK + subset
+        return pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), table.column(1).combine_chunks(), pa.array(above, pa.int64())], ["item", "bytes", "above"])
 
-        for batch in batches:
-            while batch.num_rows:
-                part = batch.slice(0, CHUNK - rows)
-                batch = batch.slice(part.num_rows)
-                held.append(part)
-                rows += part.num_rows
-                if rows == CHUNK:
-                    yield emit()
-                    chunk, held, rows = chunk + 1, [], 0
-        if held:
-            yield emit()
-
-    return run
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, CHUNK - rows)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            rows += part.num_rows
+            if rows == CHUNK:
+                yield emit()
+                chunk, held, rows = chunk + 1, [], 0
+    if held:
+        yield emit()
 
 
 def shard_of_groups(groups: DataFrame, shards: int) -> DataFrame:
@@ -97,7 +95,7 @@ def shard_of_groups(groups: DataFrame, shards: int) -> DataFrame:
     levels, items = [], groups.filter(F.col("bytes") <= bound)
     while items.count() > LAST:
         kind = dict(items.dtypes)["item"]
-        level = common.stage(items.mapInArrow(_compose(shards), f"item {kind}, bytes long, above long"), "level")
+        level = common.stage(items.mapInArrow(_compose, f"item {kind}, bytes long, above long"), "level")
         levels.append(level)
         items = level.groupBy(F.col("above").alias("item")).agg(F.sum("bytes").alias("bytes"))
     top = [(True, r.item, r.bytes) for r in items.collect()] + [(False, r.item, r.bytes) for r in large.collect()]
