@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,16 @@ def build_session(app: str = "fleetdrift", cpus: int | None = None, **conf: str)
     return spark
 
 
+PACKAGE = Path(__file__).resolve().parent
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Put this package on the path of the Python workers, once per application."""
+    context = spark.sparkContext
+    if not any(name.startswith(f"{PACKAGE.name}.") for name in context._python_includes):
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{PACKAGE.name}", "zip", PACKAGE.parent, PACKAGE.name))
+
+
 def work_root(spark: SparkSession) -> str:
     """The folder that survives the loss of an executor.
 

@@ -1,108 +1,111 @@
 """Outbound HTTP calls in source text.
 
-Text rules, not a parser: a call counts where a known client, or any function given an options object with
-``url`` and ``method``, is called. What cannot be read stays in the table with a reason.
+A call counts where a known client, or any function given an options object with ``url`` and ``method``, is called.
+Calls are delimited by a linear scan of the file (strings, comments, templates, brackets); what they say is read from
+their whole arguments. What cannot be read stays in the table with a reason, and is never taken for a GET.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, strip_left
-from ..session import cut_lineage
 from ..functions import urls
+from ..functions.text import strip
+from ..session import cut_lineage, ship_package
+from .callscan import places, plain_template, scan_calls
 
 # Client names and verbs.
 CLIENTS = "fetch axios got ky superagent".split()
 VERBS = "get post put patch delete head options".split()
+QUERY_NAMES = ("queryparams", "params", "searchparams", "query")
 
-_CLIENT = "|".join(CLIENTS)
-_VERB = "|".join(VERBS)
-CALL_START = rf"(?<![\w$.])(?:(?:{_CLIENT})(?:\.(?i:{_VERB}))?\s*\(|[A-Za-z_$][\w$.]*\s*\(\s*\{{)"
 STRING = r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"""
-
-
-def call_pieces(content: Column) -> Column:
-    """The text cut where calls start: (line, col, text) per call, counted from 1."""
-    pieces = F.split(content, rf"(?={CALL_START})")
-
-    def newlines(text):
-        return F.length(text) - F.length(F.replace(text, F.lit("\n")))
-
-    state = F.struct(
-        F.lit(1).alias("line"),
-        F.lit(1).alias("col"),
-        F.array().cast("array<struct<line:int,col:int,text:string>>").alias("out"),
-    )
-
-    def step(acc, text):
-        n = newlines(text)
-        here = F.struct(acc["line"].alias("line"), acc["col"].alias("col"), text.alias("text"))
-        return F.struct(
-            (acc["line"] + n).cast("int").alias("line"),
-            F.when(n > 0, F.length(F.substring_index(text, "\n", -1)) + 1).otherwise(acc["col"] + F.length(text)).cast("int").alias("col"),
-            F.concat(acc["out"], F.array(here)).alias("out"),
-        )
-
-    found = F.aggregate(pieces, state, step)["out"]
-    return F.filter(found, lambda p: p["text"].rlike(rf"^{CALL_START}"))
+UNREADABLE = "the call is not closed, so its arguments cannot be told"
+CALL = (
+    "repo string, file string, line int, col int, text string, callee string, closed boolean, args array<string>, "
+    "first array<struct<name: string, value: string>>, second array<struct<name: string, value: string>>"
+)
+
+_PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+_ARROW = pa.schema(
+    [("repo", pa.string()), ("file", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("text", pa.string()), ("callee", pa.string())]
+    + [("closed", pa.bool_()), ("args", pa.list_(pa.string())), ("first", _PAIRS), ("second", _PAIRS)]
+)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Calls of known clients, and calls whose first argument is an object with an address and a method."""
+    clients = set(CLIENTS)
+    for batch in batches:
+        rows = []
+        for repo, file, content in zip(*(batch.column(c).to_pylist() for c in ("repo", "file", "content")), strict=True):
+            found = []
+            for start, end, callee, closed, args, objects in scan_calls(content):
+                head, _, verb = callee.partition(".")
+                known = callee in clients or (head in clients and verb.lower() in VERBS)
+                names = {name.lower() for name, _ in objects[0]} if objects else set()
+                if (known and (args or not closed)) or ("method" in names and names & {"url", "uri"}):
+                    found.append((start, end, callee, closed, args, objects))
+            for (start, end, callee, closed, args, objects), (line, col) in zip(found, places(content, [f[0] for f in found]), strict=True):
+                pairs = [[{"name": k.lower(), "value": plain_template(v)} for k, v in o] for o in objects[:2]] + [[], []]
+                text = content[start:end]
+                rows.append({"repo": repo, "file": file, "line": line, "col": col, "text": text, "callee": callee, "closed": closed, "args": [plain_template(x) for x in args], "first": pairs[0], "second": pairs[1]})
+        yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
 def _literal(text: Column) -> Column:
-    """The content of a string literal at the start of ``text`` that is a whole argument, else NULL."""
-    found = F.regexp_extract(text, rf"^\s*{STRING}\s*[,)}}]", 1)
+    """The content of a string literal that is the whole ``text``, else NULL."""
+    found = F.regexp_extract(text, rf"^{STRING}$", 1)
     return F.when(found != "", F.substring(found, F.lit(2), F.length(found) - 2))
 
 
-def _is_template_literal(text: Column) -> Column:
-    return strip_left(text).startswith("`")
+def _property(pairs: str, *names: str) -> Column:
+    """The text of the first property of one of these names, in the order of the names; else NULL."""
 
+    def first_of(name):
+        return F.get(F.filter(pairs, lambda p: p["name"] == name)["value"], 0)
 
-def _method_of(options: Column) -> Column:
-    """The verb a ``method`` property states as a literal or as a member (``Method.Put``); NULL where it does neither."""
-    value = F.regexp_extract(options, rf"""(?i)[{{,\s]['"]?method['"]?\s*:\s*{STRING}""", 1)
-    member = F.regexp_extract(options, r"""(?i)[{,\s]['"]?method['"]?\s*:\s*[\w$.]+\.([\w$]+)\s*[,}\n]""", 1)
-    verb = F.lower(F.coalesce(F.nullif(F.substring(value, F.lit(2), F.length(value) - 2), F.lit("")), F.nullif(member, F.lit(""))))
-    return F.when(verb.isin(*VERBS), F.upper(verb))
+    return F.coalesce(*map(first_of, names))
 
 
-def _option_params(options: Column) -> Column:
-    body = F.regexp_extract(options, r"""(?i)[{,\s]['"]?(?:queryparams|params|searchparams|query)['"]?\s*:\s*\{([^{}]*)\}""", 1)
-    names = F.regexp_extract_all(body, F.lit(r"""(?:^|,)\s*['"]?([\w$-]+)['"]?\s*(?=[:,]|$)"""), F.lit(1))
-    return F.filter(names, lambda n: n != "")
+def _verb_of(value: Column) -> Column:
+    """The verb that a literal or a member (``Method.Put``) states; NULL where it does neither."""
+    verb = F.lower(F.coalesce(_literal(value), F.nullif(F.regexp_extract(value, r"^[\w$.()]+\.([\w$]+)$", 1), F.lit(""))))
+    return F.when(verb.isin(*VERBS), F.upper(verb))
 
 
 def raw_calls(files: DataFrame) -> DataFrame:
-    """repo, file, line, col, text, method, url (NULL where not literal), is_template, params, runtime_method."""
-    # a plain substring test spares most files the pattern search
+    """repo, file, line, col, text, method, url (NULL where not literal), is_template, option_params, runtime_method, closed."""
+    ship_package(files.sparkSession)
+    # a plain substring test spares most files the scan
     likely = F.lit(False)
     for word in (*CLIENTS, "url", "uri"):
         likely = likely | F.lower("content").contains(word)
-    calls = files.filter(likely).select("repo", "file", F.inline(call_pieces(F.col("content"))))
-    arguments = F.regexp_replace(F.col("text"), r"^[\w$.]+\s*\(", "")
-    client_verb = F.upper(F.regexp_extract("text", rf"^(?:{_CLIENT})\.((?i:{_VERB}))\s*\(", 1))
-    known = F.col("text").rlike(rf"^(?:{_CLIENT})(?:\.(?i:{_VERB}))?\s*\(")
-    # an options object, braces nested once; further text belongs to other statements
-    options = F.regexp_extract(arguments, r"^\s*(\{(?:[^{}]|\{[^{}]*\})*\})", 1)
-    url_text = F.regexp_extract(options, r"""(?i)[{,\s]['"]?(?:url|uri)['"]?\s*:\s*([\s\S]*)$""", 1)
-    has_method = options.rlike(r"""(?i)[{,\s]['"]?method['"]?\s*:""")
-    by_options = (url_text != "") & has_method
-    second = F.regexp_extract(arguments, rf"^\s*(?:{STRING}|[^,()]*)\s*,\s*(\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}})", 2)
-    target = F.when(by_options, url_text).otherwise(arguments)
-    read = calls.withColumns({"o": options, "by": by_options, "known": known}).filter("by OR known")
-    method = F.coalesce(F.nullif(client_verb, F.lit("")), F.when(F.col("by"), _method_of(F.col("o"))).otherwise(_method_of(second)), F.lit("GET"))
-    return read.select(
+    rows = files.filter(likely).select("repo", "file", "content")
+    calls = rows.mapInArrow(_scan, CALL)
+    url_text, method = _property("first", "url", "uri"), _property("first", "method")
+    calls = calls.withColumns({"url_text": url_text, "by": url_text.isNotNull() & method.isNotNull(), "verb": _verb_of(method)})
+    own = F.upper(F.regexp_extract("callee", r"\.([\w$]+)$", 1))
+    own = F.when(F.get(F.split("callee", r"\."), 0).isin(*CLIENTS), F.nullif(own, F.lit("")))
+    target = F.when(F.col("by"), F.col("url_text")).otherwise(F.get("args", 0))
+    params = _property("first", *QUERY_NAMES)
+    names = F.regexp_extract_all(F.regexp_extract(params, r"^\{([^{}]*)\}$", 1), F.lit(r"""(?:^|,)\s*['"]?([\w$-]+)['"]?\s*(?=[:,]|$)"""), F.lit(1))
+    return calls.select(
         "repo",
         "file",
         "line",
         "col",
-        F.substring(F.get(F.split("text", "\n"), 0), 1, 160).alias("text"),
-        method.alias("method"),
+        "text",
+        F.coalesce(own, F.when(F.col("by"), F.col("verb")).otherwise(_verb_of(_property("second", "method"))), F.lit("GET")).alias("method"),
         _literal(target).alias("url"),
-        _is_template_literal(target).alias("is_template"),
-        F.when(F.col("by"), _option_params(F.col("o"))).otherwise(F.array().cast("array<string>")).alias("option_params"),
-        (F.col("by") & _method_of(F.col("o")).isNull()).alias("runtime_method"),
+        F.coalesce(target.startswith("`"), F.lit(False)).alias("is_template"),
+        F.when(F.col("by") & params.isNotNull(), F.filter(names, lambda n: n != "")).otherwise(F.array().cast("array<string>")).alias("option_params"),
+        (F.col("by") & F.col("verb").isNull()).alias("runtime_method"),
+        "closed",
     )
 
 
@@ -183,12 +186,12 @@ def http_calls(files: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda p: p["part"]), "").alias("filled")
     )
     out = calls.join(joined, site, "left").withColumn("read", urls.read_url(F.coalesce("filled", "url")))
-    reason = F.when(F.col("runtime_method"), F.lit(urls.RUNTIME_METHOD)).otherwise(F.col("read.reason"))
+    reason = F.when(~F.col("closed"), F.lit(UNREADABLE)).when(F.col("runtime_method"), F.lit(urls.RUNTIME_METHOD)).otherwise(F.col("read.reason"))
     good = reason.isNull()
     return out.select(
         *site,
         "text",
-        "method",
+        F.when(F.col("closed"), F.col("method")).alias("method"),
         good.alias("resolved"),
         F.when(good, F.col("read.host")).alias("host"),
         F.when(good, F.col("read.route")).alias("route"),

@@ -126,6 +126,36 @@ other("https://h.io/f");
     ]
 
 
+def test_http_calls_in_ordinary_source(frame):
+    text = """// fetch("https://comment.io/a")
+/* axios.get("https://comment.io/b") */
+const s = 'fetch("https://string.io/c")';
+fetch("https://a.com/x", { method: "POST", body: JSON.stringify({ a: 1, b: { c: [2, ")"] } }) });
+fetch("https://a.com/y", { headers: { a: { b: { c: 1 } } }, method: 'PATCH' });
+axios({ method: "put", url: "https://a.com/w", data: build({ k: 1 }, () => { return fetch("https://a.com/inner"); }) });
+axios<Array<T>>("https://a.com/t"); axios.post<T>("https://a.com/u", { a: 1 });
+const ok = /["'(]/.test(x) && got("https://a.com/v");
+client.send({ url: `https://a.com/z/${ids.map((i) => `${i}`).join(",")}`, method: "DELETE", params: { "page-size": 1, q } /* } */ });
+fetch(/* the address */ "https://a.com/k", // options
+  { method: "HEAD" });
+fetch("https://a.com/open", { method: "POST"
+"""
+    files = frame("repo string, file string, content string", ("r", "a.ts", text))
+    calls = [(r.line, r.col, r.method, r.route, r.params, r.resolved) for r in httpcalls.http_calls(files).orderBy("line", "col").collect()]
+    assert calls == [
+        (4, 1, "POST", "/x", [], True),
+        (5, 1, "PATCH", "/y", [], True),
+        (6, 1, "PUT", "/w", [], True),
+        (6, 85, "GET", "/inner", [], True),
+        (7, 1, "GET", "/t", [], True),
+        (7, 37, "POST", "/u", [], True),
+        (8, 31, "GET", "/v", [], True),
+        (9, 1, "DELETE", "/z/{}", ["page-size", "q"], True),
+        (10, 1, "HEAD", "/k", [], True),
+        (12, 1, None, None, [], False),
+    ]
+
+
 def test_best_description_keeps_the_earliest_of_equals(frame, rows):
     df = frame("vendor string, seq int, provenance string", ("v", 1, "community"), ("v", 2, "curated"), ("v", 3, "curated"))
     assert rows(contracts.best_descriptions(df), "seq") == [(2,)]
