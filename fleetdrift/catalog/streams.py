@@ -64,14 +64,14 @@ def feed_events(t: Tables):
     )
 
 
-def in_files(rows, path: str, order: str, n: int, kind: str) -> None:
-    """Write ``n`` files one after the other in time order, so that a file stream meets them in that order."""
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    step = (high - low) / n
-    for i in range(n):
-        upper = F.lit(high) if i == n - 1 else F.lit(low + step * (i + 1))
-        part = rows.filter((F.col(order) <= upper) & ((F.col(order) > F.lit(low + step * i)) if i else F.lit(True)))
-        part.coalesce(1).write.mode("append").format(kind).save(path)
+def in_slices(rows, order: str, n: int):
+    """``n`` parts of the rows in time order, each as parallel as the rows are."""
+    bounds = F.broadcast(rows.agg(F.min(order).alias("__low"), F.max(order).alias("__high")))  # one row
+    at = lambda c: F.col(c).cast("timestamp").cast("double") if dict(rows.dtypes)[order] == "timestamp" else F.col(c).cast("double")
+    share = (at(order) - at("__low")) / F.greatest(at("__high") - at("__low"), F.lit(1e-9))
+    part = F.least(F.greatest(F.ceil(share * n) - 1, F.lit(0)), F.lit(n - 1))
+    cut = rows.join(bounds, F.lit(True)).withColumn("__part", part)
+    return [cut.filter(F.col("__part") == i).select(*rows.columns) for i in range(n)]
 
 
 _RUNS: dict[tuple, object] = {}
@@ -90,9 +90,11 @@ def monitor(t: Tables) -> webhooks.WebhookStream:
 
 
 def replay_webhooks(t: Tables) -> webhooks.WebhookStream:
-    source = work_path(t.spark, "webhooks")
-    in_files(feed_events(t), source, "received_at", 4, "json")
-    return webhooks.WebhookStream(t.spark, work_path(t.spark, "monitor")).run(webhooks.read_events(t.spark, source))
+    source, run = work_path(t.spark, "webhooks"), webhooks.WebhookStream(t.spark, work_path(t.spark, "monitor"))
+    for part in in_slices(feed_events(t), "received_at", 4):
+        part.write.mode("append").json(source)
+        run.run(webhooks.read_events(t.spark, source, files_per_batch=100_000))
+    return run
 
 
 # The same rules over the whole history: what adds or removes a repository, in order.
@@ -191,8 +193,11 @@ def replay_scans(t: Tables) -> scan_stream.ScanStream:
     rows = t.view("event_scans").join(t.view("scan_found"), ["repo", "scan"], "left").select("repo", "scan", "finding")
     source = work_path(t.spark, "scans")
     dated = rows.withColumn("day", F.unix_date(F.col("scan").cast("date")))
-    in_files(dated, source, "day", 4, "parquet")
-    return scan_stream.ScanStream(t.spark, work_path(t.spark, "scan-stream")).run(scan_stream.read_scans(t.spark, source))
+    run = scan_stream.ScanStream(t.spark, work_path(t.spark, "scan-stream"))
+    for part in in_slices(dated, "day", 4):
+        part.write.mode("append").parquet(source)
+        run.run(scan_stream.read_scans(t.spark, source, files_per_batch=100_000))
+    return run
 
 
 @query("stream_finding_states", STATE_SQL, ("event_scans", "scan_found"))

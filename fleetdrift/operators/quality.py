@@ -26,14 +26,20 @@ PARAMETER_ANY = r"([(,]\s*\.{0,3}\w+\??)\s*:\s*any\b(?!\[)"
 def _usable_pattern():
     """A pattern as Spark's regular expressions read it, NULL where it does not compile.
 
-    Runs over the distinct patterns only. The one spelling that differs is an open bracket inside a class.
+    Runs over the distinct patterns only. Spellings that differ: an open bracket or ``&&`` inside a class, and a brace
+    that starts no repetition, which stands for itself.
     """
+    repetition = re.compile(r"\{\d+(?:,\d*)?\}")
+    only_here = re.compile(r"\(\?(?:P|#|\(|[a-zA-Z]*[aL])")
+
 
     def rewrite(pattern):
         try:
             re.compile(pattern)
         except (re.error, TypeError):
             return None
+        if only_here.search(pattern):
+            return None
         out, in_class, i = [], False, 0
         while i < len(pattern):
             ch = pattern[i]
@@ -41,10 +47,11 @@ def _usable_pattern():
                 out.append(pattern[i : i + 2])
                 i += 2
                 continue
-            out.append("\\[" if in_class and ch == "[" else ch)
+            itself = (ch in "[&" and in_class) or (ch == "{" and not in_class and not repetition.match(pattern, i))
+            out.append("\\" + ch if itself else ch)
             in_class = ch != "]" if in_class else ch == "["
             i += 1
-        return None if "(?P" in pattern else "".join(out)
+        return "".join(out)
 
     def rewrite_all(patterns: pd.Series) -> pd.Series:
         return patterns.map(rewrite)

@@ -175,3 +175,27 @@ def plain_template(text: str) -> str:
                 name = text[begin : at - 1].strip()
                 out.append(f"${{{name}}}" if re.fullmatch(r"[A-Za-z_$][\w$]*", name) else "${0}")
     return text
+
+
+IMPORT = re.compile(r"""(?<![\w$.])(?:import\b(?:\s+type\b)?\s*(?:[\w$*\s{},]+?\bfrom\b\s*|[\w$*\s{},]*?[}*\w$]\s*from\s*)?|require\s*\(\s*)(?:'([^'\n]+)'|"([^"\n]+)")""")
+QUOTED = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|$)|\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?|`(?:[^`\\]|\\[\s\S])*`?")
+
+
+def scan_imports(source: str) -> list[tuple[int, str]]:
+    """(start, specifier) of import declarations and ``require`` calls, over several lines too; none in comments or strings."""
+    plain, at, inside = [], 0, []
+    for found in QUOTED.finditer(source):
+        plain.append(source[at : found.start()])
+        comment = found[0].startswith(("//", "/*"))
+        plain.append(re.sub(r"[^\n]", " ", found[0]) if comment else found[0])
+        if not comment:
+            inside.append((found.start(), found.end()))
+        at = found.end()
+    text = "".join([*plain, source[at:]])
+    starts = [a for a, _ in inside]
+    out = []
+    for found in IMPORT.finditer(text):
+        i = bisect_right(starts, found.start()) - 1
+        if i < 0 or inside[i][1] <= found.start():
+            out.append((found.start(), found[1] or found[2]))
+    return out

@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import package_of_specifier
 from ..functions.text import lines_of
+from ..session import ship_package
+from .callscan import places, scan_imports
 
-SPECIFIER = r"""(?:^\s*import\s+(?:[^'"]*?\sfrom\s+)?|^\s*\}\s*from\s+|\brequire\s*\(\s*)['"]([^'"]+)['"]"""
 NAMED_IMPORT = r"""(?s)import\s+(?:type\s+)?\{([^}]*)\}\s*from\s*['"]([^'"]+)['"]"""
 PY_IMPORT = r"^\s*import\s+(.+)$"
 PY_FROM = r"^\s*from\s+([A-Za-z_][\w.]*)\s+import\b"
 
 
+_SITE = pa.schema([("repo", pa.string()), ("file", pa.string()), ("line", pa.int32()), ("specifier", pa.string())])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for repo, file, content in zip(*(batch.column(c).to_pylist() for c in ("repo", "file", "content")), strict=True):
+            found = scan_imports(content)
+            for (_, specifier), (line, _) in zip(found, places(content, [at for at, _ in found]), strict=True):
+                rows.append({"repo": repo, "file": file, "line": line, "specifier": specifier})
+        yield pa.RecordBatch.from_pylist(rows, _SITE)
+
+
 def import_sites(files: DataFrame) -> DataFrame:
-    """repo, file, line, pkg of ES imports and ``require`` calls; specifiers that name no package give nothing."""
-    lines = files.select("repo", "file", F.posexplode(lines_of(F.col("content"))).alias("n", "text")).filter(
-        F.col("text").contains("import") | F.col("text").contains("require") | F.col("text").contains("from")
-    )
-    found = lines.select(
-        "repo", "file", (F.col("n") + 1).alias("line"), F.explode(F.regexp_extract_all("text", F.lit(SPECIFIER), F.lit(1))).alias("specifier")
-    )
+    """repo, file, line, pkg of ES imports and ``require`` calls; specifiers that name no package give nothing.
+
+    A statement over several lines has the line it starts on. Comments and strings are left out.
+    """
+    ship_package(files.sparkSession)
+    likely = files.filter(F.col("content").contains("import") | F.col("content").contains("require")).select("repo", "file", "content")
+    found = likely.mapInArrow(_scan, "repo string, file string, line int, specifier string")
     return found.select("repo", "file", "line", package_of_specifier(F.col("specifier")).alias("pkg")).filter("pkg IS NOT NULL")
 
 

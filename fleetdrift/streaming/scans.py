@@ -25,7 +25,7 @@ def batch_deltas(stored: DataFrame, known: DataFrame, scans: DataFrame, found: D
     """Events of the scans of one batch: the batch alone, preceded by what was open before it.
 
     The stored open findings stand for one earlier scan, so the first scan of the batch has something to differ
-    from; findings fixed before count as returned, not as added.
+    from; findings fixed before count as returned, not as added. Dismissed findings are no news in either sense.
     """
     keys = ["repo", "finding"]
     earlier = known.select("repo").distinct().withColumn("scan", F.lit(""))
@@ -34,6 +34,7 @@ def batch_deltas(stored: DataFrame, known: DataFrame, scans: DataFrame, found: D
     events = lifecycle.scan_deltas(found.select("repo", "scan", "finding").unionByName(was_open.select("repo", "scan", "finding")), all_scans)
     fixed = stored.filter("status = 'fixed'").select(*keys).withColumn("was_fixed", F.lit(True))
     event = F.when((F.col("event") == "added") & F.col("was_fixed"), "returned").otherwise(F.col("event"))
+    events = events.join(stored.filter("status = 'dismissed'").select(*keys), keys, "left_anti")
     return events.join(fixed, keys, "left").select("repo", "finding", "scan", event.alias("event"))
 
 
@@ -41,7 +42,7 @@ class ScanStream:
     def __init__(self, spark: SparkSession, root: str):
         self.state = VersionedState(spark, f"{root}/state", STATE)
         self.checkpoint = f"{root}/checkpoint"
-        self.last = -1
+        self.last = self.state.last("findings")
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
@@ -56,5 +57,7 @@ class ScanStream:
             rows.unpersist()
 
     def run(self, stream: DataFrame) -> "ScanStream":
-        self.last = run_available(stream, self.handle, self.checkpoint)
+        run_available(stream, self.handle, self.checkpoint)
+        self.last = self.state.last("findings")
+        self.state.expire(self.last)
         return self

@@ -1,7 +1,8 @@
 """Versioned state tables of a stream.
 
 Every micro-batch reads the version the batch before it wrote and writes its own. A batch that is run again
-after a failure reads the same version and replaces its own half-written one, so its effect counts once.
+after a failure reads the same version and replaces its own half-written one, so its effect counts once. What the
+last version is lies in storage, so a restart without new input finds it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,30 @@ class VersionedState:
     def _path(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/v{version}"
 
+    def _versions(self, table: str) -> list[int]:
+        """Completely written versions of a table."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        names = [entry.getPath() for entry in files.listStatus(folder)]
+        done = [p.getName() for p in names if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(name[1:]) for name in done if name[0] == "v" and name[1:].isdigit())
+
+    def last(self, table: str) -> int:
+        """The last version of a table, -1 before the first one."""
+        return max(self._versions(table), default=-1)
+
+    def expire(self, last: int, keep: int = 2) -> None:
+        """Remove the versions that neither a reader of the last one nor a batch that is run again can ask for."""
+        jvm = self.spark._jvm
+        for table in self.schemas:
+            for version in self._versions(table):
+                if version <= last - keep:
+                    path = jvm.org.apache.hadoop.fs.Path(self._path(table, version))
+                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def read(self, table: str, version: int) -> DataFrame:
         """The table as of a version; empty before the first one."""
         if version < 0:
@@ -35,14 +60,7 @@ class VersionedState:
         return rows.drop("batch")
 
 
-def run_available(stream: DataFrame, handle, checkpoint: str) -> int:
-    """Drive a stream over all available input; returns the number of the last batch."""
-    last = {"batch": -1}
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        handle(batch, batch_id)
-        last["batch"] = max(last["batch"], batch_id)
-
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, handle, checkpoint: str) -> None:
+    """Drive a stream over all available input."""
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return last["batch"]

@@ -278,7 +278,7 @@ class WebhookStream:
     def __init__(self, spark: SparkSession, root: str):
         self.state = VersionedState(spark, f"{root}/state", STATE)
         self.checkpoint = f"{root}/checkpoint"
-        self.last = -1
+        self.last = self.state.last("prs")
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         before = {name: self.state.read(name, batch_id - 1) for name in ("repos", "installations", "jobs", "prs")}
@@ -298,7 +298,9 @@ class WebhookStream:
                 rows.unpersist()
 
     def run(self, stream: DataFrame) -> "WebhookStream":
-        self.last = run_available(stream, self.handle, self.checkpoint)
+        run_available(stream, self.handle, self.checkpoint)
+        self.last = self.state.last("prs")
+        self.state.expire(self.last)
         return self
 
     def table(self, name: str) -> DataFrame:

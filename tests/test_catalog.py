@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as contract
+from fleetdrift import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver tables")
@@ -25,11 +26,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    catalog.load_all()
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_registries_need_no_session():
-    code = "import __spark_entry__ as c; assert len(c.queries()) == len(c.oracle_sql())"
+    code = "import __spark_entry__ as c; assert len(c.queries()) >= len(c.oracle_sql()) > 200"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
 
@@ -39,7 +42,7 @@ def test_matches_sql(spark, duck, name):
     import check
 
     status, _n, _took, note = check.compare(spark, duck, name, contract.queries()[name], contract.oracle_sql()[name], SF)
-    assert status in ("ok", "EMPTY"), note
+    assert status == "ok", note
 
 
 @pytest.mark.parametrize("name", ["vulnerable_versions", "route_matches", "anchored_hunks", "module_root_join", "contract_outcomes", "related_symbols"])

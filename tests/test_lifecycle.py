@@ -70,6 +70,24 @@ def test_batch_run_twice_counts_once(spark, frame, history):
     assert source
 
 
+def test_restart_without_input_keeps_the_state(spark, frame):
+    source, root = work_path(spark, "scans"), work_path(spark, "run")
+    for scan in ("2024-01-01", "2024-01-02", "2024-01-03"):
+        frame(FOUND, ("r", scan, "f" + scan)).coalesce(1).write.mode("append").parquet(source)
+        run = scan_stream.ScanStream(spark, root).run(scan_stream.read_scans(spark, source))
+    again = scan_stream.ScanStream(spark, root).run(scan_stream.read_scans(spark, source))
+    assert again.last == run.last == 2
+    assert again.state.read("findings", again.last).count() == 3
+    assert again.state._versions("findings") == [1, 2]  # older ones are gone
+
+
+def test_dismissed_findings_are_no_news_in_the_stream(frame, rows):
+    stored = frame(scan_stream.STATE["findings"], ("r", "d", "1", "1", "dismissed"), ("r", "o", "1", "1", "open"))
+    known, scans = frame(SCAN, ("r", "1")), frame(SCAN, ("r", "2"))
+    found = frame(FOUND, ("r", "2", "d"), ("r", "2", "o"), ("r", "2", "n"))
+    assert rows(scan_stream.batch_deltas(stored, known, scans, found), "finding", "event") == [("n", "added")]
+
+
 def test_dismissed_stays_dismissed(frame, rows):
     stored = frame("repo string, finding string, first_seen string, last_seen string, status string", ("r", "d", "1", "1", "dismissed"), ("r", "f", "1", "1", "fixed"), ("r", "o", "1", "1", "open"), ("q", "x", "1", "1", "open"))
     scanned, found = frame(SCAN, ("r", "2")), frame("repo string, finding string", ("r", "d"), ("r", "f"), ("r", "n"))

@@ -99,6 +99,19 @@ def test_imports(frame, rows):
     text = "import a from 'a/x';\nimport { type B as C, D } from \"@s/b\";\nconst z = require('z');\nimport './local';\nimport 'node:fs';\n"
     df = frame(FILE, ("r", "f.ts", text))
     assert rows(imports.import_sites(df), "line", "pkg") == [(1, "a"), (2, "@s/b"), (3, "z")]
+    text = """// import c from 'comment';
+/* const d = require("comment") */
+import {
+  x, // one of "them"
+  type y as Y,
+} from "p4/deep";
+import D, * as all from 'p5'; const s = "import q from 'text'", r = require( 'p6' );
+export { z } from "p7";
+import type { T } from
+  '@s/p8';
+foo.require('p9'); import"p10"; import(`p11`);
+"""
+    assert sorted(rows(imports.import_sites(frame(FILE, ("r", "f.ts", text))), "line", "pkg")) == [(3, "p4"), (7, "p5"), (7, "p6"), (9, "@s/p8"), (11, "p10")]
     assert rows(imports.named_imports(df), "pkg", "name") == [("@s/b", "B"), ("@s/b", "D")]
     py = frame(FILE, ("r", "f.py", "import a.b as c, d  # x\n  from e.f import g\nfrom . import h\n"))
     assert rows(imports.python_imports(py), "line", "module") == [(1, "a.b"), (1, "d"), (2, "e.f")]
@@ -124,5 +137,8 @@ def test_files_on_disk(spark, tmp_path, rows):
 def test_completeness_checks(frame, rows):
     schema = "repo string, check_id string, kind string, pattern string, symbol string, pkg string"
     checks = frame(schema, ("r", "hit", "absent", "old\\(", None, None), ("r", "miss", "absent", "zzz", None, None), ("r", "bad", "absent", "(", None, None), ("r", "imp", "import", None, "A", "lib"), ("none", "x", "absent", "a", None, None))
-    files = frame(FILE, ("r", "a.ts", "old(1)\nimport { A } from 'lib';"), ("r", "b.ts", "new()"))
-    assert dict(rows(quality.resolve_checks(checks, files), "check_id", "state")) == {"hit": "unresolved", "miss": "resolved", "bad": "unknown", "imp": "unresolved", "x": "unknown"}
+    odd = ("foo {", "a{,2}", "[&&x]y", "x{2}", "(?#c)old", "(?P<n>old)")
+    checks = checks.unionByName(frame(schema, *[("r", p, "absent", p, None, None) for p in odd]))
+    files = frame(FILE, ("r", "a.ts", "old(1)\nimport { A } from 'lib'; foo { &y"), ("r", "b.ts", "new()"))
+    assert dict(rows(quality.resolve_checks(checks, files), "check_id", "state")) == {"hit": "unresolved", "miss": "resolved", "bad": "unknown", "imp": "unresolved", "x": "unknown",
+        "foo {": "unresolved", "a{,2}": "resolved", "[&&x]y": "unresolved", "x{2}": "resolved", "(?#c)old": "unknown", "(?P<n>old)": "unknown"}
