@@ -13,7 +13,8 @@ maximal runs of words covered by repeated windows.
    common lengths, and the same backwards to the left; a window is repeated if both its sides are shared with an
    earlier suffix.
 4. A run that occurs more than ``HOT`` times (a passage or line that a third of all documents share) is not gathered:
-   its suffixes are spread, and their windows counted by hash with map-side combining. The result is the same.
+   its suffixes are compared in parts of that size, and only each part's first of every window goes on, as a hash,
+   to be counted over all parts with map-side combining. The result is the same.
 
 Words are compared by 64-bit hashes, white space and nothing else is ignored. Null and empty texts and those of
 fewer than ``WINDOW`` words have no passages; rows with a null id are not compared; rows that repeat an id are one
@@ -33,7 +34,7 @@ from . import common, words
 
 WINDOW = 50
 RUN = 12
-HOT = 2000
+HOT = 8000
 longs = common.longs
 
 
@@ -86,7 +87,10 @@ def _suffixes(run: int, window: int):
                 part = places.slice(row, len(offsets) - 1)
                 items = part.flatten()
                 of = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
-                place, key, hot = (items.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                place, key, parts_ = (items.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                split = parts_ > 1
+                part_of = words.mix(ids[row + of].view(np.uint64)) % parts_.astype(np.uint64)
+                key = np.where(split, words.mix(key.view(np.uint64) + part_of * words.powers(2)[1] + np.uint64(1)).view(np.int64), key)
                 centre = found.first[of] + place
                 lo = np.minimum(place, before)
                 hi = np.minimum(found.first[of + 1] - centre, window)
@@ -96,8 +100,8 @@ def _suffixes(run: int, window: int):
                 at = np.arange(first[-1]) + np.repeat(centre - lo - first[:-1], size)
                 around = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes[at].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(hot), pa.array(ids[row + of]), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int32)), around],
-                    ["run", "hot", "id", "place", "lo", "around"],
+                    [pa.array(key), pa.array(split), pa.array(ids[row + of]), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int32)), around],
+                    ["key", "split", "id", "place", "lo", "around"],
                 )
 
     return work
@@ -130,8 +134,8 @@ def _common(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, np.concatenate([[-1], shared])
 
 
-def repeated_windows(group: np.ndarray, ahead: np.ndarray, back: np.ndarray, rank: np.ndarray, run: int, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words before the run, later suffixes, the earliest suffix with the same window), for each place of the run."""
+def repeated_windows(group: np.ndarray, ahead: np.ndarray, back: np.ndarray, rank: np.ndarray, run: int, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each place of the run in a window: (words before it, later suffixes, the earliest of each, all earliest)."""
     right, shared_right = _common(ahead, group)
     left, shared_left = _common(back, group)
     n = len(group)
@@ -142,85 +146,74 @@ def repeated_windows(group: np.ndarray, ahead: np.ndarray, back: np.ndarray, ran
         to_right[right] = np.cumsum(shared_right < window - d)
         to_left[left] = np.cumsum(shared_left < d)
         fits = np.flatnonzero((whole_right >= window - d) & (whole_left >= d))
-        if len(fits) < 2:
-            continue
         order = fits[np.lexsort((rank[fits], to_left[fits], to_right[fits]))]
         new = np.ones(len(order), bool)
         new[1:] = (to_right[order[1:]] != to_right[order[:-1]]) | (to_left[order[1:]] != to_left[order[:-1]])
         first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = ~new
-        if later.any():
-            yield d, order[later], first[later]
+        yield d, order[~new], first[~new], order[new]
 
 
 BUFFER = 20_000
 
 
 def _compare(run: int, window: int):
-    """Suffixes sorted by run to repeated windows (id, start word, id and word of the earliest)."""
+    """Suffixes sorted by key to rows of two kinds.
+
+    0: repeated windows of ``id`` from ``start`` to ``last``, the first of which stands at ``from_id``, ``from_start``.
+    1: of runs that are compared in parts, a window that is the first of its part: ``last`` is its hash.
+    """
 
     def settle(tables: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(tables).combine_chunks()
         ids, place = longs(table.column("id")), longs(table.column("place")).astype(np.int64)
+        split = longs(table.column("split"))
         ahead, back = _sides(table, run, window)
-        _, group = np.unique(longs(table.column("run")), return_inverse=True)
+        _, group = np.unique(longs(table.column("key")), return_inverse=True)
         order = np.lexsort((place, ids))
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
-        out = [np.zeros((4, 0), np.int64)]
-        for d, later, first in repeated_windows(group, ahead, back, rank, run, window):
-            out.append(np.array([ids[later], place[later] - d, ids[first], place[first] - d]))
-        found = np.concatenate(out, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "start", "from_id", "from_start"])
+        later, firsts = [np.zeros((4, 0), np.int64)], [np.zeros((3, 0), np.int64)]
+        line = np.concatenate([back[:, ::-1], ahead], axis=1).view(np.uint64) if split.any() else None
+        step = words.powers(window)[1 : window + 1]
+        for d, again, first, own in repeated_windows(group, ahead, back, rank, run, window):
+            later.append(np.array([ids[again], place[again] - d, ids[first], place[first] - d]))
+            own = own[split[own]]
+            if len(own):
+                part = line[own, window - run - d : 2 * window - run - d]
+                value = words.mix((part * step).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                firsts.append(np.array([ids[own], place[own] - d, value]))
+        runs = merge(*np.concatenate(later, axis=1))
+        own = np.concatenate(firsts, axis=1)
+        kind = np.repeat([0, 1], [len(runs[0]), own.shape[1]]).astype(np.int8)
+        none = np.zeros(own.shape[1], np.int64)
+        columns = [np.concatenate([a, b]) for a, b in zip(runs, (own[0], own[1], own[2], none, none), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], ["kind", "id", "start", "last", "from_id", "from_start"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
-        for table in common.sorted_groups(batches, "run"):
+        for table in common.sorted_groups(batches, "key"):
             held.append(table)
             rows += table.num_rows
             if rows >= BUFFER:
-                yield merge(settle(held))
+                yield settle(held)
                 held, rows = [], 0
         if held:
-            yield merge(settle(held))
+            yield settle(held)
 
     return work
 
 
-def merge(windows: pa.RecordBatch) -> pa.RecordBatch:
-    """Runs of consecutive starts of one document as one row: (id, start, last start, source of the first)."""
-    ids, start, from_id, from_start = (longs(c) for c in windows.columns)
+def merge(ids: np.ndarray, start: np.ndarray, from_id: np.ndarray, from_start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive starts of one document as one row: id, start, last start, source of the first."""
     order = np.lexsort((from_start, from_id, start, ids))
     ids, start, from_id, from_start = ids[order], start[order], from_id[order], from_start[order]
-    if len(ids):
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (start[1:] > start[:-1] + 1)
-        at = np.flatnonzero(new)
-        last = start[np.append(at[1:], len(ids)) - 1]
-        ids, start, from_id, from_start = ids[at], start[at], from_id[at], from_start[at]
-    else:
-        last = start
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, start, last, from_id, from_start)], ["id", "start", "last", "from_id", "from_start"])
-
-
-def _window_hashes(run: int, window: int):
-    """Of the suffixes of hot runs: every window that holds the run, by hash."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BUFFER):
-                table = pa.Table.from_batches([batch.slice(at, BUFFER)])
-                ahead, back = _sides(table, run, window)
-                line = np.concatenate([back[:, ::-1], ahead], axis=1).view(np.uint64)
-                ids, place = longs(table.column("id")), longs(table.column("place")).astype(np.int64)
-                for d in range(window - run + 1):
-                    part = line[:, window - run - d : 2 * window - run - d]
-                    full = (part != 0).all(axis=1)
-                    step = words.powers(window)[1 : window + 1]
-                    value = words.mix((part[full] * step).sum(axis=1, dtype=np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(ids[full]), pa.array(place[full] - d)], ["window", "id", "start"])
-
-    return work
+    if not len(ids):
+        return ids, start, start, from_id, from_start
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (start[1:] > start[:-1] + 1)
+    at = np.flatnonzero(new)
+    last = start[np.append(at[1:], len(ids)) - 1]
+    return ids[at], start[at], last, from_id[at], from_start[at]
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN, hot: int = HOT) -> DataFrame:
@@ -231,20 +224,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = common.documents(docs, id_col, text_col).filter("id is not null")
     positions = common.stage(texts.mapInArrow(_positions(run, window), "run long, id long, place int"), "positions")
     several = positions.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    several = several.select("run", (F.col("n") > hot).alias("hot"))
-    item = F.struct("place", "run", "hot")
+    several = several.select("run", F.ceil(F.col("n") / F.lit(hot)).cast("long").alias("parts"))
+    item = F.struct("place", "run", "parts")
     wanted = positions.join(several, "run").groupBy("id").agg(F.collect_list(item).alias("places"))  # a document's own places
     whole = texts.groupBy("id").agg(F.max("text").alias("text")) if _repeats(texts) else texts
-    rows = whole.join(wanted, "id").mapInArrow(_suffixes(run, window), "run long, hot boolean, id long, place int, lo int, around array<long>")
-    suffixes = common.stage(rows, "suffixes")
-    usual = suffixes.filter("not hot").repartition(F.col("run")).sortWithinPartitions("run")
-    spans = "id long, start long, last long, from_id long, from_start long"
-    repeated = usual.mapInArrow(_compare(run, window), spans)
-    hashed = suffixes.filter("hot").mapInArrow(_window_hashes(run, window), "window long, id long, start long").distinct()
-    first = hashed.groupBy("window").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "first")
-    later = hashed.join(first, "window").filter("first.id <> id or first.start <> start")
-    popular = later.select("id", "start", F.col("start").alias("last"), F.col("first.id").alias("from_id"), F.col("first.start").alias("from_start"))
-    return _joined(common.stage(repeated.union(popular), "windows"), window)
+    suffixes = whole.join(wanted, "id").mapInArrow(_suffixes(run, window), "key long, split boolean, id long, place int, lo int, around array<long>")
+    sorted_ = suffixes.repartition(F.col("key")).sortWithinPartitions("key")
+    compared = sorted_.mapInArrow(_compare(run, window), "kind byte, id long, start long, last long, from_id long, from_start long")
+    compared = common.stage(compared, "windows")
+    # windows of runs that were compared in parts: each part's first against the others
+    parts = compared.filter("kind = 1").select(F.col("last").alias("window"), "id", "start").distinct()
+    first = parts.groupBy("window").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "first")
+    later = parts.join(first, "window").filter("first.id <> id or first.start <> start")
+    later = common.stage(later.groupBy("id", "start").agg(F.min("first").alias("first")), "later")
+    spans = compared.filter("kind = 0").drop("kind").union(later.select("id", "start", "start", "first.id", "first.start"))
+    found = _joined(spans, window)
+    # a part's first may itself stand earlier in another part
+    earlier = later.select(F.col("id").alias("from_id"), F.col("start").alias("from_start"), "first")
+    found = found.join(earlier, ["from_id", "from_start"], "left")
+    return found.select("id", "start", "end", F.coalesce("first.id", "from_id").alias("from_id"), F.coalesce("first.start", "from_start").alias("from_start"))
 
 
 def _repeats(texts: DataFrame) -> bool:
