@@ -101,17 +101,15 @@ def _(t):
 @query(
     "contract_paging_sites",
     f"""WITH h AS (SELECT DISTINCT repo, host, change_path FROM ({HITS_SQL}) x WHERE change_path LIKE '%:page'),
-             s AS (SELECT p.repo, p.host, 'f' || p.k AS file, row_number() OVER (PARTITION BY p.repo, p.host ORDER BY 'f' || p.k) AS n FROM page_calls p)
-        SELECT h.repo, h.host, h.change_path, s.file FROM h JOIN s ON h.repo = s.repo AND h.host = s.host WHERE s.n <= 2""",
+             s AS (SELECT p.repo, p.host, 'f' || p.k AS file FROM page_calls p)
+        SELECT h.repo, h.host, h.change_path, s.file FROM h JOIN s ON h.repo = s.repo AND h.host = s.host""",
     CALL_VIEWS,
 )
 def _(t):
-    """Paging parameters a vendor newly offers, with at most two of the repository's calls to that host."""
+    """Paging parameters a vendor newly offers, with the repository's calls to that host."""
     hits = contracts.offered_parameters(change_hits(t)).filter(F.col("group") == "paging").select("repo", "host", "change_path").distinct()
-    first = Window.partitionBy("repo", "host").orderBy("file")
     sites = t.view("page_calls").select("repo", "host", F.concat(F.lit("f"), F.col("k").cast("string")).alias("file"))
-    shown = sites.withColumn("n", F.row_number().over(first)).filter("n <= 2").drop("n")
-    return hits.join(shown, ["repo", "host"])
+    return hits.join(sites, ["repo", "host"])
 
 
 @query(

@@ -415,7 +415,7 @@ def _(t):
 
 @query(
     "session_logs",
-    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN CASE WHEN length(body) > 400 THEN substr(body, 1, 400) || '…' ELSE body END WHEN turn % 3 = 1 THEN 'E1' END AS error,
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN body WHEN turn % 3 = 1 THEN 'E1' END AS error,
               CASE WHEN turn % 3 = 0 THEN 'hello' || chr(10) || 'error: ' || body WHEN turn % 3 = 1 THEN 'hello' || chr(10) || 'error: {"data":{"message":" E1 "}}' ELSE 'hello' END AS text
        FROM (SELECT *, trim(regexp_replace(text, '[^a-zA-Z ]', '', 'g')) AS body FROM conversations) x""",
 )

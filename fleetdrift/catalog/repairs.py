@@ -518,11 +518,11 @@ PROPOSE = "SELECT model AS repo, doc_id AS seq, verdict AS outcome, edits_applie
 
 @query(
     "proposals",
-    f"""SELECT repo, seq FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) AS n FROM ({PROPOSE}) p WHERE outcome IN ('verified', 'typecheck-only') AND n_changed > 0) x WHERE n <= 3""",
+    f"""SELECT repo, seq, row_number() OVER (PARTITION BY repo ORDER BY seq) <= 3 AS within FROM ({PROPOSE}) p WHERE outcome IN ('verified', 'typecheck-only') AND n_changed > 0""",
     O,
 )
 def _(t):
-    return quality.proposals(t.sql(PROPOSE, "repair_outcomes"), 3)[0].select("repo", "seq")
+    return quality.proposals(t.sql(PROPOSE, "repair_outcomes"), 3)[0].select("repo", "seq", "within")
 
 
 @query(

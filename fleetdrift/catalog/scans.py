@@ -137,6 +137,18 @@ def _(t):
     return reporting.new_exports(capability_additions(changes(t)))
 
 
+@query(
+    "new_export_names",
+    """SELECT pkg, path FROM expected_changes WHERE kind = 'added'
+         AND path NOT LIKE '%.%' AND coalesce(symbol_kind, 'unknown') IN ('function', 'class', 'variable', 'enum', 'unknown')""",
+    ("expected_changes",),
+)
+def _(t):
+    from ..operators.snapshot import capability_additions
+
+    return capability_additions(changes(t)).select("pkg", "path")
+
+
 @query(
     "detector_groups",
     """SELECT repo, detector, count(*) AS n_findings, CASE detector WHEN 'vulnerability' THEN 'vulnerabilities'
@@ -313,16 +325,16 @@ def _(t):
 
 @query(
     "removal_audit",
-    """WITH r AS (SELECT pkg, path, row_number() OVER (PARTITION BY pkg ORDER BY path) AS n FROM expected_changes WHERE kind = 'removed'),
+    """WITH r AS (SELECT pkg, path FROM expected_changes WHERE kind = 'removed'),
             x AS (SELECT pkg, CASE WHEN k % 2 = 0 THEN path ELSE path || '_' END AS path FROM symbols_from)
        SELECT r.pkg, count(*) AS n_audited, count(x.path) AS n_suspect, round(count(x.path) / count(*), 6) AS suspect_rate
-       FROM r LEFT JOIN x ON r.pkg = x.pkg AND r.path = x.path WHERE r.n <= 40 GROUP BY r.pkg""",
+       FROM r LEFT JOIN x ON r.pkg = x.pkg AND r.path = x.path GROUP BY r.pkg""",
     ("expected_changes", "symbols_from"),
 )
 def _(t):
     removals = changes(t).filter("kind = 'removed'").select("pkg", "path")
     spelled = F.when(F.col("k") % 2 == 0, F.col("path")).otherwise(F.concat("path", F.lit("_")))
-    return locate.suspected_false_removals(removals, t.view("symbols_from").select("pkg", spelled.alias("path")), 40)
+    return locate.suspected_false_removals(removals, t.view("symbols_from").select("pkg", spelled.alias("path")))
 
 
 # --- inventory -------------------------------------------------------------------------------------------------
@@ -405,7 +417,7 @@ def _(t):
 
 @query(
     "package_budget",
-    f"""SELECT repo, name FROM (SELECT repo, name, row_number() OVER (PARTITION BY repo ORDER BY name) AS n FROM ({INSTALLED_SQL}) i) x WHERE n <= 4""",
+    f"""SELECT repo, name, row_number() OVER (PARTITION BY repo ORDER BY name) <= 4 AS within FROM ({INSTALLED_SQL}) i""",
     DECLARED_VIEWS,
 )
 def _(t):

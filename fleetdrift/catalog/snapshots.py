@@ -198,7 +198,7 @@ def _(t):
 
 @query(
     "signature_normalise",
-    """SELECT doc_id, CASE WHEN length(flat) > 4000 THEN substr(flat, 1, 4000) || '…<truncated>' ELSE flat END AS signature
+    """SELECT doc_id, flat AS signature
        FROM (SELECT doc_id, 'Map<"pkg/index">' || CASE WHEN trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) = '' THEN ''
              ELSE ' ' || trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) END AS flat FROM documents) d""",
 )

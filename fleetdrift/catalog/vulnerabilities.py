@@ -170,7 +170,7 @@ def _(t):
 
 @query(
     "advisory_budget",
-    "SELECT DISTINCT advisory FROM expected_vulnerable ORDER BY advisory LIMIT 40",
+    "SELECT advisory, row_number() OVER (ORDER BY advisory) <= 40 AS within FROM (SELECT DISTINCT advisory FROM expected_vulnerable) x",
     SIDE,
 )
 def _(t):

@@ -12,22 +12,14 @@ from pyspark.sql import functions as F
 from .text import strip
 
 IDENTIFIER = r"[A-Za-z_$][\w$]*"
-MAX_SIGNATURE = 4000
-CUT_MARK = "…<truncated>"
 
 
 def normalise_signature(text: Column) -> Column:
-    """Reduce cached module paths to package and subpath, drop import wrappers, collapse whitespace, cut long texts."""
+    """Reduce cached module paths to package and subpath, drop import wrappers, collapse whitespace; no text is cut."""
     quoted_path = r"""(["'])[^"']*?/cache/([^/"']+)/[^/"']+/package/([^"']*)\1"""
     out = F.regexp_replace(text, quoted_path, "$1$2/$3$1")
     out = F.regexp_replace(out, r"""import\((?:"[^"]*"|'[^']*')\)\.""", "")
-    out = strip(F.regexp_replace(out, r"\s+", " "))
-    cut = F.concat(F.substring(out, 1, MAX_SIGNATURE), F.lit(CUT_MARK))
-    return F.when(F.length(out) > MAX_SIGNATURE, cut).otherwise(out)
-
-
-def is_cut(text: Column) -> Column:
-    return text.endswith(CUT_MARK)
+    return strip(F.regexp_replace(out, r"\s+", " "))
 
 
 # The folds below are SQL text: one parsed expression instead of hundreds of calls to build it. ``{s}`` is the text.

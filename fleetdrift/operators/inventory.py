@@ -129,9 +129,9 @@ def resolution_status(dependencies: DataFrame, targets: DataFrame, pinned: DataF
 
 
 def within_budget(rows: DataFrame, group: list[str], order: list[str], budget: int) -> DataFrame:
-    """The first ``budget`` rows of each group: the limit the user set on a scan."""
+    """All rows, and whether each is among the first ``budget`` of its group: the limit the user set on one scan."""
     first = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= budget).drop("__n")
+    return rows.withColumn("within", F.row_number().over(first) <= budget)
 
 
 def over_budget(rows: DataFrame, group: list[str], budget: int) -> DataFrame:

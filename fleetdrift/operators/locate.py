@@ -201,16 +201,11 @@ def remaining_deprecations(deprecated: DataFrame, sites: DataFrame, imports: Dat
     )
 
 
-def suspected_false_removals(removals: DataFrame, exported: DataFrame, cap: int) -> DataFrame:
-    """Reported removals that an independent export table still resolves; at most ``cap`` audited per package.
-
-    Adds per package the rate over the audited ones. The cap is the audit's own sample size.
-    """
-    first = Window.partitionBy("pkg").orderBy("path")
-    audited = removals.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= cap).drop("n")
+def suspected_false_removals(removals: DataFrame, exported: DataFrame) -> DataFrame:
+    """Per package: reported removals, those that an independent export table still resolves, and their rate."""
     found = exported.select("pkg", "path", F.lit(1).alias("hit")).distinct()
     return (
-        audited.join(found, ["pkg", "path"], "left")
+        removals.join(found, ["pkg", "path"], "left")
         .groupBy("pkg")
         .agg(F.count(F.lit(1)).alias("n_audited"), F.count("hit").alias("n_suspect"))
         .withColumn("suspect_rate", F.round(F.col("n_suspect") / F.col("n_audited"), 6))

@@ -184,12 +184,14 @@ def repair_routes(findings: DataFrame) -> DataFrame:
 
 
 def proposals(results: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """(proposed, skipped counts) per repository: verified results that change files, up to the limit of one run.
+    """(all that could be proposed, skipped counts) per repository: verified results that change files.
+
+    ``within`` tells whether a result is inside the limit of one run.
 
     ``results``: repo, pkg, seq, outcome, n_changed.
     """
     fit = results.filter(verification_passed(F.col("outcome")) & (F.col("n_changed") > 0))
     first = Window.partitionBy("repo").orderBy("seq")
-    proposed = fit.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= cap).drop("n")
+    proposed = fit.withColumn("within", F.row_number().over(first) <= cap)
     skipped = fit.groupBy("repo").agg(F.greatest(F.count(F.lit(1)) - F.lit(cap), F.lit(0)).alias("n_skipped"))
     return proposed, skipped

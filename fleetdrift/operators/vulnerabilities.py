@@ -83,8 +83,10 @@ def enrich(vulnerabilities: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def within_budget(vulnerabilities: DataFrame, budget: int) -> DataFrame:
-    """The advisories to enrich: the first ``budget`` distinct ids in id order, a limit of the service asked."""
-    return vulnerabilities.select("advisory").distinct().orderBy("advisory").limit(budget)
+    """Every distinct advisory, and whether it is among the first ``budget`` in id order, which one round may ask for."""
+    found = vulnerabilities.select("advisory").distinct()
+    last = found.orderBy("advisory").limit(budget).agg(F.max("advisory").alias("last"))
+    return found.join(F.broadcast(last), F.lit(True)).select("advisory", (F.col("advisory") <= F.col("last")).alias("within"))  # one row
 
 
 def worst_urgency(enriched: DataFrame) -> DataFrame:

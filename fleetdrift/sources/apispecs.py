@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.text import let, strip, strip_left
 from .. import schemas
 
-# The methods a path item may describe, and the largest description that is read.
+# The methods a path item may describe.
 METHODS = "get put post delete options head patch trace".split()
-MAX_SPEC_BYTES = 16 * 1024 * 1024
 SPEC_PROPERTY = r"(?i)^(swagger|openapi|x-openapi|apis?-?spec)$"
 
 
 def is_spec(body: Column) -> Column:
-    """An object that names its format and holds a paths object, of a size that is read at all."""
+    """An object that names its format and holds a paths object, of any size."""
     named = F.get_json_object(body, "$.openapi").isNotNull() | F.get_json_object(body, "$.swagger").isNotNull()
     paths = strip(F.coalesce(F.get_json_object(body, "$.paths"), F.lit("")))
-    readable = (F.length(body) > 0) & (F.length(body) <= MAX_SPEC_BYTES) & strip_left(body).startswith("{")
+    readable = (F.length(body) > 0) & strip_left(body).startswith("{")
     return F.coalesce(readable & named & paths.startswith("{"), F.lit(False))
 
 

@@ -16,7 +16,6 @@ MYPY = r"(?m)^[ \t]*(\S+?):(\d+):(?:\d+:)?\s*error\b"
 # What a review may call a problem.
 REVIEW_SEVERITIES = ("duplication", "structural", "complexity", "boundary", "atomicity", "size")
 CONTRACT_CONCERNS = ("scope", "pagination", "ordering", "errors", "collateral")
-MAX_ERROR = 400
 
 
 class DiagnosticParser:
@@ -144,12 +143,9 @@ def _error_text(event: Column) -> Column:
 
 
 def session_error(log: Column) -> Column:
-    """The first error of a JSON-lines session log, cut at 400 characters; NULL where there is none."""
+    """The first error of a JSON-lines session log; NULL where there is none."""
     errors = F.filter(_events(log), lambda e: F.get_json_object(e, "$.type") == "error")
-    return let(
-        F.get(F.transform(errors, _error_text), 0),
-        lambda text: F.when(F.length(text) > MAX_ERROR, F.concat(F.substring(text, 1, MAX_ERROR), F.lit("…"))).otherwise(text),
-    )
+    return F.get(F.transform(errors, _error_text), 0)
 
 
 def session_text(log: Column) -> Column:

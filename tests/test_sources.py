@@ -142,3 +142,23 @@ def test_completeness_checks(frame, rows):
     files = frame(FILE, ("r", "a.ts", "old(1)\nimport { A } from 'lib'; foo { &y"), ("r", "b.ts", "new()"))
     assert dict(rows(quality.resolve_checks(checks, files), "check_id", "state")) == {"hit": "unresolved", "miss": "resolved", "bad": "unknown", "imp": "unresolved", "x": "unknown",
         "foo {": "unresolved", "a{,2}": "resolved", "[&&x]y": "unresolved", "x{2}": "resolved", "(?#c)old": "unknown", "(?P<n>old)": "unknown"}
+
+
+def test_long_texts_are_whole(frame, rows):
+    from fleetdrift.functions import signatures
+
+    long = "(" + "a: string, " * 1000 + "b: number) => void"
+    df = frame("k int, text string", (0, long + "x"), (1, long + "y"))
+    assert sorted(rows(df, signatures.normalise_signature(F.col("text")))) == [(long + "x",), (long + "y",)]
+    error = "e" * 5000
+    assert rows(frame("log string", (f'{{"type":"error","error":"{error}"}}',)), logs.session_error(F.col("log"))) == [(error,)]
+    body = '{"openapi":"3.1.0","info":{"title":"' + "t" * (17 << 20) + '"},"paths":{}}'
+    from fleetdrift.sources import apispecs
+
+    assert rows(frame("body string", (body,)), apispecs.is_spec(F.col("body"))) == [(True,)]
+
+
+def test_option_belongs_to_the_nearest_imported_constructor(frame, rows):
+    text = "import Stripe from 'stripe';\nimport { Other } from './own';\nconst c = new Stripe({\n" + "  // more\n" * 30 + "  x: new Other({}), apiVersion: '2024-06-20." + "a" * 60 + "',\n});\n"
+    found = pins.extract_pins(frame(FILE, ("r", "a.ts", text)))
+    assert rows(found, "line", "subject", "version") == [(34, "stripe", "2024-06-20." + "a" * 60)]
