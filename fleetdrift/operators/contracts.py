@@ -2,8 +2,9 @@
 
 A description route is a template. Instead of testing every call against every template, each template is
 keyed by its shape (which segments are parameters) and its literal text; a call is rewritten once per shape
-its host uses and then hash-joined. Routes are distinct before they are rewritten, so a host that receives a
-third of all calls costs as much as its distinct routes.
+its host uses and then hash-joined. A call with runtime segments meets the templates whose first and last literal
+it holds, and is walked along each of them once. Routes are distinct before, so a host that receives a third of all
+calls costs as much as its distinct routes.
 """
 
 from __future__ import annotations
@@ -62,42 +63,42 @@ def match_routes(calls: DataFrame, templates: DataFrame, keys: list[str]) -> Dat
     """
     shaped = _shaped(templates, keys)
     shapes = shaped.select(*keys, "method", "mask", "open").distinct()
-    run = F.array_max(F.transform(F.regexp_extract_all("mask", F.lit("(T+|L)"), F.lit(1)), F.length))
-    widest = shapes.groupBy(*keys, "method").agg(F.max(run).alias("widest"))
-    routes = calls.select(*keys, "method", F.col("route").alias("call_route")).distinct().join(widest, [*keys, "method"])
-
-    def lengthen(paths, segment):
-        repeated = F.flatten(
-            F.transform(
-                paths,
-                lambda p: F.transform(
-                    F.sequence(F.lit(1), F.col("widest")), lambda n: F.concat(p, F.array_repeat(F.lit("{}"), n))
-                ),
-            )
-        )
-        return F.when(segment == "{}", repeated).otherwise(F.transform(paths, lambda p: F.concat(p, F.array(segment))))
-
-    start = F.array(F.array().cast("array<string>"))
-    expanded = routes.select(
-        *keys, "method", "call_route", F.explode(F.aggregate(F.split("call_route", "/"), start, lengthen)).alias("segments")
-    )
-    tried = split_hot_join(expanded, shapes, [*keys, "method"])
+    routes = calls.select(*keys, "method", F.col("route").alias("call_route"), F.split("route", "/").alias("segments")).distinct()
+    at_runtime = F.array_contains("segments", "{}")
+    tried = split_hot_join(routes.filter(~at_runtime), shapes, [*keys, "method"])
     n = F.length("mask")
-    at_end = F.get(F.col("segments"), n - 1)
-    fits = (F.size("segments") == n) | (F.col("open") & (F.size("segments") > n) & (at_end != "{}"))
-    head = F.slice("segments", F.lit(1), n)
+    fits = (F.size("segments") == n) | (F.col("open") & (F.size("segments") > n))
     kinds = F.slice(F.split("mask", ""), F.lit(1), n)
-    # a parameter position takes anything; a literal position takes the call's own literal, never a runtime segment
-    keyed = F.zip_with(head, kinds, lambda s, kind: F.when(kind == "T", "{}").when(s != "{}", s))
-    tried = tried.filter(fits).withColumn("keyed", keyed).filter(F.forall("keyed", lambda s: s.isNotNull()))
-    key = F.array_join("keyed", "/")
-    return (
-        tried.withColumn("key", key)
-        .drop("keyed", "segments")
-        .join(shaped, [*keys, "method", "mask", "open", "key"])
-        .select(*keys, "method", "call_route", "route")
-        .distinct()
-    )
+    keyed = F.zip_with(F.slice("segments", F.lit(1), n), kinds, lambda s, kind: F.when(kind == "T", "{}").otherwise(s))
+    written = tried.filter(fits).withColumn("key", F.array_join(keyed, "/")).drop("segments").join(shaped, [*keys, "method", "mask", "open", "key"])
+    found = [written, _walked(routes.filter(at_runtime), shaped, keys)]
+    return found[0].select(*keys, "method", "call_route", "route").union(found[1].select(*keys, "method", "call_route", "route")).distinct()
+
+
+# The places of a template that a call's segments can have reached, one segment after the other; -1 once the last
+# parameter takes all that remains. A runtime segment takes one or more parameters, a literal one or its equal.
+_WALK = """aggregate(segments, array(0), (reached, s) -> array_distinct(flatten(transform(reached, j -> CASE
+    WHEN j = -1 THEN array(-1)
+    WHEN j >= length(mask) THEN array()
+    WHEN s = '{}' THEN CASE WHEN get(runs, j) > 0 THEN sequence(j + 1, j + get(runs, j)) ELSE array() END
+    WHEN substring(mask, j + 1, 1) = 'T' THEN CASE WHEN open AND j = length(mask) - 1 THEN array(-1) ELSE array(j + 1) END
+    WHEN get(template, j) = s THEN array(j + 1) ELSE array() END))))"""
+
+
+def _walked(routes: DataFrame, shaped: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls with runtime segments and the templates they reach, in as many steps as the two have segments."""
+    literals = F.array_distinct(F.filter("segments", lambda s: (s != "{}") & (s != "")))
+    ends = F.transform(literals, lambda a: F.transform(literals, lambda b: F.struct(a.alias("first"), b.alias("last"))))
+    none = F.array(F.struct(F.lit("").alias("first"), F.lit("").alias("last")))
+    asked = routes.withColumn("end", F.explode(F.concat(none, F.flatten(ends)))).select(*routes.columns, "end.*")
+    fixed = F.filter(F.split("key", "/"), lambda s: (s != "{}") & (s != ""))
+    runs = F.transform(F.sequence(F.lit(1), F.length("mask")), lambda j: F.length(F.regexp_extract(F.substring("mask", j, F.length("mask")), "^(T*)", 1)))
+    offered = shaped.select(
+        *keys, "method", "route", "mask", "open", F.split("route", "/").alias("template"), runs.alias("runs"),
+        F.coalesce(F.get(fixed, 0), F.lit("")).alias("first"), F.coalesce(F.get(fixed, F.size(fixed) - 1), F.lit("")).alias("last"),
+    )
+    met = asked.join(offered, [*keys, "method", "first", "last"]).withColumn("reached", F.expr(_WALK))
+    return met.filter(F.array_contains("reached", F.length("mask")) | F.array_contains("reached", -1))
 
 
 def check_calls(calls: DataFrame, described: DataFrame) -> DataFrame:

@@ -44,6 +44,21 @@ def test_random_routes_against_brute_force(frame):
     assert len(expect) > 50
 
 
+def test_many_runtime_segments_are_walked_once(frame):
+    import time
+
+    call = "/v1" + "/{}" * 20 + "/end"
+    specs = ["/v1" + "/{p}" * n + "/end" for n in range(15, 40)] + ["/v1" + "/{p}" * 30 + "/other", "/{p}" * 30]
+    got = contracts.match_routes(
+        frame("host string, method string, route string", ("h", "GET", call)),
+        frame("host string, method string, route string, spans boolean", *[("h", "GET", s, True) for s in specs]),
+        ["host"],
+    )
+    start = time.perf_counter()
+    assert {r.route for r in got.collect()} == {s for s in specs if s.endswith("/end") and s.count("{p}") >= 20} | {"/{p}" * 30}
+    assert time.perf_counter() - start < 30
+
+
 def outcome(frame, operations, *routes):
     ops = frame("host string, method string, route string", *[("h", *o.split(" ")) for o in operations])
     described = contracts.described_endpoints(ops, frame("host string, base string", ("h", "")), ["host"])
