@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, strip, strip_left
+from ..functions.text import strip, strip_left
+from ..session import cut_lineage
 from .. import schemas
 
 # The methods a path item may describe.
@@ -34,84 +35,88 @@ def base_paths(document: Column) -> Column:
     return F.array_union(F.array(F.lit("")), found)
 
 
-def _json_path(pointer: Column) -> Column:
-    parts = F.transform(
+def _parts(pointer: Column) -> Column:
+    """The parts of a local reference, unescaped."""
+    return F.transform(
         F.split(F.substring(pointer, 3, 1 << 20), "/"), lambda p: F.replace(F.replace(p, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
     )
-    return F.concat(F.lit("$"), F.array_join(F.transform(parts, lambda p: F.concat(F.lit("['"), p, F.lit("']"))), ""))
 
 
-def reference_targets(body: Column) -> Column:
-    """Map from every local ``$ref`` of a document to the text it ends at, chains followed.
+def _json_path(parts: Column, index: bool = False) -> Column:
+    def one(p):
+        quoted = F.concat(F.lit("['"), p, F.lit("']"))
+        return F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("["), p, F.lit("]"))).otherwise(quoted) if index else quoted
 
-    A chain cannot be longer than the number of distinct references; what is still a reference after that
-    many steps is a cycle and stays one. External references are not in the map.
-    """
-    pointers = F.array_distinct(F.regexp_extract_all(body, F.lit(r'"\$ref"\s*:\s*"(#/[^"]*)"'), F.lit(1)))
-    direct = F.filter(
-        F.transform(
-            pointers,
-            lambda p: F.named_struct(F.lit("key"), p, F.lit("value"), F.call_function("get_json_object", body, _json_path(p))),
-        ),
-        lambda e: e["value"].isNotNull(),
-    )
+    return F.concat(F.lit("$"), F.array_join(F.transform(parts, one), ""))
 
-    def settle_all(one_step):
-        def step(text, _):
-            return F.coalesce(F.try_element_at(one_step, F.get_json_object(text, "$['$ref']")), text)
 
-        def settle(_, value):
-            chained = F.get_json_object(value, "$['$ref']").isNotNull()
-            return F.when(chained, F.aggregate(F.sequence(F.lit(1), F.size(one_step)), value, step)).otherwise(value)
+def _reference(text: Column) -> Column:
+    return F.get_json_object(text, "$['$ref']")
 
-        return F.transform_values(one_step, settle)
 
-    return F.when(F.size(direct) > 0, let(F.map_from_entries(direct), settle_all))
+def reference_table(documents: DataFrame, doc: list[str], body: str = "body") -> DataFrame:
+    """doc, pointer, target: what every local ``$ref`` of a document ends at, chains followed.
 
-
-def _resolved(text: Column, targets: Column) -> Column:
-    ref = F.get_json_object(text, "$['$ref']")
-    return F.coalesce(F.when(ref.isNotNull(), F.try_element_at(targets, ref)), text)
+    Each container of a document (``parameters``, ``components/schemas``, ...) is taken apart once, whatever number of
+    references leads into it. Chains are followed by doubling, so the rounds are the logarithm of the longest; what is
+    still a reference after that is a cycle and stays one. External references are not in the table.
+    """
+    pointers = F.array_distinct(F.regexp_extract_all(body, F.lit(r'"\$ref"\s*:\s*"(#/[^"]*)"'), F.lit(1)))
+    asked = documents.select(*doc, F.explode(pointers).alias("pointer")).withColumn("parts", _parts(F.col("pointer")))
+    depth = F.when(F.get("parts", 0) == "components", 2).otherwise(1)
+    asked = asked.select(
+        *doc, "pointer", F.slice("parts", F.lit(1), depth).alias("container"), F.get("parts", depth).alias("name"),
+        F.slice("parts", depth + 2, F.greatest(F.size("parts") - depth - 1, F.lit(0))).alias("rest"),
+    )
+    containers = asked.select(*doc, "container").distinct().join(documents, doc)
+    text = F.call_function("get_json_object", F.col(body), _json_path(F.col("container")))
+    entries = containers.select(*doc, "container", F.explode(F.from_json(text, "map<string,string>")).alias("name", "text"))
+    inside = F.coalesce(F.call_function("get_json_object", "text", _json_path(F.col("rest"))), F.call_function("get_json_object", "text", _json_path(F.col("rest"), index=True)))
+    found = asked.join(entries, [*doc, "container", "name"]).select(*doc, "pointer", F.when(F.size("rest") == 0, F.col("text")).otherwise(inside).alias("target"))
+    found = cut_lineage(found.filter("target is not null"), "references")
+    chained = found.filter(_reference(F.col("target")).isNotNull())
+    longest = chained.groupBy(*doc).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(longest).bit_length()):
+        step = found.select(*doc, F.col("pointer").alias("next"), F.col("target").alias("further"))
+        found = found.withColumn("next", _reference(F.col("target"))).join(step, [*doc, "next"], "left")
+        found = cut_lineage(found.select(*doc, "pointer", F.coalesce("further", "target").alias("target")), "references")
+    return found
+
+
+def _followed(rows: DataFrame, column: str, targets: DataFrame, doc: list[str]) -> DataFrame:
+    """``column`` replaced by what it refers to, where it is a reference that is known."""
+    looked = rows.withColumn("pointer", _reference(F.col(column))).join(targets, [*doc, "pointer"], "left")
+    return looked.withColumn(column, F.coalesce("target", column)).drop("pointer", "target")
 
 
 def read_operations(specs: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
-    """keys, method, route, deprecated, params. References are followed where an operation is looked up only."""
-    readable = specs.filter(is_spec(F.col(body)))
-    items = readable.select(
-        *keys, reference_targets(F.col(body)).alias("targets"), F.explode(F.from_json(F.get_json_object(body, "$.paths"), "map<string,string>")).alias("route", "item")
-    )
-    ops = items.select(
-        *keys, "targets", "route", F.explode(F.from_json(_resolved(F.col("item"), F.col("targets")), "map<string,string>")).alias("verb", "op")
-    ).filter(F.lower("verb").isin(*METHODS))
-    read = ops.withColumn("op", _resolved(F.col("op"), F.col("targets")))
-    return read.filter(strip_left(F.col("op")).startswith("{")).select(
-        *keys,
+    """keys, method, route, deprecated, params. References are looked up where an operation, a parameter or its schema is one."""
+    readable = specs.filter(is_spec(F.col(body))).withColumn("__doc", F.xxhash64(body))
+    doc = [*keys, "__doc"]
+    targets = reference_table(readable.select(*doc, body), doc, body)
+    items = readable.select(*doc, F.explode(F.from_json(F.get_json_object(body, "$.paths"), "map<string,string>")).alias("route", "item"))
+    items = _followed(items, "item", targets, doc)
+    ops = items.select(*doc, "route", F.explode(F.from_json("item", "map<string,string>")).alias("verb", "op")).filter(F.lower("verb").isin(*METHODS))
+    ops = _followed(ops, "op", targets, doc).filter(strip_left(F.col("op")).startswith("{"))
+    operation = [*doc, "method", "route", "deprecated"]
+    read = ops.select(
+        *doc,
         F.upper("verb").alias("method"),
         "route",
-        (F.get_json_object("op", "$.deprecated") == "true").alias("d"),
-        F.from_json(F.get_json_object("op", "$.parameters"), "array<string>").alias("raw"),
-        "targets",
-    ).select(
-        *keys,
-        "method",
-        "route",
-        F.coalesce("d", F.lit(False)).alias("deprecated"),
-        _read_params(F.col("raw"), F.col("targets")).alias("params"),
+        F.coalesce(F.get_json_object("op", "$.deprecated") == "true", F.lit(False)).alias("deprecated"),
+        F.posexplode_outer(F.from_json(F.get_json_object("op", "$.parameters"), "array<string>")).alias("pos", "p"),
     )
-
-
-def _read_params(raw: Column, targets: Column) -> Column:
-    def read(text):
-        p = _resolved(text, targets)
-        schema = _resolved(F.get_json_object(p, "$.schema"), targets)
-        return F.struct(
-            F.get_json_object(p, "$.name").alias("name"),
-            F.coalesce(F.get_json_object(p, "$.in"), F.lit("query")).alias("location"),
-            F.coalesce(F.get_json_object(p, "$.required") == "true", F.lit(False)).alias("required"),
-            F.coalesce(F.get_json_object(schema, "$.type"), F.lit("unknown")).alias("type"),
-        )
-
-    return F.filter(F.transform(raw, read), lambda p: p["name"].isNotNull())
+    read = _followed(read, "p", targets, doc).withColumn("schema", F.get_json_object("p", "$.schema"))
+    read = _followed(read, "schema", targets, doc)
+    param = F.struct(
+        "pos",
+        F.get_json_object("p", "$.name").alias("name"),
+        F.coalesce(F.get_json_object("p", "$.in"), F.lit("query")).alias("location"),
+        F.coalesce(F.get_json_object("p", "$.required") == "true", F.lit(False)).alias("required"),
+        F.coalesce(F.get_json_object("schema", "$.type"), F.lit("unknown")).alias("type"),
+    )
+    named = read.groupBy(*operation).agg(F.sort_array(F.collect_list(F.when(F.get_json_object("p", "$.name").isNotNull(), param))).alias("params"))
+    return named.select(*keys, "method", "route", "deprecated", F.transform("params", lambda p: p.dropFields("pos")).alias("params"))
 
 
 def operations(read: DataFrame, keys: list[str]) -> DataFrame:

@@ -97,6 +97,22 @@ def test_spec_references_are_followed(frame, rows):
     ]
 
 
+def test_many_references_in_one_document(frame, rows):
+    import json
+
+    n = 5000
+    parameters = {f"p{k}": {"$ref": f"#/components/parameters/p{k + 1}"} if k % 50 else {"name": f"n{k}", "schema": {"$ref": f"#/components/schemas/s{k}"}} for k in range(n)}
+    parameters["x/y"] = {"name": "slash", "schema": {"type": "boolean"}}
+    paths = {f"/r{k}": {"get": {"parameters": [{"$ref": f"#/components/parameters/p{k}"}]}} for k in range(0, n, 10)}
+    paths["/deep"] = {"get": {"parameters": [{"$ref": "#/paths/~1other/post/parameters/1"}, {"$ref": "#/components/parameters/x~1y"}, {"$ref": "#/components/parameters/none"}]}}
+    paths["/other"] = {"post": {"parameters": [{"name": "a"}, {"name": "b", "in": "header"}]}}
+    body = {"openapi": "3.0.0", "paths": paths, "components": {"parameters": parameters, "schemas": {f"s{k}": {"type": "integer"} for k in range(0, n, 50)}}}
+    read = apispecs.read_operations(frame("vendor string, body string", ("v", json.dumps(body))), ["vendor"])
+    found = rows(apispecs.operation_params(read, ["vendor"]), "route", "name", "location", "type")
+    chained = [(f"/r{k}", f"n{-(-k // 50) * 50}", "query", "integer") for k in range(0, n, 10) if -(-k // 50) * 50 < n]
+    assert found == sorted([*chained, ("/deep", "b", "header", "unknown"), ("/deep", "slash", "query", "boolean"), ("/other", "a", "query", "unknown"), ("/other", "b", "header", "unknown")], key=repr)
+
+
 OPS = "vendor string, method string, route string, deprecated boolean"
 PARAMS = "vendor string, method string, route string, name string, location string, required boolean, type string"
 
