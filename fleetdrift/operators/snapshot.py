@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signatures as S
+from ..skew import split_hot_join
 
 # Display rank of a severity; anything not listed ranks 9.
 SEVERITY_RANK = {"breaking": 0, "deprecation": 1, "feature": 2, "safe": 3}
@@ -134,7 +135,7 @@ def diff_symbols(
     """
     both = paired(from_symbols, to_symbols, aliases)
     if flags is not None:
-        both = both.join(flags.select("pkg", "unanalyzable", "hide_removals", "hide_additions"), "pkg", "left")
+        both = split_hot_join(both, flags.select("pkg", "unanalyzable", "hide_removals", "hide_additions"), ["pkg"], "left")
     else:
         both = both.select("*", *[F.lit(False).alias(c) for c in ("unanalyzable", "hide_removals", "hide_additions")])
     both = both.filter(~F.coalesce("unanalyzable", F.lit(False)))
@@ -145,7 +146,10 @@ def diff_symbols(
             F.col("in_from") & ~F.col("in_to") & ~F.col("via_alias") & S.names_own_declaration(F.col("from_signature"), F.col("path")),
             F.col("from_signature"),
         ),
-    ).join(moves.withColumnRenamed("signature", "move_key"), ["pkg", "move_key"], "left")
+    )
+    # nearly every symbol has no move key: its path stands in for it, so that they spread and meet nothing
+    spread = F.coalesce("move_key", F.concat(F.lit("\0"), F.col("path")))
+    both = both.withColumn("move_key", spread).join(moves.withColumnRenamed("signature", "move_key"), ["pkg", "move_key"], "left")
 
     before, after = F.col("from_signature"), F.col("to_signature")
     differs = before != after

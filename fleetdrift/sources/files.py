@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Suffixes that count as source, and folders that never do.
-SOURCE_SUFFIXES = ".ts .tsx .mts .cts .js .jsx .mjs .cjs .py .pyi".split()
-SKIPPED_FOLDERS = ("node_modules", ".git", "dist")
+# How the names of source files end, and folders that are never walked.
+SOURCE_ENDINGS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".py", ".pyi", ".sh", ".bash", "Dockerfile", "Containerfile")
+SKIPPED_FOLDERS = (
+    "node_modules", ".git", "dist", "build", "coverage", ".next", "out",
+    ".venv", "venv", "__pycache__", "site-packages", ".tox", ".nox", "envs",
+)
 
 
 def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -21,10 +24,17 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def source_files(files: DataFrame) -> DataFrame:
-    """Files with a source suffix outside the skipped folders."""
-    suffix = r"\.(" + "|".join(s[1:] for s in SOURCE_SUFFIXES) + ")$"
+    """Files whose name ends like source, outside the skipped folders; ``env`` is one where it holds ``pyvenv.cfg``."""
+    ending = r"(" + "|".join(e.replace(".", r"\.") for e in SOURCE_ENDINGS) + ")$"
     folders = r"(^|/)(" + "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS) + ")/"
-    return files.filter(F.col("file").rlike(suffix) & ~F.col("file").rlike(folders))
+    walked = files.filter(F.col("file").rlike(ending) & ~F.col("file").rlike(folders))
+    above = F.regexp_extract("file", r"^((?:.*/)?env)/pyvenv\.cfg$", 1)
+    virtual = files.select("repo", above.alias("env")).filter("env <> ''").distinct()
+    inside = walked.filter(F.col("file").rlike(r"(^|/)env/"))
+    parts = F.split("file", "/")
+    folder = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")), lambda f: f.rlike("(^|/)env$"))
+    hidden = inside.select("repo", "file", F.explode(folder).alias("env")).join(virtual, ["repo", "env"]).select("repo", "file").distinct()
+    return walked.join(hidden, ["repo", "file"], "left_anti")
 
 
 def escaping_links(entries: DataFrame) -> DataFrame:

@@ -134,6 +134,13 @@ def test_files_on_disk(spark, tmp_path, rows):
     assert rows(file_source.source_files(tree), "repo", "file", "content") == [("one", "src/a.ts", "x"), ("two", "c.py", "z")]
 
 
+def test_walked_files(frame, rows):
+    kept = ["a.ts", "x/run.sh", "api.Dockerfile", "Containerfile", "env/a.py", "b/env/c.py"]
+    left = ["build/a.ts", "x/.next/a.js", "venv/a.py", "c/site-packages/a.py", "a.md", "v/env/lib/a.py", "v/env/env/x.py"]
+    tree = frame("repo string, file string", *[("r", f) for f in [*kept, *left, "v/env/pyvenv.cfg"]], ("q", "v/env/a.py"))
+    assert sorted(rows(file_source.source_files(tree))) == sorted([*[("r", f) for f in kept], ("q", "v/env/a.py")])
+
+
 def test_completeness_checks(frame, rows):
     schema = "repo string, check_id string, kind string, pattern string, symbol string, pkg string"
     checks = frame(schema, ("r", "hit", "absent", "old\\(", None, None), ("r", "miss", "absent", "zzz", None, None), ("r", "bad", "absent", "(", None, None), ("r", "imp", "import", None, "A", "lib"), ("none", "x", "absent", "a", None, None))
