@@ -193,11 +193,11 @@ def _(t):
 
 
 class _SplitDetector:
-    def __init__(self, detector_id: str, flag: str):
-        self.detector_id, self.flag = detector_id, flag
+    def __init__(self, detector_id: str, *flags: str):
+        self.detector_id, self.flags = detector_id, flags
 
     def detect(self, tables):
-        lines = tables["lines"].filter(F.col("l_returnflag") == self.flag)
+        lines = tables["lines"].filter(F.col("l_returnflag").isin(*self.flags))
         return lines.select("repo", F.col("l_orderkey").alias("subject")), lines.select("repo").distinct()
 
 
@@ -210,13 +210,13 @@ class _BrokenDetector:
 
 @query(
     "detector_run",
-    """SELECT detector, n, reason FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'first' ELSE 'second' END AS detector, count(*) AS n, CAST(NULL AS VARCHAR) AS reason FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1
+    """SELECT detector, n, reason FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'first' ELSE 'second' END AS detector, count(*) AS n, CAST(NULL AS VARCHAR) AS reason FROM lineitem GROUP BY 1
        UNION ALL SELECT 'broken', 0, 'its database could not be reached') x""",
 )
 def _(t):
     """Two detectors and one that fails: its failure is a row, the others report."""
     lines = t.table("lineitem").select(F.col("l_suppkey").cast("string").alias("repo"), "l_orderkey", "l_returnflag")
-    run = detectors.run_detectors([_SplitDetector("first", "A"), _BrokenDetector(), _SplitDetector("second", "N")], {"lines": lines})
+    run = detectors.run_detectors([_SplitDetector("first", "A"), _BrokenDetector(), _SplitDetector("second", "N", "R")], {"lines": lines})
     counted = run.findings.groupBy("detector").agg(F.count(F.lit(1)).alias("n")).withColumn("reason", F.lit(None).cast("string"))
     failed = t.spark.createDataFrame([(d, 0, r) for d, r in run.failures], "detector string, n bigint, reason string")
     return counted.unionByName(failed)

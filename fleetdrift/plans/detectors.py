@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import reporting
+from ..session import cut_lineage
 from ..sources import logs
-from . import reports
+from . import contracts, reports, vulnerabilities
 
 
 class EcosystemInventory(Protocol):
@@ -54,11 +55,16 @@ class DetectorRun:
 
 
 def run_detectors(detectors: list[Detector], tables: dict[str, DataFrame]) -> DetectorRun:
-    """All findings as one table. A detector that cannot be planned is a failure of its own, not of the scan."""
+    """All findings as one table. A detector that fails, planned or run, is a failure of its own and not of the scan.
+
+    What a detector finds is written while its failures are caught, so a task that fails takes down its detector only.
+    """
     findings, notes, failures = [], [], []
     for detector in detectors:
         try:
             found, said = detector.detect(tables)
+            found = cut_lineage(found, detector.detector_id)
+            said = None if said is None else cut_lineage(said, detector.detector_id)
         except Exception as error:  # isolation is the point of this loop
             failures.append((detector.detector_id, str(error).split("\n")[0]))
             continue
@@ -149,6 +155,40 @@ class LintDetector:
         return found, None
 
 
+class VulnerabilityDetector:
+    """Installed versions inside advisory windows. Tables: installed, windows, names, facts, imports, locks."""
+
+    detector_id = "vulnerability"
+
+    def __init__(self, checked: tuple[str, ...]):
+        self.checked = checked
+
+    def detect(self, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+        given = [tables[name] for name in ("installed", "windows", "names", "facts", "imports", "locks")]
+        rows = vulnerabilities.report(*given, self.checked)
+        found = rows.select("repo", "finding_id", F.lit("vulnerability").alias("severity"), F.col("lock_line").alias("line"), F.col("name").alias("pkg"), "guidance")
+        return found, None
+
+
+class ContractDetector:
+    """Calls that a description no longer covers, or whose description changed. Tables: calls, descriptions, and
+    previous_descriptions where changes since then are asked for."""
+
+    detector_id = "http-contract"
+
+    def __init__(self, now: Column):
+        self.now = now
+
+    def detect(self, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+        report = contracts.check(tables["calls"], tables["descriptions"], self.now, tables.get("previous_descriptions"))
+        found = report.gone.select("repo", "finding_id", F.lit("breaking").alias("severity"), "file", "line", F.col("host").alias("pkg"))
+        if report.hits is not None:
+            drift = ids.tagged_id("http-drift", F.col("host"), F.col("change_path"), F.col("kind"))
+            hits = report.hits.select("repo", drift.alias("finding_id"), "severity", F.col("host").alias("pkg")).distinct()
+            found = reporting.union_findings([found, hits])
+        return found, report.notes
+
+
 def lintable(files: DataFrame, adapters=LINT_ADAPTERS) -> DataFrame:
     """repo, file, tool: which linter looks at which file; files no linter claims have no row."""
     tools = F.array_compact(F.array(*[F.when(a.applies(F.col("file")), a.tool) for a in adapters]))

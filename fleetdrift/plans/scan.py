@@ -39,8 +39,12 @@ class ScanReport:
     counts: DataFrame
 
 
-def scan(inputs: ScanInputs, pin_conflicts: DataFrame | None = None) -> ScanReport:
-    """Changes, the sites that use them, and findings are written once, since several tables read each of them.
+def scan(inputs: ScanInputs, pin_conflicts: DataFrame | None = None, detected: DataFrame | None = None) -> ScanReport:
+    """``detected``: repo, severity of what detectors found. Given it, all seven classes are counted: its severities
+    beside the scan's own, its ``drift`` rows as pin conflicts, packages behind with nothing to break, and packages
+    that gained exports.
+
+    Changes, the sites that use them, and findings are written once, since several tables read each of them.
 
     The call sites, the largest input, are read once and cut down to changed symbols before any shuffle.
     """
@@ -51,9 +55,18 @@ def scan(inputs: ScanInputs, pin_conflicts: DataFrame | None = None) -> ScanRepo
     located = locate.locate_changes(impacting.select("pkg", "path", "kind", "severity", "confidence"), sites)
     findings = cut_lineage(locate.with_surface_ids(located, flags), "findings")
     packages = package_report(impacting, inputs.dependencies, findings, flags)
-    counts = reporting.scan_counts(
-        findings, packages, findings.select("repo", "n_sites"), findings.limit(0) if pin_conflicts is None else pin_conflicts
-    )
+    every = [findings.select("repo", "severity")]
+    pins = [] if pin_conflicts is None else [pin_conflicts.select("repo")]
+    if detected is not None:
+        gained = snapshot.capability_additions(changes).select("pkg").distinct()
+        every += [
+            detected.filter("severity <> 'drift'").select("repo", "severity"),
+            reporting.freshness(packages, findings).select("repo", F.lit("freshness").alias("severity")),
+            inputs.dependencies.select("repo", "pkg").distinct().join(gained, "pkg", "left_semi").select("repo", F.lit("feature").alias("severity")),
+        ]
+        pins.append(detected.filter("severity = 'drift'").select("repo"))
+    conflicts = reporting.union_findings(pins) if pins else findings.limit(0).select("repo")
+    counts = reporting.scan_counts(reporting.union_findings(every), packages, findings.select("repo", "n_sites"), conflicts)
     return ScanReport(
         snapshot.impact_headers(flags), impacting, findings, locate.finding_sites(findings, sites), packages, counts
     )
