@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -16,7 +15,7 @@ from ..sources import advisories, httpcalls
 from . import Tables, query, readers
 from .contracts import CALL_VIEWS, HITS_SQL, NODE_SQL, PIN_SQL, call_files, change_hits, image_versions, pin_files
 from .lifecycles import STATE_SQL
-from .repairs import SUMMARY_SQL, graph_inputs, scores
+from .repairs import SUMMARY_SQL, scores
 from .vulnerabilities import FACTS_SQL, REACH_SQL, TARGET_POS, URGENCY_SQL, facts, records, windows
 
 REPORT_SQL = f"""

@@ -34,10 +34,6 @@ def dotted_prefixes(module: Column) -> Column:
     return _prefixes(module, ".", r"\.")
 
 
-def path_prefixes(path: Column) -> Column:
-    return _prefixes(path, "/", "/")
-
-
 def path_suffixes(path: Column) -> Column:
     return _suffixes(forward_slashes(path), "/", "/")
 

@@ -155,8 +155,3 @@ def reintroduced(fixed: DataFrame, installed: DataFrame, ecosystem: str = "npm")
     return split_hot_join(now, fixed, ["repo", "pkg"]).filter(
         version_key(eco, F.col("now")) < version_key(eco, F.col("fixed_at"))
     )
-
-
-def latest_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    newest = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")

@@ -28,10 +28,7 @@ engines struct<node:string>, overrides map<string,string>
 PACKUMENT = "name string, `dist-tags` struct<latest:string>, versions map<string,string>"
 
 PYPI_DOCUMENT = "info struct<name:string,version:string>, releases map<string,string>"
-
-SPEC_PARAM = "struct<`$ref`:string,name:string,`in`:string,required:boolean,schema:struct<`$ref`:string,type:string>>"
 SPEC = "openapi string, swagger string, basePath string, servers array<struct<url:string>>, paths map<string,map<string,string>>"
-SPEC_OPERATION = f"struct<`$ref`:string,deprecated:boolean,parameters:array<{SPEC_PARAM}>>"
 
 MANIFEST_OF_SPECS = "apis array<struct<name:string,properties:array<struct<type:string,url:string>>>>"
 
