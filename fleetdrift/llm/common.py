@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 BATCH_BYTES = "8m"
 
 
-PACKAGE = Path(__file__).resolve().parents[1]
-
-
 def prepare(spark: SparkSession) -> None:
     """Arrow batches bounded by bytes (a batch of long texts has few rows), and this package on the Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    context = spark.sparkContext
-    if not any(name.startswith(PACKAGE.name) for name in context._python_includes):
-        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{PACKAGE.name}", "zip", PACKAGE.parent, PACKAGE.name)
-        context.addPyFile(archive)
+    ship_package(spark)
 
 
 def documents(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -47,7 +38,7 @@ def longs(array: pa.Array) -> np.ndarray:
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of whole groups out of batches that are sorted by ``key``; a group is as large as its producer bounds it."""
+    """Tables of one or more whole groups out of batches that are sorted by ``key``; producers bound the groups."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -85,6 +76,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """One table per group of batches that are sorted by ``key``."""
+    for table in sorted_groups(batches, key):
+        keys = table.column(key).to_numpy()
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        for start, end in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+            yield table.slice(start, end - start)
+
+
 FOREST_ROWS = 2_000_000
 
 

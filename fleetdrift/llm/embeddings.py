@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TILE = 8192
+TILE_BYTES = 8 << 20  # of double vectors
 SUB = 1024
 PIVOTS = 256
 SLACK = 1e-6  # rounding of scales, norms and the float32 product of scales
@@ -75,7 +75,7 @@ def _assign(pivots: dict[int, np.ndarray]):
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in common.sorted_groups(batches, "tile"):
+    for table in common.each_group(batches, "tile"):
         parts = [longs(table.column(c)).astype("<i8").tobytes() for c in ("node", "copies")]
         unit = b"".join(table.column("unit").to_pylist())
         yield pa.RecordBatch.from_arrays(
@@ -123,17 +123,23 @@ def tile_links(a: _Tile, b: _Tile, same: bool, threshold: float) -> Iterator[tup
         rows = slice(i, i + SUB)
         for j in range(i if same else 0, len(b.x), SUB):
             cols = slice(j, j + SUB)
-            about = (a.q[rows] @ b.q[cols].T) * a.scale[rows, None] * b.scale[None, cols]
-            # the largest bound of the block first: most blocks end here
-            bound = a.held[rows, None] * b.lost[None, cols] + a.lost[rows, None] * (b.held + b.lost)[None, cols] + SLACK
-            open_ = about >= threshold - bound
+            product = a.q[rows] @ b.q[cols].T
             if same and i == j:
-                open_ &= np.triu(np.ones(open_.shape, bool), 1)
-            if not open_.any():
+                product[np.tril_indices(len(product), 0, product.shape[1])] = -np.inf
+            # the largest error of the block first: most rows end here
+            most = a.held[rows].max() * b.lost[cols].max() + a.lost[rows].max() * (b.held + b.lost)[cols].max() + SLACK
+            r = np.flatnonzero(product.max(axis=1) * a.scale[rows] * b.scale[cols].max() >= threshold - most)
+            if not len(r):
+                continue
+            about = product[r] * a.scale[i + r, None] * b.scale[None, cols]
+            bound = a.held[i + r, None] * b.lost[None, cols] + a.lost[i + r, None] * (b.held + b.lost)[None, cols] + SLACK
+            open_ = about >= threshold - bound
+            r, open_ = r[open_.any(axis=1)], open_[open_.any(axis=1)]
+            c = np.flatnonzero(open_.any(axis=0))
+            if not len(c):
                 continue
-            r, c = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
             exact = a.x[i + r] @ b.x[j + c].T
-            x, y = np.nonzero(open_[np.ix_(r, c)] & (exact >= threshold))
+            x, y = np.nonzero(open_[:, c] & (exact >= threshold))
             if len(x):
                 yield i + r[x], j + c[y]
 
@@ -167,8 +173,12 @@ def _compare(threshold: float):
     return run
 
 
-def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tile: int = TILE, pivots: int = PIVOTS) -> DataFrame:
-    """``id``, ``n_links``, ``component_id``, ``kept`` per row of ``vectors``; links are cosines of at least ``threshold``."""
+def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tile: int | None = None, pivots: int = PIVOTS) -> DataFrame:
+    """``id``, ``n_links``, ``component_id``, ``kept`` per row of ``vectors``; links are cosines of at least ``threshold``.
+
+    A tile has ``tile`` vectors, or as many as ``TILE_BYTES`` hold; there are at most ``pivots`` pivots, and no more
+    than one for a full tile, since every tile pair moves two tiles.
+    """
     spark = vectors.sparkSession
     common.prepare(spark)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
@@ -177,6 +187,9 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     good = rows.filter(usable)
     classes = common.stage(good.groupBy("embedding").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "vector-classes")
 
+    shape = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("size")).first()
+    tile = tile or max(SUB, TILE_BYTES // (8 * max(shape["size"] or 1, 1)))
+    pivots = max(1, min(pivots, shape["n"] // tile))
     sample: dict[int, list] = {}
     for r in classes.select("embedding").orderBy(F.xxhash64("node"), "node").limit(pivots).collect():
         sample.setdefault(len(r.embedding), []).append(r.embedding)
