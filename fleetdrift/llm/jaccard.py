@@ -20,6 +20,7 @@ document; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,11 +68,8 @@ def _count(size: int):
             for _, value, _ in _sets(batch, size, None):
                 counts += np.bincount((value >> _SHIFT).astype(np.int64), minlength=len(counts))
         for block, part in enumerate(counts.reshape(SKETCH_BLOCKS, -1)):
-            at = np.flatnonzero(part)
-            if len(at):  # few distinct shingles in a partition: few entries
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int32()), pa.array([at.astype("<i4").tobytes()]), pa.array([part[at].astype("<i8").tobytes()])], ["block", "at", "counts"]
-                )
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)])], ["block", "counts"])
 
     return run
 
@@ -79,15 +77,15 @@ def _count(size: int):
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, at, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "counts")), strict=True):
-            total.setdefault(block, np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.int64))[np.frombuffer(at, "<i4")] += np.frombuffer(counts, "<i8")
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total[block] = total.get(block, 0) + np.frombuffer(zlib.decompress(counts), "<i8")
     for block, counts in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.astype("<i8").tobytes()])], ["block", "counts"])
 
 
 def bucket_ranks(texts: DataFrame, size: int) -> np.ndarray:
     """The place of each hash bucket when buckets are sorted by the number of document shingles in them."""
-    parts = texts.select("text").mapInArrow(_count(size), "block int, at binary, counts binary")
+    parts = texts.select("text").mapInArrow(_count(size), "block int, counts binary")
     sums = parts.repartition(SKETCH_BLOCKS // 4, "block").mapInArrow(_sum_blocks, "block int, counts binary")
     counts = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
     for row in sums.collect():  # 2 ** SKETCH_BITS numbers at every input size
@@ -122,16 +120,29 @@ def _profile(size: int, percent: int, rank):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node) sorted by token, in random order inside a token, to pairs and to the rows of larger groups.
+def _near(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Sets of these sizes can be similar enough."""
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+
 
-    Kind 0: a pair (a, b). Kind 1: node ``b`` in the group of token ``a``, for groups of more than ``SMALL`` nodes.
+def _meet(percent: int):
+    """Rows (token, node, n) sorted by token, in random order inside a token, to pairs and to the rows of larger groups.
+
+    Kind 0: a pair (a, b). Kind 1: node ``b`` of size ``n`` in the group of token ``a``, for groups of more than ``SMALL``.
     """
-    token = node = np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _meetings(batches, percent)
+
+    return run
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    token = node = size = np.zeros(0, np.int64)
     seen = 0  # rows of the last group before the carried ones
     for batch in batches:
         fresh = len(token)
-        token, node = np.concatenate([token, longs(batch.column("token"))]), np.concatenate([node, longs(batch.column("node"))])
+        token, node, size = (np.concatenate([x, longs(batch.column(c))]) for x, c in ((token, "token"), (node, "node"), (size, "n")))
         if not len(token):
             continue
         new = np.ones(len(token), bool)
@@ -144,6 +155,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for back in range(1, SMALL):
             at = np.flatnonzero(is_fresh & (place >= back) & ((place < SMALL) | (back == 1)))
+            at = at[_near(size[at - back], size[at], percent)]
             a.append(node[at - back])
             b.append(node[at])
         large = np.flatnonzero(is_fresh & (place >= SMALL))
@@ -153,10 +165,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.repeat([0, 1], [len(a), len(rows)]).astype(np.int8)
         first = np.concatenate([np.minimum(a, b), token[rows]])
         second = np.concatenate([np.maximum(a, b), node[rows]])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(first), pa.array(second)], ["kind", "a", "b"])
+        sizes = np.concatenate([np.zeros(len(a), np.int64), size[rows]])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(first), pa.array(second), pa.array(sizes)], ["kind", "a", "b", "n"])
         keep = max(int(starts[-1]), len(token) - SMALL)
         seen = int(place[keep])
-        token, node = token[keep:], node[keep:]
+        token, node, size = token[keep:], node[keep:], size[keep:]
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +200,55 @@ def _bound(percent: int):
     return run
 
 
-def _whole_sets(size: int):
+MARK_BITS = 23
+MARK_BLOCKS = 64
+
+
+def _mark(ids: np.ndarray) -> np.ndarray:
+    return (words.mix(ids.view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def _mark_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(1 << MARK_BITS, bool)
+    for batch in batches:
+        seen[_mark(longs(batch.column("id")))] = True
+    for block, part in enumerate(seen.reshape(MARK_BLOCKS, -1)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(part).tobytes()])], ["block", "marks"])
+
+
+def _join_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, marks in zip(batch.column("block").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            total[block] = total.get(block, np.uint8(0)) | np.frombuffer(marks, np.uint8)
+    for block, marks in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([marks.tobytes()])], ["block", "marks"])
+
+
+def marks_of(ids: DataFrame) -> np.ndarray:
+    """Hash marks of all ``ids``, 1 MB at every input size: texts of other documents need not be read further."""
+    parts = ids.mapInArrow(_mark_ids, "block int, marks binary").repartition(MARK_BLOCKS // 4, "block").mapInArrow(_join_marks, "block int, marks binary")
+    marks = np.zeros((MARK_BLOCKS, (1 << MARK_BITS) // MARK_BLOCKS), bool)
+    for row in parts.collect():
+        marks[row.block] = np.unpackbits(np.frombuffer(row.marks, np.uint8)).astype(bool)
+    return marks.ravel()
+
+
+def _marked(marks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(marks.value[_mark(longs(batch.column("node")))]))
+
+    return run
+
+
+def _whole_sets(size: int, marks):
+    """Sets of the documents that may be asked for; the join that follows leaves those that are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(marks.value[_mark(longs(batch.column("id")))]))
             ids = batch.column("id")
             for row, value, first in _sets(batch, size, None):
                 raw = pa.py_buffer(np.ascontiguousarray(value).view(np.uint8))
@@ -249,7 +308,7 @@ def _settle(percent: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.sorted_groups(batches, "cell"):
+        for table in common.each_group(batches, "cell"):
             a, b = pairs(table)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -268,41 +327,50 @@ class _Join:
         named = self.profile.filter("n > 0 and id is not null")
         self.classes = named.groupBy("sig1", "sig2").agg(F.min("id").alias("node"))
         reps = self.classes.select("sig1", "sig2", F.col("node").alias("id"))
-        self.nodes = named.join(reps, ["id", "sig1", "sig2"], "left_semi").dropDuplicates(["id", "sig1", "sig2"]).select(F.col("id").alias("node"), "n", "prefix")
+        self.nodes = named.join(reps.hint("merge"), ["id", "sig1", "sig2"], "left_semi").dropDuplicates(["id", "sig1", "sig2"]).select(F.col("id").alias("node"), "n", "prefix")
         self.nodes = common.stage(self.nodes, "nodes")
 
     def in_random_order(self, rows: DataFrame, salt: int) -> DataFrame:
         return rows.repartition(F.col("token")).sortWithinPartitions("token", F.xxhash64("token", "node", F.lit(salt)), "node")
 
+    def marked_nodes(self, ids: DataFrame) -> DataFrame:
+        """The nodes of these ids, and few others."""
+        marks = self.spark.sparkContext.broadcast(marks_of(ids))
+        return self.nodes.mapInArrow(_marked(marks), self.nodes.schema)
+
     def passing(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs within the length filter and the bound on their overlap."""
-        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("xa"))
-        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("xb"))
-        near = F.lit(100) * F.least("na", "nb") >= F.lit(self.percent) * F.greatest("na", "nb")
-        return pairs.select("a", "b").distinct().join(a, "a").join(b, "b").filter(near).mapInArrow(_bound(self.percent), "a long, b long")
+        """Distinct pairs within the bound on their overlap; only nodes of some pair move their prefixes."""
+        pairs = common.stage(pairs.select("a", "b").distinct(), "pairs")
+        nodes = self.marked_nodes(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("xa"))
+        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("xb"))
+        # both sides grow with the input: merged at every size
+        return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(_bound(self.percent), "a long, b long")
 
     def linked(self, pairs: DataFrame, label: str) -> DataFrame:
         """The pairs whose whole sets are similar enough, as edges (u, v)."""
         pairs = common.stage(pairs, label)
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = self.texts.filter("id is not null").join(wanted, "id", "left_semi").mapInArrow(_whole_sets(self.size), "node long, words binary")
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+        marks = self.spark.sparkContext.broadcast(marks_of(wanted))
+        sets = self.texts.filter("id is not null").mapInArrow(_whole_sets(self.size, marks), "node long, words binary")
+        sets = common.stage(sets, f"{label}-sets")
         wa = sets.select(F.col("node").alias("a"), F.col("words").alias("wa"))
         wb = sets.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-        both = pairs.join(wa, "a").join(wb, "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "wa", "wb")
+        both = pairs.join(wa.hint("merge"), "a").join(wb.hint("merge"), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "wa", "wb")
         return common.stage(both.mapInArrow(_verify(self.percent), "u long, v long"), f"{label}-links")
 
     def run(self) -> DataFrame:
-        rows = self.in_random_order(self.nodes.select(F.explode("prefix").alias("token"), "node"), 0)
-        met = common.stage(rows.mapInArrow(_meet, "kind byte, a long, b long"), "met")
-        large = met.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"))
+        rows = self.in_random_order(self.nodes.select(F.explode("prefix").alias("token"), "node", "n"), 0)
+        met = common.stage(rows.mapInArrow(_meet(self.percent), "kind byte, a long, b long, n long"), "met")
+        large = met.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "n")
         edges = self.linked(self.passing(met.filter("kind = 0")), "first")
         members = common.components(edges)
         open_rows = self.open_rows(large, members)
         if not open_rows.isEmpty():
-            again = self.in_random_order(open_rows, 1).mapInArrow(_across, "a long, b long")
+            again = self.in_random_order(open_rows, 1).mapInArrow(_across(self.percent), "a long, b long")
             edges = edges.union(self.linked(self.passing(again), "second"))
             members = common.components(edges)
-            open_rows = self.open_rows(open_rows.select("token", "node"), members)
+            open_rows = self.open_rows(open_rows.select("token", "node", "n"), members)
             if not open_rows.isEmpty():
                 edges = edges.union(self.linked(self.settled(open_rows), "last"))
                 members = common.components(edges)
@@ -310,33 +378,39 @@ class _Join:
 
     def open_rows(self, large: DataFrame, members: DataFrame) -> DataFrame:
         """Rows of the groups that span more than one component, with the component."""
-        rows = large.join(members.withColumnRenamed("id", "node"), "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
+        rows = large.join(members.withColumnRenamed("id", "node"), "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
         spans = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi")
         return common.stage(rows.join(spans.select("token", "rows"), "token"), "open")
 
     def settled(self, open_rows: DataFrame) -> DataFrame:
         """All remaining pairs that may link; a group is cut into blocks, and every two blocks are one cell."""
         blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(BLOCK))).cast("int")
-        rows = open_rows.join(self.nodes, "node").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
+        nodes = self.marked_nodes(open_rows.select(F.col("node").alias("id")))
+        rows = open_rows.join(nodes.select("node", "prefix").hint("merge"), "node").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
         rows = rows.select(F.xxhash64("token", lo, hi).alias("cell"), "token", F.col("mine").alias("side"), "node", "comp", "n", "prefix")
         return rows.repartition(F.col("cell")).sortWithinPartitions("cell", "token").mapInArrow(_settle(self.percent), "a long, b long").distinct()
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(percent: int):
     """Neighbours of one token in different components."""
-    last: tuple[int, int, int] | None = None
-    for batch in batches:
-        token, node, comp = (longs(batch.column(c)) for c in ("token", "node", "comp"))
-        if not len(token):
-            continue
-        if last:
-            token, node, comp = (np.append(x, y) for x, y in zip(last, (token, node, comp), strict=True))
-        at = np.flatnonzero((token[1:] == token[:-1]) & (comp[1:] != comp[:-1]))
-        a, b = node[at], node[at + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
-        last = (token[-1], node[-1], comp[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, ...] | None = None
+        for batch in batches:
+            columns = [longs(batch.column(c)) for c in ("token", "node", "comp", "n")]
+            if not batch.num_rows:
+                continue
+            if last:
+                columns = [np.append(x, y) for x, y in zip(last, columns, strict=True)]
+            token, node, comp, n = columns
+            at = np.flatnonzero((token[1:] == token[:-1]) & (comp[1:] != comp[:-1]) & _near(n[1:], n[:-1], percent))
+            a, b = node[at], node[at + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+            last = tuple(c[-1] for c in columns)
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:

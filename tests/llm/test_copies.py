@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetdrift.llm import exact, jaccard, sharding, suffixes
@@ -95,6 +97,24 @@ def test_jaccard_settles_large_groups_in_blocks(docs, prose, rows, monkeypatch):
     assert rows(jaccard.jaccard_components(docs(*given), percent=80)) == classes(given, 4, 80)
 
 
+def test_cells_are_settled_one_by_one():
+    rng = np.random.default_rng(2)
+    rows_, want = [], set()
+    for cell in range(30):  # nodes of three components; within a cell some are alike across components
+        base = np.sort(rng.choice(10**6, 40, replace=False))
+        for k in range(6):
+            prefix = base.copy()
+            if k >= 4:
+                prefix = np.sort(np.append(base[:1], rng.choice(np.arange(10**6, 2 * 10**6), 39, replace=False)))
+            rows_.append((cell, int(base[0]), 0, 10 * cell + k, 10 * cell + k % 3, 200, prefix.tolist()))
+        want |= {(10 * cell + a, 10 * cell + b) for a in range(4) for b in range(a + 1, 4) if a % 3 != b % 3}
+    names = ["cell", "token", "side", "node", "comp", "n", "prefix"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows_])
+    found = [b for cut in (batch.slice(0, 70), batch.slice(70)) for b in [cut]]
+    out = pa.Table.from_batches(list(jaccard._settle(85)(iter(found))))
+    assert set(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)) == want
+
+
 def test_jaccard_empty(docs):
     assert jaccard.jaccard_components(docs((1, "x")).filter("false")).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_components(docs((1, None))).collect()] == [(1, 0, 1)]
