@@ -5,7 +5,7 @@ A document is its ids and an end id. Whole windows are cut off first. What remai
 shorter remainders that fit, and then with a cut of the shortest one. So every window is exactly full. Only the last
 window of a partition can run out of pieces; it is cut into windows of powers of two, which need no padding either.
 
-Packing is local to a partition of the input and needs no shuffle. Of a slice of a few MB only the open window is
+Packing is local to a partition of the input and needs no shuffle. Of a slice only the open window is
 carried on, so memory follows neither partitions nor documents. Windows of one tier are dealt into step groups of
 equally many tokens, heaviest attention cost (sum of squared piece lengths) first and back and forth.
 

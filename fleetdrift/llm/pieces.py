@@ -29,8 +29,8 @@ from . import common, words
 from .tokens import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
-CACHED_CHUNKS = 3_000_000
-CACHED_PAIRS = 4_000_000
+CACHED_CHUNKS = 1_500_000
+CACHED_PAIRS = 2_000_000
 SPACE = "▁"
 LEVEL = 8  # bytes compared at a time
 

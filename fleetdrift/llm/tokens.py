@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from . import common, words
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_PARTS = 3_000_000
+CACHED_PARTS = 1_500_000
+ENCODED_AT_ONCE = 20_000
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
@@ -60,7 +61,7 @@ class PartEncoder:
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if len(self.keys) + len(keys) > CACHED_PARTS:
             self.clear()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for at in range(0, len(texts), ENCODED_AT_ONCE) for e in self.tokenizer.encode_batch_fast(texts[at : at + ENCODED_AT_ONCE], add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int32, len(ids))
         start = len(self.pool) + np.cumsum(length) - length
         self.pool = np.concatenate([self.pool, np.fromiter((x for part in ids for x in part), np.uint32, int(length.sum()))])

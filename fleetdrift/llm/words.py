@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``. Nothing here loops over words in Python: a batch is
 one byte array, its words are offsets, and a word's hash is a sum of per-byte random values times powers of an odd
-base, mixed at the end. Work is done on slices of some MB, so that memory does not follow the batch size; a text
+base, mixed at the end. Work is done on slices of a MB, so that memory does not follow the batch size; a text
 longer than a slice is a slice of its own.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
