@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest id stays."""
-    return jaccard.drop_near_copies(docs)
+    """Of each group of near copies (runs of five words, similarity 0.8 or more), the document of the smallest id stays."""
+    return jaccard.drop_near_copies(docs, size=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

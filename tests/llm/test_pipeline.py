@@ -65,6 +65,12 @@ def test_one_of_near_copies_stays(stages):
     assert set(texts(stages[3])) == {i for i in names if find(i) == i}
 
 
+def test_copy_with_a_fifth_more_text_goes(docs, prose, spark):
+    base = prose(5, 100)
+    given = [(1, base), (2, f"{base} {prose(6, 20)}"), (3, f"{base} {prose(7, 30)}"), (4, prose(8, 100))]  # five words: 96 of 116 and 96 of 126
+    assert set(texts(corpus_pipeline.jaccard_join(spark, docs(*given), SF))) == {1, 3, 4}
+
+
 def test_repeated_passages_go(stages):
     before, after = texts(stages[3]), texts(stages[4])
     seen, want = set(), {}
