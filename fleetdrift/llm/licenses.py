@@ -5,8 +5,8 @@ one for "unknown", fitted here on altered copies of the templates below and on s
 otherwise. A temperature and the least share that a family must reach are calibrated on altered copies that the fit
 has not seen. Weights are whole numbers (``UNIT`` parts), so every engine adds them alike.
 
-The scan is DataFrame functions only: lines, a test for words that only licences use (a line without one has no
-feature, so it is unknown by the model), n-grams, one join with the weights (some thousand rows, whatever the input),
+The scan is DataFrame functions only: lines, a test for the words that the model's n-grams hold (a line without one has
+no feature, so it is unknown by the model), n-grams, one join with the weights (some thousand rows, whatever the input),
 one sum per line. A prediction is confirmed if a template of the family has enough of its word pairs in the line.
 
 One row per line that is taken for a licence: ``id``, ``line``, ``family``, ``share`` (calibrated probability),
@@ -23,7 +23,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Usual wordings of licence notices, by family.
+# SPDX ids and usual wordings of licence notices, by family.
+SPDX = (
+    ("MIT", "MIT"),
+    ("Apache-2.0", "Apache-2.0"),
+    ("GPL", "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later"),
+    ("LGPL", "LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later"),
+    ("AGPL", "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later"),
+    ("BSD", "BSD-2-Clause BSD-3-Clause"),
+    ("MPL-2.0", "MPL-2.0"),
+    ("ISC", "ISC"),
+    ("CC-BY", "CC-BY-4.0"),
+    ("CC-BY-SA", "CC-BY-SA-4.0"),
+    ("CC-BY-NC", "CC-BY-NC-4.0"),
+    ("CC0", "CC0-1.0"),
+)
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction."),
@@ -54,6 +68,8 @@ TEMPLATES = (
     ("CC0", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright 2020 Example Inc. All rights reserved."),
     ("Proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
+    ("Proprietary", "All rights reserved."),
+    *((family, f"SPDX-License-Identifier: {name}") for family, names in SPDX for name in names.split()),
 )
 # Sentences with some of the same words that grant nothing, and plain ones.
 OTHER = (
@@ -76,6 +92,7 @@ OTHER = (
     "le la les de des et est une un dans que qui pour pas sur au avec ce il par plus ne se son sont nous vous mais ou être aux cette",
     "el la los las de y que en un una por con no para se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre",
 )
+COMMON = 4  # the last sentences of OTHER are function words
 UNKNOWN = "unknown"
 UNIT = 100_000
 SIMILAR = 0.6
@@ -96,7 +113,7 @@ def grams_of(words: list[str]) -> set[str]:
 @dataclass
 class Model:
     families: list[str]  # the last is "unknown"
-    cues: list[str]  # words that occur in licences only
+    cues: list[str]  # words one of which is in every gram of the model
     weights: dict[str, list[int]]  # gram to a weight per family
     base: list[int]
     least: float  # least share of a family
@@ -112,9 +129,13 @@ def trained(seed: int = 11, copies: int = 12) -> Model:
     rng = np.random.default_rng(seed)
     families = [*dict.fromkeys(f for f, _ in TEMPLATES), UNKNOWN]
     plain = {w for s in OTHER for w in words_of(s)}
-    cues = sorted({w for _, t in TEMPLATES for w in words_of(t)} - plain | {"mit", "bsd", "gnu", "apache", "mozilla", "license", "licensed", "licenses", "permission"})
-    known = set(cues)
-    grams = sorted({g for _, t in TEMPLATES for g in grams_of(words_of(t)) if known & set(g.split())})
+    everything = sorted({w for _, t in TEMPLATES for w in words_of(t)})
+    own = set(everything) - plain | {"mit", "bsd", "gnu", "apache", "mozilla", "license", "licensed", "licenses", "permission"}
+    known = own | set(everything) - {"a", *(w for s in OTHER[-COMMON:] for w in words_of(s))}
+    told = {g for s in OTHER for g in grams_of(words_of(s))}  # runs of words that are no licences' own
+    grams = sorted({g for _, t in TEMPLATES for g in grams_of(words_of(t)) if own & set(g.split()) or known & set(g.split()) and " " in g and g not in told})
+    cues = sorted(known)
+    loose = [w for w in everything if w not in {i.lower() for _, names in SPDX for i in names.split()} - {"mit", "isc"}]  # an id names its licence
     at = {g: i for i, g in enumerate(grams)}
     filler = sorted(plain)
 
@@ -135,14 +156,13 @@ def trained(seed: int = 11, copies: int = 12) -> Model:
             x.append(row)
             y.append(families.index(family))
 
-        everything = sorted({w for _, t in TEMPLATES for w in words_of(t)})
         for _ in range(copies):
             for family, text in TEMPLATES:
                 add(altered(words_of(text)), family)
             for text in OTHER:
                 add(altered(words_of(text)), UNKNOWN)
             for _ in range(20):  # licence words in no order
-                add(altered(list(rng.choice(everything, rng.integers(1, 4)))), UNKNOWN)
+                add(altered(list(rng.choice(loose, rng.integers(1, 4)))), UNKNOWN)
         return np.array(x), np.array(y)
 
     x, y = rows()
@@ -190,9 +210,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     lines = lines.withColumn("small", F.translate("text", UPPER, LOWER))
-    lines = lines.filter(F.arrays_overlap(F.split("small", "[^a-z0-9.+-]+|[.+-]+(?![a-z0-9])"), F.array(*[F.lit(c) for c in model.cues])))
-    lines = lines.select("id", "line", "small").distinct()
     words = F.regexp_extract_all("small", F.lit(f"({WORD})"), 1)
+    lines = lines.filter(F.arrays_overlap(words, F.array(*[F.lit(c) for c in model.cues])))
+    lines = lines.select("id", "line", "small").distinct()
     lines = lines.withColumn("words", words)
 
     def runs(n: int):

@@ -39,6 +39,12 @@ def test_licence_unknown(docs, odd_rows):
     assert licenses.scan(docs((1, "x")).filter("false")).count() == 0
 
 
+def test_licence_short_notices(docs):
+    given = ["All rights reserved.", "SPDX-License-Identifier: GPL-3.0-only", "// SPDX-License-Identifier: Apache-2.0", "x -- All Rights Reserved --", "--released.-under the +mit+ license."]
+    found = {r.id: (r.family, r.confirmed) for r in licenses.scan(docs(*enumerate(given))).collect()}
+    assert found == {0: ("Proprietary", True), 1: ("GPL", True), 2: ("Apache-2.0", True), 3: ("Proprietary", True), 4: ("MIT", True)}
+
+
 def test_licence_scan_equals_sql(docs, odd_rows):
     rng = random.Random(3)
     words = [w for _, t in licenses.TEMPLATES for w in t.split()]
