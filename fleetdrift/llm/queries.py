@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact, jaccard, licenses, packing, pieces, sharding, suffixes, tokens, toxicity
+from . import common, embeddings, exact, jaccard, licenses, packing, pieces, runs, sharding, suffixes, tokens, toxicity
+
 
 def oracles() -> dict[str, str]:
     return {**ORACLES, "op5_license_scan": licenses.scan_sql()}
@@ -153,3 +155,37 @@ def op4(spark, sf_dir):
 @query("op5_license_scan")
 def op5(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def _looped(batches):
+    """The rows of (id, text, crc) that loop: from word ``a`` on, the text repeats its next ``p`` words."""
+    for batch in batches:
+        out = []
+        for text, crc in zip(batch.column("text").to_pylist(), batch.column("crc").to_pylist(), strict=True):
+            g, given = crc // 10, text.encode().split()
+            n = len(given)
+            if crc % 10 == 0 and n:
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                text = b" ".join(given[:a] + [given[a + i % p] for i in range(n - a)]).decode()
+            out.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; of a tenth of the documents, as their ids' checksums tell, the text loops."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("crc")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(crc, F.lit(1)).alias("crc"))
+    return rows.mapInArrow(_looped, "doc_id long, text string")
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    common.prepare(spark)
+    found = runs.collapse_runs(with_loops(table(spark, sf_dir, "documents")))
+    longest = runs.longest_run(F.col("runs"))
+    rows = found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), "runs", "collapsed_sha256")
+    return rows.select(
+        "doc_id", "n_runs", "longest.start", "longest.length", "longest.period",
+        F.expr("1000 * longest.length div longest.period").cast("long").alias("exponent_milli"), F.sha2(runs.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256",
+    )
