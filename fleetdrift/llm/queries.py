@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embeddings, exact, jaccard, licenses, packing, pieces, runs, sharding, suffixes, tokens, toxicity
+from . import common, embeddings, exact, jaccard, licenses, packing, pieces, runs, sharding, suffixes, tokens, toxicity, whitening
 
 
 def oracles() -> dict[str, str]:
@@ -157,6 +157,12 @@ def op5(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))  # null where no long holds it
+
+
 def _looped(batches):
     """The rows of (id, text, crc) that loop: from word ``a`` on, the text repeats its next ``p`` words."""
     for batch in batches:
