@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embeddings, exact, jaccard, licenses, packing, pieces, runs, sharding, suffixes, tokens, toxicity, whitening
+from . import common, embeddings, exact, jaccard, licenses, mixing, packing, pieces, runs, sharding, suffixes, tokens, toxicity, whitening
 
 
 def oracles() -> dict[str, str]:
@@ -157,6 +157,12 @@ def op5(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("op11_mixing")
+def op11(spark, sf_dir):
+    found = mixing.mix(table(spark, sf_dir, "documents")).taken()
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
 @query("op12_whitening")
 def op12(spark, sf_dir):
     found = whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
