@@ -3,11 +3,14 @@
 Differencing keeps partial partitions (tuples of subset sums), takes the two of the largest spread, and joins them
 oppositely ordered, until one is left. It runs in levels, so that no task and no driver sees all groups: chunks of
 ``CHUNK`` items are differenced inside tasks into even composite items, composites are items of the next
-level (``FOLD`` times fewer), and the last few thousand are differenced into the shards. Groups above a share of the mean shard skip the
+level (``FOLD`` times fewer), and the last few thousand are differenced into the shards. Of each level some thousands of
+items, chosen by hash, are not folded: they go into the last differencing as they are and fill the gaps that coarser
+items leave, so balance does not fall with the number of groups. Groups above a share of the mean shard skip the
 lower levels (there are at most ``shards * LARGE`` of them), so a group that holds a third of all bytes gets a shard
 of its own with nothing added as long as that helps the balance; it is not split, since groups are indivisible.
 
-Null text has no bytes and is one group with the empty text; ids may be null or repeat; further columns are ignored.
+Null text has no bytes and is one group with the empty text; ids may be null or repeat; further columns are ignored. A
+very long text is a large group. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,24 +95,27 @@ def shard_of_groups(groups: DataFrame, shards: int) -> DataFrame:
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     bound = total / (shards * LARGE)
     large = groups.filter(F.col("bytes") > bound)  # at most shards * LARGE rows
-    levels, items = [], groups.filter(F.col("bytes") <= bound)
-    while items.count() > LAST:
+    levels, spared, items = [], [], groups.filter(F.col("bytes") <= bound)
+    while (count := items.count()) > LAST:
         kind = dict(items.dtypes)["item"]
-        level = common.stage(items.mapInArrow(_compose, f"item {kind}, bytes long, above long"), "level")
+        spare = F.pmod(F.xxhash64("item"), F.lit(1 << 40)) < int((1 << 40) * (LAST // 2) / count)
+        spared.append(items.filter(spare))
+        level = common.stage(items.filter(~spare).mapInArrow(_compose, f"item {kind}, bytes long, above long"), "level")
         levels.append(level)
-        items = level.groupBy(F.col("above").alias("item")).agg(F.sum("bytes").alias("bytes"))
-    top = [(True, r.item, r.bytes) for r in items.collect()] + [(False, r.item, r.bytes) for r in large.collect()]
+        items = common.stage(level.groupBy(F.col("above").alias("item")).agg(F.sum("bytes").alias("bytes")), "composites")
+    spared.append(items)
+    top = [(at, r.item, r.bytes) for at, rows in enumerate([*spared, large]) for r in rows.collect()]
     top.sort(key=lambda r: (-r[2], r[0], r[1]))
     shard = difference(np.array([r[2] for r in top], np.int64), shards).tolist()
-    kinds = dict(groups.dtypes)["item"], dict(items.dtypes)["item"]
 
-    def placed(small: bool) -> DataFrame:
-        return spark.createDataFrame([(r[1], s) for r, s in zip(top, shard, strict=True) if r[0] == small], f"item {kinds[small]}, shard int")
+    def placed(at: int) -> DataFrame:
+        kind = dict([*spared, large][at].dtypes)["item"]
+        return spark.createDataFrame([(r[1], s) for r, s in zip(top, shard, strict=True) if r[0] == at], f"item {kind}, shard int")
 
-    found = placed(True)
-    for level in reversed(levels):
-        found = level.join(found.withColumnRenamed("item", "above"), "above").select("item", "shard")
-    return found.union(placed(False))
+    found = placed(len(levels))
+    for at in reversed(range(len(levels))):
+        found = levels[at].join(found.withColumnRenamed("item", "above"), "above").select("item", "shard").union(placed(at))
+    return found.union(placed(len(spared)))
 
 
 def with_slots(rows: DataFrame, parts: int = 64) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fleetdrift.llm import exact, jaccard, sharding, suffixes
 
@@ -190,5 +191,14 @@ def test_shards_by_levels_and_a_hot_group(docs, prose, monkeypatch):
     assert sums[-1] == 1000 * 216 and sums[-2] - sums[0] < 0.05 * sums[0]
 
 
+@pytest.mark.parametrize("count", [16_384, 16_385, 100_000])
+def test_balance_does_not_fall_with_the_number_of_groups(spark, count):
+    groups = spark.range(count).select(F.col("id").alias("item"), F.floor(F.exp(6 + 2 * (F.pmod(F.xxhash64("id"), F.lit(10_007)) / 10_007))).cast("long").alias("bytes"))
+    placed = groups.join(sharding.shard_of_groups(groups, 40), "item")
+    assert placed.count() == count
+    sums = [r.bytes for r in placed.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()]
+    assert len(sums) == 40 and max(sums) - min(sums) < 0.001 * min(sums)
+
+
 def test_shards_empty(docs):
     assert sharding.shard_by_bytes(docs((1, "x")).filter("false")).count() == 0
