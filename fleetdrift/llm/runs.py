@@ -39,6 +39,7 @@ from . import common, words
 
 EXPONENT, LEAST = 4, 6
 TILE_WORDS = 4096
+TASK_WORDS = 1 << 21  # of tiles, solved by one task
 EMIT_IDS = 1 << 20
 RUNS = "array<struct<start:long,period:long,length:long>>"
 FOUND = "key long, id long, n_words long, plain_sha256 string, text binary, octave int, first long, centre long, centres int, ids array<int>"
@@ -242,7 +243,10 @@ def collapse_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if exponent < 4:
         raise ValueError("runs of fewer than four periods need denser boundaries")
     found = common.stage(common.documents(docs, id_col, text_col).mapInArrow(_explode(with_text), FOUND), "run-tiles")
-    cut = found.filter("octave IS NOT NULL").select("key", "octave", "first", "centre", "centres", "ids").repartition("key", "octave", "first")
+    cut = found.filter("octave IS NOT NULL").select("key", "octave", "first", "centre", "centres", "ids")
+    total = cut.agg(F.sum(F.size("ids").cast("long"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_WORDS)  # stated, since tiles are few bytes but much work
+    cut = cut.repartition(tasks, "key", "octave", "first")
     pieces = common.stage(cut.mapInArrow(_solve_all, "key long, period long, start long, end long"), "run-pieces")
     length = F.col("end") - F.col("start") + F.col("period")
     runs = stitch(pieces).select("key", "start", "period", length.alias("length")).filter(F.col("length") >= F.greatest(F.lit(least), F.col("period") * exponent))
