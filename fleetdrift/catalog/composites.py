@@ -12,7 +12,7 @@ from ..plans import contracts as contract_plan
 from ..plans import detectors, ecosystems, reports
 from ..plans import vulnerabilities as vuln_plan
 from ..sources import advisories, httpcalls
-from . import Tables, query, readers
+from . import Tables, query, readers, scans
 from .contracts import CALL_VIEWS, HITS_SQL, NODE_SQL, PIN_SQL, call_files, change_hits, image_versions, pin_files
 from .lifecycles import STATE_SQL
 from .repairs import SUMMARY_SQL, scores
@@ -155,10 +155,38 @@ def _(t):
     ("event_scans", "scan_found"),
 )
 def _(t):
-    scans = t.view("event_scans").select("repo", F.col("scan").alias("id"), F.concat(F.lit("name"), "repo").alias("repo_name"), F.col("scan").alias("started_at"))
+    listed = t.view("event_scans").select("repo", F.col("scan").alias("id"), F.concat(F.lit("name"), "repo").alias("repo_name"), F.col("scan").alias("started_at"))
     runs = t.table("documents").select((F.col("doc_id") % 4).cast("string").alias("repo"))
-    board = reports.dashboard(scans, t.view("scan_found"), runs)
-    return board.repos.select("repo", "scans", "last_scanned", "findings", "runs")
+    return reports.dashboard(listed, t.view("scan_found"), runs).repos.select("repo", "scans", "last_scanned", "findings", "runs")
+
+
+def board(t: Tables):
+    """The dashboard over scans whose ids name their repository, so that no two are alike."""
+    found = t.sql("SELECT repo, scan || '/' || repo AS scan, finding FROM scan_found", "scan_found")
+    scans_ = t.sql("SELECT repo, scan || '/' || repo AS id, 'name' || repo AS repo_name, scan AS started_at FROM event_scans", "event_scans")
+    return reports.dashboard(scans_, found, t.table("documents").select((F.col("doc_id") % 4).cast("string").alias("repo")))
+
+
+BOARD_SQL = "SELECT repo, scan || '/' || repo AS id, 'name' || repo AS repo_name, scan AS started_at FROM event_scans"
+
+
+@query("dashboard_newest", f"SELECT * FROM ({BOARD_SQL}) s ORDER BY id DESC LIMIT 50", ("event_scans",))
+def _(t):
+    return board(t).newest_scans
+
+
+@query("dashboard_latest", f"SELECT repo, max(id) AS id, 'name' || repo AS repo_name, max(started_at) AS started_at FROM ({BOARD_SQL}) s GROUP BY repo", ("event_scans",))
+def _(t):
+    return board(t).latest
+
+
+@query(
+    "dashboard_findings",
+    f"SELECT repo, finding, first_seen || '/' || repo AS first_seen, last_seen || '/' || repo AS last_seen, status FROM ({STATE_SQL}) s",
+    ("event_scans", "scan_found"),
+)
+def _(t):
+    return board(t).findings.select("repo", "finding", "first_seen", "last_seen", "status")
 
 
 @query(
@@ -191,6 +219,155 @@ def _(t):
     return detectors.unclaimed_warnings(rows, routes, "call-site search")
 
 
+def site_tables(t: Tables):
+    """The tables of both call-site searches: bindings of parts, and calls of one Python package."""
+    refs = t.sql(scans.REFERENCES).withColumn("chain", F.array(F.concat(F.lit("E"), (F.col("k") % 40).cast("string")), F.lit("use"))).drop("k")
+    aliases = t.sql("SELECT DISTINCT p_brand AS pkg, 'none' AS spelling, 'none' AS canonical FROM part")
+    c = t.sql(scans.PY)
+    name = F.concat(F.lit("nm"), F.col("nm").cast("string"))
+    calls = c.select("repo", "file", "line", "col", F.when(F.col("form") <= 1, "name").otherwise("attribute").alias("form"), name.alias("name"), F.lit("lib.sub").alias("receiver_module"))
+    files = c.select("repo", "file").distinct()
+    return {
+        "references": refs,
+        "bindings": t.sql(scans.BINDINGS),
+        "aliases": aliases,
+        "calls": calls,
+        "names": files.select("repo", "file", F.lit("other").alias("local"), F.lit("lib.a").alias("module"), F.lit("other").alias("exported")),
+        "stars": files.select("repo", "file", F.lit("lib").alias("module")),
+        "modules": files.select("repo", "file", F.lit("lib.b").alias("module")),
+        "roots": c.select(F.lit("lib").alias("pkg"), F.lit("lib").alias("root")).distinct(),
+    }
+
+
+# packages of three ecosystems: brands of two, and one Python package whose symbols are the names that lines call
+WANTED = """
+SELECT DISTINCT p_brand AS pkg, 'E' || CAST(p_partkey % 50 AS STRING) AS symbol, CASE WHEN length(p_type) % 2 = 0 THEN 'npm' ELSE 'Go' END AS ecosystem FROM part
+UNION SELECT 'lib', 'nm' || CAST(l_partkey % 30 AS STRING), 'PyPI' FROM lineitem WHERE l_partkey % 30 % 2 = 0
+"""
+
+
+def resolved(t: Tables):
+    return detectors.resolve_sites((detectors.BindingResolver(), detectors.PythonResolver()), t.sql(WANTED), site_tables(t))
+
+
+@query(
+    "resolver_sites",
+    f"""WITH r AS (SELECT r.*, b.pkg, b.export FROM ({scans.REFERENCES}) r JOIN ({scans.BINDINGS}) b ON r.repo = b.repo AND r.file = b.file AND r.local = b.local),
+             s AS (SELECT repo, pkg, file, line, col, CASE WHEN export = '*' THEN 'E' || CAST(k % 40 AS STRING) ELSE export END AS symbol FROM r)
+        SELECT DISTINCT s.repo, s.pkg, s.symbol, s.file, s.line, s.col, 'typescript' AS resolver FROM s JOIN ({WANTED}) w ON w.ecosystem = 'npm' AND w.pkg = s.pkg AND w.symbol = s.symbol
+        UNION ALL SELECT DISTINCT repo, 'lib', 'nm' || CAST(nm AS STRING), file, line, col, 'python' FROM ({scans.PY}) c WHERE nm % 2 = 0""",
+)
+def _(t):
+    """Symbols of three ecosystems, routed to the two searches that claim one each."""
+    return resolved(t)[0]
+
+
+@query(
+    "resolver_warnings",
+    f"""SELECT ecosystem, count(*) AS n, 'no call-site search handles ' || ecosystem || ', so ' || count(*) || ' symbol(s) were not searched' AS warning
+        FROM ({WANTED}) w WHERE ecosystem = 'Go' GROUP BY ecosystem""",
+)
+def _(t):
+    return resolved(t)[1]
+
+
+DETECTED = """
+SELECT repo, CASE line % 4 WHEN 0 THEN 'vulnerability' WHEN 1 THEN 'lint' WHEN 2 THEN 'drift' ELSE 'breaking' END AS severity FROM call_sites
+"""
+
+
+@query(
+    "scan_counts_detected",
+    f"""WITH p AS ({scans.PACKAGE_SQL}), d AS ({DETECTED}),
+             g AS (SELECT DISTINCT pkg FROM expected_changes WHERE kind = 'added' AND path NOT LIKE '%.%' AND coalesce(symbol_kind, 'unknown') IN ('function', 'class', 'variable', 'enum', 'unknown')),
+             e AS (SELECT repo, severity FROM expected_findings UNION ALL SELECT repo, severity FROM d WHERE severity <> 'drift'
+                   UNION ALL SELECT repo, 'freshness' FROM p WHERE status = 'analyzed' AND n_findings = 0
+                   UNION ALL SELECT repo, 'feature' FROM scan_dependencies JOIN g ON scan_dependencies.pkg = g.pkg),
+             n AS (SELECT repo, count(*) FILTER (WHERE severity = 'breaking') AS breaking, count(*) FILTER (WHERE severity = 'deprecation') AS deprecation,
+                     count(*) FILTER (WHERE severity = 'vulnerability') AS vulnerabilities, count(*) FILTER (WHERE severity = 'lint') AS lint,
+                     count(*) FILTER (WHERE severity = 'freshness') AS freshness, count(*) FILTER (WHERE severity = 'feature') AS features FROM e GROUP BY repo),
+             k AS (SELECT repo, count(*) AS pin_conflicts FROM d WHERE severity = 'drift' GROUP BY repo),
+             a AS (SELECT repo, count(*) FILTER (WHERE status = 'analyzed') AS packages_analyzed, count(*) FILTER (WHERE status <> 'analyzed') AS packages_skipped, CAST(sum(n_sites) AS BIGINT) AS call_sites
+                   FROM p GROUP BY repo)
+        SELECT a.repo, packages_analyzed, packages_skipped, coalesce(breaking, 0) AS breaking, coalesce(deprecation, 0) AS deprecation, coalesce(vulnerabilities, 0) AS vulnerabilities,
+               coalesce(lint, 0) AS lint, coalesce(freshness, 0) AS freshness, coalesce(features, 0) AS features, call_sites, coalesce(pin_conflicts, 0) AS pin_conflicts
+        FROM a LEFT JOIN n ON a.repo = n.repo LEFT JOIN k ON a.repo = k.repo""",
+    (*scans.PACKAGE_VIEWS, "call_sites", "expected_changes"),
+)
+def _(t):
+    """A scan that counts what detectors found along with its own findings, in all seven classes."""
+    return scans.report(t, detected=t.sql(DETECTED, "call_sites")).counts
+
+
+@query(
+    "vulnerability_detector",
+    f"SELECT repo, 'vulnerability' AS severity, name AS pkg, guidance, 'vulnerability' AS detector FROM ({REPORT_SQL}) r",
+    ("installed", "expected_vulnerable", "imports", "advisory_rows"),
+)
+def _(t):
+    installed = t.view("installed")
+    tables = {
+        "installed": installed, "windows": windows(t), "names": advisories.advisory_names(records(t)), "facts": facts(t),
+        "imports": t.view("imports").select("repo", "pkg"), "locks": installed.select("repo", "name", "version", "line"),
+    }
+    run = detectors.run_detectors([detectors.VulnerabilityDetector(("npm",))], tables)
+    return run.findings.select("repo", "severity", "pkg", "guidance", "detector")
+
+
+# the language at the head of a page's path is an endpoint, whose description differs between two versions by language
+LANGUAGE = "regexp_extract(path, '^/([a-z]+)/[0-9]+', 1)"
+LANGUAGE_CALLS = f"""
+SELECT repo, 'f' || CAST(k AS STRING) AS file, 1 AS line, host, 'GET' AS method,
+       CASE WHEN k % 2 = 0 THEN '/' || {LANGUAGE} || '/{{id}}' ELSE regexp_extract(path, '^(/[a-z]+/[0-9]+)', 1) END AS route, {LANGUAGE} AS lang, k % 2 = 0 AS templated
+FROM page_urls WHERE {LANGUAGE} <> ''
+"""
+SINCE_SQL = f"""
+WITH c AS ({LANGUAGE_CALLS}), h AS (SELECT repo, host, lang, count(*) AS n_sites, bool_or(templated) AS templated FROM c GROUP BY repo, host, lang)
+SELECT repo, host, 'GET /' || lang || '/{{id}}' || CASE lang WHEN 'en' THEN ' query:page' WHEN 'fr' THEN ' query:token' ELSE '' END AS change_path,
+       CASE lang WHEN 'en' THEN 'added' WHEN 'fr' THEN 'signature-changed' WHEN 'de' THEN 'deprecated' ELSE 'removed' END AS kind,
+       CASE lang WHEN 'en' THEN 'feature' WHEN 'de' THEN 'deprecation' ELSE 'breaking' END AS severity, n_sites FROM h
+WHERE lang IN ('en', 'fr', 'de', 'es') AND (lang <> 'es' OR NOT templated OR NOT EXISTS (SELECT 1 FROM h x WHERE x.repo = h.repo AND x.host = h.host AND x.lang <> 'es'))
+"""
+
+
+def language_descriptions(t: Tables):
+    """Per host, the description before and now: a parameter more, a required one, a deprecation, a longer route."""
+    ops = t.sql(f"SELECT DISTINCT host, lang FROM ({LANGUAGE_CALLS}) c", "page_urls")
+    route = F.concat(F.lit('"/'), "lang", F.lit('/{id}":{"get":{'))
+
+    def parameter(name, required):
+        return f'"parameters":[{{"name":"{name}","in":"query","required":{required},"schema":{{"type":"string"}}}}]}}}}'
+
+    old = F.concat(route, F.lit("}}"))
+    new = (
+        F.when(F.col("lang") == "en", F.concat(route, F.lit(parameter("page", "false"))))
+        .when(F.col("lang") == "fr", F.concat(route, F.lit(parameter("token", "true"))))
+        .when(F.col("lang") == "de", F.concat(route, F.lit('"deprecated":true}}')))
+        .when(F.col("lang") == "es", F.lit('"/es/{id}/more":{"get":{}}'))
+        .otherwise(old)
+    )
+
+    def body(item):
+        return F.concat(F.lit('{"openapi":"3.0.0","paths":{'), F.array_join(F.array_sort(F.collect_list(item)), ","), F.lit("}}"))
+
+    return ops.groupBy(F.col("host").alias("vendor")).agg(body(old).alias("before"), body(new).alias("body"))
+
+
+@query("contract_since", SINCE_SQL, ("page_urls",))
+def _(t):
+    """What changed between two versions of a description and touches a call, less what is already reported as gone."""
+    c = t.sql(LANGUAGE_CALLS, "page_urls").drop("lang", "templated")
+    calls = c.withColumns({"params": F.array().cast("array<string>"), "resolved": F.lit(True), "col": F.lit(1), "text": F.lit("t"), "reason": F.lit(None).cast("string")})
+    both = language_descriptions(t)
+    candidates = both.select(
+        "vendor", F.lit(1).alias("seq"), F.concat(F.lit("https://"), "vendor").alias("url"), F.lit("official-domain").alias("provenance"),
+        F.lit(None).cast("string").alias("updated_at"), "body",
+    )
+    previous = both.select("vendor", F.col("before").alias("body"))
+    hits = contract_plan.check(calls, candidates, F.lit("2024-06-01").cast("timestamp"), previous).hits
+    return hits.select("repo", "host", "change_path", "kind", "severity", "n_sites")
+
+
 class _SplitDetector:
     def __init__(self, detector_id: str, *flags: str):
         self.detector_id, self.flags = detector_id, flags

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import inventory, locate, reporting
@@ -12,7 +13,7 @@ from .snapshots import changes, surfaces, symbols
 FOUND = ("expected_findings",)
 
 
-def report(t: Tables) -> scan_plan.ScanReport:
+def report(t: Tables, detected: DataFrame | None = None) -> scan_plan.ScanReport:
     return scan_plan.scan(
         scan_plan.ScanInputs(
             symbols(t, "from"),
@@ -22,7 +23,8 @@ def report(t: Tables) -> scan_plan.ScanReport:
             t.view("symbol_aliases"),
             t.view("scan_dependencies"),
             t.view("call_sites"),
-        )
+        ),
+        detected=detected,
     )
 
 

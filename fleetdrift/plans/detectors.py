@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import reporting
+from ..operators import locate, reporting
 from ..session import cut_lineage
 from ..sources import logs
 from . import contracts, reports, vulnerabilities
@@ -107,6 +107,51 @@ def unclaimed_warnings(rows: DataFrame, routes: tuple[Route, ...], what: str) ->
     return lost.withColumn("warning", text)
 
 
+class SiteResolver(Protocol):
+    """The call-site search of some ecosystems: ``sites`` gets the wanted symbols it claims (pkg, symbol, ecosystem)."""
+
+    route: Route
+
+    def sites(self, wanted: DataFrame, tables: dict[str, DataFrame]) -> DataFrame: ...
+
+
+def resolve_sites(resolvers: tuple[SiteResolver, ...], wanted: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Every wanted symbol goes to the first resolver that claims its ecosystem.
+
+    Returns the sites of all resolvers (repo, pkg, symbol, file, line, col, resolver) and what none of them handles
+    (ecosystem, n, warning).
+    """
+    routes = tuple(r.route for r in resolvers)
+    routed = wanted.withColumn("handler", claimed_by(routes, ecosystem=F.col("ecosystem")))
+    found = []
+    for resolver in resolvers:
+        mine = routed.filter(F.col("handler") == resolver.route.handler).drop("handler")
+        sites = resolver.sites(mine, tables).select("repo", "pkg", "symbol", "file", "line", "col")
+        found.append(sites.withColumn("resolver", F.lit(resolver.route.handler)))
+    lost = routed.filter("handler IS NULL").groupBy("ecosystem").agg(F.count(F.lit(1)).alias("n"))
+    text = F.concat(F.lit("no call-site search handles "), F.coalesce("ecosystem", F.lit("an unnamed ecosystem")), F.lit(", so "), F.col("n").cast("string"), F.lit(" symbol(s) were not searched"))
+    return reporting.union_findings(found), lost.withColumn("warning", text)
+
+
+class BindingResolver:
+    """Imported names and what is read from them. Tables: references, bindings, aliases."""
+
+    route = Route("typescript", ("npm",), (".ts", ".tsx", ".js", ".jsx"))
+
+    def sites(self, wanted: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+        return locate.binding_sites(tables["references"], tables["bindings"], wanted.select("pkg", "symbol"), tables["aliases"])
+
+
+class PythonResolver:
+    """Calls by name and by attribute. Tables: calls, names, stars, modules, roots."""
+
+    route = Route("python", ("PyPI",), (".py",))
+
+    def sites(self, wanted: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+        given = [tables[name] for name in ("calls", "names", "stars", "modules", "roots")]
+        return locate.python_sites(*given, wanted.select("pkg", "symbol"))
+
+
 class PinDetector:
     """Disagreeing version pins. Tables: files, dependencies."""
 

@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver tables")
 
 SAMPLE = """snapshot_diff signature_positional_params target_version vulnerable_versions located_findings binding_sites python_sites merged_dependencies
- route_matches http_calls spec_diff version_pins anchored_hunks diff_touched_lines dependency_paths rename_candidates yarn_lock requirements scan_deltas engine_summary""".split()
+ route_matches http_calls spec_diff version_pins anchored_hunks diff_touched_lines dependency_paths rename_candidates yarn_lock requirements scan_deltas engine_summary
+ resolver_sites scan_counts_detected contract_since dashboard_newest dashboard_findings""".split()
 
 
 @pytest.fixture(scope="module")

@@ -31,3 +31,46 @@ def test_a_failing_task_takes_down_its_detector_only(frame, rows):
     found = rows(run.findings, "detector", "severity", "pkg", "line")
     assert found == [("http-contract", "breaking", "h.io", 2)]
     assert rows(run.notes) == []
+
+
+def test_symbols_go_to_the_first_resolver_that_claims_them(frame, rows):
+    class Named:
+        def __init__(self, name, *ecosystems):
+            self.route = detectors.Route(name, ecosystems)
+
+        def sites(self, wanted, tables):
+            return wanted.join(tables["uses"], ["pkg", "symbol"])
+
+    wanted = frame("pkg string, symbol string, ecosystem string", ("a", "x", "npm"), ("b", "y", "PyPI"), ("c", "z", "Go"), ("d", "w", None))
+    uses = frame("repo string, pkg string, symbol string, file string, line int, col int", *[("r", p, s, "f", 1, 2) for p, s in ("ax", "by", "cz", "dw")])
+    sites, warnings = detectors.resolve_sites((Named("first", "npm"), Named("second", "npm", "PyPI")), wanted, {"uses": uses})
+    assert rows(sites, "pkg", "symbol", "resolver") == [("a", "x", "first"), ("b", "y", "second")]
+    assert rows(warnings, "ecosystem", "n") == [("Go", 1), (None, 1)]
+    assert all("were not searched" in r.warning for r in warnings.collect())
+
+
+def test_changes_since_the_previous_description_are_findings(frame, rows):
+    call = lambda line, route: ("r", "a.ts", line, 1, "t", "GET", True, "h.io", route, [], None)
+    given = frame(DESCRIPTION, ("h.io", 1, "https://h.io/spec", "official-domain", None, spec("/a/b", "/a/new")))
+    tables = {
+        "calls": frame(CALLS, call(1, "/a/b"), call(2, "/a/gone")),
+        "descriptions": given.withColumn("updated_at", F.to_timestamp(F.lit("2024-01-01"))),
+        "previous_descriptions": frame("vendor string, body string", ("h.io", spec("/a/b", "/a/gone", "/a/unused"))),
+    }
+    now = F.to_timestamp(F.lit("2024-01-02"))
+    found, notes = detectors.ContractDetector(now).detect(tables)
+    assert rows(found, "severity", "line") == [("breaking", 2)]  # the removal is reported once, as a call that is gone
+    assert rows(notes) == []
+    # a call that no claim covers is still reached by the change itself
+    tables["calls"] = frame(CALLS, call(2, "/a/gone"))
+    found, _ = detectors.ContractDetector(now).detect(tables)
+    assert rows(found, "severity", "line", "pkg") == [("breaking", None, "h.io")]
+
+
+def test_vulnerabilities_as_findings(spark):
+    from fleetdrift import catalog
+
+    catalog.load_all()
+    found = catalog.QUERIES["vulnerability_detector"](spark, "/root/testdata/sf0.001")
+    plain = catalog.QUERIES["vulnerability_report"](spark, "/root/testdata/sf0.001")
+    assert found.count() == plain.count() > 0 and found.filter("guidance IS NULL").isEmpty()
