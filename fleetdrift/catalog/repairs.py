@@ -343,7 +343,7 @@ SUGGEST = """
 SELECT p_brand AS pkg, 'c' || CAST(p_size % 6 AS STRING) || '.' || lower(replace(p_name, ' ', '_')) || CASE WHEN p_size % 3 = 0 THEN '' ELSE '_' || lower(p_type) END AS path,
        bool_and(p_size % 7 = 0) AS deprecated FROM part GROUP BY 1, 2
 """
-ASKED = "SELECT DISTINCT p_brand AS pkg, 'c' || CAST(p_size % 6 AS STRING) || '.' || lower(replace(p_name, ' ', '_')) AS path FROM part WHERE p_size > 30"
+ASKED = "SELECT DISTINCT p_brand AS pkg, 'c' || CAST(p_size % 6 AS STRING) || '.' || lower(replace(p_name, ' ', '_')) AS path FROM part"
 SCORE_SQL = """CASE WHEN n = l AND cp = pp THEN 0 WHEN n = l THEN 1 WHEN contains(n, l) THEN 2 WHEN contains(l, n) THEN 3
   WHEN len(string_split(l, '_')) >= 2 AND regexp_matches('_' || n || '_', '_' || replace(l, '_', '_(.*_)?') || '_') THEN 4 ELSE 5 END"""
 SUGGEST_SQL = f"""

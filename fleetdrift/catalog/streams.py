@@ -169,7 +169,7 @@ def _(t):
     return monitor(t).table("prs").select("repo", "number", "branch", "ci_status")
 
 
-CLAIMS = "SELECT repo, 'scan' AS kind, d, t FROM feed WHERE kind = 'error' AND d % 7 = 0"
+CLAIMS = "SELECT repo, 'scan' AS kind, d, t FROM feed WHERE kind = 'error'"
 REQUESTS = "SELECT repo, 'scan' AS kind, d AS id, 'ref' || CAST(d AS STRING) AS ref, t FROM feed WHERE kind = 'view'"
 
 
