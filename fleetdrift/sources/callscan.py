@@ -10,7 +10,9 @@ TOKEN = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|$)|\"(?:[^\"\\\n]|\\[\s\S])*\"?|
 REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 TEMPLATE = re.compile(r"\\[\s\S]|\$\{|`")
 CALLEE = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*)\s*(?:\?\.)?\s*$")
-BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};\n+*%<>~^-]|\breturn|\btypeof|=>)\s*$")
+BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};\n+*%~^-]|\breturn|\btypeof|=>)\s*$")
+# words that a string may follow without a space; after any other word a quote is an apostrophe of tag text
+BEFORE_STRING = frozenset("as await case default delete do else export extends from import in instanceof new of return throw typeof void yield".split())
 NO_CALL = frozenset("if for while switch catch function return typeof await new".split())
 PROPERTY = re.compile(r"""\s*(?:['"]([^'"]+)['"]|([A-Za-z_$][\w$-]*))\s*(:|$)""")
 CLOSERS = {")": "(", "]": "[", "}": "{"}
@@ -23,6 +25,21 @@ class _Open:
         self.kind, self.at, self.cuts, self.objects = kind, at, [], {}
 
 
+def _regex_end(source: str, start: int) -> int | None:
+    """Where the regular expression ends that begins at ``start``; None if the slash divides or belongs to a tag."""
+    if source.startswith("/>", start) or not BEFORE_REGEX.search(source[max(0, start - 40) : start]):
+        return None
+    found = REGEX.match(source, start)
+    return found.end() if found else None
+
+
+def _is_apostrophe(source: str, at: int) -> bool:
+    if source[at] != "'" or not (source[at - 1 : at].isalnum()):
+        return False
+    word = re.search(r"[\w$]+$", source[max(0, at - 40) : at])
+    return word is None or word[0] not in BEFORE_STRING
+
+
 def _callee(source: str, at: int) -> tuple[int, str] | None:
     """(start, name) of what is called by the bracket at ``at``; type arguments in between are skipped."""
     head = source[max(0, at - 400) : at]
@@ -63,6 +80,9 @@ def _parts(source: _Source, opened: _Open, end: int) -> list[str]:
 def _properties(source: _Source, opened: _Open, end: int) -> list[tuple[str, str]]:
     out = []
     for text in _parts(source, opened, end):
+        if text.startswith("..."):
+            out.append(("...", text[3:].strip()))
+            continue
         found = PROPERTY.match(text)
         if found:
             name = found[1] or found[2]
@@ -96,8 +116,9 @@ def scan_calls(source: str) -> Iterator[tuple[int, int, str, bool, list[str], li
         elif token == "`":
             stack.append(_Open("`", start))
         elif token == "/":
-            literal = REGEX.match(source, start) if BEFORE_REGEX.search(source[max(0, start - 40) : start]) else None
-            at = literal.end() if literal else at
+            at = _regex_end(source, start) or at
+        elif token[0] == "'" and _is_apostrophe(source, start):
+            at = start + 1
         elif token in "([{":
             stack.append(_Open(token, start))
         elif token == ",":
@@ -178,20 +199,24 @@ def plain_template(text: str) -> str:
 
 
 IMPORT = re.compile(r"""(?<![\w$.])(?:import\b(?:\s+type\b)?\s*(?:[\w$*\s{},]+?\bfrom\b\s*|[\w$*\s{},]*?[}*\w$]\s*from\s*)?|require\s*\(\s*)(?:'([^'\n]+)'|"([^"\n]+)")""")
-QUOTED = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|$)|\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?|`(?:[^`\\]|\\[\s\S])*`?")
+QUOTED = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|$)|\"(?:[^\"\\\n]|\\[\s\S])*\"?|'(?:[^'\\\n]|\\[\s\S])*'?|`(?:[^`\\]|\\[\s\S])*`?|/")
 
 
 def scan_imports(source: str) -> list[tuple[int, str]]:
     """(start, specifier) of import declarations and ``require`` calls, over several lines too; none in comments or strings."""
-    plain, at, inside = [], 0, []
-    for found in QUOTED.finditer(source):
-        plain.append(source[at : found.start()])
-        comment = found[0].startswith(("//", "/*"))
-        plain.append(re.sub(r"[^\n]", " ", found[0]) if comment else found[0])
-        if not comment:
-            inside.append((found.start(), found.end()))
-        at = found.end()
-    text = "".join([*plain, source[at:]])
+    plain, done, at, inside = [], 0, 0, []
+    while found := QUOTED.search(source, at):
+        token, start, at = found[0], found.start(), found.end()
+        if token == "/":
+            at = _regex_end(source, start) or at
+        elif (token[0] == "'" and _is_apostrophe(source, start)) or (token[0] == "`" and (token == "`" or token[-1] != "`")):
+            at = start + 1  # an apostrophe or a lone backtick of tag text
+        elif token.startswith(("//", "/*")):
+            plain += [source[done:start], re.sub(r"[^\n]", " ", token)]
+            done = at
+        else:
+            inside.append((start, at))
+    text = "".join([*plain, source[done:]])
     starts = [a for a, _ in inside]
     out = []
     for found in IMPORT.finditer(text):

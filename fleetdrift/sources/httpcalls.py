@@ -57,6 +57,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
+NO_OPTIONS = r"^(?:undefined|null|(?:async\s+)?(?:function\b|(?:\([^()]*\)|[\w$]+)\s*=>))"
+
+
 def _literal(text: Column) -> Column:
     """The content of a string literal that is the whole ``text``, else NULL."""
     found = F.regexp_extract(text, rf"^{STRING}$", 1)
@@ -91,6 +94,11 @@ def raw_calls(files: DataFrame) -> DataFrame:
     calls = calls.withColumns({"url_text": url_text, "by": url_text.isNotNull() & method.isNotNull(), "verb": _verb_of(method)})
     own = F.upper(F.regexp_extract("callee", r"\.([\w$]+)$", 1))
     own = F.when(F.get(F.split("callee", r"\."), 0).isin(*CLIENTS), F.nullif(own, F.lit("")))
+    # options that state no readable verb leave it to run time, unless they are a literal without verb or spread, or a callback
+    options = F.get("args", 1)
+    stated = _verb_of(_property("second", "method"))
+    silent = (options.startswith("{") & _property("second", "method", "...").isNull()) | options.rlike(NO_OPTIONS)
+    open_verb = own.isNull() & ~F.col("by") & options.isNotNull() & stated.isNull() & ~silent
     target = F.when(F.col("by"), F.col("url_text")).otherwise(F.get("args", 0))
     params = _property("first", *QUERY_NAMES)
     names = F.regexp_extract_all(F.regexp_extract(params, r"^\{([^{}]*)\}$", 1), F.lit(r"""(?:^|,)\s*['"]?([\w$-]+)['"]?\s*(?=[:,]|$)"""), F.lit(1))
@@ -100,11 +108,11 @@ def raw_calls(files: DataFrame) -> DataFrame:
         "line",
         "col",
         "text",
-        F.coalesce(own, F.when(F.col("by"), F.col("verb")).otherwise(_verb_of(_property("second", "method"))), F.lit("GET")).alias("method"),
+        F.coalesce(own, F.when(F.col("by"), F.col("verb")).otherwise(stated), F.lit("GET")).alias("method"),
         _literal(target).alias("url"),
         F.coalesce(target.startswith("`"), F.lit(False)).alias("is_template"),
         F.when(F.col("by") & params.isNotNull(), F.filter(names, lambda n: n != "")).otherwise(F.array().cast("array<string>")).alias("option_params"),
-        (F.col("by") & F.col("verb").isNull()).alias("runtime_method"),
+        ((F.col("by") & F.col("verb").isNull()) | F.coalesce(open_verb, F.lit(False))).alias("runtime_method"),
         "closed",
     )
 

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from fleetdrift.functions import urls
 from fleetdrift.operators import contracts
 from fleetdrift.sources import apispecs, httpcalls
 
@@ -187,6 +188,28 @@ fetch("https://a.com/open", { method: "POST"
     ]
 
 
+def test_http_calls_among_tags(frame):
+    text = """return <div><b>hi</b><button onClick={() => fetch("https://a.com/x")}>go</button></div>
+<p>Don't {fetch('https://a.com/y')} stop</p>
+const e = <A x={1}/>; got("https://a.com/z"); <B/>
+const half = total / 2; const n = {a: 1}; fetch("https://a.com/w"); const r = a / b;
+"""
+    files = frame("repo string, file string, content string", ("r", "a.tsx", text))
+    found = [(r.line, r.method, r.route, r.resolved) for r in httpcalls.http_calls(files).orderBy("line").collect()]
+    assert found == [(1, "GET", "/x", True), (2, "GET", "/y", True), (3, "GET", "/z", True), (4, "GET", "/w", True)]
+
+
+def test_no_verb_is_invented(frame):
+    at_run_time = ["opts", "{ ...base }", "{ method }", "{ method: ok ? 'POST' : 'PUT' }", "build({ method: 'PUT' })", "{ headers: h, ...base }"]
+    get = ["undefined", "{ headers: { ...h } }", "{}", "(e) => done(e)", "function (e) { return e; }", "{ note: '...' }"]
+    post = ["{ ...base, method: 'POST' }", "{ method: Verb.Post }"]
+    lines = [f'fetch("https://a.com/x", {o});' for o in [*at_run_time, *get, *post]] + ['axios("https://a.com/x", cfg);', 'axios.post("https://a.com/x", data);']
+    files = frame("repo string, file string, content string", ("r", "a.ts", "\n".join(lines)))
+    found = [r.method if r.resolved else r.reason for r in httpcalls.http_calls(files).orderBy("line").collect()]
+    run_time = urls.RUNTIME_METHOD
+    assert found == [run_time] * len(at_run_time) + ["GET"] * len(get) + ["POST"] * len(post) + [run_time, "POST"]
+
+
 def test_best_description_keeps_the_earliest_of_equals(frame, rows):
     df = frame("vendor string, seq int, provenance string", ("v", 1, "community"), ("v", 2, "curated"), ("v", 3, "curated"))
     assert rows(contracts.best_descriptions(df), "seq") == [(2,)]

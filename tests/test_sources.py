@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from fleetdrift.operators import pinning, quality
+from fleetdrift.sources import callscan, imports, lockfiles, logs, pins, requirements, symbols
 from fleetdrift.sources import files as file_source
-from fleetdrift.sources import imports, lockfiles, logs, pins, requirements, symbols
 
 FILE = "repo string, file string, content string"
 
@@ -95,6 +96,14 @@ def test_review_findings(frame, rows):
     assert rows(df, "k", F.when(found.isNotNull(), F.size(found))) == [(0, 1), (1, 0), (2, None), (3, None), (4, 1)]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["const re = /'/; import y from 'z'", "<p>Don't</p>; require('z')", "<p>a ` in a tag</p>\nimport y from 'z'", "const q = a / b; import 'z'", "x = `t`; import {a} from'z'"],
+)
+def test_imports_after_quotes_that_open_no_string(text):
+    assert [module for _, module in callscan.scan_imports(text)] == ["z"]
+
+
 def test_imports(frame, rows):
     text = "import a from 'a/x';\nimport { type B as C, D } from \"@s/b\";\nconst z = require('z');\nimport './local';\nimport 'node:fs';\n"
     df = frame(FILE, ("r", "f.ts", text))
