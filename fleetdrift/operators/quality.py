@@ -23,31 +23,37 @@ NAMED_FILE = (
 PARAMETER_ANY = r"([(,]\s*\.{0,3}\w+\??)\s*:\s*any\b(?!\[)"
 
 
-def _usable_pattern():
-    """A pattern as Spark's regular expressions read it, NULL where it does not compile.
+def _in_this_dialect():
+    """A pattern spelled as the JVM reads it, NULL for constructs only another engine has. Distinct patterns only.
 
-    Runs over the distinct patterns only. Spellings that differ: an open bracket or ``&&`` inside a class, and a brace
-    that starts no repetition, which stands for itself.
+    Spellings that differ: an open bracket or ``&&`` inside a class, a brace that starts no repetition and stands for
+    itself (``{,n}`` too), the end of the text, and the null character.
     """
     repetition = re.compile(r"\{\d+(?:,\d*)?\}")
+    named = re.compile(r"\\[pPNx]\{[^{}]*\}")
     only_here = re.compile(r"\(\?(?:P|#|\(|[a-zA-Z]*[aL])")
 
-
     def rewrite(pattern):
-        try:
-            re.compile(pattern)
-        except (re.error, TypeError):
-            return None
-        if only_here.search(pattern):
+        if pattern is None or only_here.search(pattern):
             return None
         out, in_class, i = [], False, 0
         while i < len(pattern):
             ch = pattern[i]
             if ch == "\\":
-                out.append(pattern[i : i + 2])
-                i += 2
+                whole = named.match(pattern, i)
+                token = whole[0] if whole else pattern[i : i + 2]
+                i += len(token)
+                if token == "\\0" and pattern[i : i + 1] not in tuple("01234567"):
+                    token = "\\x00"
+                out.append("\\z" if token == "\\Z" else token)
                 continue
-            itself = (ch in "[&" and in_class) or (ch == "{" and not in_class and not repetition.match(pattern, i))
+            if ch == "{" and not in_class:
+                count = repetition.match(pattern, i)
+                if count:
+                    out.append(count[0])
+                    i = count.end()
+                    continue
+            itself = (ch in "[&" and in_class) or (ch == "{" and not in_class)
             out.append("\\" + ch if itself else ch)
             in_class = ch != "]" if in_class else ch == "["
             i += 1
@@ -59,6 +65,11 @@ def _usable_pattern():
     return F.pandas_udf(rewrite_all, StringType())
 
 
+def _compiles(pattern: Column) -> Column:
+    """Whether the JVM's own compiler takes the pattern."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
 def resolve_checks(checks: DataFrame, files: DataFrame) -> DataFrame:
     """repo, check_id, state, n_files: unresolved where any file fires, resolved where none does, unknown where nothing could be read.
 
@@ -66,7 +77,8 @@ def resolve_checks(checks: DataFrame, files: DataFrame) -> DataFrame:
     short list beside each of its files, so a file's text is read once for all of them. Patterns are compiled
     first; a bad one makes its check unknown, not the job fail.
     """
-    patterns = checks.filter("kind = 'absent'").select("pattern").distinct().withColumn("ready", _usable_pattern()("pattern"))
+    patterns = checks.filter("kind = 'absent'").select("pattern").distinct().withColumn("ready", _in_this_dialect()("pattern"))
+    patterns = patterns.withColumn("ready", F.when(F.col("ready").isNotNull() & _compiles(F.col("ready")), F.col("ready")))
     known = checks.join(patterns, "pattern", "left").withColumn("usable", (F.col("kind") == "import") | F.col("ready").isNotNull())
     lists = known.filter("usable").groupBy("repo").agg(
         F.collect_list(F.struct("check_id", "kind", "ready", "symbol", "pkg")).alias("checks")

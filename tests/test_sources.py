@@ -150,6 +150,20 @@ def test_walked_files(frame, rows):
     assert sorted(rows(file_source.source_files(tree))) == sorted([*[("r", f) for f in kept], ("q", "v/env/a.py")])
 
 
+def test_any_pattern_is_answered(frame):
+    fires = [r"\0", r"\N{DIGIT ONE}", r"\p{Lu}+", r"foo\Z", "(?<name>f)oo", r"a{2}", "{x", r"[[]", "a&&b"]
+    quiet = [r"foo\Zbar", "a{3}", "x{2,}z", "x{,3}z", r"bar\Z"]
+    bad = ["(unclosed", "a{4294967296}", "*a", "(?P<n>a)", "[z-a]", r"\N{NO SUCH NAME}"]
+    text = "\0 1 A xz {x [ aa a&&b\nfoo"
+    checks = [("r", p, "absent", p, None, None) for p in [*fires, *quiet, *bad]]
+    found = quality.resolve_checks(
+        frame("repo string, check_id string, kind string, pattern string, symbol string, pkg string", *checks),
+        frame("repo string, file string, content string", ("r", "f", text), ("r", "g", "foo\n")),
+    )
+    states = {r.check_id: r.state for r in found.collect()}
+    assert states == {**dict.fromkeys(fires, "unresolved"), **dict.fromkeys(quiet, "resolved"), **dict.fromkeys(bad, "unknown")}
+
+
 def test_completeness_checks(frame, rows):
     schema = "repo string, check_id string, kind string, pattern string, symbol string, pkg string"
     checks = frame(schema, ("r", "hit", "absent", "old\\(", None, None), ("r", "miss", "absent", "zzz", None, None), ("r", "bad", "absent", "(", None, None), ("r", "imp", "import", None, "A", "lib"), ("none", "x", "absent", "a", None, None))
