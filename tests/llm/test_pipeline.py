@@ -46,7 +46,7 @@ def test_one_of_near_copies_stays(stages):
     sets = {}
     for i, t in before.items():
         w = words(t.lower())
-        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     root = {i: i for i in before}
 
     def find(x):
@@ -59,7 +59,7 @@ def test_one_of_near_copies_stays(stages):
         for b in names:
             if b < a and sets[a] and sets[b]:
                 inter = len(sets[a] & sets[b])
-                if 100 * inter >= 85 * (len(sets[a]) + len(sets[b]) - inter):
+                if 100 * inter >= 80 * (len(sets[a]) + len(sets[b]) - inter):
                     x, y = sorted((find(a), find(b)))
                     root[y] = x
     assert set(texts(stages[3])) == {i for i in names if find(i) == i}
@@ -71,6 +71,21 @@ def test_copy_with_a_fifth_more_text_goes(docs, prose, spark):
     assert set(texts(corpus_pipeline.jaccard_join(spark, docs(*given), SF))) == {1, 3, 4}
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_odd_rows_pass_every_stage(name, spark, docs, odd_rows):
+    """Null and empty texts, ties, repeated rows, a null id, a very long text, clashing columns; and no rows at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    given = docs(*[r for r in odd_rows if r[0] is not None or name != "packing"])
+    found = stage(spark, given, SF)
+    if name == "packing":
+        assert found.filter("doc_id = 1").count() == 1  # an empty document is its closing id
+    else:
+        assert found.columns == given.columns
+        kept = [r.doc_id for r in found.collect()]
+        assert {1, 4, 10} <= set(kept) or name == "exact_dedup" and {1, 2, 3} & set(kept) and {4, 10} <= set(kept)
+    assert stage(spark, given.filter("false"), SF).count() == 0
+
+
 def test_repeated_passages_go(stages):
     before, after = texts(stages[3]), texts(stages[4])
     seen, want = set(), {}
