@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; all but the
 last return the columns of ``docs``. The last gives the packed pieces with their ids.
+
+Null and empty texts count as empty: they are not toxic, one of them stays as an exact copy, they link with nothing, hold
+no passages, and are packed as their closing id. Rows that repeat an id or have none are decided with their text; ties
+go to the smallest id. Very long texts are read whole. Further columns pass through, whatever their names. An empty
+table gives an empty result at every stage.
 """
 
 from __future__ import annotations
