@@ -2,7 +2,8 @@
 
 A unit vector ``x`` is held as ``s * q + e`` with int8 ``q``. From the norms of ``s * q`` and ``e`` the error of a
 product of two quantised vectors is at most ``|sq| |e'| + |e| |sq'| + |e| |e'|``; products that stay below the
-threshold by more than that are settled. int8 products are exact in float32 matrix products for up to 1,040 components.
+threshold by more than that are settled. int8 products are exact in float32 matrix products for up to 1,040 components; longer vectors are multiplied in
+blocks of so many, summed in double precision.
 Rows and columns of a tile that hold an open pair are multiplied again in double precision, and that decides.
 
 Equal vectors are one class with a count, so a vector that a third of all rows share is one row. Classes are dealt
@@ -30,6 +31,7 @@ from . import common
 TILE_BYTES = 8 << 20  # of double vectors
 SUB = 1024
 PIVOTS = 256
+EXACT = 1040  # components whose products, 127 * 127 each, add up to less than 2^24
 SLACK = 1e-6  # rounding of scales, norms and the float32 product of scales
 longs = common.longs
 
@@ -117,13 +119,23 @@ class _Tile:
         self.scale = scale
 
 
+def whole_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a b'`` of whole numbers up to 127 held as float32, exact at any length."""
+    if a.shape[1] <= EXACT:
+        return a @ b.T
+    total = np.zeros((len(a), len(b)))
+    for k in range(0, a.shape[1], EXACT):
+        total += a[:, k : k + EXACT] @ b[:, k : k + EXACT].T
+    return total
+
+
 def tile_links(a: _Tile, b: _Tile, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row indices of linked pairs, block by block; within one tile each pair once."""
     for i in range(0, len(a.x), SUB):
         rows = slice(i, i + SUB)
         for j in range(i if same else 0, len(b.x), SUB):
             cols = slice(j, j + SUB)
-            product = a.q[rows] @ b.q[cols].T
+            product = whole_product(a.q[rows], b.q[cols])
             if same and i == j:
                 product[np.tril_indices(len(product), 0, product.shape[1])] = -np.inf
             # the largest error of the block first: most rows end here

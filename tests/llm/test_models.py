@@ -170,3 +170,9 @@ def test_labels_of_held_out_rows_are_not_read(docs, spark, prose):
 def test_isotonic_is_monotone_and_averages():
     at, share = toxicity.isotonic(np.array([0.0, 1, 2, 3]), np.array([0, 1, 0, 1]))
     assert (np.diff(share) >= 0).all() and share.tolist() == [0.0, 0.5, 1.0] and at.tolist() == [0.0, 1.5, 3.0]
+
+
+def test_products_of_long_vectors_are_exact():
+    rng = np.random.default_rng(8)
+    a, b = (rng.integers(100, 128, (5, n)).astype(np.float32) for n in (4099, 4099))
+    assert (embeddings.whole_product(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
