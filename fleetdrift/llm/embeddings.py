@@ -2,9 +2,8 @@
 
 A unit vector ``x`` is held as ``s * q + e`` with int8 ``q``. From the norms of ``s * q`` and ``e`` the error of a
 product of two quantised vectors is at most ``|sq| |e'| + |e| |sq'| + |e| |e'|``; products that stay below the
-threshold by more than that are settled. int8 products are exact in float32 matrix products for up to 1,040 components; longer vectors are multiplied in
-blocks of so many, summed in double precision.
-Rows and columns of a tile that hold an open pair are multiplied again in double precision, and that decides.
+threshold by more than that are settled. int8 products are exact in float32 matrix products for up to 1,040 components;
+longer vectors are multiplied in blocks of so many, summed in double precision. Rows and columns of a tile that hold an open pair are multiplied again in double precision, and that decides.
 
 Equal vectors are one class with a count, so a vector that a third of all rows share is one row. Classes are dealt
 to tiles by their nearest pivot; two tiles whose pivots are further apart than both radii and the threshold's angle
