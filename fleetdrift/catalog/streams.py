@@ -20,6 +20,7 @@ FROM events
 """,
 )
 F_ = ("feed",)
+BUCKETS = 32  # of the replayed state: some hundred repositories
 
 
 def feed_events(t: Tables):
@@ -90,7 +91,7 @@ def monitor(t: Tables) -> webhooks.WebhookStream:
 
 
 def replay_webhooks(t: Tables) -> webhooks.WebhookStream:
-    source, run = work_path(t.spark, "webhooks"), webhooks.WebhookStream(t.spark, work_path(t.spark, "monitor"))
+    source, run = work_path(t.spark, "webhooks"), webhooks.WebhookStream(t.spark, work_path(t.spark, "monitor"), BUCKETS)
     for part in in_slices(feed_events(t), "received_at", 4):
         part.write.mode("append").json(source)
         run.run(webhooks.read_events(t.spark, source, files_per_batch=100_000))
@@ -193,7 +194,7 @@ def replay_scans(t: Tables) -> scan_stream.ScanStream:
     rows = t.view("event_scans").join(t.view("scan_found"), ["repo", "scan"], "left").select("repo", "scan", "finding")
     source = work_path(t.spark, "scans")
     dated = rows.withColumn("day", F.unix_date(F.col("scan").cast("date")))
-    run = scan_stream.ScanStream(t.spark, work_path(t.spark, "scan-stream"))
+    run = scan_stream.ScanStream(t.spark, work_path(t.spark, "scan-stream"), BUCKETS)
     for part in in_slices(dated, "day", 4):
         part.write.mode("append").parquet(source)
         run.run(scan_stream.read_scans(t.spark, source, files_per_batch=100_000))

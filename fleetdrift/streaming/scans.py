@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import lifecycle
-from .state import VersionedState, run_available
+from .state import BUCKETS, VersionedState, run_available
 
 STATE = {
     "findings": "repo string, finding string, first_seen string, last_seen string, status string",
@@ -39,8 +39,10 @@ def batch_deltas(stored: DataFrame, known: DataFrame, scans: DataFrame, found: D
 
 
 class ScanStream:
-    def __init__(self, spark: SparkSession, root: str):
-        self.state = VersionedState(spark, f"{root}/state", STATE)
+    """Findings and scans by repository; a batch reads and rewrites the buckets of the repositories it scans."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.state = VersionedState(spark, f"{root}/state", STATE, {"findings": "repo", "scans": "repo"}, buckets)
         self.checkpoint = f"{root}/checkpoint"
         self.last = self.state.last("findings")
 
@@ -49,9 +51,10 @@ class ScanStream:
         try:
             scans = rows.select("repo", "scan").distinct()
             found = rows.filter("finding IS NOT NULL")
-            stored, known = self.state.read("findings", batch_id - 1), self.state.read("scans", batch_id - 1)
-            self.state.write("findings", batch_id, lifecycle.apply_scans(stored, scans, found))
-            self.state.write("scans", batch_id, known.unionByName(scans).distinct())
+            touched = self.state.touched("scans", scans)
+            stored, known = (self.state.read(table, batch_id - 1, touched) for table in ("findings", "scans"))
+            self.state.write("findings", batch_id, lifecycle.apply_scans(stored, scans, found), touched)
+            self.state.write("scans", batch_id, known.unionByName(scans).distinct(), touched)
             self.state.append("deltas", batch_id, batch_deltas(stored, known, scans, found))
         finally:
             rows.unpersist()

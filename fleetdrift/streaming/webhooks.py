@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.asof import as_of
 from ..skew import split_hot_join
-from .state import VersionedState, run_available
+from .state import BUCKETS, VersionedState, run_available
 
 STATE = {
     "repos": "repo string, installation bigint, default_branch string, changed_at timestamp, changed_by bigint, removed_at timestamp",
@@ -101,32 +102,21 @@ def next_repos(operations: DataFrame) -> DataFrame:
     )
 
 
-def tracked_spans(operations: DataFrame) -> DataFrame:
-    """repo, from, until: the times a repository was tracked. Operations are rare beside pushes."""
-    order = Window.partitionBy("repo").orderBy("at", "step")
-    spans = operations.withColumn("until", F.lead("at").over(order)).filter("tracked")
-    return spans.select("repo", F.col("at").alias("from"), "until")
-
+def pushes(events: DataFrame, operations: DataFrame, path: str | None = None) -> DataFrame:
+    """delivery, at, repo, branch, verdict of every push: what the last operation on its repository before it left.
 
-def pushes(events: DataFrame, spans: DataFrame) -> DataFrame:
-    """delivery, at, repo, branch, verdict of every push."""
+    ``operations``: repo, at, step, tracked.
+    """
     branch = F.col("repository.default_branch")
     rows = events.filter("event = 'push'").select("delivery", _at().alias("at"), F.col("repository.full_name").alias("repo"), branch.alias("branch"), "ref")
-    usable = rows.filter((F.col("repo").isNotNull()) & (F.col("ref") == F.concat(F.lit("refs/heads/"), F.col("branch"))))
-    hits = (
-        split_hot_join(usable.select("delivery", "repo", "at"), spans, ["repo"])
-        .filter((F.col("from") < F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
-        .select("delivery")
-        .distinct()
-        .withColumn("hit", F.lit(True))
-    )
+    seen = as_of(rows, operations, ["repo"], "at", ["tracked"], strict=True, order=("step",), path=path)
     verdict = (
         F.when(F.col("repo").isNull(), "ignored: unidentifiable repository")
         .when(F.col("branch").isNull() | ~F.col("ref").eqNullSafe(F.concat(F.lit("refs/heads/"), F.col("branch"))), "ignored: not the default branch")
-        .when(F.col("hit").isNull(), "ignored: repository not tracked")
-        .otherwise("scan queued")
+        .when(F.coalesce("last.tracked", F.lit(False)), "scan queued")
+        .otherwise("ignored: repository not tracked")
     )
-    return rows.join(hits, "delivery", "left").select("delivery", "at", "repo", "branch", verdict.alias("verdict"))
+    return seen.select("delivery", "at", "repo", "branch", verdict.alias("verdict"))
 
 
 def next_installations(installations: DataFrame, events: DataFrame) -> DataFrame:
@@ -154,21 +144,11 @@ def coalesce_requests(requests: DataFrame, claims: DataFrame) -> DataFrame:
     """One queued request per (repo, kind) between two claims: the first one's id, the newest one's ref.
 
     ``requests``: repo, kind, id, ref, at. ``claims``: repo, kind, at: the moments a runner took the queue. A
-    request belongs to the run after the last claim before it, found by a join on the claim intervals.
+    request belongs to the run after the last claim by its time: run n follows n claims.
     """
-    order = Window.partitionBy("repo", "kind").orderBy("at")
-    runs = claims.withColumns({"run": F.row_number().over(order), "until": F.lead("at").over(order)}).select(
-        "repo", "kind", F.col("at").alias("from"), "until", "run"
-    )
-    placed = (
-        split_hot_join(requests, runs, ["repo", "kind"])
-        .filter((F.col("at") >= F.col("from")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
-        .select("id", "run")
-    )
-    return (
-        requests.join(placed, "id", "left")
-        .groupBy("repo", "kind", F.coalesce("run", F.lit(0)).alias("run"))
-        .agg(F.min_by("id", "at").alias("job"), F.max_by("ref", "at").alias("ref"), F.max("at").alias("created_at"), F.count(F.lit(1)).alias("n_requests"))
+    placed = as_of(requests, claims, ["repo", "kind"], "at", ["at"])
+    return placed.groupBy("repo", "kind", F.col("n_before").cast("int").alias("run")).agg(
+        F.min_by("id", "at").alias("job"), F.max_by("ref", "at").alias("ref"), F.max("at").alias("created_at"), F.count(F.lit(1)).alias("n_requests")
     )
 
 
@@ -272,29 +252,54 @@ def scan_requests(operations: DataFrame, push_rows: DataFrame) -> DataFrame:
     return added.unionByName(pushed).withColumn("kind", F.lit("scan"))
 
 
+KEYS = {"repos": "repo", "installations": "installation", "jobs": "repo", "prs": "repo"}
+
+
+def named_repos(events: DataFrame) -> DataFrame:
+    """repo: those that an event adds, removes or pushes to."""
+    lists = [F.coalesce(c, F.array()) for c in ("repositories", "repositories_added", "repositories_removed")]
+    listed = events.filter("event IN ('installation', 'installation_repositories')").select(F.explode(F.concat(*[F.transform(c, lambda r: r["full_name"]) for c in lists])).alias("repo"))
+    return listed.unionByName(events.filter("event = 'push'").select(F.col("repository.full_name").alias("repo"))).filter("repo IS NOT NULL")
+
+
 class WebhookStream:
-    """The monitor: one stream, five state tables."""
+    """The monitor: one stream, four state tables by key and a log.
+
+    A batch reads and rewrites the buckets its events name. Only a deleted installation asks the whole table of
+    repositories which ones are its own; those alone are rewritten.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.state = VersionedState(spark, f"{root}/state", STATE)
-        self.checkpoint = f"{root}/checkpoint"
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.state = VersionedState(spark, f"{root}/state", STATE, KEYS, buckets)
+        self.checkpoint, self.ranges = f"{root}/checkpoint", f"{root}/ranges"
         self.last = self.state.last("prs")
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        before = {name: self.state.read(name, batch_id - 1) for name in ("repos", "installations", "jobs", "prs")}
+        state, before = self.state, batch_id - 1
         events = batch.persist()
-        operations = repo_operations(before["repos"], events).persist()
-        push_rows = pushes(events, tracked_spans(operations)).persist()
+        kept = [events]
         try:
-            prs = next_prs(before["prs"], events)
-            self.state.write("repos", batch_id, next_repos(operations))
-            self.state.write("installations", batch_id, next_installations(before["installations"], events))
-            self.state.write("jobs", batch_id, next_jobs(before["jobs"], scan_requests(operations, push_rows)))
-            self.state.write("prs", batch_id, prs)
-            hits = ci_matches(events, self.state.read("prs", batch_id))
-            self.state.append("actions", batch_id, actions(events, push_rows, hits))
+            deleted = events.filter("event = 'installation' AND action = 'deleted'").select("installation.id").distinct()
+            asked = state.touched("repos", named_repos(events))
+            if not deleted.isEmpty():
+                own = state.read("repos", before).join(deleted, F.col("installation") == F.col("id"), "left_semi")
+                asked = sorted({*asked, *state.touched("repos", own)})
+            operations = repo_operations(state.read("repos", before, asked), events).persist()
+            kept.append(operations)
+            push_rows = pushes(events, operations, self.ranges).persist()
+            kept.append(push_rows)
+            state.write("repos", batch_id, next_repos(operations), state.touched("repos", operations.filter("op NOT LIKE 'state%'")))
+            installs = state.touched("installations", events.filter("event = 'installation'").select(F.col("installation.id").alias("installation")))
+            state.write("installations", batch_id, next_installations(state.read("installations", before, installs), events), installs)
+            requests = scan_requests(operations, push_rows)
+            queues = state.touched("jobs", requests)
+            state.write("jobs", batch_id, next_jobs(state.read("jobs", before, queues), requests), queues)
+            suites = state.touched("prs", events.filter("event IN ('pull_request_recorded', 'check_suite')").select(F.col("repository.full_name").alias("repo")))
+            state.write("prs", batch_id, next_prs(state.read("prs", before, suites), events), suites)
+            hits = ci_matches(events, state.read("prs", batch_id, suites))
+            state.append("actions", batch_id, actions(events, push_rows, hits))
         finally:
-            for rows in (push_rows, operations, events):
+            for rows in reversed(kept):
                 rows.unpersist()
 
     def run(self, stream: DataFrame) -> "WebhookStream":

@@ -4,6 +4,7 @@ import pytest
 
 from fleetdrift import skew
 from fleetdrift.operators import lifecycle, reporting, scoring
+from fleetdrift.operators.asof import as_of
 from fleetdrift.session import work_path
 from fleetdrift.streaming import scans as scan_stream
 from fleetdrift.streaming import webhooks
@@ -172,3 +173,62 @@ def test_monitor_state(spark, frame, rows):
     assert got == {"a": (2, True), "b": (1, True)}
     assert rows(stream.table("jobs"), "repo", "job") == [("a", 2), ("b", 2)]
     assert [(r.installation, r.suspended_at is not None) for r in stream.table("installations").orderBy("installation").collect()] == [(1, True)]
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, frame, rows):
+    root = work_path(spark, "monitor")
+    stream = webhooks.WebhookStream(spark, root, buckets=8)
+    at = "2024-01-01 00:00:%02d"
+    many = [f"r{i}" for i in range(200)]
+    stream.handle(events(frame, ("installation", 1, at % 1, "created", 1, many, None, None, None)), 0)
+    stream.handle(events(frame, ("push", 2, at % 2, None, None, None, None, "r7", "refs/heads/main")), 1)
+    stream.handle(events(frame, ("installation_repositories", 3, at % 3, None, 1, None, ["r7", "unknown"], None, None)), 2)
+    holds = [stream.state._holds("repos", n) for n in range(3)]
+    assert set(holds[0].values()) == {0} and len(holds[0]) == 8
+    assert holds[1] == holds[0]  # a push changes no repository
+    assert sorted(holds[2].values()) == [0] * 7 + [2]
+    assert sorted(stream.state._holds("jobs", 1).values()) == [0] * 7 + [1]
+    assert stream.state.read("repos", 2).filter("removed_at IS NULL").count() == 199
+    # found after a restart with the number of buckets it was written with; the older version is still whole
+    again = webhooks.WebhookStream(spark, root, buckets=64)
+    again.state.expire(2)
+    assert again.state.buckets == 8 and again.last == 2
+    assert again.state.read("repos", 2).count() == again.state.read("repos", 1).count() == 200
+    # a deleted installation reaches repositories that no event names
+    again.handle(events(frame, ("installation", 4, at % 4, "deleted", 1, None, None, None, None)), 3)
+    assert again.state.read("repos", 3).filter("removed_at IS NULL").count() == 0
+
+
+def test_untouched_findings_keep_their_files(spark, frame):
+    stream = scan_stream.ScanStream(spark, work_path(spark, "run"), buckets=8)
+    stream.handle(frame(FOUND, *[(f"r{i}", "1", "f") for i in range(100)]), 0)
+    stream.handle(frame(FOUND, ("r5", "2", "g")), 1)
+    assert sorted(stream.state._holds("findings", 1).values()) == [0] * 7 + [1]
+    got = {(r.repo, r.finding): r.status for r in stream.state.read("findings", 1).collect()}
+    assert len(got) == 101 and got["r5", "f"] == "fixed" and got["r5", "g"] == "open" and got["r6", "f"] == "open"
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_as_of_against_pairs(spark, frame, strict):
+    rng = random.Random(5)
+    key = lambda: rng.choice(["hot"] * 6 + ["a", "b", None])
+    left = [(i, key(), rng.choice([None, *range(60)])) for i in range(400)]
+    right = [(key(), rng.choice([None, *range(60)]), i) for i in range(300)]
+    asked = frame("id int, k string, at int", *left)
+    got = as_of(asked, frame("k string, at int, v int", *right).repartition(7), ["k"], "at", ["v"], strict, ("v",))
+    wanted = {}
+    for i, k, at in left:
+        before = sorted((t, v) for other, t, v in right if k is not None and at is not None and other == k and t is not None and (t < at or not strict and t == at))
+        wanted[i] = (before[-1][1] if before else None, len(before))
+    assert {r.id: (r.last.v if r.last else None, r.n_before) for r in got.collect()} == wanted
+    none = as_of(asked, frame("k string, at int, v int"), ["k"], "at", ["v"])
+    assert none.filter("last IS NOT NULL OR n_before > 0").count() == 0 and none.count() == 400
+    assert as_of(asked.limit(0), frame("k string, at int, v int", *right), ["k"], "at", ["v"]).count() == 0
+
+
+def test_as_of_with_one_hot_key(spark):
+    """A hundred thousand pushes and as many spans of one repository: ten thousand million pairs, none of them made."""
+    left = spark.range(100_000).selectExpr("id", "'r' AS k", "id * 2 + 1 AS at")
+    right = spark.range(100_000).selectExpr("'r' AS k", "id * 2 AS at", "id AS v")
+    got = as_of(left, right, ["k"], "at", ["v"])
+    assert got.filter("last.v = id AND n_before = id + 1").count() == 100_000
