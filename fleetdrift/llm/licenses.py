@@ -1,17 +1,23 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams, confirmed by comparison with templates.
 
+A paragraph is a run of lines without an empty one; a line of nothing but white space, comment signs and rules counts
+as empty, so a notice wrapped over many lines, behind ``//``, ``#`` or ``*`` or not, is one paragraph.
+
 The model is a multinomial logistic regression over the 1- to 3-grams of licence notices, one class per family and
 one for "unknown", fitted here on altered copies of the templates below and on sentences that use the same words
 otherwise. A temperature and the least share that a family must reach are calibrated on altered copies that the fit
 has not seen. Weights are whole numbers (``UNIT`` parts), so every engine adds them alike.
 
-The scan is DataFrame functions only: lines, a test for the words that the model's n-grams hold (a line without one has
-no feature, so it is unknown by the model), n-grams, one join with the weights (some thousand rows, whatever the input),
-one sum per line. A prediction is confirmed if a template of the family has enough of its word pairs in the line.
+The scan is DataFrame functions only. Each feature holds a cue word; only the n-grams that begin within two words of a
+cue are formed, those that are no feature go inside the row, so nothing but the features of a paragraph is shuffled (a
+paragraph without any is unknown by the model). One join with the weights (some thousand rows, whatever the input), one
+sum per paragraph. A prediction is confirmed if a template of the family has enough of its cue-holding word pairs in
+the paragraph.
 
-One row per line that is taken for a licence: ``id``, ``line``, ``family``, ``share`` (calibrated probability),
-``similarity`` (share of the nearest template's word pairs), ``confirmed``. Null and empty texts have no lines; a null
-id stays null; rows that repeat id and line are reported once; further columns are ignored.
+One row per paragraph that is taken for a licence: ``id``, ``paragraph`` (number in the text), ``family``, ``share``
+(calibrated probability), ``similarity`` (share of the nearest template's word pairs), ``confirmed``. Null and empty texts
+and tables give no rows; a very long text is scored whole, in one row's memory; a null id stays null; rows that repeat id,
+paragraph and features are reported once; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import functools
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # SPDX ids and usual wordings of licence notices, by family.
@@ -37,6 +43,11 @@ SPDX = (
     ("CC-BY-SA", "CC-BY-SA-4.0"),
     ("CC-BY-NC", "CC-BY-NC-4.0"),
     ("CC0", "CC0-1.0"),
+    ("EPL-2.0", "EPL-2.0"),
+    ("EUPL", "EUPL-1.1 EUPL-1.2"),
+    ("BSL-1.0", "BSL-1.0"),
+    ("Zlib", "Zlib"),
+    ("Unlicense", "Unlicense"),
 )
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -65,7 +76,25 @@ TEMPLATES = (
     ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
-    ("CC0", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL", "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/"),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    ("EUPL", "Licensed under the EUPL, version 1.2."),
+    ("EUPL", "Licensed under the European Union Public Licence, version 1.2."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Zlib", "Released under the zlib license."),
     ("Proprietary", "Copyright 2020 Example Inc. All rights reserved."),
     ("Proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
     ("Proprietary", "All rights reserved."),
@@ -96,6 +125,7 @@ COMMON = 4  # the last sentences of OTHER are function words
 UNKNOWN = "unknown"
 UNIT = 100_000
 SIMILAR = 0.6
+BREAK = r"\n[ \t\r\n/*#;%!=~_|-]*\n"  # between paragraphs
 WORD = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -119,8 +149,9 @@ class Model:
     least: float  # least share of a family
 
     def pairs(self) -> list[tuple[str, list[str]]]:
-        """(family, distinct word pairs) per template."""
-        return [(family, sorted(g for g in grams_of(words_of(text)) if g.count(" ") == 1)) for family, text in TEMPLATES]
+        """(family, distinct word pairs that hold a cue) per template."""
+        cues = set(self.cues)
+        return [(family, sorted(g for g in grams_of(words_of(text)) if g.count(" ") == 1 and cues & set(g.split()))) for family, text in TEMPLATES]
 
 
 @functools.lru_cache
@@ -130,7 +161,7 @@ def trained(seed: int = 11, copies: int = 12) -> Model:
     families = [*dict.fromkeys(f for f, _ in TEMPLATES), UNKNOWN]
     plain = {w for s in OTHER for w in words_of(s)}
     everything = sorted({w for _, t in TEMPLATES for w in words_of(t)})
-    own = set(everything) - plain | {"mit", "bsd", "gnu", "apache", "mozilla", "license", "licensed", "licenses", "permission"}
+    own = set(everything) - plain | {"mit", "bsd", "gnu", "apache", "mozilla", "license", "licensed", "licenses", "licence", "permission", "software", "boost", "eclipse"}
     known = own | set(everything) - {"a", *(w for s in OTHER[-COMMON:] for w in words_of(s))}
     told = {g for s in OTHER for g in grams_of(words_of(s))}  # runs of words that are no licences' own
     grams = sorted({g for _, t in TEMPLATES for g in grams_of(words_of(t)) if own & set(g.split()) or known & set(g.split()) and " " in g and g not in told})
@@ -141,7 +172,7 @@ def trained(seed: int = 11, copies: int = 12) -> Model:
 
     def altered(words: list[str]) -> list[str]:
         kept = [w for w in words if rng.random() > rng.choice([0, 0.05, 0.15])]
-        noise = list(rng.choice(filler, rng.integers(0, 25)))
+        noise = list(rng.choice(filler, int(rng.choice([0, 8, 25, 300]) * rng.random())))  # a paragraph may be long
         cut = rng.integers(0, len(noise) + 1)
         return [*noise[:cut], *kept, *noise[cut:]]
 
@@ -161,8 +192,8 @@ def trained(seed: int = 11, copies: int = 12) -> Model:
                 add(altered(words_of(text)), family)
             for text in OTHER:
                 add(altered(words_of(text)), UNKNOWN)
-            for _ in range(20):  # licence words in no order
-                add(altered(list(rng.choice(loose, rng.integers(1, 4)))), UNKNOWN)
+            for _ in range(40):  # licence words in no order, few or, in long paragraphs, many
+                add(altered(list(rng.choice(loose, rng.integers(1, rng.choice([4, 4, 40]))))), UNKNOWN)
         return np.array(x), np.array(y)
 
     x, y = rows()
@@ -208,34 +239,38 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     model = trained()
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    lines = lines.withColumn("small", F.translate("text", UPPER, LOWER))
-    words = F.regexp_extract_all("small", F.lit(f"({WORD})"), 1)
-    lines = lines.filter(F.arrays_overlap(words, F.array(*[F.lit(c) for c in model.cues])))
-    lines = lines.select("id", "line", "small").distinct()
-    lines = lines.withColumn("words", words)
-
-    def runs(n: int):
-        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("words", i, n), " "))
-
-    grams = lines.select("id", "line", "small", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("gram"))
-    table = spark.createDataFrame(feature_rows(model), "gram string, weight array<int>, has array<int>")
+    parts = texts.select("id", F.posexplode(F.split("text", BREAK)).alias("paragraph", "text"))
+    features = feature_rows(model)
+    known = F.split(F.lit("|".join(g for g, _, _ in features)), "[|]")  # one literal instead of some thousand
+
+    def held_by(words: Column) -> Column:
+        """The distinct features of a paragraph."""
+        cue = lambda i: F.coalesce(F.get(words, i).isin(model.cues), F.lit(False))
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: cue(i) | cue(i + 1) | cue(i + 2))
+        sizes = lambda i: F.sequence(F.lit(1), F.greatest(F.least(F.lit(3), F.size(words) - i), F.lit(1)))
+        runs = F.flatten(F.transform(places, lambda i: F.transform(sizes(i), lambda n: F.array_join(F.slice(words, i + 1, n), " "))))
+        return F.array_sort(F.array_intersect(runs, known))
+
+    # bound to a name: a plan must not work the words out again for each of them
+    words = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(f"({WORD})"), 1)
+    held = F.transform(F.array(words), held_by)[0]
+    grams = parts.select("id", "paragraph", held.alias("held")).distinct().withColumn("gram", F.explode("held"))
+    table = spark.createDataFrame(features, "gram string, weight array<int>, has array<int>")
     hits = grams.join(F.broadcast(table), "gram")  # the model's rows: bounded by the templates
     pairs = model.pairs()
     logits = [(F.sum(F.col("weight")[i]) + F.lit(model.base[i])).alias(f"z{i}") for i in range(len(model.families))]
     shared = [F.sum(F.col("has")[i]).alias(f"t{i}") for i in range(len(pairs))]
-    sums = hits.groupBy("id", "line", "small").agg(*logits, *shared)
+    sums = hits.groupBy("id", "paragraph", "held").agg(*logits, *shared)
     scores = F.array(*[F.col(f"z{i}") for i in range(len(model.families))])
     top = F.array_max(scores)
     place = F.array_position(scores, top)
-    parts = F.aggregate(scores, F.lit(0.0), lambda a, z: a + F.exp((z - top) / F.lit(float(UNIT))))
+    whole = F.aggregate(scores, F.lit(0.0), lambda a, z: a + F.exp((z - top) / F.lit(float(UNIT))))
     family = F.element_at(F.array(*[F.lit(f) for f in model.families]), place.cast("int"))
-    found = sums.withColumn("family", family).withColumn("share", F.round(F.lit(1.0) / parts, 4))
+    found = sums.withColumn("family", family).withColumn("share", F.round(F.lit(1.0) / whole, 4))
     found = found.filter((F.col("family") != UNKNOWN) & (F.col("share") >= F.lit(model.least)))
     near = F.greatest(*[F.when(F.col("family") == f, F.col(f"t{i}") / F.lit(float(len(p)))).otherwise(0.0) for i, (f, p) in enumerate(pairs)])
     found = found.withColumn("similarity", F.round(near, 4))
-    return found.select("id", "line", "family", "share", "similarity", (F.col("similarity") >= F.lit(SIMILAR)).alias("confirmed"))
+    return found.select("id", "paragraph", "family", "share", "similarity", (F.col("similarity") >= F.lit(SIMILAR)).alias("confirmed"))
 
 
 def scan_sql() -> str:
@@ -249,21 +284,23 @@ def scan_sql() -> str:
     shared = ", ".join(f"sum(has[{i + 1}])" for i in range(len(pairs)))
     near = ", ".join(f"CASE WHEN family = {quote(f)} THEN t[{i + 1}] / {float(len(p))} ELSE 0.0 END" for i, (f, p) in enumerate(pairs))
     return f"""
-WITH features(gram, weight, has) AS (VALUES {rows}), lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents
+WITH features(gram, weight, has) AS (VALUES {rows}), parts AS (
+  SELECT doc_id, text, string_split_regex(text, '{BREAK}') AS p FROM documents
 ), words AS (
-  SELECT DISTINCT doc_id, line, translate(t, '{UPPER}', '{LOWER}') AS small FROM lines
+  SELECT DISTINCT doc_id, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS paragraph FROM parts
 ), tokens AS (
-  SELECT *, regexp_extract_all(small, '{WORD}') AS w FROM words
+  SELECT row_number() OVER () AS part, doc_id, paragraph, regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM words
 ), starts AS (
   SELECT *, unnest(range(1, len(w) + 1)) AS i FROM tokens
 ), grams AS (
-  SELECT DISTINCT doc_id, line, small, unnest([w[i], CASE WHEN i < len(w) THEN array_to_string(w[i:i + 1], ' ') END, CASE WHEN i + 1 < len(w) THEN array_to_string(w[i:i + 2], ' ') END]) AS gram FROM starts
+  SELECT DISTINCT part, doc_id, paragraph, unnest([w[i], CASE WHEN i < len(w) THEN array_to_string(w[i:i + 1], ' ') END, CASE WHEN i + 1 < len(w) THEN array_to_string(w[i:i + 2], ' ') END]) AS gram FROM starts
 ), sums AS (
-  SELECT doc_id, line, [{logits}] AS z, [{shared}] AS t FROM grams JOIN features USING (gram) GROUP BY doc_id, line, small
+  SELECT doc_id, paragraph, list(gram ORDER BY gram) AS held, [{logits}] AS z, [{shared}] AS t FROM grams JOIN features USING (gram) GROUP BY part, doc_id, paragraph
 ), found AS (
-  SELECT doc_id, line, t, [{families}][list_position(z, list_max(z))] AS family, round(1.0 / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / {float(UNIT)}))), 4) AS share FROM sums
+  SELECT doc_id, paragraph, held, t, [{families}][list_position(z, list_max(z))] AS family, round(1.0 / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / {float(UNIT)}))), 4) AS share FROM sums
 )
-SELECT doc_id, line::INTEGER AS line, family, share, round(greatest({near}), 4) AS similarity, round(greatest({near}), 4) >= {SIMILAR} AS confirmed
-FROM found WHERE family <> '{UNKNOWN}' AND share >= {model.least}
+SELECT doc_id, paragraph, family, share, similarity, confirmed FROM (
+  SELECT DISTINCT doc_id, paragraph::INTEGER AS paragraph, held, family, share, round(greatest({near}), 4) AS similarity, round(greatest({near}), 4) >= {SIMILAR} AS confirmed
+  FROM found WHERE family <> '{UNKNOWN}' AND share >= {model.least}
+) x
 """

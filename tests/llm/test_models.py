@@ -1,5 +1,6 @@
 import math
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -30,7 +31,7 @@ def test_licence_families(docs, rows):
     given = [(k, f"plain words\n{text}\nmore") for k, (_, text) in enumerate(licenses.TEMPLATES)]
     found = {r.id: r for r in licenses.scan(docs(*given)).collect()}
     assert [found[k].family for k in range(len(given))] == [f for f, _ in licenses.TEMPLATES]
-    assert all(r.confirmed and r.line == 1 for r in found.values())
+    assert all(r.confirmed and r.paragraph == 0 for r in found.values())
 
 
 def test_licence_unknown(docs, odd_rows):
@@ -45,6 +46,44 @@ def test_licence_short_notices(docs):
     assert found == {0: ("Proprietary", True), 1: ("GPL", True), 2: ("Apache-2.0", True), 3: ("Proprietary", True), 4: ("MIT", True)}
 
 
+NOTICES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.""",
+    "GPL": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0""",
+}
+
+
+@pytest.mark.parametrize("sign", ["", "// ", "# ", " * ", ";; ", "-- "])
+def test_licence_wrapped_notices(docs, sign):
+    given = []
+    for k, text in enumerate(NOTICES.values()):
+        lines = [sign + line for line in textwrap.wrap(" ".join(text.split()), 60)]
+        given.append((k, "\n".join(["#!/bin/sh", sign.rstrip(), *lines, sign.rstrip(), "import os", "x = 1"])))
+    found = sorted((r.id, r.paragraph, r.family, r.confirmed) for r in licenses.scan(docs(*given)).collect())
+    assert found == [(k, 1, family, True) for k, family in enumerate(NOTICES)]
+
+
+def test_licence_in_a_long_paragraph(docs, prose):
+    """A notice is found wherever it stands in a paragraph of thousands of words, and prose alone is none."""
+    text = " ".join(NOTICES["MIT"].split())
+    given = [(1, f"{prose(1, 3000)}\n{text}\n{prose(2, 3000)}"), (2, prose(3, 20000)), (3, "\n" * 100_000 + text), (4, "x" * 2_000_000 + " " + text)]
+    found = {r.id: (r.paragraph, r.family, r.confirmed) for r in licenses.scan(docs(*given)).collect()}
+    assert found == {1: (0, "MIT", True), 3: (1, "MIT", True), 4: (0, "MIT", True)}
+
+
+def test_licence_null_id_and_clashing_columns(docs):
+    given = docs((None, "All rights reserved."), (None, "All rights reserved."), (5, None)).selectExpr("doc_id", "text", "id", "2 AS paragraph", "3 AS words", "4 AS gram")
+    assert [tuple(r)[:3] for r in licenses.scan(given).collect()] == [(None, 0, "Proprietary")]
+
+
 def test_licence_scan_equals_sql(docs, odd_rows):
     rng = random.Random(3)
     words = [w for _, t in licenses.TEMPLATES for w in t.split()]
