@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.asof import as_of
-from ..skew import split_hot_join
 from .state import BUCKETS, VersionedState, run_available
 
 STATE = {
@@ -37,11 +36,34 @@ def _at(when: str = "received_at", by: str = "delivery") -> Column:
     return F.struct(F.col(when).alias("t"), F.col(by).alias("d"))
 
 
-def repo_operations(repos: DataFrame, events: DataFrame) -> DataFrame:
+def uninstalls(defines: DataFrame, deleted: DataFrame, path: str | None = None) -> DataFrame:
+    """repo, at, installation: the deletions of an installation that meet a repository while it belongs to it.
+
+    ``defines``: repo, at, step, installation, what gives a repository its installation until the next one. ``deleted``:
+    at, installation. Of several deletions in one such stretch the first takes the repository away and the last dates the
+    change; those in between change nothing and are left out, so there are at most two rows per stretch and no product of
+    repositories and deletions.
+    """
+
+    def backwards(at):
+        return F.struct(at["t"].isNull(), -F.unix_micros(at["t"]), at["d"].isNull(), -at["d"])
+
+    until = F.lead("at").over(Window.partitionBy("repo").orderBy("at", "step"))
+    stretches = defines.withColumn("until", until).select(
+        "repo", "installation", F.col("at").alias("since"), backwards(F.col("at")).alias("since_back"),
+        F.struct(F.col("until").isNull().alias("open"), F.col("until").alias("at")).alias("end"),
+    )
+    dated = deleted.select("installation", "at", backwards(F.col("at")).alias("back"), F.struct(F.lit(False).alias("open"), F.col("at")).alias("end"))
+    last = as_of(stretches, dated.select("installation", "at", "end"), ["installation"], "end", ["at"], path=path and f"{path}-last")
+    met = last.filter(F.col("last.at") > F.col("since")).select("repo", "installation", "since_back", F.col("last.at").alias("latest"))
+    first = as_of(met, dated.select("installation", "at", F.col("back").alias("since_back")), ["installation"], "since_back", ["at"], strict=True, path=path and f"{path}-first")
+    return first.select("repo", F.explode(F.array_distinct(F.array("last.at", "latest"))).alias("at"), "installation")
+
+
+def repo_operations(repos: DataFrame, events: DataFrame, path: str | None = None) -> DataFrame:
     """repo, at, step, op (add, remove, state), installation, default_branch in order of effect.
 
-    One event first removes, then adds. A deleted installation removes the repositories that belong to it then;
-    the candidates are those it ever had, the check comes with the order.
+    One event first removes, then adds. A deleted installation removes the repositories that belong to it then.
     """
     live = events.filter(F.col("installation.id").isNotNull())
     install = F.col("event") == "installation"
@@ -65,21 +87,18 @@ def repo_operations(repos: DataFrame, events: DataFrame) -> DataFrame:
         "installation",
         "default_branch",
     )
-    owned = before.select("repo", "installation").unionByName(adds.select("repo", "installation")).distinct()
     deleted = live.filter(install & (F.col("action") == "deleted")).select(_at().alias("at"), F.col("installation.id").alias("installation"))
-    drops = split_hot_join(owned, deleted, ["installation"]).select(
+    given = ["repo", "at", "step", "installation"]
+    drops = uninstalls(before.select(*given).unionByName(adds.select(*given)), deleted, path).select(
         "repo", "at", F.lit(0).alias("step"), F.lit("uninstall").alias("op"), "installation", F.lit(None).cast("string").alias("default_branch")
     )
     every = before.unionByName(adds).unionByName(removes).unionByName(drops)
     order = Window.partitionBy("repo").orderBy("at", "step")
-    past = order.rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.last(F.when(F.col("op").isin("add", "state", "state-removed"), F.col("installation")), ignorenulls=True).over(past)
-    kept = every.withColumn("owner", owner).filter((F.col("op") != "uninstall") | F.col("owner").eqNullSafe(F.col("installation")))
     up_to = order.rowsBetween(Window.unboundedPreceding, 0)
     defines = F.col("op").isin("add", "state", "state-removed")
     # a removal of a repository that was never added changes nothing
     return (
-        kept.withColumns(
+        every.withColumns(
             {
                 "known": F.max(defines.cast("int")).over(up_to),
                 "home": F.last(F.when(defines, F.col("installation")), ignorenulls=True).over(up_to),
@@ -284,7 +303,7 @@ class WebhookStream:
             if not deleted.isEmpty():
                 own = state.read("repos", before).join(deleted, F.col("installation") == F.col("id"), "left_semi")
                 asked = sorted({*asked, *state.touched("repos", own)})
-            operations = repo_operations(state.read("repos", before, asked), events).persist()
+            operations = repo_operations(state.read("repos", before, asked), events, f"{self.ranges}-uninstalls").persist()
             kept.append(operations)
             push_rows = pushes(events, operations, self.ranges).persist()
             kept.append(push_rows)

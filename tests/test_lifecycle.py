@@ -1,6 +1,8 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetdrift import skew
 from fleetdrift.operators import lifecycle, reporting, scoring
@@ -208,6 +210,39 @@ def test_untouched_findings_keep_their_files(spark, frame):
     assert len(got) == 101 and got["r5", "f"] == "fixed" and got["r5", "g"] == "open" and got["r6", "f"] == "open"
 
 
+def test_uninstalls_against_pairs(frame, rows):
+    """What every deletion does to every repository it meets, without a row per repository and deletion."""
+    rng = random.Random(3)
+    at = lambda n: datetime(2024, 1, 1) + timedelta(seconds=n)
+    n_repos, times = 40, rng.sample(range(5000), 900)
+    defines = [(f"r{rng.randrange(n_repos)}", at(n), n, rng.randrange(2), 1) for n in times[:100]]
+    deleted = [(rng.randrange(2), at(n), n) for n in times[100:]]
+    given = frame("repo string, t timestamp, d bigint, installation bigint, step int", *defines).select("repo", F.struct("t", "d").alias("at"), "step", "installation")
+    dropped = frame("installation bigint, t timestamp, d bigint", *deleted).select("installation", F.struct("t", "d").alias("at"))
+    got = webhooks.uninstalls(given, dropped).select("repo", "at.d", "installation").collect()
+    want = set()
+    for repo, _, since, installation, _ in defines:
+        until = min((d for r, _, d, _, _ in defines if r == repo and d > since), default=10_000)
+        met = [d for i, _, d in deleted if i == installation and since < d < until]
+        want |= {(repo, f(met), installation) for f in (min, max) if met}
+    assert sorted(map(tuple, got)) == sorted(want)
+    # one row per repository and deletion would be 10 times this and more
+    events_ = dropped.select(
+        F.lit("installation").alias("event"), F.col("at.d").alias("delivery"), F.col("at.t").alias("received_at"), F.lit("deleted").alias("action"),
+        F.struct("installation", F.lit("o").alias("account")).cast("struct<id:bigint,account:string>").alias("installation"),
+        *[F.lit(None).cast("array<struct<full_name:string,default_branch:string>>").alias(c) for c in ("repositories", "repositories_added", "repositories_removed")],
+    )
+    before = given.groupBy("repo").agg(F.max_by(F.struct("installation", "at"), "at").alias("s")).select(
+        "repo", "s.installation", F.lit("main").alias("default_branch"), F.col("s.at.t").alias("changed_at"), F.col("s.at.d").alias("changed_by"), F.lit(None).cast("timestamp").alias("removed_at")
+    )
+    operations = webhooks.repo_operations(before, events_)
+    assert operations.count() <= 3 * before.count()
+    last = {r.repo: (r.changed_by, r.removed_at is None) for r in webhooks.next_repos(operations).collect()}
+    for repo, installation, d in before.select("repo", "installation", "changed_by").collect():
+        later = [x for i, _, x in deleted if i == installation and x > d]
+        assert last[repo] == (max(later, default=d), not later)
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_as_of_against_pairs(spark, frame, strict):
     rng = random.Random(5)
