@@ -11,6 +11,7 @@ from ..functions.versions import pinned_by_specifier
 from ..session import Rounds, cut_lineage
 
 REQUIREMENT = r"(?s)^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(.*)$"
+EDGES_INSIDE = 2_000  # of one repository's include edges in a row
 INCLUDE = r"^(?:(--requirement|-r)|(--constraint|-c))(?:\s*=\s*|\s+)?(\S+)"
 
 
@@ -67,12 +68,35 @@ def resolve_target(file: Column, target: Column) -> Column:
     return F.when(~walked["out"] & ~target.startswith("/"), F.array_join(walked["parts"], "/"))
 
 
-def include_tree(files: DataFrame, root: str = "requirements.txt") -> DataFrame:
+def _walk(root: str):
+    """The first visits of a depth-first walk over one repository's include edges: [(file, walk, as_constraints)]."""
+
+    def walk(parents, positions, children, constrains):
+        edges = {}
+        for parent, position, child, constraint in sorted(zip(parents or (), positions or (), children or (), constrains or ())):
+            edges.setdefault(parent, []).append((position, child, constraint))
+        out, seen = [(root, [], False)], {root}
+        stack = [(out[0], iter(edges.get(root, ())))]
+        while stack:
+            (_, path, limits), rest = stack[-1]
+            for position, child, constraint in rest:
+                if child not in seen:
+                    seen.add(child)
+                    out.append((child, [*path, position], limits or constraint))
+                    stack.append((out[-1], iter(edges.get(child, ()))))
+                    break
+            else:
+                stack.pop()
+        return out
+
+    return F.udf(walk, "array<struct<file:string,walk:array<int>,as_constraints:boolean>>", useArrow=False)
+
+
+def include_tree(files: DataFrame, root: str = "requirements.txt", inside: int = EDGES_INSIDE) -> DataFrame:
     """repo, file, walk (include positions from the root), as_constraints: each file at its first visit.
 
-    Depth-first order with every file visited once is the order of the smallest position path to each file,
-    so paths are relaxed until none improves. Each round is one join of the improved files with the include
-    edges, and is written out so that the plan stays small.
+    A repository's include edges are one short list, which is walked inside its row. Repositories with more than
+    ``inside`` of them are walked in rounds of joins, so that none is whole in one task.
     """
     edges = (
         includes(files)
@@ -81,11 +105,28 @@ def include_tree(files: DataFrame, root: str = "requirements.txt") -> DataFrame:
         .select("repo", "file", F.col("pos").cast("int").alias("pos"), "child", (F.col("kind") == "constraints").alias("constrains"))
     )
     edges = cut_lineage(edges, "include-edges")
-    key = ["repo", "file"]
-    start = files.filter(F.col("file") == root).select(
-        *key, F.array().cast("array<int>").alias("walk"), F.lit(False).alias("as_constraints")
+    roots = files.filter(F.col("file") == root).select("repo").distinct()
+    large = edges.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > inside).select("repo")
+    any_large = not large.isEmpty()
+    small_edges, small_roots = (x.join(large, "repo", "left_anti") if any_large else x for x in (edges, roots))
+    lists = small_edges.groupBy("repo").agg(F.collect_list(F.struct("file", "pos", "child", "constrains")).alias("e"))
+    walked = small_roots.join(lists, "repo", "left").select(
+        "repo", F.inline(_walk(root)(*[F.col("e")[c] for c in ("file", "pos", "child", "constrains")]))
     )
-    walks = Rounds(files.sparkSession, "include-walks")
+    if not any_large:
+        return walked
+    large = cut_lineage(large, "include-large")
+    return walked.unionByName(_walk_in_rounds(*(x.join(large, "repo", "left_semi") for x in (edges, roots)), root))
+
+
+def _walk_in_rounds(edges: DataFrame, roots: DataFrame, root: str) -> DataFrame:
+    """Depth-first order with every file visited once is the order of the smallest position path to each file,
+    so paths are relaxed until none improves. Each round is one join of the improved files with the include
+    edges, and is written out so that the plan stays small.
+    """
+    key = ["repo", "file"]
+    start = roots.select("repo", F.lit(root).alias("file"), F.array().cast("array<int>").alias("walk"), F.lit(False).alias("as_constraints"))
+    walks = Rounds(edges.sparkSession, "include-walks")
     improved = walks.add(start)
     while not improved.isEmpty():
         reached = improved.join(edges, key).select(

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from fleetdrift.operators import pinning, quality
+from fleetdrift.session import Rounds
 from fleetdrift.sources import callscan, imports, lockfiles, logs, pins, requirements, symbols
 from fleetdrift.sources import files as file_source
 
@@ -56,6 +59,30 @@ def test_include_tree_is_depth_first_and_visits_once(frame, rows):
     assert got == sorted([("top", "1", None), ("dup", "1", None), ("only-b", "3", None), ("loose", "7", None)], key=repr)
 
 
+def test_include_tree_in_rows_and_in_rounds(spark, frame, rows, monkeypatch):
+    """Random include graphs with cycles; a long chain takes no round per file."""
+    rng = random.Random(5)
+    texts = []
+    for repo in range(12):
+        for f in ["requirements.txt", *(f"{i}.txt" for i in range(9))]:
+            named = [f"{rng.choice(('-r', '-c'))} {rng.randrange(9)}.txt" for _ in range(rng.randrange(4))]
+            texts.append((f"g{repo}", f, "\n".join(named)))
+    texts.append(("alone", "requirements.txt", "x==1"))
+    texts.append(("unrooted", "0.txt", "-r 0.txt"))
+    columns = ("repo", "file", "walk", "as_constraints")
+    files = frame("repo string, file string, content string", *texts)
+    in_rounds = rows(requirements.include_tree(files, inside=0), *columns)
+    calls = []
+    monkeypatch.setattr(Rounds, "add", lambda self, df, add=Rounds.add: calls.append(1) or add(self, df))
+    assert rows(requirements.include_tree(files), *columns) == in_rounds
+    assert rows(requirements.include_tree(files, inside=6), *columns) == in_rounds
+    calls.clear()
+    chain = [("c", "requirements.txt", "".join(f"-r {i}.txt\n" for i in range(30))), *(("c", f"{i}.txt", f"-r {i + 1}.txt") for i in range(30))]
+    got = requirements.include_tree(frame("repo string, file string, content string", *chain))
+    assert {r.file: len(r.walk) for r in got.collect()} == {"requirements.txt": 0, **{f"{i}.txt": i + 1 for i in range(30)}}
+    assert len(calls) == 0  # one round per file before
+
+
 def test_pins(frame, rows):
     df = frame(
         FILE,
