@@ -124,13 +124,27 @@ def member_sites(accesses: DataFrame, type_members: DataFrame, wanted: DataFrame
     )
 
 
-def rooted(modules: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows whose ``module`` is a package's import root or lies under it: adds pkg.
+def packages_of_modules(modules: DataFrame, roots: DataFrame) -> DataFrame:
+    """module, pkg: the packages whose import root a module is or lies under, once per distinct module.
 
     Each dotted prefix of a module is looked up as a key, so this is a hash join, not a prefix comparison.
     """
-    prefixes = modules.withColumn("root", F.explode(dotted_prefixes(F.col("module"))))
-    return split_hot_join(prefixes, roots.select("pkg", "root").distinct(), ["root"]).drop("root").distinct()
+    prefixes = modules.select("module").distinct().withColumn("root", F.explode(dotted_prefixes(F.col("module"))))
+    return split_hot_join(prefixes, roots.select("pkg", "root").distinct(), ["root"]).select("module", "pkg").distinct()
+
+
+def with_packages(modules: DataFrame, roots: DataFrame) -> DataFrame:
+    """``modules`` with pkg, a row per package its module belongs to; those of no package are left out.
+
+    Modules are few next to the rows that name them, and one may be named by most rows.
+    """
+    return split_hot_join(modules, packages_of_modules(modules, roots), ["module"])
+
+
+def rooted(modules: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct rows whose ``module`` is a package's import root or lies under it: adds pkg."""
+    found = with_packages(modules, roots)
+    return found.select(*modules.columns, "pkg").distinct()
 
 
 def python_sites(
@@ -153,21 +167,21 @@ def python_sites(
         .agg(F.max("symbol").alias("symbol"))
     )
     plain = calls.filter("form = 'name'")
-    own = rooted(names.select("repo", "file", F.col("local").alias("name"), "module", "exported"), roots)
+    own = with_packages(names.select("repo", "file", F.col("local").alias("name"), "module", "exported"), roots)
     by_import = plain.join(own.select("repo", "file", "name", "pkg", "exported"), ["repo", "file", "name"]).select(
         *site, "name", "pkg", F.col("exported").alias("symbol")
     )
-    star_files = rooted(stars, roots).select("repo", "file", "pkg").distinct()
+    star_files = with_packages(stars, roots).select("repo", "file", "pkg").distinct()
     by_star = (
         plain.join(star_files, ["repo", "file"])
-        .join(own.select("repo", "file", "name", "pkg").distinct(), ["repo", "file", "name", "pkg"], "left_anti")
+        .join(own.select("repo", "file", "name", "pkg"), ["repo", "file", "name", "pkg"], "left_anti")
         .select(*site, "name", "pkg", F.col("name").alias("symbol"))
     )
     dotted = calls.filter("form = 'attribute'")
-    by_module = rooted(dotted.filter("receiver_module IS NOT NULL").withColumnRenamed("receiver_module", "module"), roots).select(
+    by_module = with_packages(dotted.filter("receiver_module IS NOT NULL").withColumnRenamed("receiver_module", "module"), roots).select(
         *site, "name", "pkg", F.col("name").alias("symbol")
     )
-    importing = rooted(referenced, roots).select("repo", "file", "pkg").distinct()
+    importing = with_packages(referenced, roots).select("repo", "file", "pkg").distinct()
     by_method = (
         dotted.filter("receiver_module IS NULL")
         .join(importing, ["repo", "file"])

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from fleetdrift.operators import locate
 from fleetdrift.plans import detectors
 
 CALLS = "repo string, file string, line int, col int, text string, method string, resolved boolean, host string, route string, params array<string>, reason string"
@@ -74,3 +75,11 @@ def test_vulnerabilities_as_findings(spark):
     found = catalog.QUERIES["vulnerability_detector"](spark, "/root/testdata/sf0.001")
     plain = catalog.QUERIES["vulnerability_report"](spark, "/root/testdata/sf0.001")
     assert found.count() == plain.count() > 0 and found.filter("guidance IS NULL").isEmpty()
+
+
+def test_modules_are_looked_up_once_each(frame, rows):
+    modules = frame("repo string, module string", *[(f"r{i % 50}", ("lib.a.b", "lib", "libs.a", "other.lib")[i % 4]) for i in range(1000)])
+    roots = frame("pkg string, root string", ("p", "lib"), ("p", "lib.a"), ("q", "lib.a.b"))
+    assert rows(locate.packages_of_modules(modules, roots)) == [("lib", "p"), ("lib.a.b", "p"), ("lib.a.b", "q")]
+    assert locate.with_packages(modules, roots).count() == 750  # none twice for two roots of one package
+    assert locate.rooted(modules, roots).count() == modules.filter("module <> 'other.lib' AND module <> 'libs.a'").distinct().count() + 25
