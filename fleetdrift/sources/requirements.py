@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import canonical_name
-from ..functions.text import strip
+from ..functions.text import let, strip
 from ..functions.versions import pinned_by_specifier
 from ..session import Rounds, cut_lineage
 
@@ -64,8 +64,12 @@ def resolve_target(file: Column, target: Column) -> Column:
             (acc["out"] | (up & empty)).alias("out"),
         )
 
-    walked = F.aggregate(F.split(F.concat(folder, target), "/"), state, step)
-    return F.when(~walked["out"] & ~target.startswith("/"), F.array_join(walked["parts"], "/"))
+    path = F.concat(folder, target)
+    folded = let(
+        F.aggregate(F.split(path, "/"), state, step), lambda walked: F.when(~walked["out"], F.array_join(walked["parts"], "/"))
+    )
+    # most paths hold no part to fold
+    return F.when(~target.startswith("/"), F.when(path.rlike(r"(^|/)\.{0,2}(/|$)"), folded).otherwise(path))
 
 
 def _walk(root: str):

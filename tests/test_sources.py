@@ -83,6 +83,15 @@ def test_include_tree_in_rows_and_in_rounds(spark, frame, rows, monkeypatch):
     assert len(calls) == 0  # one round per file before
 
 
+def test_targets_are_folded_once(frame, rows):
+    given = [("a/b.txt", "c.txt"), ("a/b.txt", "../c.txt"), ("a/b.txt", "./d//e.txt"), ("b.txt", "../c.txt"), ("b.txt", "/c.txt"), ("b.txt", "c/"), ("b.txt", "...x"), ("a/b.txt", "../../c"), ("./b.txt", "c")]
+    paths = frame("file string, target string", *given).select("file", "target", requirements.resolve_target(F.col("file"), F.col("target")).alias("path"))
+    want = ["a/c.txt", "c.txt", "a/d/e.txt", None, None, "c", "...x", None, "c"]
+    assert rows(paths) == sorted(((*g, w) for g, w in zip(given, want)), key=repr)
+    plan = paths._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
 def test_pins(frame, rows):
     df = frame(
         FILE,
