@@ -1,7 +1,8 @@
 """Lockfiles to installed versions.
 
-One lockfile is one row. Blocks and maps are taken apart inside that row; only "the first entry of a name
-counts" needs an aggregation, by (repo, file, name).
+One lockfile is one row. Blocks and maps are taken apart inside that row, and "the first entry of a name counts"
+is settled there too: entries are sorted by name and neighbours compared, so none is shuffled or sorted with those of
+other files.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import first_match, let, line_blocks, lines_of, strip, strip_left, strip_right
 
-ENTRY = "array<struct<name:string,version:string,pos:int,line:int>>"
-
 
 def split_name_version(spec: Column) -> Column:
     """name and version of ``name@version(peer)``; NULL unless the version starts with a digit."""
@@ -31,10 +30,18 @@ def top_level_name(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"^node_modules/(@[^/]+/[^/]+|[^@/][^/]*)$", 1), F.lit(""))
 
 
-def _first_per_name(entries: DataFrame, keys: list[str]) -> DataFrame:
-    return entries.groupBy(*keys, "name").agg(F.min_by(F.struct("version", "line"), "pos").alias("e")).select(
-        *keys, "name", "e.version", "e.line"
-    )
+def _entry(name: Column, pos: Column, version: Column, line: Column) -> Column:
+    return F.struct(name.alias("name"), pos.alias("pos"), version.alias("version"), line.alias("line"))
+
+
+def _firsts(entries: Column, key: str) -> Column:
+    """The smallest struct of each ``key``, the first field of ``entries``."""
+    return let(F.sort_array(entries), lambda e: F.filter(e, lambda x, i: ~x[key].eqNullSafe(F.get(e, i - 1)[key])))
+
+
+def _first_per_name(files: DataFrame, entries: Column) -> DataFrame:
+    """repo, file, name, version, line of the first of each name among a file's ``entries`` (as ``_entry`` makes them)."""
+    return files.select("repo", "file", F.inline(_firsts(entries, "name"))).select("repo", "file", "name", "version", "line")
 
 
 def npm_lock(files: DataFrame) -> DataFrame:
@@ -117,25 +124,29 @@ def yarn_lock(files: DataFrame) -> DataFrame:
             b["pos"].alias("pos"),
         ),
     )
-    rows = files.select("repo", "file", F.inline(found)).filter("version IS NOT NULL")
-    entries = rows.select("repo", "file", F.explode("names").alias("name"), "version", "pos", (F.col("pos") + 1).alias("line"))
-    return _first_per_name(entries, ["repo", "file"])
+    read = F.filter(found, lambda b: b["version"].isNotNull())
+    entries = F.flatten(F.transform(read, lambda b: F.transform(b["names"], lambda n: _entry(n, b["pos"], b["version"], b["pos"] + 1))))
+    return _first_per_name(files, entries)
 
 
 def pnpm_lock(files: DataFrame) -> DataFrame:
     """repo, file, name, version, line of the keys in the ``packages:`` section."""
     sections = F.filter(line_blocks(F.col("content"), lambda l: l.rlike("^[a-zA-Z]")), lambda b: b["header"].startswith("packages:"))
-    lines = files.select("repo", "file", F.inline(sections)).select("repo", "file", "pos", F.posexplode("lines").alias("n", "text"))
-    key = F.regexp_extract("text", r"""^\s{2}'?"?([^'":]+?)'?"?:\s*$""", 1)
-    old_name, old_version = (F.regexp_extract(key, r"^/(.+)/([^/]*)$", i) for i in (1, 2))
-    old = F.when(
-        (old_name != "") & old_version.rlike(r"^\d"),
-        F.struct(old_name.alias("name"), F.get(F.split(old_version, r"\("), 0).alias("version")),
-    )
-    read = F.when(key.startswith("/"), old).otherwise(split_name_version(key))
-    at = F.col("pos") + F.col("n") + 2
-    entries = lines.filter(key != "").select("repo", "file", read.alias("r"), at.alias("pos"), at.alias("line")).filter("r IS NOT NULL")
-    return _first_per_name(entries.select("repo", "file", "r.name", "r.version", "pos", "line"), ["repo", "file"])
+
+    def read(text):
+        key = F.regexp_extract(text, r"""^\s{2}'?"?([^'":]+?)'?"?:\s*$""", 1)
+        return let(key, lambda k: F.when(k.startswith("/"), old(k)).when(k != "", split_name_version(k)))
+
+    def old(key):
+        name, version = (F.regexp_extract(key, r"^/(.+)/([^/]*)$", i) for i in (1, 2))
+        plain = F.struct(name.alias("name"), F.get(F.split(version, r"\("), 0).alias("version"))
+        return F.when((name != "") & version.rlike(r"^\d"), plain)
+
+    def entry(text, at):
+        return let(read(text), lambda r: F.when(r.isNotNull(), _entry(r["name"], at, r["version"], at)))
+
+    entries = F.flatten(F.transform(sections, lambda b: F.transform(b["lines"], lambda l, n: entry(l, b["pos"] + n + 2))))
+    return _first_per_name(files, F.array_compact(entries))
 
 
 def toml_lock(files: DataFrame) -> DataFrame:
@@ -156,29 +167,44 @@ def toml_lock(files: DataFrame) -> DataFrame:
             F.when(taken, F.concat(acc["out"], F.array(F.struct(acc["name"].alias("name"), version.alias("version"))))).otherwise(acc["out"]).alias("out"),
         )
 
-    pairs = files.select("repo", "file", F.inline(blocks)).select(
-        "repo", "file", "pos", F.posexplode(F.aggregate("lines", state, step)["out"]).alias("n", "e")
-    )
-    entries = pairs.select(
-        "repo", "file", F.col("e.name").alias("name"), F.col("e.version").alias("version"), F.struct("pos", "n").alias("pos"), (F.col("pos") + 1).alias("line")
-    )
-    return _first_per_name(entries, ["repo", "file"])
+    def read(block):
+        pairs = F.aggregate(block["lines"], state, step)["out"]
+        return F.transform(pairs, lambda e, n: _entry(e["name"], F.struct(block["pos"].alias("block"), n.alias("n")), e["version"], block["pos"] + 1))
+
+    return _first_per_name(files, F.flatten(F.transform(blocks, read)))
 
 
 def bun_lock(files: DataFrame) -> DataFrame:
     """repo, file, name, version, line. Trailing commas are dropped before the JSON is read."""
     clean = F.regexp_replace("content", r",(\s*[}\]])", "$1")
     packages = F.from_json(F.get_json_object(clean, "$.packages"), "map<string,string>")
-    specs = files.select("repo", "file", F.posexplode(F.map_values(packages)).alias("pos", "value")).withColumn(
-        "spec", F.when(F.col("value").startswith("["), F.get(F.from_json("value", "array<string>"), 0)).otherwise(F.col("value"))
-    )
-    read = specs.select("repo", "file", "pos", "spec", split_name_version(F.col("spec")).alias("r")).filter("r IS NOT NULL")
-    quoted = files.select("repo", "file", F.posexplode(lines_of(F.col("content"))).alias("n", "text")).select(
-        "repo", "file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit('"([^"]*)"'), F.lit(1)))).alias("spec"), (F.col("n") + 1).alias("line")
+
+    def entry(value, pos):
+        spec = F.when(value.startswith("["), F.get(F.from_json(value, "array<string>"), 0)).otherwise(value)
+        return let(spec, lambda s: let(split_name_version(s), lambda r: F.when(r.isNotNull(), at(s, 1, pos, r))))
+
+    def at(spec, side, n, read):
+        return F.struct(spec.alias("spec"), F.lit(side).alias("side"), n.alias("n"), read.alias("r"))
+
+    none = F.lit(None).cast("struct<name:string,version:string>")
+    quoted = F.transform(
+        lines_of(F.col("content")),
+        lambda l, i: F.transform(F.array_distinct(F.regexp_extract_all(l, F.lit('"([^"]*)"'), F.lit(1))), lambda s: at(s, 0, i + 1, none)),
     )
-    at = quoted.groupBy("repo", "file", "spec").agg(F.min("line").alias("line"))
-    entries = read.join(at, ["repo", "file", "spec"], "left").select("repo", "file", "r.name", "r.version", "pos", "line")
-    return _first_per_name(entries, ["repo", "file"])
+    read = F.array_compact(F.transform(F.map_values(packages), entry))
+
+    def located(both):
+        """Both sides in the order of their specs: an entry stands behind the first line that quotes it."""
+
+        def line(e, i):
+            before = F.get(both, i - 1)
+            return F.when((before["spec"] == e["spec"]) & (before["side"] == 0), before["n"])
+
+        found = F.transform(both, lambda e, i: F.when(e["side"] == 1, _entry(e["r"]["name"], e["n"], e["r"]["version"], line(e, i))))
+        return F.array_compact(found)
+
+    sides = F.concat(_firsts(F.flatten(quoted), "spec"), _firsts(read, "spec"))
+    return _first_per_name(files, let(F.sort_array(sides), located))
 
 
 def pipfile_lock(files: DataFrame) -> DataFrame:
@@ -192,8 +218,9 @@ def pipfile_lock(files: DataFrame) -> DataFrame:
             lambda e: F.struct(e["key"].alias("name"), e["value"]["version"].alias("version"), F.lit(rank).alias("pos"), F.lit(None).cast("int").alias("line")),
         )
 
-    entries = files.select("repo", "file", F.inline(F.concat(group("default", 0), group("develop", 1)))).filter(F.col("version").startswith("=="))
-    return _first_per_name(entries.withColumn("version", F.expr("substring(version, 3)")), ["repo", "file"]).drop("line")
+    pinned = F.filter(F.concat(group("default", 0), group("develop", 1)), lambda e: e["version"].startswith("=="))
+    bare = F.transform(pinned, lambda e: _entry(e["name"], e["pos"], F.substring(e["version"], F.lit(3), F.length(e["version"])), e["line"]))
+    return _first_per_name(files, bare).drop("line")
 
 
 def lockfile_status(files: DataFrame, versions: DataFrame) -> DataFrame:

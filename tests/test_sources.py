@@ -38,6 +38,30 @@ def test_unreadable_lockfile_is_unsupported(frame, rows):
     assert rows(lockfiles.lockfile_status(df, lockfiles.yarn_lock(df)), "repo", "status") == [("r", "unsupported"), ("s", "read")]
 
 
+def test_lockfiles_are_read_without_a_shuffle(frame, rows):
+    """The first entry of a name is found inside the file's row, also where names repeat; no entry meets those of other files."""
+    yarn = 'a@^1, a@^2, b@1:\n  version "1.0.0"\n\na@^3:\n  version "2.0.0"\n'
+    pnpm = "packages:\n  b@2.0.0:\n  a@1.0.0:\n  b@1.0.0:\n"
+    toml = '[[package]]\nname = "a"\nversion = "2"\nname = "a"\nversion = "1"\n[[package]]\nname = "a"\nversion = "0"\n'
+    bun = '{\n"packages": {\n"x": "a@1.0.0",\n"a": ["a@2.0.0"],\n"z": "a@1.0.0",\n"y": "b@1.0.0"\n}}'
+    pip = '{"default": {"a": {"version": "==1"}}, "develop": {"a": {"version": "==2"}, "b": {"version": ">=3"}}}'
+    texts = {lockfiles.yarn_lock: yarn, lockfiles.pnpm_lock: pnpm, lockfiles.toml_lock: toml, lockfiles.bun_lock: bun, lockfiles.pipfile_lock: pip}
+    want = {
+        lockfiles.yarn_lock: [("a", "1.0.0", 1), ("b", "1.0.0", 1)],
+        lockfiles.pnpm_lock: [("a", "1.0.0", 3), ("b", "2.0.0", 2)],
+        lockfiles.toml_lock: [("a", "2", 1)],
+        lockfiles.bun_lock: [("a", "1.0.0", 3), ("b", "1.0.0", 6)],
+        lockfiles.pipfile_lock: [("a", "1")],
+    }
+    for read, text in texts.items():
+        found = read(frame(FILE, ("r", "f", text), ("s", "f", text), ("t", "f", "")))
+        kept = [c for c in ("name", "version", "line") if c in found.columns]
+        assert rows(found.filter("repo = 'r'"), *kept) == want[read], read.__name__
+        assert found.filter("repo = 's'").count() == len(want[read]) and found.filter("repo = 't'").isEmpty()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not any(node in plan for node in ("Exchange", "Aggregate", "Sort ", "Join")), read.__name__
+
+
 def test_requirements(frame, rows):
     text = "a==1.0 # c\nb[x]>=2 ; python_version<'3'\nc==1.*\nd === 4 \\\n  --hash=sha256:q\n-r more.txt\nA.b==9\na==2\n"
     got = rows(requirements.requirements(frame(FILE, ("r", "requirements.txt", text))), "name", "version", "declared")
