@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import cut_lineage
+from ..skew import split_hot_join
 from ..sources.imports import imports_symbol_from
 
 # How compilers say that a symbol is gone.
@@ -74,21 +76,24 @@ def resolve_checks(checks: DataFrame, files: DataFrame) -> DataFrame:
     """repo, check_id, state, n_files: unresolved where any file fires, resolved where none does, unknown where nothing could be read.
 
     ``checks``: repo, check_id, kind ('import' or 'absent'), pattern, symbol, pkg. A repository's checks are one
-    short list beside each of its files, so a file's text is read once for all of them. Patterns are compiled
-    first; a bad one makes its check unknown, not the job fail.
+    short list beside each of its files, so a file's text is read once for all of them. The lists are written
+    first: Spark then knows how small they are and takes them to the texts, so that a repository that holds most of
+    the text is no single task; lists too large for that meet the texts in a join whose hot keys are split. Patterns
+    are compiled first; a bad one makes its check unknown, not the job fail.
     """
     patterns = checks.filter("kind = 'absent'").select("pattern").distinct().withColumn("ready", _in_this_dialect()("pattern"))
     patterns = patterns.withColumn("ready", F.when(F.col("ready").isNotNull() & _compiles(F.col("ready")), F.col("ready")))
     known = checks.join(patterns, "pattern", "left").withColumn("usable", (F.col("kind") == "import") | F.col("ready").isNotNull())
-    lists = known.filter("usable").groupBy("repo").agg(
-        F.collect_list(F.struct("check_id", "kind", "ready", "symbol", "pkg")).alias("checks")
+    lists = cut_lineage(
+        known.filter("usable").groupBy("repo").agg(F.collect_list(F.struct("check_id", "kind", "ready", "symbol", "pkg")).alias("checks")),
+        "checks",
     )
 
     def fires(c):
         by_import = imports_symbol_from(F.col("content"), c["symbol"], c["pkg"])
         return F.when(c["kind"] == "import", by_import).otherwise(F.rlike(F.col("content"), c["ready"]))
 
-    hits = files.join(lists, "repo").select(
+    hits = split_hot_join(files, lists, ["repo"]).select(
         "repo", F.explode(F.filter("checks", fires)["check_id"]).alias("check_id")
     )
     fired = hits.groupBy("repo", "check_id").agg(F.count(F.lit(1)).alias("n_files"))

@@ -224,6 +224,22 @@ def test_any_pattern_is_answered(frame):
     assert states == {**dict.fromkeys(fires, "unresolved"), **dict.fromkeys(quiet, "resolved"), **dict.fromkeys(bad, "unknown")}
 
 
+def test_checks_go_to_the_texts(spark, frame, rows):
+    """A repository that holds most of the text is no single task: only names and counts are shuffled, never a text."""
+    checks = frame("repo string, check_id string, kind string, pattern string, symbol string, pkg string", ("hot", "a", "absent", "old", None, None), ("cold", "b", "absent", "[", None, None))
+    files = spark.range(5000).selectExpr("if(id % 100 = 0, 'cold', 'hot') AS repo", "'f' || id AS file", "if(id % 2 = 0, 'old', 'new') AS content")
+    found = quality.resolve_checks(checks, files)
+    assert rows(found, "repo", "check_id", "state", "n_files") == [("cold", "b", "unknown", 0), ("hot", "a", "unresolved", 2450)]
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")  # below the size of the texts
+    try:
+        nodes = quality.resolve_checks(checks, files)._jdf.queryExecution().explainString(mode).split("\n\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = [n for n in nodes if ") Exchange" in n and "Input" in n]
+    assert shuffled and not any("content#" in n for n in shuffled)
+
+
 def test_completeness_checks(frame, rows):
     schema = "repo string, check_id string, kind string, pattern string, symbol string, pkg string"
     checks = frame(schema, ("r", "hit", "absent", "old\\(", None, None), ("r", "miss", "absent", "zzz", None, None), ("r", "bad", "absent", "(", None, None), ("r", "imp", "import", None, "A", "lib"), ("none", "x", "absent", "a", None, None))
