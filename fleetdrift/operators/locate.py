@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.paths import dotted_prefixes
+from ..session import cut_lineage
 from ..skew import split_hot_join
 
 SITE = ("repo", "pkg", "symbol", "file", "line", "col", "via")
@@ -79,31 +80,33 @@ def unlocated_counts(changes: DataFrame, dependencies: DataFrame, findings: Data
     )
 
 
+def wanted_spellings(wanted: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """pkg, written, symbol: every way to write a wanted symbol. An alias stands for its canonical name only."""
+    names = wanted.select("pkg", "symbol").distinct()
+    plain = names.select("pkg", F.col("symbol").alias("written"), "symbol")
+    if aliases is None:
+        return plain
+    spelled = aliases.select("pkg", F.col("spelling").alias("written"), F.coalesce("canonical", "spelling").alias("symbol")).distinct()
+    own = plain.join(spelled, ["pkg", "written"], "left_anti")
+    return own.unionByName(spelled.join(names, ["pkg", "symbol"], "left_semi"))
+
+
 def binding_sites(references: DataFrame, bindings: DataFrame, wanted: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Sites of names bound by an import.
 
     ``references``: repo, file, line, col, local, chain ARRAY. ``bindings``: repo, file, local, pkg, export
     (``*`` for a namespace). Every dotted prefix of export + chain counts, through the alias spellings.
+
+    Prefixes are formed and looked up once per distinct spelling of a package, of which a fleet has few, not per
+    reference: bound references are written once, and take the symbols of their spelling in one join.
     """
-    bound = references.join(bindings, ["repo", "file", "local"])
     full = F.concat(F.when(F.col("export") == "*", F.array().cast("array<string>")).otherwise(F.array("export")), F.col("chain"))
-    spelled = bound.select(
-        "repo",
-        "file",
-        "line",
-        "col",
-        "pkg",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(full)), lambda n: F.array_join(F.slice(full, F.lit(1), n), "."))).alias(
-            "written"
-        ),
-    ).filter("written <> ''")
-    if aliases is None:
-        symbols = spelled.withColumnRenamed("written", "symbol")
-    else:
-        symbols = spelled.join(
-            aliases.select("pkg", F.col("spelling").alias("written"), "canonical"), ["pkg", "written"], "left"
-        ).withColumn("symbol", F.coalesce("canonical", "written"))
-    hits = split_hot_join(symbols.select("repo", "pkg", "symbol", "file", "line", "col"), wanted.select("pkg", "symbol").distinct(), ["pkg", "symbol"])
+    bound = references.join(bindings, ["repo", "file", "local"]).select("repo", "file", "line", "col", "pkg", full.alias("full"))
+    bound = cut_lineage(bound, "bound")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("full")), lambda n: F.array_join(F.slice("full", F.lit(1), n), "."))
+    written = bound.select("pkg", "full").distinct().withColumn("written", F.explode(prefixes)).filter("written <> ''")
+    used = split_hot_join(written, wanted_spellings(wanted, aliases), ["pkg", "written"]).select("pkg", "full", "symbol").distinct()
+    hits = split_hot_join(bound, cut_lineage(used, "spellings"), ["pkg", "full"]).select("pkg", "symbol", "repo", "file", "line", "col")
     return hits.withColumn("via", F.lit("import")).dropDuplicates(["repo", "pkg", "symbol", "file", "line", "col"])
 
 
@@ -159,6 +162,7 @@ def python_sites(
     package and the receiver is not itself a module; of several symbols with one method name the last counts.
     """
     site = ["repo", "file", "line", "col"]
+    roots = cut_lineage(roots.select("pkg", "root").distinct(), "roots")  # looked up four times
     bare = symbols.filter(~F.col("symbol").contains(".")).select("pkg", "symbol").distinct()
     methods = (
         symbols.filter(F.col("symbol").contains("."))

@@ -116,13 +116,13 @@ class SiteResolver(Protocol):
 
 
 def resolve_sites(resolvers: tuple[SiteResolver, ...], wanted: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Every wanted symbol goes to the first resolver that claims its ecosystem.
+    """Every wanted symbol goes to the first resolver that claims its ecosystem; the routed symbols are written once.
 
     Returns the sites of all resolvers (repo, pkg, symbol, file, line, col, resolver) and what none of them handles
     (ecosystem, n, warning).
     """
     routes = tuple(r.route for r in resolvers)
-    routed = wanted.withColumn("handler", claimed_by(routes, ecosystem=F.col("ecosystem")))
+    routed = cut_lineage(wanted.withColumn("handler", claimed_by(routes, ecosystem=F.col("ecosystem"))), "wanted")
     found = []
     for resolver in resolvers:
         mine = routed.filter(F.col("handler") == resolver.route.handler).drop("handler")

@@ -83,3 +83,16 @@ def test_modules_are_looked_up_once_each(frame, rows):
     assert rows(locate.packages_of_modules(modules, roots)) == [("lib", "p"), ("lib.a.b", "p"), ("lib.a.b", "q")]
     assert locate.with_packages(modules, roots).count() == 750  # none twice for two roots of one package
     assert locate.rooted(modules, roots).count() == modules.filter("module <> 'other.lib' AND module <> 'libs.a'").distinct().count() + 25
+
+
+def test_spellings_are_looked_up_once(spark, frame, rows):
+    """Prefixes of a chain are formed per distinct spelling: references themselves are not multiplied by the length of their chain."""
+    references = spark.range(400).selectExpr("'r' AS repo", "'f' AS file", "CAST(id AS INT) AS line", "1 AS col", "if(id % 2 = 0, 'n', 's') AS local", "array('A', 'b', 'c') AS chain")
+    bindings = frame("repo string, file string, local string, pkg string, export string", ("r", "f", "n", "p", "E"), ("r", "f", "s", "p", "*"))
+    wanted = frame("pkg string, symbol string", ("p", "E.A"), ("p", "Canon"), ("p", "A.b.c"), ("p", "E.A.b"), ("q", "A"))
+    aliases = frame("pkg string, spelling string, canonical string", ("p", "A", "Canon"), ("p", "E.A.b", "gone"), ("p", "A.b", "Canon"))
+    found = locate.binding_sites(references, bindings, wanted, aliases)
+    want = [("A.b.c", line) for line in range(1, 400, 2)] + [("Canon", line) for line in range(1, 400, 2)] + [("E.A", line) for line in range(0, 400, 2)]
+    assert rows(found, "symbol", "line") == sorted(want, key=repr)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(locate.binding_sites(references, bindings, wanted).filter("line < 2"), "symbol", "line") == [("A.b.c", 1), ("E.A", 0), ("E.A.b", 0)]
