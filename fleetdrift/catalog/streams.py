@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import work_path
+from ..session import cut_lineage, work_path
 from ..streaming import scans as scan_stream
 from ..streaming import webhooks
 from . import Tables, query
@@ -66,7 +66,8 @@ def feed_events(t: Tables):
 
 
 def in_slices(rows, order: str, n: int):
-    """``n`` parts of the rows in time order, each as parallel as the rows are."""
+    """``n`` parts of the rows in time order, each as parallel as the rows are. The rows are worked out and written once."""
+    rows = cut_lineage(rows, "slices")
     bounds = F.broadcast(rows.agg(F.min(order).alias("__low"), F.max(order).alias("__high")))  # one row
     at = lambda c: F.col(c).cast("timestamp").cast("double") if dict(rows.dtypes)[order] == "timestamp" else F.col(c).cast("double")
     share = (at(order) - at("__low")) / F.greatest(at("__high") - at("__low"), F.lit(1e-9))

@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -267,3 +268,18 @@ def test_as_of_with_one_hot_key(spark):
     right = spark.range(100_000).selectExpr("'r' AS k", "id * 2 AS at", "id AS v")
     got = as_of(left, right, ["k"], "at", ["v"])
     assert got.filter("last.v = id AND n_before = id + 1").count() == 100_000
+
+
+def test_scan_deltas_are_not_dealt_out_by_repository(spark, frame, rows):
+    """A fleet's findings may lie in few repositories: no exchange or join of them is by repository alone."""
+    scans = frame("repo string, scan string", *[("r", s) for s in "abcd"], ("s", "a"))
+    found = frame("repo string, scan string, finding string", ("r", "a", "x"), ("r", "c", "x"), ("r", "b", "y"), ("r", "d", "z"), ("s", "a", "x"), ("r", "nowhere", "x"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        deltas = lifecycle.scan_deltas(found, scans)
+        plan = deltas._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(repo" in plan and not re.search(r"hashpartitioning\(repo#\d+, \d+\)", plan)
+    want = [("r", "x", "b", "resolved"), ("r", "x", "c", "returned"), ("r", "x", "d", "resolved"), ("r", "y", "b", "added"), ("r", "y", "c", "resolved"), ("r", "z", "d", "added")]
+    assert rows(deltas, "repo", "finding", "scan", "event") == want
