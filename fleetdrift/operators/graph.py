@@ -4,6 +4,9 @@ Paths are searched backwards from the vulnerable packages, level by level, for a
 level is one join of the frontier with the edges; a node keeps its first, smallest path, so the state is at
 most (vulnerable packages x their ancestors) and no path is walked twice. Each level is written to the shared
 work folder, which keeps the plan flat and survives lost executors.
+
+A node with one dependency has no path but the one through it: it is reached once, so only nodes with several
+dependencies are compared with what was reached before.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Rounds, cut_lineage
+from ..skew import split_hot_join
 
 
 def ancestor_paths(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -19,24 +23,34 @@ def ancestor_paths(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``edges``: repo, src, dst. ``targets``: repo, child. Of several shortest paths the smallest counts.
     """
-    edges = cut_lineage(edges.select("repo", "src", "dst").filter("src <> dst").distinct(), "edges")
+    edges = cut_lineage(with_forks(edges), "walked")
+    forked = not edges.filter("forks").isEmpty()
     frontier = targets.select("repo", "child").distinct().select(
         "repo", "child", F.col("child").alias("node"), F.array("child").alias("path")
     )
     levels = Rounds(edges.sparkSession, "paths")
     latest = levels.add(frontier)
     while not latest.isEmpty():
-        reached = (
-            latest.withColumnRenamed("node", "dst")
-            .join(edges, ["repo", "dst"])
-            .groupBy("repo", "child", F.col("src").alias("node"))
-            .agg(F.min("path").alias("tail"))
-        )
-        fresh = not_yet(reached, levels.all().select("repo", "child", "node"))
+        reached = latest.withColumnRenamed("node", "dst").join(edges, ["repo", "dst"]).withColumnsRenamed({"src": "node", "path": "tail"})
+        fresh = reached.filter("NOT forks AND node <> child").select("repo", "child", "node", "tail")
+        if forked:
+            several = reached.filter("forks").groupBy("repo", "child", "node").agg(F.min("tail").alias("tail"))
+            fresh = fresh.unionByName(not_yet(several, levels.all().select("repo", "child", "node")))
         latest = levels.add(fresh.select("repo", "child", "node", F.concat(F.array("node"), "tail").alias("path")))
     return levels.all()
 
 
+def with_forks(edges: DataFrame) -> DataFrame:
+    """The distinct edges between different nodes; ``forks``: the source has other dependencies beside this one."""
+    distinct = distinct_edges(edges)
+    forks = distinct.groupBy("repo", "src").agg((F.min("dst") != F.max("dst")).alias("forks"))
+    return split_hot_join(distinct, forks, ["repo", "src"]).select("repo", "src", "dst", "forks")
+
+
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    return edges.select("repo", "src", "dst").filter("src <> dst").distinct()
+
+
 def not_yet(reached: DataFrame, visited: DataFrame) -> DataFrame:
     """What is reached for the first time. Only the visited nodes that are reached again matter, and finding those
     is a semi-join Spark broadcasts while a level is small, so the visited set itself is not shuffled."""
@@ -47,10 +61,14 @@ def not_yet(reached: DataFrame, visited: DataFrame) -> DataFrame:
 def paths_to(edges: DataFrame, targets: DataFrame, directs: DataFrame) -> DataFrame:
     """repo, child, direct, path, depth: the shortest route from each direct dependency that reaches the target.
 
-    A direct dependency that is itself the target is a route of one node.
+    A direct dependency that is itself the target is a route of one node. Edges from packages that are neither
+    declared nor needed by another begin no route and lie on none, so they are not walked.
     """
-    found = ancestor_paths(edges, targets).withColumnRenamed("node", "direct")
     named = directs.select("repo", F.col("name").alias("direct")).distinct()
+    edges = cut_lineage(distinct_edges(edges), "edges")
+    held = edges.select("repo", F.col("dst").alias("src")).unionByName(named.withColumnRenamed("direct", "src")).distinct()
+    used = split_hot_join(edges, held, ["repo", "src"], "left_semi")
+    found = ancestor_paths(used, targets).withColumnRenamed("node", "direct")
     return found.join(named, ["repo", "direct"], "left_semi").select(
         "repo", "child", "direct", "path", (F.size("path") - 1).alias("depth")
     )

@@ -124,3 +124,38 @@ def test_random_graph_paths_against_search(frame):
         frontier = list(found)
     df = graph.ancestor_paths(frame(EDGE, *[("r", name(a), name(b)) for a, b in edges]), frame("repo string, child string", ("r", name(0))))
     assert {r.node: r.path for r in df.collect()} == best
+
+
+def test_random_routes_of_many_targets_against_search(frame):
+    """Chains and forks side by side, cycles, edges named twice, packages that nothing holds."""
+    rnd = random.Random(11)
+    name = lambda k: f"n{k:02d}"
+    edges = [(name(rnd.randrange(24)), name(rnd.randrange(24))) for _ in range(34)]
+    edges += edges[:4] + [("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("loose", "n03"), ("looser", "loose")]
+    targets, directs = [name(k) for k in range(0, 24, 3)] + ["c0"], [name(k) for k in range(0, 24, 2)] + ["c2"]
+    best = {}
+    for target in targets:
+        paths = frontier = {target: [target]}
+        while frontier:
+            found = {}
+            for a, b in edges:
+                if b in frontier and a not in paths:
+                    found[a] = min(found.get(a, [a, *frontier[b]]), [a, *frontier[b]])
+            paths, frontier = {**paths, **found}, found
+        best.update({(target, d): paths[d] for d in directs if d in paths})
+    assert len(best) > 30
+    got = graph.paths_to(
+        frame(EDGE, *[("r", a, b) for a, b in edges]), frame("repo string, child string", *[("r", x) for x in targets]), frame(DIRECT, *[("r", x) for x in directs])
+    ).collect()
+    assert {(r.child, r.direct): r.path for r in got} == best and len(got) == len(best)
+
+
+def test_levels_of_single_dependencies_are_not_compared_and_loose_edges_not_walked(frame, rows, monkeypatch):
+    read = []
+    whole = graph.Rounds.all
+    monkeypatch.setattr(graph.Rounds, "all", lambda levels: read.append(levels) or whole(levels))
+    edges = frame(EDGE, ("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a"), ("r", "loose", "b"), ("r", "a", "b"))
+    got = rows(graph.paths_to(edges, frame("repo string, child string", ("r", "c"), ("r", "a")), frame(DIRECT, ("r", "a"))), "child", "path")
+    assert got == [("a", ["a"]), ("c", ["a", "b", "c"])]
+    assert len(read) == 1
+    assert {r.node for r in whole(read[0]).collect()} == {"a", "b", "c"}
