@@ -57,7 +57,7 @@ def arity_sql(signature: str) -> str:
     hides the commas after it.
     """
     tail = f"CASE WHEN instr({signature}, '(') > 0 THEN substring({signature}, instr({signature}, '(')) END"
-    inner = "CASE WHEN " + _CLOSING.format(s="tail") + " > 0 THEN trim(substring(tail, 2, " + _CLOSING.format(s="tail") + " - 2)) END"
+    inner = _let("closing", _CLOSING.format(s="tail"), "CASE WHEN closing > 0 THEN trim(substring(tail, 2, closing - 2)) END")
     return _let("tail", tail, _let("inner", inner, _ARITY.format(s="inner")))
 
 

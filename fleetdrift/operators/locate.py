@@ -55,15 +55,32 @@ def finding_sites(findings: DataFrame, sites: DataFrame) -> DataFrame:
     return split_hot_join(sites, findings.select(*keys, "finding_id", "kind"), keys).select("finding_id", "kind", *SITE)
 
 
-def unlocated_counts(changes: DataFrame, dependencies: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per (repo, pkg): impacting changes, how many were located, how many were not.
+def finding_counts(findings: DataFrame) -> DataFrame:
+    """repo, pkg, n_findings, n_sites."""
+    return findings.groupBy("repo", "pkg").agg(F.count(F.lit(1)).alias("n_findings"), F.sum("n_sites").cast("bigint").alias("n_sites"))
+
+
+def located_counts(changes: DataFrame, sites: DataFrame) -> DataFrame:
+    """``finding_counts`` of the findings that ``locate_changes`` would give, straight from the call sites.
+
+    Sites meet the number of changes of their symbol; all that follows keeps to that key, so that the one shuffle
+    of the join serves the distinct sites and their counts, and neither sites nor findings are written.
+    """
+    changed = changes.groupBy("pkg", F.col("path").alias("symbol")).agg(F.count(F.lit(1)).alias("n_changes"))
+    hashed = changed.hint("shuffle_hash")  # a merge join would sort every site
+    used = split_hot_join(sites.select("repo", "pkg", "symbol", "file", "line", "col"), hashed, ["pkg", "symbol"]).distinct()
+    counted = used.groupBy("repo", "pkg", "symbol", "n_changes").agg(F.count(F.lit(1)).alias("n_sites"))
+    return counted.groupBy("repo", "pkg").agg(
+        F.sum("n_changes").cast("bigint").alias("n_findings"), F.sum(F.col("n_changes") * F.col("n_sites")).cast("bigint").alias("n_sites")
+    )
+
+
+def unlocated_counts(changes: DataFrame, dependencies: DataFrame, located: DataFrame) -> DataFrame:
+    """Per (repo, pkg): impacting changes, how many were located, how many were not. ``located``: as ``finding_counts``.
 
     Unlocated is total minus located, both counted; no (repository x change) product is formed.
     """
     totals = changes.groupBy("pkg").agg(F.count(F.lit(1)).alias("n_changes"))
-    located = findings.groupBy("repo", "pkg").agg(
-        F.count(F.lit(1)).alias("n_findings"), F.sum("n_sites").cast("bigint").alias("n_sites")
-    )
     deps = dependencies.select("repo", "pkg").distinct()
     zero = F.lit(0).cast("bigint")
     return (

@@ -155,3 +155,35 @@ def test_sites_carry_their_kind(frame, rows):
     found = locate.finding_sites(findings, sites)
     assert rows(found, "repo", "symbol", "file", "finding_id", "kind") == [("r", "s", "f", "1", "removed"), ("r", "s", "f", "2", "deprecated")]
     assert found._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+
+
+def test_located_counts_are_those_of_the_findings(frame, rows):
+    rnd = random.Random(7)
+    changes = frame("pkg string, path string, kind string", *[(f"p{rnd.randrange(3)}", f"s{k % 9}", f"k{k}") for k in range(24)], ("p0", None, "k"))
+    lines = [(f"r{rnd.randrange(4)}", f"p{rnd.randrange(4)}", f"s{rnd.randrange(14)}", rnd.choice(["f", "g", None]), rnd.choice([1, 2, None]), 1) for _ in range(300)]
+    sites = frame("repo string, pkg string, symbol string, file string, line int, col int, via string", *[(*x, rnd.choice(["import", "type"])) for x in lines], ("r0", None, "s1", "f", 1, 1, "type"))
+    located = locate.locate_changes(changes, locate.distinct_sites(locate.wanted_sites(sites, changes)))
+    columns = ("repo", "pkg", "n_findings", "n_sites")
+    got = rows(locate.located_counts(changes, sites), *columns)
+    assert got and got == rows(locate.finding_counts(located), *columns)
+
+
+def test_package_counts_write_neither_sites_nor_findings(spark, monkeypatch):
+    from fleetdrift import catalog
+    from fleetdrift.plans import scan
+
+    catalog.load_all()
+    written, write = [], scan.cut_lineage
+    monkeypatch.setattr(scan, "cut_lineage", lambda df, label: written.append(label) or write(df, label))
+    assert catalog.QUERIES["unlocated_changes"](spark, "/root/testdata/sf0.001").count() > 0
+    assert written == ["changes"]
+
+
+def test_changes_are_graded_only_where_grades_are_read(symbols):
+    diff = snapshot.diff_symbols(symbols(("a", "(x: A) => void"), ("b", "B")), symbols(("a", "(x: A, y: B) => void"), ("b", "C")))
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "drift" in plan(diff) and "drift" not in plan(snapshot.consumer_impacting(diff).select("pkg", "path"))
+    assert kinds(diff) == [("signature-changed", "a", "breaking", "high"), ("signature-changed", "b", "drift", "medium")]
