@@ -6,6 +6,8 @@ then many site rows, never one giant array.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..session import cut_lineage
 from ..skew import split_hot_join
 
 SITE = ("repo", "pkg", "symbol", "file", "line", "col", "via")
+OWN_IMPORT = "struct<name:string,pkg:string,symbol:string>"
 
 
 def distinct_sites(sites: DataFrame) -> DataFrame:
@@ -177,40 +180,73 @@ def python_sites(
     file, module. ``symbols``: pkg, symbol. A bare name resolves through its own import first, and through a
     star import only where that import is not from the package. A method counts where the file imports the
     package and the receiver is not itself a module; of several symbols with one method name the last counts.
+
+    All that names a module is looked up once per distinct module, and what a file imports is one short row: the calls meet
+    it in one join by (repo, file), and that one shuffle of each side serves the distinct sites too.
     """
-    site = ["repo", "file", "line", "col"]
-    roots = cut_lineage(roots.select("pkg", "root").distinct(), "roots")  # looked up four times
-    bare = symbols.filter(~F.col("symbol").contains(".")).select("pkg", "symbol").distinct()
+    bare = symbols.filter(~F.col("symbol").contains(".")).select("pkg", F.col("symbol").alias("written"), F.lit(False).alias("method"), "symbol")
     methods = (
         symbols.filter(F.col("symbol").contains("."))
-        .withColumn("name", F.expr("substring(symbol, instr(symbol, '.') + 1)"))
-        .groupBy("pkg", "name")
+        .withColumn("written", F.expr("substring(symbol, instr(symbol, '.') + 1)"))
+        .groupBy("pkg", "written")
         .agg(F.max("symbol").alias("symbol"))
+        .select("pkg", "written", F.lit(True).alias("method"), "symbol")
     )
-    plain = calls.filter("form = 'name'")
-    own = with_packages(names.select("repo", "file", F.col("local").alias("name"), "module", "exported"), roots)
-    by_import = plain.join(own.select("repo", "file", "name", "pkg", "exported"), ["repo", "file", "name"]).select(
-        *site, "name", "pkg", F.col("exported").alias("symbol")
-    )
-    star_files = with_packages(stars, roots).select("repo", "file", "pkg").distinct()
-    by_star = (
-        plain.join(star_files, ["repo", "file"])
-        .join(own.select("repo", "file", "name", "pkg"), ["repo", "file", "name", "pkg"], "left_anti")
-        .select(*site, "name", "pkg", F.col("name").alias("symbol"))
-    )
-    dotted = calls.filter("form = 'attribute'")
-    by_module = with_packages(dotted.filter("receiver_module IS NOT NULL").withColumnRenamed("receiver_module", "module"), roots).select(
-        *site, "name", "pkg", F.col("name").alias("symbol")
+    known = cut_lineage(bare.distinct().unionByName(methods), "python-symbols")
+    receivers = calls.filter("form = 'attribute' AND receiver_module IS NOT NULL").withColumnRenamed("receiver_module", "module")
+    modules = [x.select("module").distinct() for x in (names, stars, referenced, receivers)]
+    # written, so that its size is known and a small one is not met by shuffling all that names a module
+    owners = cut_lineage(packages_of_modules(reduce(DataFrame.unionByName, modules), roots), "python-modules")
+
+    def of_package(rows):
+        return split_hot_join(rows, owners, ["module"])
+
+    def scope(rows, **given):
+        kinds = {"own": OWN_IMPORT, "star": "string", "imported": "string"}
+        return rows.select("repo", "file", *[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+
+    own = F.struct(F.col("local").alias("name"), F.col("pkg").alias("pkg"), F.col("exported").alias("symbol"))
+    exact = known.filter("NOT method").select("pkg", "written")
+
+    def marked(rows, column):
+        """``is_<column>`` where the column spells a symbol of the package."""
+        return split_hot_join(rows, exact.select("pkg", F.col("written").alias(column), F.lit(True).alias(f"is_{column}")), ["pkg", column], "left")
+
+    # an import counts for what it binds, and for a star import of the same package that it hides
+    telling = marked(marked(of_package(names), "exported"), "local").filter("is_exported OR is_local")
+    scopes = (
+        scope(telling, own=own)
+        .unionByName(scope(of_package(stars), star=F.col("pkg")))
+        .unionByName(scope(of_package(referenced), imported=F.col("pkg")))
+        .groupBy("repo", "file")
+        .agg(*[F.collect_set(c).alias(c) for c in ("own", "star", "imported")])
     )
-    importing = with_packages(referenced, roots).select("repo", "file", "pkg").distinct()
-    by_method = (
-        dotted.filter("receiver_module IS NULL")
-        .join(importing, ["repo", "file"])
-        .join(methods, ["pkg", "name"])
-        .select(*site, "name", "pkg", "symbol")
+    called = ("repo", "file", "line", "col", "name")
+    no_package = F.lit(None).cast("string").alias("pkg")
+    method_names = known.filter("method").select(F.col("written").alias("name")).distinct()
+    by_method = calls.filter("form = 'attribute' AND receiver_module IS NULL").join(method_names, "name", "left_semi")
+    parts = [
+        calls.filter("form = 'name'").select(*called, no_package, F.lit("name").alias("form")),
+        split_hot_join(of_package(receivers), exact.withColumnRenamed("written", "name"), ["pkg", "name"], "left_semi").select(*called, "pkg", F.lit("module").alias("form")),
+        by_method.select(*called, no_package, F.lit("method").alias("form")),
+    ]
+    met = split_hot_join(reduce(DataFrame.unionByName, parts), scopes, ["repo", "file"], "left")
+
+    def named(pkg, symbol, method=False):
+        return F.struct(pkg.alias("pkg"), symbol.alias("written"), F.lit(method).alias("method"))
+
+    name, none = F.col("name"), F.array().cast("array<struct<pkg:string,written:string,method:boolean>>")
+    same = F.filter("own", lambda o: o["name"] == name)
+    shadowed = F.transform(same, lambda o: o["pkg"])
+    by_name = F.concat(F.transform(same, lambda o: named(o["pkg"], o["symbol"])), F.transform(F.array_except("star", shadowed), lambda p: named(p, name)))
+    meant = (
+        F.when(F.col("form") == "module", F.array(named(F.col("pkg"), name)))
+        .when(F.col("form") == "name", F.coalesce(by_name, none))
+        .otherwise(F.coalesce(F.transform("imported", lambda p: named(p, name, True)), none))
     )
-    exact = by_import.unionByName(by_star).unionByName(by_module).join(bare, ["pkg", "symbol"], "left_semi")
-    return exact.unionByName(by_method).select("repo", "pkg", "symbol", "file", "line", "col").distinct()
+    candidates = met.select("repo", "file", "line", "col", F.inline(meant))
+    hits = split_hot_join(candidates, known, ["pkg", "written", "method"])
+    return hits.select("repo", "pkg", "symbol", "file", "line", "col").distinct()
 
 
 def impact_sites(declared: DataFrame, references: DataFrame, changed_files: DataFrame) -> DataFrame:

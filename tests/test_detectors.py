@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from fleetdrift.operators import locate
@@ -96,3 +98,43 @@ def test_spellings_are_looked_up_once(spark, frame, rows):
     assert rows(found, "symbol", "line") == sorted(want, key=repr)
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
     assert rows(locate.binding_sites(references, bindings, wanted).filter("line < 2"), "symbol", "line") == [("A.b.c", 1), ("E.A", 0), ("E.A.b", 0)]
+
+
+def test_python_calls_meet_their_file_once(frame, rows):
+    """Random files against the rules read one by one; calls and imports are shuffled once each, by repository and file."""
+    rng = random.Random(11)
+    modules, locals_, files = ("lib", "lib.a", "two.x", "other", None), ("a", "b", "c", "d", None), [("r", f"{i}.py") for i in range(40)] + [(None, "n.py")]
+    pick = lambda n, make: [(*rng.choice(files), *make()) for _ in range(n)]
+    calls = pick(600, lambda: (rng.randrange(30), 1, rng.choice(("name", "attribute")), rng.choice(locals_), rng.choice((None, None, *modules))))
+    names = pick(120, lambda: (rng.choice(locals_), rng.choice(modules), rng.choice(("a", "b", "x", None))))
+    stars, referenced = pick(25, lambda: (rng.choice(modules),)), pick(60, lambda: (rng.choice(modules),))
+    roots = {("p", "lib"), ("q", "two"), ("both", "lib.a")}
+    symbols = {("p", "a"), ("p", "x"), ("q", "b"), ("both", "c"), ("p", "K.a"), ("p", "Z.a"), ("q", "K.d"), ("both", "K.d.e")}
+    under = lambda m: {p for p, root in roots if m and (m == root or m.startswith(f"{root}."))}
+    methods = {}
+    for p, s in sorted(symbols):
+        if "." in s:
+            methods[p, s.split(".", 1)[1]] = s
+    want = set()
+    for repo, file, line, col, form, name, receiver in calls:
+        here = lambda table: [x for x in table if repo and x[:2] == (repo, file)]
+        own = [(p, x[4]) for x in here(names) if name and x[2] == name for p in under(x[3])]
+        hits = set()
+        if form == "name":
+            hits = set(own) | {(p, name) for x in here(stars) for p in under(x[2]) if p not in {q for q, _ in own}}
+        elif receiver:
+            hits = {(p, name) for p in under(receiver)}
+        hits = {h for h in hits if h in symbols and "." not in h[1]}
+        if form == "attribute" and not receiver:
+            hits = {(p, methods[p, name]) for x in here(referenced) for p in under(x[2]) if (p, name) in methods}
+        want |= {(repo, p, s, file, line, col) for p, s in hits}
+    file = "repo string, file string, "
+    tables = [
+        frame(file + "line int, col int, form string, name string, receiver_module string", *calls),
+        frame(file + "local string, module string, exported string", *names),
+        *(frame(file + "module string", *x) for x in (stars, referenced)),
+    ]
+    got = locate.python_sites(*tables, frame("pkg string, root string", *roots), frame("pkg string, symbol string", *symbols))
+    assert rows(got) == sorted(want, key=repr) and len(want) > 100
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(repo#") == 2 and plan.count("Exchange hashpartitioning(") == 3  # and the names of methods
