@@ -415,23 +415,15 @@ def _(t):
 def repository_files(t: Tables):
     """Repositories with one or two JavaScript lockfiles, and a Python lockfile or requirements."""
     n = F.col("repo").cast("bigint")
-
-    def named(rows, file, when):
-        return rows.filter(when).select("repo", F.lit(file).alias("file"), "content")
-
-    pnpm = readers.joined(t, readers.c("  ", readers.name(), "@", readers.version(), ":\n"), "packages:\n")
-    uv = readers.joined(t, readers.c('[[package]]\nname = "', readers.name(), '"\nversion = "', readers.version(), '"\n'))
-    loose = readers.joined(t, readers.c(readers.name(), "==", readers.version(), "\n"), "-r more.txt\n")
-    more = t.view("lock_entries").select("repo").distinct().select("repo", F.lit("extra==1.0\n").alias("content"))
-    parts = [
-        named(readers.npm_files(t), "package-lock.json", n % 3 == 0),
-        named(readers.yarn_files(t), "yarn.lock", n % 3 != 1),
-        named(pnpm, "pnpm-lock.yaml", n % 3 == 1),
-        named(uv, "uv.lock", n % 2 == 0),
-        named(loose, "requirements.txt", n % 4 != 0),
-        named(more, "more.txt", n % 4 != 0),
-    ]
-    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+    c, name, version = readers.c, readers.name, readers.version
+    kinds = {
+        "package-lock.json": (n % 3 == 0, readers.npm_entry, *readers.NPM_TEXT),
+        "yarn.lock": (n % 3 != 1, readers.yarn_block, readers.YARN_HEAD),
+        "pnpm-lock.yaml": (n % 3 == 1, lambda of: c("  ", name(of), "@", version(of), ":\n"), "packages:\n"),
+        "uv.lock": (n % 2 == 0, lambda of: c('[[package]]\nname = "', name(of), '"\nversion = "', version(of), '"\n')),
+        "requirements.txt": (n % 4 != 0, lambda of: c(name(of), "==", version(of), "\n"), "-r more.txt\n"),
+    }
+    return readers.file_texts(t, {**kinds, "more.txt": (n % 4 != 0, lambda of: F.lit(""), "extra==1.0\n")})
 
 
 @query(

@@ -23,21 +23,42 @@ def c(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def name():
-    return F.col("name")
+def name(of=F.col):
+    return of("name")
 
 
-def version():
-    return F.col("version")
+def version(of=F.col):
+    return of("version")
 
 
-def key():
-    return F.col("k")
+def key(of=F.col):
+    return of("k")
+
+
+def file_texts(t: Tables, kinds):
+    """repo, file, content of several kinds of files, of one pass over the entries.
+
+    ``kinds``: per file (when, piece, head, tail, separator); ``piece`` makes an entry's text of its fields, as ``name`` does.
+    """
+    entries = t.view("lock_entries").groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("n", "name", "version", "k", "dev"))).alias("e"))
+
+    def text(file, when, piece, head="", tail="", separator=""):
+        content = F.concat(F.lit(head), F.array_join(F.transform("e", lambda e: piece(e.__getitem__)), separator), F.lit(tail))
+        return F.when(when, F.struct(F.lit(file).alias("file"), content.alias("content")))
+
+    texts = F.array(*[text(file, *kind) for file, kind in kinds.items()])
+    return entries.select("repo", F.inline_outer(texts)).filter("file IS NOT NULL")
+
+
+YARN_HEAD = "# yarn lockfile v1\n\n__metadata:\n  version: 6\n\n"
+
+
+def yarn_block(of=F.col):
+    return c('"@s/', name(of), '@^1.0.0", ', name(of), "@npm:~1, w", name(of), "@workspace:.:\n  version ", F.when(key(of) % 2 == 0, c('"', version(of), '"')).otherwise(version(of)), "\n  dependencies:\n    version \"9.9.9\"\n\n")
 
 
 def yarn_files(t: Tables):
-    block = c('"@s/', name(), '@^1.0.0", ', name(), "@npm:~1, w", name(), "@workspace:.:\n  version ", F.when(key() % 2 == 0, c('"', version(), '"')).otherwise(version()), "\n  dependencies:\n    version \"9.9.9\"\n\n")
-    return joined(t, block, "# yarn lockfile v1\n\n__metadata:\n  version: 6\n\n").withColumn("file", F.lit("yarn.lock"))
+    return joined(t, yarn_block(), YARN_HEAD).withColumn("file", F.lit("yarn.lock"))
 
 
 @query(
@@ -103,17 +124,24 @@ def _(t):
     return lockfiles.pipfile_lock(text.withColumn("file", F.lit("Pipfile.lock")))
 
 
-def npm_files(t: Tables):
-    place = F.when(key() % 4 == 0, c("node_modules/host/node_modules/", name())).when(key() % 4 == 1, c("node_modules/@s/", name())).otherwise(c("node_modules/", name()))
+NPM_TEXT = ('{"lockfileVersion":3,"packages":{"":{"name":"root","version":"1.0.0"},', "}}", ",")
+
+
+def npm_entry(of=F.col):
+    k, n = key(of), name(of)
+    place = F.when(k % 4 == 0, c("node_modules/host/node_modules/", n)).when(k % 4 == 1, c("node_modules/@s/", n)).otherwise(c("node_modules/", n))
     more = (
-        F.when(key() % 10 == 3, ',"link":true')
-        .when(key() % 10 == 5, ',"resolved":"git+ssh://x"')
-        .when(key() % 10 == 7, c(',"resolved":"https://r/x.tgz","name":"alias-', name(), '"'))
+        F.when(k % 10 == 3, ',"link":true')
+        .when(k % 10 == 5, ',"resolved":"git+ssh://x"')
+        .when(k % 10 == 7, c(',"resolved":"https://r/x.tgz","name":"alias-', n, '"'))
         .otherwise(',"resolved":"https://r/y.tgz"')
     )
-    deps = c(',"dependencies":{"dep', key() % 7, '":"^1","other":"*"}')
-    entry = c('"', place, "-", F.col("n"), '":{"version":"', version(), '"', F.when(F.col("dev"), ',"dev":true').otherwise(""), more, deps, "}")
-    return joined(t, entry, '{"lockfileVersion":3,"packages":{"":{"name":"root","version":"1.0.0"},', "}}", ",")
+    deps = c(',"dependencies":{"dep', k % 7, '":"^1","other":"*"}')
+    return c('"', place, "-", of("n"), '":{"version":"', version(of), '"', F.when(of("dev"), ',"dev":true').otherwise(""), more, deps, "}")
+
+
+def npm_files(t: Tables):
+    return joined(t, npm_entry(), *NPM_TEXT)
 
 
 NPM_PLACE = "CASE k % 4 WHEN 0 THEN 'node_modules/host/node_modules/' || name WHEN 1 THEN 'node_modules/@s/' || name ELSE 'node_modules/' || name END || '-' || n"

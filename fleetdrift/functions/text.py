@@ -36,6 +36,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def firsts(entries: Column, key: str) -> Column:
+    """The smallest struct of each ``key``, the first field of ``entries``."""
+    return let(F.sort_array(entries), lambda e: F.filter(e, lambda x, i: ~x[key].eqNullSafe(F.get(e, i - 1)[key])))
+
+
 def lines_of(content: Column) -> Column:
     return F.split(content, "\n")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.text import first_match, let, line_blocks, lines_of, strip, strip_left, strip_right
+from ..functions.text import first_match, firsts, let, line_blocks, lines_of, strip, strip_left, strip_right
 
 
 def split_name_version(spec: Column) -> Column:
@@ -34,24 +34,15 @@ def _entry(name: Column, pos: Column, version: Column, line: Column) -> Column:
     return F.struct(name.alias("name"), pos.alias("pos"), version.alias("version"), line.alias("line"))
 
 
-def _firsts(entries: Column, key: str) -> Column:
-    """The smallest struct of each ``key``, the first field of ``entries``."""
-    return let(F.sort_array(entries), lambda e: F.filter(e, lambda x, i: ~x[key].eqNullSafe(F.get(e, i - 1)[key])))
-
-
 def _first_per_name(files: DataFrame, entries: Column) -> DataFrame:
     """repo, file, name, version, line of the first of each name among a file's ``entries`` (as ``_entry`` makes them)."""
-    return files.select("repo", "file", F.inline(_firsts(entries, "name"))).select("repo", "file", "name", "version", "line")
-
+    # the outer form, as for the other Spark filters by the size of the array, which reads each text twice
+    rows = files.select("repo", "file", F.inline_outer(firsts(entries, "name"))).filter("name IS NOT NULL")
+    return rows.select("repo", "file", "name", "version", "line")
 
-def npm_lock(files: DataFrame) -> DataFrame:
-    """repo, install_path, name, version, dev, top_name of ``package-lock.json`` texts.
 
-    The root, links and entries resolved from anything but the registry are left out. Where no top-level
-    version is found the older ``dependencies`` layout is read instead.
-    """
-    lock = F.from_json("content", schemas.NPM_LOCK)
-    parsed = files.select("repo", lock.alias("l"))
+def _npm_entries() -> Column:
+    """The installed packages of a parsed lock ``l``."""
 
     def entry(path, name, version, dev):
         return F.struct(path.alias("install_path"), name.alias("name"), version.alias("version"), dev.alias("dev"))
@@ -74,13 +65,31 @@ def npm_lock(files: DataFrame) -> DataFrame:
         lambda e: entry(F.concat(F.lit("node_modules/"), e["key"]), e["key"], e["value"]["version"], F.lit(False)),
     )
     kind = "array<struct<install_path:string,name:string,version:string,dev:boolean>>"
-    chosen = let(
+    return let(
         F.coalesce(new, F.array().cast(kind)),
         lambda n: F.when(F.exists(n, lambda e: top_level_name(e["install_path"]).isNotNull()), n).otherwise(
             F.concat(n, F.coalesce(old, F.array().cast(kind)))
         ),
     )
-    return parsed.select("repo", F.inline(chosen)).withColumn("top_name", top_level_name(F.col("install_path")))
+
+
+def npm_lock(files: DataFrame) -> DataFrame:
+    """repo, install_path, name, version, dev, top_name of ``package-lock.json`` texts.
+
+    The root, links and entries resolved from anything but the registry are left out. Where no top-level
+    version is found the older ``dependencies`` layout is read instead.
+    """
+    parsed = files.select("repo", F.from_json("content", schemas.NPM_LOCK).alias("l"))
+    return parsed.select("repo", F.inline(_npm_entries())).withColumn("top_name", top_level_name(F.col("install_path")))
+
+
+def npm_versions(files: DataFrame) -> DataFrame:
+    """repo, file, name, version of ``npm_lock``, each once per file though installed under several paths."""
+    parsed = files.select("repo", "file", F.from_json("content", schemas.NPM_LOCK).alias("l"))
+    named = F.filter(_npm_entries(), lambda e: e["name"].isNotNull())
+    packages = F.transform(named, lambda e: F.struct(F.struct(e["name"].alias("name"), e["version"].alias("version")).alias("package")))
+    rows = parsed.select("repo", "file", F.inline_outer(firsts(packages, "package"))).filter("package IS NOT NULL")
+    return rows.select("repo", "file", "package.name", "package.version")
 
 
 def npm_edges(files: DataFrame) -> DataFrame:
@@ -203,7 +212,7 @@ def bun_lock(files: DataFrame) -> DataFrame:
         found = F.transform(both, lambda e, i: F.when(e["side"] == 1, _entry(e["r"]["name"], e["n"], e["r"]["version"], line(e, i))))
         return F.array_compact(found)
 
-    sides = F.concat(_firsts(F.flatten(quoted), "spec"), _firsts(read, "spec"))
+    sides = F.concat(firsts(F.flatten(quoted), "spec"), firsts(read, "spec"))
     return _first_per_name(files, let(F.sort_array(sides), located))
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import canonical_name
-from ..functions.text import let, strip
+from ..functions.text import BLANKS, firsts, let, strip
 from ..functions.versions import pinned_by_specifier
 from ..session import Rounds, cut_lineage
 
 REQUIREMENT = r"(?s)^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(.*)$"
 EDGES_INSIDE = 2_000  # of one repository's include edges in a row
+OPTION = rf"(?:^|\n)[{BLANKS}]*-"
 INCLUDE = r"^(?:(--requirement|-r)|(--constraint|-c))(?:\s*=\s*|\s+)?(\S+)"
 
 
@@ -20,32 +21,55 @@ def requirement_name(line: Column) -> Column:
     return F.when(~text.startswith("-"), F.nullif(F.regexp_extract(text, REQUIREMENT, 1), F.lit("")))
 
 
+def _lines(content: Column) -> Column:
+    """Array of (pos, text) of logical lines: continuations joined, comments cut, blank lines left out."""
+    lines = F.split(F.regexp_replace(content, r"\\\r?\n", " "), "\n")
+    read = F.transform(lines, lambda l, i: F.struct(i.alias("pos"), strip(F.get(F.split(l, "#"), 0)).alias("text")))
+    return F.filter(read, lambda e: e["text"] != "")
+
+
 def requirement_lines(files: DataFrame) -> DataFrame:
     """repo, file, pos, text of logical lines: continuations joined, comments cut, blank lines left out."""
-    joined = F.regexp_replace("content", r"\\\r?\n", " ")
-    lines = files.select("repo", "file", F.posexplode(F.split(joined, "\n")).alias("pos", "raw"))
-    return lines.select("repo", "file", "pos", strip(F.get(F.split("raw", "#"), 0)).alias("text")).filter("text <> ''")
+    return files.select("repo", "file", F.inline(_lines(F.col("content"))))
 
 
-def requirements(files: DataFrame) -> DataFrame:
-    """repo, file, pos, name, version (pinned) or declared (a range); the first line of a name counts."""
-    lines = requirement_lines(files).filter(~F.col("text").startswith("-"))
-    before_options = F.regexp_replace("text", r"(?s)\s+-.*$", "")
-    bare = strip(F.get(F.split(F.regexp_replace(before_options, r"\s+", " "), ";"), 0))
-    name, rest = F.regexp_extract(bare, REQUIREMENT, 1), strip(F.regexp_extract(bare, REQUIREMENT, 2))
-    read = lines.select("repo", "file", "pos", name.alias("name"), rest.alias("specifier")).filter("name <> ''")
-    first = read.groupBy("repo", "file", "name").agg(F.min("pos").alias("pos"), F.min_by("specifier", "pos").alias("specifier"))
+def first_requirements(content: Column) -> Column:
+    """Array of (name, pos, specifier): the first line of each name in a text, which is settled inside its row."""
+
+    def read(line):
+        before_options = F.regexp_replace(line["text"], r"(?s)\s+-.*$", "")
+        bare = strip(F.get(F.split(F.regexp_replace(before_options, r"\s+", " "), ";"), 0))
+        return let(bare, lambda b: F.struct(F.regexp_extract(b, REQUIREMENT, 1).alias("name"), line["pos"].alias("pos"), strip(F.regexp_extract(b, REQUIREMENT, 2)).alias("specifier")))
+
+    lines = F.filter(_lines(content), lambda l: ~l["text"].startswith("-"))
+    return firsts(F.filter(F.transform(lines, read), lambda r: r["name"] != ""), "name")
+
+
+def _with_versions(first: DataFrame, *columns: str) -> DataFrame:
     version = pinned_by_specifier(F.col("specifier"))
-    return first.select(
-        "repo", "file", "pos", "name", version.alias("version"), F.when(version.isNull(), F.col("specifier")).alias("declared")
-    )
+    return first.select(*columns, "pos", "name", version.alias("version"), F.when(version.isNull(), F.col("specifier")).alias("declared"))
+
+
+def requirements(files: DataFrame) -> DataFrame:
+    """repo, file, pos, name, version (pinned) or declared (a range); the first line of a name counts. One file is one row."""
+    first = files.select("repo", "file", F.inline_outer(first_requirements(F.col("content")))).filter("name IS NOT NULL")
+    return _with_versions(first, "repo", "file")
+
+
+def included(content: Column) -> Column:
+    """Array of (pos, kind, target) of a text's include lines; a text without any option line is not taken apart."""
+    options = F.filter(_lines(content), lambda l: l["text"].startswith("-"))
+
+    def read(line):
+        kind = F.when(F.regexp_extract(line["text"], INCLUDE, 1) != "", "requirements").otherwise("constraints")
+        return F.struct(line["pos"].alias("pos"), kind.alias("kind"), F.regexp_extract(line["text"], INCLUDE, 3).alias("target"))
+
+    return F.when(content.rlike(OPTION), F.filter(F.transform(options, read), lambda i: i["target"] != ""))
 
 
 def includes(files: DataFrame) -> DataFrame:
     """repo, file, pos, kind (requirements or constraints), target."""
-    lines = requirement_lines(files).filter(F.col("text").startswith("-"))
-    kind = F.when(F.regexp_extract("text", INCLUDE, 1) != "", "requirements").otherwise("constraints")
-    return lines.select("repo", "file", "pos", kind.alias("kind"), F.regexp_extract("text", INCLUDE, 3).alias("target")).filter("target <> ''")
+    return files.select("repo", "file", F.inline_outer(included(F.col("content")))).filter("target IS NOT NULL")
 
 
 def resolve_target(file: Column, target: Column) -> Column:
@@ -72,6 +96,11 @@ def resolve_target(file: Column, target: Column) -> Column:
     return F.when(~target.startswith("/"), F.when(path.rlike(r"(^|/)\.{0,2}(/|$)"), folded).otherwise(path))
 
 
+def targets(file: Column, content: Column) -> Column:
+    """Array of the files a text includes, by their paths in the repository; those outside of it are left out."""
+    return F.array_compact(F.transform(included(content), lambda i: resolve_target(file, i["target"])))
+
+
 def _walk(root: str):
     """The first visits of a depth-first walk over one repository's include edges: [(file, walk, as_constraints)]."""
 
@@ -154,19 +183,17 @@ def requirements_tree(files: DataFrame, root: str = "requirements.txt") -> DataF
     requirements leave open.
     """
     walks = include_tree(files, root)
-    rows = requirements(files).join(walks, ["repo", "file"]).withColumn("canonical", canonical_name(F.col("name")))
+    read = files.select("repo", "file", first_requirements(F.col("content")).alias("first"))
+    found = read.join(walks, ["repo", "file"]).select("repo", "file", "walk", "as_constraints", F.inline_outer("first"))
+    rows = _with_versions(found.filter("name IS NOT NULL"), "repo", "file", "walk", "as_constraints").withColumn("canonical", canonical_name(F.col("name")))
+    own, limits = ~F.col("as_constraints"), F.col("as_constraints") & F.col("version").isNotNull()
     # a file's own lines come before those of the files it includes, in both orders
     order = F.struct(F.col("walk"), F.col("version").isNull(), F.col("pos"))
-    own = rows.filter("NOT as_constraints").groupBy("repo", "canonical").agg(
-        F.min_by(F.struct("name", "version", "declared", "file"), order).alias("r")
-    )
-    limits = (
-        rows.filter("as_constraints AND version IS NOT NULL")
-        .groupBy("repo", "canonical")
-        .agg(F.min_by("version", F.struct("walk", "pos")).alias("constraint"))
+    merged = rows.groupBy("repo", "canonical").agg(
+        F.min_by(F.struct("name", "version", "declared", "file"), F.when(own, order)).alias("r"),
+        F.min_by("version", F.when(limits, F.struct("walk", "pos"))).alias("constraint"),
     )
-    merged = own.join(limits, ["repo", "canonical"], "left")
     filled = F.coalesce("r.version", "constraint")
-    return merged.select(
+    return merged.filter("r IS NOT NULL").select(
         "repo", "r.name", filled.alias("version"), F.when(filled.isNull(), F.col("r.declared")).alias("declared"), "r.file"
     )

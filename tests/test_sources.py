@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetdrift.operators import pinning, quality
 from fleetdrift.session import Rounds
+from fleetdrift.plans import ecosystems
 from fleetdrift.sources import callscan, imports, lockfiles, logs, pins, requirements, symbols
 from fleetdrift.sources import files as file_source
 
@@ -268,3 +269,29 @@ def test_option_belongs_to_the_nearest_imported_constructor(frame, rows):
     text = "import Stripe from 'stripe';\nimport { Other } from './own';\nconst c = new Stripe({\n" + "  // more\n" * 30 + "  x: new Other({}), apiVersion: '2024-06-20." + "a" * 60 + "',\n});\n"
     found = pins.extract_pins(frame(FILE, ("r", "a.ts", text)))
     assert rows(found, "line", "subject", "version") == [(34, "stripe", "2024-06-20." + "a" * 60)]
+
+
+def test_inventories_take_one_pass_over_the_texts(spark, frame, rows):
+    """Which file answers, what requirements include, and packages installed under several paths."""
+    npm = '{"packages":{"":{"version":"1"},"node_modules/a":{"version":"1.0"},"node_modules/b/node_modules/a":{"version":"1.0"},"node_modules/c/node_modules/a":{"version":"2.0"}}}'
+    uv = '[[package]]\nname = "u"\nversion = "3.0"\n'
+    texts = [
+        ("both", "package-lock.json", npm), ("both", "yarn.lock", "y@^1:\n  version 1.1\n"), ("both", "uv.lock", uv), ("both", "requirements.txt", "r==1\n-r more.txt\n"), ("both", "more.txt", "m==1\n"),
+        ("loose", "yarn.lock", "y@^1:\n  version 1.1\n"), ("loose", "requirements.txt", "r==1\nopen>=2\n -r sub/a.txt # c\n\\\n-c ./limits.txt\n"), ("loose", "sub/a.txt", "--requirement=../yarn.lock\ns==4\n"),
+        ("loose", "limits.txt", "open==2.5\n"), ("loose", "unread.txt", "-r also-unread.txt\nx==1\n"), ("loose", "also-unread.txt", "z==1\n"),
+        ("unreadable", "package-lock.json", "{"), ("unreadable", "yarn.lock", "y@^1:\n  version 1.1\n"), ("unreadable", "poetry.lock", "?"), ("unreadable", "requirements.txt", "r==1\n"),
+        ("twice", "uv.lock", uv), ("twice", "uv.lock", uv + uv.replace('"u"', '"v"')), (None, "uv.lock", uv), ("none", "a.txt", "-r b.txt\n"), ("empty", "yarn.lock", None),
+    ]
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda text: read.add(1) or text, "string").asNondeterministic()
+    files = frame("repo string, file string, content string", *texts).withColumn("content", seen("content"))
+    got = rows(ecosystems.installed(files), "repo", "ecosystem", "name", "version", "file")
+    assert got == sorted(
+        [
+            ("both", "npm", "a", "1.0", "package-lock.json"), ("both", "npm", "a", "2.0", "package-lock.json"), ("both", "PyPI", "u", "3.0", "uv.lock"),
+            ("loose", "npm", "y", "1.1", "yarn.lock"), ("loose", "PyPI", "r", "1", "requirements.txt"), ("loose", "PyPI", "s", "4", "requirements.txt"), ("loose", "PyPI", "open", "2.5", "requirements.txt"),
+            ("twice", "PyPI", "u", "3.0", "uv.lock"), ("twice", "PyPI", "v", "3.0", "uv.lock"),
+        ],
+        key=repr,
+    )
+    assert read.value <= len(texts)  # each text was made many times before
